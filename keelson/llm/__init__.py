@@ -1,10 +1,14 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from keelson.llm import chat, fingerprints, mixing
+from keelson.llm import chat, fingerprints, mixing, neighbours, quality, simhash, wrappers
 
 _MODULES = {
     "op1_chat_formatting": chat,
     "op2_document_fingerprints": fingerprints,
+    "op3_quality_classifier": quality,
+    "op5_simhash_near_dedup": simhash,
+    "op6_html_extraction": wrappers,
+    "op7_nearest_neighbours": neighbours,
     "op8_mixing_sources": mixing,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
