@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from keelson.llm import bpe, chat, fingerprints, mixing, neighbours, quality, simhash, wrappers
+from keelson.llm import bpe, chat, fingerprints, mixing, neighbours, personal, quality, simhash, wrappers
 
 _MODULES = {
     "op1_chat_formatting": chat,
@@ -10,6 +10,7 @@ _MODULES = {
     "op6_html_extraction": wrappers,
     "op7_nearest_neighbours": neighbours,
     "op8_mixing_sources": mixing,
+    "op9_personal_data": personal,
     "op10_byte_level_bpe": bpe,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
