@@ -189,8 +189,8 @@ def _cut(documents: DataFrame, pattern: str, common: object) -> DataFrame:
             ids, places = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = cut.findall(text)
-                for x in set(words) - known.keys():
-                    if x not in own:
+                for x in set(words):
+                    if x not in known and x not in own:
                         own[x] = -1 - len(own)
                 ids.append(doc_id)
                 places.append(np.array([known[x] if x in known else own[x] for x in words], dtype=np.int32))
