@@ -1,11 +1,12 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from keelson.llm import bpe, chat, fingerprints, mixing, neighbours, personal, quality, simhash, wrappers
+from keelson.llm import bpe, chat, fingerprints, mixing, neighbours, personal, quality, simhash, substrings, wrappers
 
 _MODULES = {
     "op1_chat_formatting": chat,
     "op2_document_fingerprints": fingerprints,
     "op3_quality_classifier": quality,
+    "op4_suffix_array_dedup": substrings,
     "op5_simhash_near_dedup": simhash,
     "op6_html_extraction": wrappers,
     "op7_nearest_neighbours": neighbours,
