@@ -1,13 +1,58 @@
-"""The corpus pipeline: stages of training-data operators over documents."""
+"""The corpus pipeline: quality filter, near-dedup, redaction, mixing and tokens, one operator a stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelson.llm import bpe, mixing, personal, quality, simhash
+from keelson.session import materialize, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects."""
+    forest = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, forest).where(F.col("score") >= 0.5).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    return simhash.keep_first(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return personal.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents as the mix takes them."""
+    return mixing.repeat_mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", drop_near_copies),
+    ("PII", redact_personal_data),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", encode),
+]
+
+#: The first two stages can't be put in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{number}")
     return docs

@@ -161,7 +161,7 @@ def common_pieces(documents: DataFrame, ranks: dict[bytes, int], pattern: str, d
 
 
 CUT = "doc_ids array<long>, counts array<int>, places binary, pieces array<string>"
-CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
 def _cut(documents: DataFrame, pattern: str, common: object) -> DataFrame:
@@ -205,8 +205,8 @@ def _cut(documents: DataFrame, pattern: str, common: object) -> DataFrame:
     return documents.mapInArrow(run, CUT)
 
 
-def encode_documents(documents: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, documents_read: int = SAMPLE_DOCUMENTS, most: int = COMMON) -> DataFrame:
-    """Per document: doc_id, n_tokens, digests of the ids and of the bytes they decode to. No shuffle."""
+def encode_documents(documents: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, documents_read: int = SAMPLE_DOCUMENTS, most: int = COMMON, keep_ids: bool = True) -> DataFrame:
+    """Per document: doc_id, n_tokens, digests of the ids and of the bytes they decode to, and the ids (null without keep_ids). No shuffle."""
     spark = documents.sparkSession
     small_batches(spark)
     ranks = load_ranks(path)
@@ -224,7 +224,11 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
         sizes = np.array([t.count(b" ") + 1 for t in texts], dtype=np.int64)
         own_texts: list[bytes] = []
         own_blobs: list[bytes] = []
-        lengths, vocabulary = None, {}
+        lengths, vocabulary, flat_ids, firsts = None, {}, None, None
+
+        def ids_at(here: np.ndarray) -> np.ndarray:
+            size = lengths[here]
+            return flat_ids[np.repeat(firsts[here] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
         def closed(doc_ids: list, counts: list[int], places: bytes) -> pa.RecordBatch:
             flat, at, out = np.frombuffer(places, dtype=np.int32), 0, []
@@ -232,7 +236,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
                 here = flat[at : at + count]
                 at += count
                 listed = here.tolist()
-                out.append((doc_id, int(lengths[here].sum()), hashlib.sha256(b" ".join([all_texts[i] for i in listed])).hexdigest(), hashlib.sha256(b"".join([all_blobs[i] for i in listed])).hexdigest()))
+                out.append((doc_id, int(lengths[here].sum()), hashlib.sha256(b" ".join([all_texts[i] for i in listed])).hexdigest(), hashlib.sha256(b"".join([all_blobs[i] for i in listed])).hexdigest(), ids_at(here) if keep_ids else None))
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         all_texts, all_blobs = texts, blobs
@@ -250,6 +254,8 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
                     if lengths is None:  # negative places count from the end
                         all_texts, all_blobs = texts + own_texts[::-1], blobs + own_blobs[::-1]
                         lengths = np.concatenate([sizes, np.array([t.count(b" ") + 1 for t in own_texts[::-1]], dtype=np.int64)])
+                        if keep_ids:
+                            flat_ids, firsts = np.array(b" ".join(all_texts).split(), dtype=np.int32), np.cumsum(lengths) - lengths
                     yield closed(r["doc_ids"], r["counts"], r["places"])
                 else:
                     own_texts, own_blobs, lengths = [], [], None
@@ -258,4 +264,4 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False).drop("ids")

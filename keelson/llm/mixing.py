@@ -57,7 +57,8 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17, ranges: int = RANGES) -> DataFrame:
-    """sized: doc_id, source, size, quality (weight above 0). Returns doc_id, source, size, source_size, target, taken."""
+    """sized: doc_id, source, size, quality (weight above 0). Also tie, which tells rows of one doc_id apart. Returns doc_id,
+    source, tie, size, source_size, target, taken."""
     goal = targets(sized, weights, share, most)
     key = -F.log(unit_draw(F.col("doc_id"), seed)) / F.greatest(F.coalesce(F.col("quality"), F.lit(1.0)), F.lit(1e-9))
     keyed = sized.withColumn("key", key)
@@ -74,7 +75,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: f
     prefix = F.col("below") + F.col("inside")
     chosen = prefix + F.col("size") / 2.0 < F.col("budget")
     taken = F.col("size") * (F.col("epochs") + F.when(chosen, 1).otherwise(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "tie", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def size_and_weigh(documents: DataFrame) -> DataFrame:
@@ -85,9 +86,19 @@ def size_and_weigh(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(text).alias("size"), (letters * letters + 0.05).alias("quality"), F.md5(text).alias("tie"))
 
 
+def repeat_mixed(documents: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: each document as often as the mix takes it. All columns stay; documents of size 0 go."""
+    mixed = mix(size_and_weigh(documents), **options)
+    copies = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie")).agg(F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("long").alias("__copies"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.withColumn("__text", F.md5(text)).dropDuplicates(["doc_id", "source", "__text"])
+    met = rows.join(copies.where(F.col("__copies") > 0), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__tie")))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*documents.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = size_and_weigh(table(spark, sf_dir, "documents"))
-    return mix(sized).drop("source")
+    return mix(sized).drop("source", "tie")
 
 
 ORACLE_SQL = r"""

@@ -182,6 +182,38 @@ def find(documents: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOL
     return scanned, found_spans(scanned, bootstrap(scanned, rounds, threshold, support))
 
 
+def redact(documents: DataFrame) -> DataFrame:
+    """The documents with every span replaced by its kind in brackets, and n_chars, if there, counted anew. All columns stay.
+    Spans that overlap are replaced as one, by the kind of the first."""
+    _, more = find(documents)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    met = documents.join(more, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.md5(text) == F.col("g")), "left")
+    met = met.select(*documents.columns, F.col("more").alias("__more"))
+    small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            columns = dict(zip(names, batch.columns, strict=False))
+            out = [None if t is None else masked(t, [(x["begin"], x["end"]) for x in m or []]) for t, m in zip(batch.column("text").to_pylist(), batch.column("__more").to_pylist(), strict=True)]
+            columns["text"] = pa.array(out, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t or "") for t in out], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return met.mapInArrow(run, documents.schema)
+
+
+def masked(text: str, more: list[Span]) -> str:
+    spans = sorted([(b, e, kind) for kind, found in base_spans(text).items() for b, e in found] + [(b, e, FOUND) for b, e in more])
+    out, at, till = [], 0, 0
+    for begin, end, kind in spans:
+        if begin >= till:
+            out += [text[at:begin], f"[{kind.upper()}]"]
+        at = till = max(till, end)
+    return "".join([*out, text[at:]])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned, more = find(table(spark, sf_dir, "documents"))
     met = scanned.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")

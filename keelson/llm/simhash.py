@@ -175,19 +175,32 @@ def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(rows, lambda x: {"doc_id": x["doc_id"], "print": [simhash(t or "", shingle) for t in x["text"]]}, "doc_id long, print long")
+    """doc_id, digest (of the text, to tell rows of one doc_id apart), print."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return map_batches(rows, lambda x: {"doc_id": x["doc_id"], "digest": x["digest"], "print": [simhash(t, shingle) for t in x["text"]]}, "doc_id long, digest long, print long")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, print, component_id (the least doc_id that links lead to)."""
+    """Per document: doc_id, digest, print, root (of its class), component_id (the least doc_id that links lead to)."""
     rows = materialize(fingerprints(documents, shingle), "prints")
     classes = rows.groupBy("print").agg(F.min("doc_id").alias("first"))
     roots = components(link(classes.select("print"), radius))
     rooted = classes.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("print", "root").join(least, "root").select(F.col("print").alias("p"), "component_id")
-    return rows.join(named, F.col("print") == F.col("p")).select("doc_id", "print", "component_id")
+    named = rooted.select("print", "root").join(least, "root").select(F.col("print").alias("p"), "root", "component_id")
+    return rows.join(named, F.col("print") == F.col("p")).select("doc_id", "digest", "print", "root", "component_id")
+
+
+def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The documents without near-duplicates: of each class the row with the least doc_id (nulls last), then the least
+    text digest, and one of rows that share both. All columns stay."""
+    found = near_duplicates(documents, radius, shingle)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")
+    first = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.digest").alias("__digest"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    met = documents.withColumn("__of", F.xxhash64(text)).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__digest")), "left_semi")
+    return met.dropDuplicates(["doc_id", "__of"]).drop("__of")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
