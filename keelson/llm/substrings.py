@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from keelson.llm.common import shuffle_partitions, small_batches, table
 
 LENGTH, KMER = 50, 24
+#: Shards for each bucket, so that an index stays small.
+SHARDS = 8
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
@@ -299,6 +301,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     spark = documents.sparkSession
     small_batches(spark)
     n = shuffle_partitions(spark)
+    shards = n * SHARDS
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(int(_LAST)))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n)).cast("int"))
     dealt = rows.repartition(n, "bucket")
@@ -306,8 +309,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     def send_anchors(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
         found = [np.unique(anchors(raw, length, kmer)[0]) for raw in docs["raw"]]
         hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-        shards = _shard(hashes, n)
-        cuts = np.searchsorted(shards, np.arange(n + 1))
+        of = _shard(hashes, shards)
+        cuts = np.searchsorted(of, np.arange(shards + 1))
         return _rows([(s, key[0], 0, _pack_sorted(hashes[a:b]), np.packbits(counts[a:b] > 1).tobytes(), None) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], _NAMES)
 
     def find_repeated(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
@@ -330,7 +333,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     def send_contexts(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or parts.empty:
             return _rows([], _NAMES)
-        found, out = _Contexts(docs, repeated_of(parts), n, length, kmer), []
+        found, out = _Contexts(docs, repeated_of(parts), shards, length, kmer), []
         for shard, a, b in _by_shard(found.order):
             mine = found.order[a:b]
             out.append((shard, docs["bucket"].iloc[0], 2, b"".join(x for _, x in mine), bytes(len(x) - length for _, x in mine), _pack(np.array([found.seen[x] for x in mine], dtype=np.int64))))
@@ -372,7 +375,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         if docs.empty:
             return _rows([], names)
-        found = _Contexts(docs, repeated_of(parts), n, length, kmer)
+        found = _Contexts(docs, repeated_of(parts), shards, length, kmer)
         answers = {s: (a, b) for s, a, b in zip(*(parts[parts["kind"] == 3][c] for c in ("shard", "a", "b")), strict=True)}
         first: dict[tuple[int, bytes], np.ndarray] = {}
         for shard, a, b in _by_shard(found.order):
