@@ -37,6 +37,8 @@ SAMPLE_DOCUMENTS, COMMON = 16_000, 500_000
 LONG, BUCKETS = 256, 1 << 14
 #: Text bytes whose pieces share a dictionary, and pieces in a row.
 GROUP_BYTES, ROW_PIECES = 96 << 20, 1 << 16
+#: Parts of the table that one task takes.
+MERGED_PARTS = 3
 _NONE, _STARTS = 1 << 20, 1 << 20
 
 
@@ -164,36 +166,52 @@ CUT = "doc_ids array<long>, counts array<int>, places binary, pieces array<strin
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
+class _Places(dict):
+    """Places of pieces: common ones from 0 on, others from -1 down in the order they are met."""
+
+    def __init__(self, words: list[str]) -> None:
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.own: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.own.append(piece)
+        self[piece] = -len(self.own)
+        return -len(self.own)
+
+    def forget(self) -> None:
+        for piece in self.own:
+            del self[piece]
+        self.own = []
+
+
 def _cut(documents: DataFrame, pattern: str, common: object) -> DataFrame:
     """Rows of pieces that aren't common, then rows of documents as places in the dictionary of common and these pieces."""
     schema = arrow_schema(documents.sparkSession, CUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = regex.compile(pattern), {x: i for i, x in enumerate(common.value)}
-        own: dict[str, int] = {}
+        cut, places_of = regex.compile(pattern), _Places(common.value)
+        place = places_of.__getitem__
         held: list[tuple[list, list[np.ndarray]]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal own, held, size
-            words = [x.encode().decode("latin-1") for x in own]
+            nonlocal size
+            words = [x.encode().decode("latin-1") for x in places_of.own]
             for at in range(0, len(words), ROW_PIECES):
                 yield pa.RecordBatch.from_pylist([{"pieces": words[at : at + ROW_PIECES]}], schema=schema)
             while held:
                 ids, places = held.pop(0)
                 yield pa.RecordBatch.from_pylist([{"doc_ids": ids, "counts": [len(p) for p in places], "places": np.concatenate(places).tobytes()}], schema=schema)
             yield pa.RecordBatch.from_pylist([{"doc_ids": []}], schema=schema)  # ends the group
-            own, size = {}, 0
+            places_of.forget()
+            size = 0
 
         for batch in batches:
             ids, places = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = cut.findall(text)
-                for x in set(words):
-                    if x not in known and x not in own:
-                        own[x] = -1 - len(own)
                 ids.append(doc_id)
-                places.append(np.array([known[x] if x in known else own[x] for x in words], dtype=np.int32))
+                places.append(np.fromiter(map(place, words), dtype=np.int32, count=len(words)))
                 size += len(text)
             if ids:
                 held.append((ids, places))
@@ -211,16 +229,19 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
     small_batches(spark)
     ranks = load_ranks(path)
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    common = spark.sparkContext.broadcast(common_pieces(rows, ranks, pattern, documents_read, most))
+    found = common_pieces(rows, ranks, pattern, documents_read, most)
+    words, encoded = spark.sparkContext.broadcast(list(found)), spark.sparkContext.broadcast(tuple(zip(*found.values(), strict=True)) or ((), ()))
+    del found
+    # larger parts share more pieces
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // MERGED_PARTS)))
     table_of_ranks = spark.sparkContext.broadcast(ranks)
     schema = arrow_schema(spark, CODED)
     short = F.transform("pieces", lambda p: F.when(F.length(p) <= LONG, p).otherwise(F.lit("")))
-    coded = _cut(rows, pattern, common).withColumn("ids", encode_pieces(short, ranks))
+    coded = _cut(rows, pattern, words).withColumn("ids", encode_pieces(short, ranks))
     coded = coded.select("doc_ids", "counts", "places", F.when(F.exists("pieces", lambda p: F.length(p) > LONG), F.col("pieces")).alias("long"), F.transform("ids", lambda x: F.array_join(x, " ")).alias("texts"), decode_ids(F.col("ids"), ranks).alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = list(common.value.values())
-        texts, blobs = [t for t, _ in shared], [b for _, b in shared]
+        texts, blobs = map(list, encoded.value)
         sizes = np.array([t.count(b" ") + 1 for t in texts], dtype=np.int64)
         own_texts: list[bytes] = []
         own_blobs: list[bytes] = []
@@ -236,7 +257,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
                 here = flat[at : at + count]
                 at += count
                 listed = here.tolist()
-                out.append((doc_id, int(lengths[here].sum()), hashlib.sha256(b" ".join([all_texts[i] for i in listed])).hexdigest(), hashlib.sha256(b"".join([all_blobs[i] for i in listed])).hexdigest(), ids_at(here) if keep_ids else None))
+                out.append((doc_id, int(lengths[here].sum()), hashlib.sha256(b" ".join(map(all_texts.__getitem__, listed))).hexdigest(), hashlib.sha256(b"".join(map(all_blobs.__getitem__, listed))).hexdigest(), ids_at(here) if keep_ids else None))
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         all_texts, all_blobs = texts, blobs
