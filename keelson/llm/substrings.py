@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from keelson.llm.common import shuffle_partitions, small_batches, table
 
 LENGTH, KMER = 50, 24
-#: Shards for each bucket, so that an index stays small.
-SHARDS = 8
+#: Buckets and shards for each of the session's shuffle partitions, so that what a task holds stays small.
+BUCKETS, SHARDS = 4, 8
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
@@ -263,8 +263,9 @@ class _Contexts:
     """The different contexts of a bucket's repeated anchors, by shard, in an order that their bytes alone decide."""
 
     def __init__(self, docs: pd.DataFrame, repeated: np.ndarray, shards: int, length: int, kmer: int) -> None:
-        self.seen: dict[tuple[int, bytes], int] = {}
-        self.stretches: list[tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]] = []
+        self.number: dict[tuple[int, bytes], int] = {}
+        self.least: list[int] = []
+        self.stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for raw, key in zip(docs["raw"], docs["key"], strict=True):
             hashes, begin, end = anchors(raw, length, kmer)
             if len(repeated) and len(hashes):
@@ -274,11 +275,16 @@ class _Contexts:
                 kept = np.zeros(0, dtype=np.int64)
             begin, end = begin[kept], end[kept]
             names = [(s, raw[b : e + length - 1]) for s, b, e in zip(_shard(hashes[kept], shards).tolist(), begin.tolist(), end.tolist(), strict=True)]
+            places = []
             for name in names:
-                if self.seen.get(name, _LAST) >= key:
-                    self.seen[name] = key
-            self.stretches.append((begin, end, names))
-        self.order = sorted(self.seen)
+                at = self.number.setdefault(name, len(self.number))
+                if at == len(self.least):
+                    self.least.append(key)
+                elif key < self.least[at]:
+                    self.least[at] = key
+                places.append(at)
+            self.stretches.append((begin.astype(np.int32) if len(raw) < 1 << 31 else begin, end.astype(np.int32) if len(raw) < 1 << 31 else end, np.array(places, dtype=np.int32)))
+        self.order = sorted(self.number)
 
 
 def _by_shard(order: list[tuple[int, bytes]]) -> list[tuple[int, int, int]]:
@@ -300,8 +306,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes that stay (kept; null without keep_text)."""
     spark = documents.sparkSession
     small_batches(spark)
-    n = shuffle_partitions(spark)
-    shards = n * SHARDS
+    n = shuffle_partitions(spark) * BUCKETS
+    shards = shuffle_partitions(spark) * SHARDS
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(int(_LAST)))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n)).cast("int"))
     dealt = rows.repartition(n, "bucket")
@@ -336,7 +342,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
         found, out = _Contexts(docs, repeated_of(parts), shards, length, kmer), []
         for shard, a, b in _by_shard(found.order):
             mine = found.order[a:b]
-            out.append((shard, docs["bucket"].iloc[0], 2, b"".join(x for _, x in mine), bytes(len(x) - length for _, x in mine), _pack(np.array([found.seen[x] for x in mine], dtype=np.int64))))
+            out.append((shard, docs["bucket"].iloc[0], 2, b"".join(x for _, x in mine), bytes(len(x) - length for _, x in mine), _pack(np.array([found.least[found.number[x]] for x in mine], dtype=np.int64))))
         return _rows(out, _NAMES)
 
     def index(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
@@ -377,17 +383,18 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
             return _rows([], names)
         found = _Contexts(docs, repeated_of(parts), shards, length, kmer)
         answers = {s: (a, b) for s, a, b in zip(*(parts[parts["kind"] == 3][c] for c in ("shard", "a", "b")), strict=True)}
-        first: dict[tuple[int, bytes], np.ndarray] = {}
+        first: list[np.ndarray | None] = [None] * len(found.number)
         for shard, a, b in _by_shard(found.order):
             values = np.repeat(_unpack(answers[shard][0], np.int64), _unpack(answers[shard][1], np.uint16))
             ends = np.cumsum([len(x) - length + 1 for _, x in found.order[a:b]])
-            first.update(zip(found.order[a:b], np.split(values, ends[:-1]), strict=True))
+            for x, part in zip(found.order[a:b], np.split(values, ends[:-1]), strict=True):
+                first[found.number[x]] = part
         out = []
         for doc_id, key, raw, (begin, end, contexts) in zip(docs["doc_id"], docs["key"], docs["raw"], found.stretches, strict=True):
             size, removed, spans, kept = len(raw), 0, 0, raw
-            if contexts:
+            if len(contexts):
                 starts = np.zeros(size + 1, dtype=np.int32)
-                for a, b, x in zip(begin.tolist(), end.tolist(), contexts, strict=True):
+                for a, b, x in zip(begin.tolist(), end.tolist(), contexts.tolist(), strict=True):
                     starts[a:b] = first[x] < key
                 upto = np.r_[0, np.cumsum(starts[:size])]
                 covered = upto[1:] > upto[np.maximum(np.arange(size) + 1 - length, 0)]
