@@ -48,13 +48,29 @@ def recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_write(all_events(spark, sf_dir), ["video_id", "condition"], "event_id")
 
 
+def _long_counts(sql: str) -> str:
+    """DuckDB counts conditions in 128 bits; casts them to long."""
+    out, at = [], 0
+    while (k := sql.find("count_if(", at)) >= 0:
+        depth, end = 1, k + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        if sql[end : end + 5] == " OVER":
+            out.append(sql[at:end])
+        else:
+            out += [sql[at:k], f"CAST({sql[k:end]} AS BIGINT)"]
+        at = end
+    return "".join([*out, sql[at:]])
+
+
 def query(name: str, sql: str | None = None):
     """Registers a query and the SQL that checks it; SEG and REC in braces stand for the canonical tables."""
 
     def register(function):
         QUERIES[name] = function
         if sql:
-            ORACLES[name] = sql.replace("{SEG}", SEG.strip()).replace("{REC}", REC.strip())
+            ORACLES[name] = _long_counts(sql.replace("{SEG}", SEG.strip()).replace("{REC}", REC.strip()))
         return function
 
     return register

@@ -1 +1,248 @@
-"""Queries."""
+"""Paired experiments over recognition records."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from keelson.operators import align, paired
+from keelson.operators.agreement import pearson
+from keelson.plans.bindings import all_events, query, recognition
+from keelson.session import table
+
+CONDITIONS = ["click", "error", "purchase", "signup", "view"]
+
+
+def _conditions(spark, sf):
+    return [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(64).collect()]
+
+
+def _matrix(spark, sf, value="top1"):
+    """Aligned and eligible: one row a video, one column a condition."""
+    rows, names = recognition(spark, sf), _conditions(spark, sf)
+    rows = rows.join(align.eligible(rows, "video_id", "failed"), "video_id", "left_semi")
+    return align.matrix(rows.withColumn(value, F.col(value).cast("int")), "video_id", "condition", names, value), names
+
+
+_ALIGNED = """WITH {REC}, ok AS (SELECT video_id FROM rec GROUP BY video_id HAVING count(DISTINCT condition) = (SELECT count(DISTINCT event_type) FROM events) AND NOT bool_or(failed)),
+al AS (SELECT rec.* FROM rec JOIN ok USING (video_id))"""
+
+
+@query("s1_last_write_wins", "WITH {REC} SELECT event_id, video_id, condition, top1, top5 FROM rec")
+def s1(spark, sf):
+    return recognition(spark, sf).select("event_id", "video_id", "condition", "top1", "top5")
+
+
+@query("n1_aligned_videos", "WITH {REC} SELECT video_id FROM rec GROUP BY video_id HAVING count(DISTINCT condition) = (SELECT count(DISTINCT event_type) FROM events)")
+def n1(spark, sf):
+    return align.having_all(recognition(spark, sf), "video_id", "condition", _conditions(spark, sf))
+
+
+@query("f1_eligible", "WITH {REC} SELECT video_id FROM rec GROUP BY video_id HAVING NOT bool_or(failed)")
+def f1(spark, sf):
+    return align.eligible(recognition(spark, sf), "video_id", "failed")
+
+
+@query("a1_accuracy", "WITH {REC} SELECT condition, count(*) AS n, count_if(failed) AS failed, round(count_if(top1 AND NOT failed) / greatest(1, count_if(NOT failed)), 9) AS top1, round(count_if(top5 AND NOT failed) / greatest(1, count_if(NOT failed)), 9) AS top5 FROM rec GROUP BY condition")
+def a1(spark, sf):
+    scored = F.greatest(F.lit(1), F.count_if(~F.col("failed")))
+    rate = lambda c: F.round(F.count_if(F.col(c) & ~F.col("failed")) / scored, 9).alias(c)
+    return recognition(spark, sf).groupBy("condition").agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"), rate("top1"), rate("top5"))
+
+
+@query("a2_arm_summary", "WITH {REC} SELECT condition, count(*) AS n, count_if(NOT failed) AS parsed, round(coalesce(count_if(failed) / nullif(count(*), 0), 0), 9) AS failure_rate FROM rec GROUP BY condition")
+def a2(spark, sf):
+    return recognition(spark, sf).groupBy("condition").agg(F.count("*").alias("n"), F.count_if(~F.col("failed")).alias("parsed"), F.round(F.coalesce(F.try_divide(F.count_if("failed"), F.count("*")), F.lit(0.0)), 9).alias("failure_rate"))
+
+
+@query("a4_top1_agreement", "WITH {REC} SELECT a.condition AS a, b.condition AS b, count(*) AS n, round(avg((a.top1 = b.top1)::INT), 9) AS agreement FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition < b.condition GROUP BY a.condition, b.condition")
+def a4(spark, sf):
+    pairs = align.unordered_pairs(recognition(spark, sf), "video_id", "condition", ["top1"])
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg((F.col("top1_a") == F.col("top1_b")).cast("int")), 9).alias("agreement"))
+
+
+_BOOT = """, m AS (SELECT video_id, {cols} FROM al GROUP BY video_id), k AS (SELECT *, row_number() OVER (ORDER BY video_id) - 1 AS i FROM m), d AS (SELECT r, k, (SELECT count(*) FROM m) AS n FROM range({B}) a(r), range((SELECT count(*) FROM m)) b(k)),
+dr AS (SELECT r, ('0x' || substr(md5('{seed}|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM d), rep AS (SELECT r, {avgs} FROM dr JOIN k USING (i) GROUP BY r)"""
+
+
+def _boot(columns: dict[str, str], seed: int, replicates: int = 200) -> str:
+    return _ALIGNED + _BOOT.format(cols=", ".join(f"max({x}) AS {c}" for c, x in columns.items()), avgs=", ".join(f"avg({c}) AS {c}" for c in columns), seed=seed, B=replicates)
+
+
+@query("a5_paired_bootstrap", _boot({"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHEN condition = 'error' THEN top1::INT END"}, 42)
+  + " SELECT round(quantile_cont(x, 0.025), 6) AS x_low, round(quantile_cont(x, 0.975), 6) AS x_high, round(quantile_cont(y, 0.025), 6) AS y_low, round(quantile_cont(y, 0.975), 6) AS y_high FROM rep")
+def a5(spark, sf):
+    m, _ = _matrix(spark, sf)
+    rep = paired.resampled_means(m.select("video_id", F.col("click").alias("x"), F.col("error").alias("y")), "video_id", ["x", "y"], 200, 42)
+    q = lambda c, p: F.round(F.percentile(c, p), 6)
+    return rep.agg(q("x", 0.025).alias("x_low"), q("x", 0.975).alias("x_high"), q("y", 0.025).alias("y_low"), q("y", 0.975).alias("y_high"))
+
+
+@query("a6_paired_difference", _boot({"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHEN condition = 'error' THEN top1::INT END"}, 43)
+  + " SELECT round(quantile_cont(x - y, 0.025), 6) AS low, round(quantile_cont(x - y, 0.975), 6) AS high FROM rep")
+def a6(spark, sf):
+    m, _ = _matrix(spark, sf)
+    rep = paired.resampled_means(m.select("video_id", F.col("click").alias("x"), F.col("error").alias("y")), "video_id", ["x", "y"], 200, 43)
+    return paired.interval(rep.withColumn("d", F.col("x") - F.col("y")), "d").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+_TESTS = _ALIGNED + """, t AS (SELECT b.condition AS name, count_if(a.top1 AND NOT b.top1) AS b10, count_if(NOT a.top1 AND b.top1) AS b01 FROM al a JOIN al b ON a.video_id = b.video_id AND a.condition = 'click' AND b.condition <> 'click' GROUP BY b.condition)"""
+
+
+def _tests(spark, sf):
+    rows = recognition(spark, sf)
+    keep = align.having_all(rows, "video_id", "condition", _conditions(spark, sf))
+    rows = rows.join(align.eligible(rows, "video_id", "failed"), "video_id", "left_semi").join(keep, "video_id", "left_semi")
+    base = rows.where(F.col("condition") == "click").select("video_id", F.col("top1").alias("base"))
+    b10, b01 = paired.mcnemar_counts(F.col("base"), F.col("top1"))
+    return rows.where(F.col("condition") != "click").join(base, "video_id").groupBy(F.col("condition").alias("name")).agg(b10, b01)
+
+
+@query("a7_mcnemar_chi2", _TESTS + " SELECT name, b10, b01, round(CASE WHEN b10 + b01 = 0 THEN 0 ELSE pow(abs(b10 - b01) - 1, 2) / (b10 + b01) END, 9) AS chi2 FROM t")
+def a7(spark, sf):
+    return _tests(spark, sf).withColumn("chi2", F.round(paired.mcnemar_chi2(F.col("b10"), F.col("b01")), 9))
+
+
+@query("a7_mcnemar_p")
+def a7p(spark, sf):
+    return _tests(spark, sf).withColumn("p", paired.chi2_p(paired.mcnemar_chi2(F.col("b10"), F.col("b01"))))
+
+
+@query("a8_mcnemar_exact")
+def a8(spark, sf):
+    return _tests(spark, sf).withColumn("p", paired.binomial_p("b10", "b01"))
+
+
+@query("a9_holm", _TESTS + """, p AS (SELECT name, exp(-(CASE WHEN b10 + b01 = 0 THEN 0 ELSE pow(abs(b10 - b01) - 1, 2) / (b10 + b01) END) / 2) AS p FROM t), r AS (SELECT *, 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) AS threshold FROM p)
+SELECT name, round(p, 9) AS p, round(threshold, 9) AS threshold, bool_and(p < threshold) OVER (ORDER BY p, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rejected FROM r""")
+def a9(spark, sf):
+    """p here is the closed tail for two degrees of freedom, which both engines have."""
+    t = _tests(spark, sf).select("name", F.exp(-paired.mcnemar_chi2(F.col("b10"), F.col("b01")) / 2).alias("p"), F.lit(0).alias("family"))
+    return paired.holm(t, "p", "name", 0.05, ["family"]).select("name", F.round("p", 9).alias("p"), F.round("threshold", 9).alias("threshold"), "rejected")
+
+
+@query("a10_bonferroni", _TESTS + ", p AS (SELECT name, exp(-(CASE WHEN b10 + b01 = 0 THEN 0 ELSE pow(abs(b10 - b01) - 1, 2) / (b10 + b01) END) / 2) AS p FROM t) SELECT name, p < 0.05 AS raw, p < 0.05 / count(*) OVER () AS corrected FROM p")
+def a10(spark, sf):
+    p = F.exp(-paired.mcnemar_chi2(F.col("b10"), F.col("b01")) / 2)
+    return _tests(spark, sf).select("name", (p < 0.05).alias("raw"), (p < 0.05 / F.count("*").over(W.partitionBy())).alias("corrected"))
+
+
+@query("a22_damage", "WITH {REC} SELECT b.condition, count(*) AS n, round(avg(a.top1::INT) - avg(b.top1::INT), 9) AS damage, count_if(a.top1 AND NOT b.top1) AS lost, count_if(NOT a.top1 AND b.top1) AS won FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition = 'view' AND b.condition <> 'view' GROUP BY b.condition HAVING count(*) >= 10")
+def a22(spark, sf):
+    rows = recognition(spark, sf)
+    base = rows.where(F.col("condition") == "view").select("video_id", F.col("top1").alias("base"))
+    lost, won = paired.mcnemar_counts(F.col("base"), F.col("top1"))
+    both = rows.where(F.col("condition") != "view").join(base, "video_id").groupBy("condition")
+    gap = F.round(F.avg(F.col("base").cast("int")) - F.avg(F.col("top1").cast("int")), 9)
+    return both.agg(F.count("*").alias("n"), gap.alias("damage"), lost.alias("lost"), won.alias("won")).where("n >= 10")
+
+
+@query("a19_fraction_means", "SELECT event_type AS ordering, (day(ts) % 10) / 10 AS fraction, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(*)), 6) AS se FROM events GROUP BY ordering, fraction")
+def a19(spark, sf):
+    by = table(spark, sf, "events").groupBy(F.col("event_type").alias("ordering"), (F.dayofmonth("ts") % 10 / 10).alias("fraction"))
+    return by.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.try_divide(F.stddev_samp("value"), F.sqrt(F.count("*"))), 6).alias("se"))
+
+
+_CURVE = """WITH c AS (SELECT user_id, event_type AS ordering, day(ts) / 31 AS x, avg(value) AS y FROM events GROUP BY ALL), f AS (SELECT * FROM c UNION ALL SELECT DISTINCT user_id, ordering, 0.0, 0.2 FROM c),
+p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM f WINDOW w AS (PARTITION BY user_id, ordering ORDER BY x)), a AS (SELECT user_id, ordering, sum((x - px) * (y + py) / 2) AS auc FROM p GROUP BY ALL)"""
+
+
+def _auc(spark, sf):
+    from keelson.operators.coverage import trapezoid
+
+    c = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("ordering"), (F.dayofmonth("ts") / 31).alias("x")).agg(F.avg("value").alias("y"))
+    chance = c.select("user_id", "ordering").distinct().select("user_id", "ordering", F.lit(0.0).alias("x"), F.lit(0.2).alias("y"))
+    return trapezoid(c.unionByName(chance), ["user_id", "ordering"], "x", "y")
+
+
+@query("a17_curve_auc", _CURVE + " SELECT user_id, ordering, round(auc, 6) AS auc FROM a")
+def a17(spark, sf):
+    return _auc(spark, sf).select("user_id", "ordering", F.round("auc", 6).alias("auc"))
+
+
+@query("a20_mean_auc", _CURVE + " SELECT ordering, round(avg(auc), 6) AS auc, count(*) AS n FROM a GROUP BY ordering")
+def a20(spark, sf):
+    return _auc(spark, sf).groupBy("ordering").agg(F.round(F.avg("auc"), 6).alias("auc"), F.count("*").alias("n"))
+
+
+@query("a30_difference_correlation", "WITH {REC}, p AS (SELECT a.condition AS a, b.condition AS b, a.value - b.value AS x, a.top1::INT - b.top1::INT AS y FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition < b.condition) SELECT a, b, CASE WHEN count(*) >= 10 THEN round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) END AS r, count(*) AS n FROM p GROUP BY a, b")
+def a30(spark, sf):
+    p = align.unordered_pairs(recognition(spark, sf).withColumn("top1", F.col("top1").cast("int")), "video_id", "condition", ["value", "top1"])
+    r = pearson(F.col("value_a") - F.col("value_b"), F.col("top1_a") - F.col("top1_b"))
+    return p.groupBy("a", "b").agg(F.when(F.count("*") >= 10, F.round(r, 6)).alias("r"), F.count("*").alias("n"))
+
+
+@query("n4_ordered_pairs", "WITH {REC} SELECT a.condition AS a, b.condition AS b, count(*) AS n FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition <> b.condition GROUP BY a.condition, b.condition")
+def n4(spark, sf):
+    rows = recognition(spark, sf).select("video_id", "condition")
+    met = rows.withColumnRenamed("condition", "a").join(rows.withColumnRenamed("condition", "b"), "video_id").where("a <> b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query("n5_left_strata", "WITH {REC} SELECT coalesce(c_mktsegment, 'unknown') AS stratum, count(*) AS n, round(avg(top1::INT), 9) AS top1 FROM rec LEFT JOIN customer ON CAST(split_part(video_id, 'w', 1) AS BIGINT) * 20 = c_custkey GROUP BY stratum")
+def n5(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    key = F.split_part("video_id", F.lit("w"), F.lit(1)).cast("long") * 20
+    met = recognition(spark, sf).withColumn("k", key).join(c, F.col("k") == F.col("c_custkey"), "left")
+    return met.groupBy(F.coalesce("c_mktsegment", F.lit("unknown")).alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("top1").cast("int")), 9).alias("top1"))
+
+
+@query("n18_job_grid", "SELECT r_name AS oracle, n_name AS dataset, event_type AS condition FROM region, nation, (SELECT DISTINCT event_type FROM events)")
+def n18(spark, sf):
+    """A declared grid of few names by few names."""
+    r, n = table(spark, sf, "region").select(F.col("r_name").alias("oracle")), table(spark, sf, "nation").select(F.col("n_name").alias("dataset"))
+    return r.crossJoin(n).withColumn("condition", F.explode(F.array(*map(F.lit, _conditions(spark, sf)))))
+
+
+@query("w9_index_edges", "WITH v AS (SELECT list_sort(list(o_totalprice)) AS s FROM orders) SELECT s[len(s) // 4 + 1] AS edge1, s[len(s) * 2 // 4 + 1] AS edge2, s[len(s) * 3 // 4 + 1] AS edge3 FROM v")
+def w9(spark, sf):
+    return paired.index_edges(table(spark, sf, "orders"), "o_totalprice", 4)
+
+
+@query("w10_fixed_bins", "SELECT CASE WHEN l_discount < 0.02 THEN 'low' WHEN l_discount < 0.05 THEN 'mid' WHEN l_discount < 0.08 THEN 'high' ELSE 'top' END AS bin, count(*) AS n FROM lineitem GROUP BY bin")
+def w10(spark, sf):
+    d = F.col("l_discount")
+    bin_ = F.when(d < 0.02, "low").when(d < 0.05, "mid").when(d < 0.08, "high").otherwise("top")
+    return table(spark, sf, "lineitem").groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("a51_quantile_bucket", "WITH e AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders) SELECT CAST((a < o_totalprice)::INT + (b < o_totalprice)::INT + (c < o_totalprice)::INT AS INTEGER) AS bucket, count(*) AS n FROM orders, e GROUP BY bucket")
+def a51(spark, sf):
+    o = table(spark, sf, "orders")
+    edges = o.agg(F.percentile("o_totalprice", [0.25, 0.5, 0.75])).first()[0]
+    return o.groupBy(sum((F.col("o_totalprice") > e).cast("int") for e in edges).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("a12_stratified", _ALIGNED + " SELECT coalesce(right(video_id, 2), 'all') AS stratum, condition, count(*) AS n, round(avg(top1::INT), 9) AS top1 FROM al GROUP BY GROUPING SETS ((condition), (right(video_id, 2), condition)) HAVING count(*) >= 5")
+def a12(spark, sf):
+    rows = recognition(spark, sf)
+    rows = rows.join(align.eligible(rows, "video_id", "failed"), "video_id", "left_semi").join(align.having_all(rows, "video_id", "condition", _conditions(spark, sf)), "video_id", "left_semi")
+    by = rows.withColumn("stratum", F.right("video_id", F.lit(2))).groupingSets([["condition"], ["stratum", "condition"]], "stratum", "condition")
+    return by.agg(F.count("*").alias("n"), F.round(F.avg(F.col("top1").cast("int")), 9).alias("top1")).where("n >= 5").withColumn("stratum", F.coalesce("stratum", F.lit("all")))
+
+
+@query("a53_cochran_q", "WITH g AS (SELECT event_type, avg(value) AS x, var_samp(value) / count(*) AS v FROM events GROUP BY event_type), s AS (SELECT sum(1 / greatest(v, 1e-12)) AS w, sum(x / greatest(v, 1e-12)) AS wx, sum(x * x / greatest(v, 1e-12)) AS wxx, count(*) AS n FROM g) SELECT round(wxx - wx * wx / w, 6) AS q, n - 1 AS df FROM s")
+def a53(spark, sf):
+    g = table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("x"), (F.var_samp("value") / F.count("*")).alias("v"))
+    return paired.cochran_q(g, "x", "v").select(F.round("q", 6).alias("q"), "df")
+
+
+@query("w16_duplicates", "WITH {REC} SELECT video_id, condition, count(*) AS writes, max(event_id) AS last FROM rec0 GROUP BY video_id, condition HAVING count(*) > 1")
+def w16(spark, sf):
+    return all_events(spark, sf).groupBy("video_id", "condition").agg(F.count("*").alias("writes"), F.max("event_id").alias("last")).where("writes > 1")
+
+
+@query("f7_shard", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i % 7 = 3")
+def f7(spark, sf):
+    """Row positions without one sorted task: per-range counts are prefix-summed, then rows are numbered in their range."""
+    from keelson.operators.sample import row_position
+
+    return row_position(table(spark, sf, "events").select("event_id"), "event_id").where("position % 7 = 3").select("event_id")
+
+
+@query("x4_wins_losses", "WITH {REC} SELECT CASE WHEN a.top1 AND b.top1 THEN 'both' WHEN a.top1 THEN 'win' WHEN b.top1 THEN 'loss' ELSE 'neither' END AS outcome, count(*) AS n FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition = 'click' AND b.condition = 'view' GROUP BY outcome")
+def x4(spark, sf):
+    rows = recognition(spark, sf)
+    one = lambda c, n: rows.where(F.col("condition") == c).select("video_id", F.col("top1").alias(n))
+    outcome = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "win").when(F.col("b"), "loss").otherwise("neither")
+    return one("click", "a").join(one("view", "b"), "video_id").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
