@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def resampled_means(rows: DataFrame, key: str, values: list[str], replicates: int, seed: int) -> DataFrame:
@@ -38,13 +39,13 @@ def mcnemar_chi2(b10: Column, b01: Column) -> Column:
     return F.coalesce(F.try_divide(gap * gap, b10 + b01), F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series) -> pd.Series:
     """Survival of chi-squared with one degree of freedom."""
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided McNemar: twice the lower tail of a fair binomial, 1 at most."""
 

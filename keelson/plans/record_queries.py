@@ -1 +1,217 @@
-"""Queries."""
+"""Joins, set operations, samples, top-k and rolling windows over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from keelson.operators import align, sample
+from keelson.plans.bindings import query
+from keelson.session import table
+
+
+@query("n6_inner_enrichment", "SELECT o_orderpriority, count(*) AS n, round(avg(l_discount), 9) AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
+def n6(spark, sf):
+    met = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return met.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 9).alias("discount"))
+
+
+@query("n10_resolution", "SELECT c_custkey, coalesce(n.n_name, r.r_name, 'none') AS label FROM customer LEFT JOIN nation n ON c_nationkey = n_nationkey AND c_acctbal > 0 LEFT JOIN region r ON c_nationkey % 7 = r_regionkey")
+def n10(spark, sf):
+    """By id where it counts, else by the second key; the dimensions are a few rows that Spark broadcasts by their size."""
+    c, n, r = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
+    met = c.join(n, (F.col("c_nationkey") == F.col("n_nationkey")) & (F.col("c_acctbal") > 0), "left").join(r, F.col("c_nationkey") % 7 == F.col("r_regionkey"), "left")
+    return met.select("c_custkey", align.first_of(F.col("n_name"), F.col("r_name"), F.lit("none")).alias("label"))
+
+
+@query("n11_first_source", "SELECT l_orderkey, l_linenumber AS source, l_returnflag AS value FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS k FROM lineitem) WHERE k = 1")
+def n11(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("source"), F.col("l_returnflag").alias("value"))
+    return align.first_source(rows, "l_orderkey", "source", "value")
+
+
+@query("n15_pending", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def n15(spark, sf):
+    done = table(spark, sf, "lineitem").where("l_quantity > 45").select("l_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey").join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+
+
+@query("n16_full_outer", "WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY k), b AS (SELECT s_nationkey AS k, count(*) AS m FROM supplier GROUP BY k) SELECT coalesce(a.k, b.k) AS nation, coalesce(n, 0) AS customers, coalesce(m, 0) AS suppliers FROM a FULL JOIN b ON a.k = b.k")
+def n16(spark, sf):
+    a = table(spark, sf, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    b = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return a.join(b, "nation", "full_outer").fillna(0, ["customers", "suppliers"])
+
+
+@query("n17_only_in_one", "SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS only_left, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS only_right")
+def n17(spark, sf):
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").select("o_custkey").distinct()
+    left = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count("*").alias("only_left"))
+    right = o.join(c.where("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count("*").alias("only_right"))
+    return left.join(right)  # one row each
+
+
+@query("n20_field_compare", "SELECT o_orderkey, o_orderstatus IS NOT DISTINCT FROM s AS same FROM orders JOIN (SELECT l_orderkey, max(l_linestatus) AS s FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey")
+def n20(spark, sf):
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_linestatus").alias("s"))
+    return table(spark, sf, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("o_orderstatus").eqNullSafe(F.col("s")).alias("same"))
+
+
+@query("n9_all_or_nothing", "SELECT l_orderkey, bool_and(abs(l_discount - 0.05) <= 0.041) AS valid, CASE WHEN bool_and(abs(l_discount - 0.05) <= 0.041) THEN max(l_returnflag) END AS text FROM lineitem GROUP BY l_orderkey")
+def n9(spark, sf):
+    """Enrichment that counts only if every row of the key checks."""
+    ok = F.bool_and(F.abs(F.col("l_discount") - 0.05) <= 0.041)
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(ok.alias("valid"), F.when(ok, F.max("l_returnflag")).alias("text"))
+
+
+@query("f4_first_last", "SELECT l_orderkey, arg_min(l_discount, l_shipdate || '|' || l_partkey || '|' || l_suppkey) AS first, arg_max(l_quantity, l_shipdate || '|' || l_partkey || '|' || l_suppkey) AS last FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey")
+def f4(spark, sf):
+    key = F.concat_ws("|", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    by = table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey")
+    return by.agg(F.min(F.struct(key, "l_discount"))["l_discount"].alias("first"), F.max(F.struct(key, "l_quantity"))["l_quantity"].alias("last"))
+
+
+@query("f6_pending_reasons", "SELECT CASE WHEN l_returnflag = 'R' THEN 'done' WHEN l_discount = 0 THEN 'no annotation' WHEN l_tax < 0.02 THEN 'precheck' ELSE 'pending' END AS reason, count(*) AS n FROM lineitem GROUP BY reason")
+def f6(spark, sf):
+    reason = F.when(F.col("l_returnflag") == "R", "done").when(F.col("l_discount") == 0, "no annotation").when(F.col("l_tax") < 0.02, "precheck").otherwise("pending")
+    return table(spark, sf, "lineitem").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("f8_limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
+def f8(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").limit(100)
+
+
+@query("x1_set_operations", "(SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders) EXCEPT SELECT s_suppkey FROM supplier")
+def x1(spark, sf):
+    c = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return c.intersect(table(spark, sf, "orders").select("o_custkey")).subtract(table(spark, sf, "supplier").select("s_suppkey"))
+
+
+@query("x2_union_runs", "SELECT 'customer' AS run, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_nationkey, NULL FROM supplier")
+def x2(spark, sf):
+    a = table(spark, sf, "customer").select(F.lit("customer").alias("run"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return a.unionByName(table(spark, sf, "supplier").select(F.lit("supplier").alias("run"), F.col("s_nationkey").alias("nation")), allowMissingColumns=True)
+
+
+_H = "md5('{s}|' || o_orderkey)"
+
+
+@query("x5_class_cap", f"SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_H.format(s=1)}, o_orderkey) AS k FROM orders) WHERE k <= 40")
+def x5(spark, sf):
+    return sample.cap_by_class(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 40, 1)
+
+
+@query("x6_proportional", f"""WITH c AS (SELECT o_orderpriority AS c, count(*) AS size, 500 * count(*) / sum(count(*)) OVER () AS exact FROM orders GROUP BY c), b AS (SELECT *, floor(exact) AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, size DESC, c) AS place FROM c),
+q AS (SELECT c, base + (place <= 500 - sum(base) OVER ())::INT AS quota FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_H.format(s=2)}, o_orderkey) AS k FROM orders) SELECT o_orderkey, o_orderpriority FROM r JOIN q ON o_orderpriority = c WHERE k <= quota""")
+def x6(spark, sf):
+    return sample.proportional(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 500, 2)
+
+
+@query("x7_class_diverse", f"SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_H.format(s=3)}, o_orderkey) AS k FROM orders) ORDER BY k, {_H.format(s=3)}, o_orderkey LIMIT 23")
+def x7(spark, sf):
+    return sample.one_per_class_then_fill(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 23, 3).select("o_orderkey")
+
+
+@query("x8_reservoir", f"SELECT o_orderkey FROM orders ORDER BY {_H.format(s=4)}, o_orderkey LIMIT 200")
+def x8(spark, sf):
+    return sample.exactly(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 200, 4)
+
+
+@query("x10_seeded_pick", f"SELECT o_orderkey FROM orders WHERE o_totalprice > 50000 AND o_orderstatus = 'O' ORDER BY {_H.format(s=5)}, o_orderkey LIMIT 12")
+def x10(spark, sf):
+    return sample.exactly(table(spark, sf, "orders").where("o_totalprice > 50000 AND o_orderstatus = 'O'").select("o_orderkey"), "o_orderkey", 12, 5)
+
+
+@query("x12_stratified_split", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_H.format(s=6)}, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, CASE WHEN k <= CASE WHEN n > 1 THEN greatest(1, CAST(round_even(n * 0.1::DOUBLE, 0) AS BIGINT)) ELSE 0 END THEN 'val' ELSE 'train' END AS part FROM r")
+def x12(spark, sf):
+    return sample.split(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 0.1, 6).select("o_orderkey", "part")
+
+
+@query("x13_bernoulli", f"WITH r AS (SELECT *, {_H.format(s=8)} AS h FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS k FROM r) SELECT o_orderkey FROM k WHERE (('0x' || substr(h, 1, 8))::BIGINT < 85899345 OR k <= 3) AND k <= 26")
+def x13(spark, sf):
+    return sample.bernoulli(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 0.02, 3, 26, 8).select("o_orderkey")
+
+
+_SIM = """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, round(avg(x), 9) AS c FROM v GROUP BY label, i),
+s AS (SELECT v.vec_id, v.label AS truth, c.label AS label, round(sum(x * c), 6) AS score FROM v JOIN c USING (i) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k FROM s)"""
+
+
+def _scores(spark, sf):
+    """Similarity of every vector to each label's mean; the means are a row a label, so their table is bounded by the label set."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("truth"), F.col("embedding").cast("array<double>").alias("x"))
+    means = v.select("truth", F.posexplode("x").alias("i", "x")).groupBy("truth", "i").agg(F.round(F.avg("x"), 9).alias("c"))
+    means = means.groupBy("truth").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
+    labels = {r["truth"]: r["c"] for r in means.limit(4096).collect()}
+    dot = lambda c: F.round(F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), 6)
+    scored = F.array(*[F.struct((-dot(c)).alias("s"), F.lit(k).alias("label")) for k, c in sorted(labels.items())])
+    return v.select("vec_id", "truth", F.array_sort(scored).alias("ranked"))
+
+
+@query("a76_top5", _SIM + " SELECT vec_id, list(label ORDER BY k) AS top5 FROM k WHERE k <= 5 GROUP BY vec_id")
+def a76(spark, sf):
+    return _scores(spark, sf).select("vec_id", F.transform(F.slice("ranked", 1, 5), lambda x: x["label"]).alias("top5"))
+
+
+@query("a3_per_class", _SIM + " SELECT truth AS class, count(*) AS n, round(avg((label = truth)::INT), 9) AS top1 FROM k WHERE k = 1 GROUP BY truth")
+def a3(spark, sf):
+    s = _scores(spark, sf)
+    return s.groupBy(F.col("truth").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("ranked")[0]["label"] == F.col("truth")).cast("int")), 9).alias("top1"))
+
+
+@query("a49_difficulty", _SIM + ", e AS (SELECT vec_id, truth, label, exp(score) / sum(exp(score)) OVER (PARTITION BY vec_id) AS p FROM k) SELECT vec_id, round(-ln(greatest(p, 1e-9)), 5) AS difficulty FROM e WHERE label = truth")
+def a49(spark, sf):
+    total = F.aggregate("ranked", F.lit(0.0), lambda a, x: a + F.exp(-x["s"]))
+    own = F.element_at(F.filter("ranked", lambda x: x["label"] == F.col("truth")), 1)["s"]
+    return _scores(spark, sf).select("vec_id", F.round(-F.ln(F.greatest(F.exp(-own) / total, F.lit(1e-9))), 5).alias("difficulty"))
+
+
+@query("a47_format_failures", "SELECT c_nationkey AS cell, count(o_custkey) AS present, count(*) - count(o_custkey) AS missing, round((count(*) - count(o_custkey)) / greatest(1, count(*)), 9) AS rate FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey GROUP BY cell")
+def a47(spark, sf):
+    done = table(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct()
+    by = table(spark, sf, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_nationkey").alias("cell"))
+    missing = F.count("*") - F.count("o_custkey")
+    return by.agg(F.count("o_custkey").alias("present"), missing.alias("missing"), F.round(missing / F.greatest(F.lit(1), F.count("*")), 9).alias("rate"))
+
+
+@query("a70_throughput", "SELECT l_suppkey % 8 AS shard, count(*) AS n, round(sum(l_quantity), 6) AS seconds, round(count(*) / sum(l_quantity), 9) AS rate FROM lineitem GROUP BY shard")
+def a70(spark, sf):
+    by = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 8).alias("shard"))
+    return by.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("seconds"), F.round(F.count("*") / F.sum("l_quantity"), 9).alias("rate"))
+
+
+@query("a72_signal_mean", "SELECT o_orderkey, round(avg(l_tax), 9) AS signal FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber BETWEEN o_orderkey % 3 AND o_orderkey % 3 + 3 GROUP BY o_orderkey")
+def a72(spark, sf):
+    met = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), (F.col("o_orderkey") == F.col("l_orderkey")) & F.col("l_linenumber").between(F.col("o_orderkey") % 3, F.col("o_orderkey") % 3 + 3))
+    return met.groupBy("o_orderkey").agg(F.round(F.avg("l_tax"), 9).alias("signal"))
+
+
+@query("a75_weighted_mean", "SELECT l_orderkey, round(CASE WHEN sum(l_discount) > 0 THEN sum(l_tax * l_discount) / sum(l_discount) ELSE avg(l_tax) END, 9) AS mean FROM lineitem GROUP BY l_orderkey")
+def a75(spark, sf):
+    w = F.sum("l_discount")
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.when(w > 0, F.try_divide(F.sum(F.col("l_tax") * F.col("l_discount")), w)).otherwise(F.avg("l_tax")), 9).alias("mean"))
+
+
+@query("a77_best_epoch", "SELECT user_id, event_id AS epoch, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
+def a77(spark, sf):
+    best = F.min(F.struct((-F.col("value")).alias("v"), F.col("event_id"), F.col("value"))).alias("x")
+    return table(spark, sf, "events").groupBy("user_id").agg(best).select("user_id", F.col("x.event_id").alias("epoch"), "x.value")
+
+
+@query("a65_coverage_ratio", "SELECT round(sum(l_quantity) FILTER (l_returnflag <> 'N') / sum(l_quantity), 9) AS ratio FROM lineitem")
+def a65(spark, sf):
+    return table(spark, sf, "lineitem").agg(F.round(F.sum(F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))) / F.sum("l_quantity"), 9).alias("ratio"))
+
+
+@query("stream_rate_limit", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent FROM events")
+def rate_limit(spark, sf):
+    """Events of a user in the rolling hour before each, as a window over time in microseconds."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = W.partitionBy("user_id").orderBy(at).rangeBetween(-3_600_000_000, 0)
+    return table(spark, sf, "events").select("event_id", F.count("*").over(w).alias("recent"))
+
+
+@query("response_cache_hits", "SELECT event_type, round(avg((k > 1)::INT), 9) AS hit_rate FROM (SELECT event_type, row_number() OVER (PARTITION BY user_id, event_type, day(ts) ORDER BY event_id) AS k FROM events) GROUP BY event_type")
+def cache_hits(spark, sf):
+    k = F.row_number().over(W.partitionBy("user_id", "event_type", F.dayofmonth("ts")).orderBy("event_id"))
+    return table(spark, sf, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.round(F.avg((F.col("k") > 1).cast("int")), 9).alias("hit_rate"))

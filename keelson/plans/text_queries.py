@@ -1 +1,111 @@
-"""Queries."""
+"""Text, key and hash functions over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keelson.functions import text as t
+from keelson.operators import gates
+from keelson.plans.bindings import query
+from keelson.session import table
+
+
+@query("j8_label_key", r"SELECT part_key AS p_partkey, trim(regexp_replace(lower(regexp_replace(regexp_replace(trim(raw), '^[\"''\[\]]+|[\"''\[\]]+$', '', 'g'), '[.,;:!?]+$', '')), '\s+', ' ', 'g')) AS key FROM (SELECT p_partkey AS part_key, '[' || p_name || '  ' || p_type || '!]' AS raw FROM part)")
+def j8(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", t.label_key(F.concat(F.lit("["), "p_name", F.lit("  "), "p_type", F.lit("!]"))).alias("key"))
+
+
+@query("j9_bracketless", "SELECT p_partkey, lower(translate('[' || p_name || '] ' || p_brand, '[]', '')) AS label FROM part")
+def j9(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", t.bracketless(F.concat(F.lit("["), "p_name", F.lit("] "), "p_brand")).alias("label"))
+
+
+@query("j12_stem", r"SELECT page_id, regexp_extract(url, '([^/]+?)(\.[^./]*)?$', 1) AS stem FROM pages")
+def j12(spark, sf):
+    return table(spark, sf, "pages").select("page_id", t.stem(F.col("url")).alias("stem"))
+
+
+@query("s4_record_key", """WITH n AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'v' || user_id ELSE 'v' || user_id || '__x__' || event_type END AS name FROM events)
+SELECT event_id, CASE WHEN contains(name, '__') THEN regexp_extract(name, '^(.*)__', 1) ELSE name END AS video_id, CASE WHEN contains(name, '__') THEN regexp_extract(name, '^.*__(.*)$', 1) ELSE 'full' END AS condition FROM n""")
+def s4(spark, sf):
+    name = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("v"), F.col("user_id"))).otherwise(F.concat(F.lit("v"), F.col("user_id"), F.lit("__x__"), F.col("event_type")))
+    video, condition = t.record_key(F.col("name"))
+    return table(spark, sf, "events").select("event_id", name.alias("name")).select("event_id", video.alias("video_id"), condition.alias("condition"))
+
+
+@query("j10_scrub_path", "SELECT p_partkey, regexp_replace('/home/x/data/' || p_type || '/' || p_partkey, '^.*/data/', '') AS path FROM part")
+def j10(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", t.scrub_path(F.concat(F.lit("/home/x/data/"), "p_type", F.lit("/"), F.col("p_partkey").cast("string"))).alias("path"))
+
+
+@query("j14_condition_grammar", r"""WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'id-vlm-f' || (event_id % 100) WHEN 'view' THEN 'score-threshold-t' || (event_id % 100) WHEN 'error' THEN 'fastforward-a' || (event_id % 100) ELSE 'full' END AS c FROM events)
+SELECT event_id, nullif(regexp_replace(regexp_extract(c, '^(.*-threshold-t|.*fastforward-a|id-[a-z-]+-f)(\d{1,3})$', 1), '-[taf]$', ''), '') AS family, CAST(nullif(regexp_extract(c, '^(.*-threshold-t|.*fastforward-a|id-[a-z-]+-f)(\d{1,3})$', 2), '') AS INTEGER) AS percent FROM c""")
+def j14(spark, sf):
+    n = (F.col("event_id") % 100).cast("string")
+    c = F.when(F.col("event_type") == "click", F.concat(F.lit("id-vlm-f"), n)).when(F.col("event_type") == "view", F.concat(F.lit("score-threshold-t"), n)).when(F.col("event_type") == "error", F.concat(F.lit("fastforward-a"), n)).otherwise("full")
+    return table(spark, sf, "events").select("event_id", t.parse_condition(c).alias("x")).select("event_id", "x.family", "x.percent")
+
+
+@query("j19_run_hash", "SELECT lang, sha256(string_agg(source || chr(1) || sha256(text) || chr(1), '' ORDER BY source || chr(1) || sha256(text) || chr(1))) AS digest FROM documents GROUP BY lang")
+def j19(spark, sf):
+    d = table(spark, sf, "documents").select("lang", "source", F.sha2("text", 256).alias("digest"))
+    return d.groupBy("lang").agg(t.run_hash("source", "digest").alias("digest"))
+
+
+@query("j20_text_hash", "SELECT doc_id, sha256(text) AS digest, substr(sha256(text), 1, 16) AS short FROM documents")
+def j20(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.substring(F.sha2("text", 256), 1, 16).alias("short"))
+
+
+@query("j4_decision", "SELECT event_id, CASE event_type WHEN 'click' THEN 'YES' WHEN 'view' THEN 'NO' ELSE 'SKIP' END AS decision, round(greatest(0, least(1, value / 50)), 9) AS confidence FROM events")
+def j4(spark, sf):
+    word = F.when(F.col("event_type") == "click", " yes").when(F.col("event_type") == "view", "No").otherwise("uncertain")
+    return table(spark, sf, "events").select("event_id", t.decision(word).alias("decision"), F.round(t.confidence(F.col("value") / 50), 9).alias("confidence"))
+
+
+@query("j1_json_repair")
+def j1(spark, sf):
+    raw = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("<think>{no}</think>```json\n"), "props", F.lit("```"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("so: "), "props", F.lit(" done"))).otherwise(F.concat(F.lit("{\"a\": [1, "), F.regexp_replace("props", "}$", "")))
+    return table(spark, sf, "events").select("event_id", t.repaired(raw).alias("x")).select("event_id", "x.json", "x.recovery")
+
+
+@query("j6_gap_fill", "WITH s AS (SELECT o_orderkey, (o_orderkey % 10) / 10 AS a, (o_orderkey % 7) / 7 AS d FROM orders) SELECT o_orderkey, round(a, 9) AS s1, round((a + d) / 2, 9) AS s2, round(((a + d) / 2 + d) / 2, 9) AS s3, round(d, 9) AS s4 FROM s")
+def j6(spark, sf):
+    key = F.col("o_orderkey")
+    holes = F.array(key % 10 / 10, F.lit(None).cast("double"), F.lit(None).cast("double"), key % 7 / 7)
+    filled = table(spark, sf, "orders").select("o_orderkey", t.fill_gaps(holes).alias("s"))
+    return filled.select("o_orderkey", *[F.round(F.col("s")[i], 9).alias(f"s{i + 1}") for i in range(4)])
+
+
+@query("j17_placeholders", "SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ', ') AS joined FROM documents")
+def j17(spark, sf):
+    listed = F.to_json(F.slice(F.split("text", " "), 1, 3))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.from_json(listed, "array<string>"), ", ").alias("joined"))
+
+
+@query("j25_chance_level", "SELECT p_size, least(1.0, 5.0 / p_size)::DOUBLE AS chance, count(*) AS n FROM part WHERE p_size > 0 GROUP BY p_size")
+def j25(spark, sf):
+    p = table(spark, sf, "part").where("p_size > 0")
+    return p.groupBy("p_size").agg(F.count("*").alias("n")).withColumn("chance", F.least(F.lit(1.0), 5.0 / F.col("p_size")))
+
+
+@query("j27_cosine_rate", "SELECT o_orderkey, round(CASE WHEN s < 100 THEN s / 100 ELSE 0.5 * (1 + cos(pi() * (s - 100) / 900)) END, 9) AS rate FROM (SELECT o_orderkey, o_orderkey % 1000 AS s FROM orders)")
+def j27(spark, sf):
+    s = F.col("o_orderkey") % 1000
+    return table(spark, sf, "orders").select("o_orderkey", F.round(F.when(s < 100, s / 100).otherwise(0.5 * (1 + F.cos(F.pi() * (s - 100) / 900))), 9).alias("rate"))
+
+
+@query("a67_rate_gate", "SELECT source, count(*) AS n, round(count_if(n_chars < 500) / count(*), 9) AS rate, abs(count_if(n_chars < 500) / count(*) - 0.1) <= 0.05 AS passed FROM documents GROUP BY source")
+def a67(spark, sf):
+    return gates.rate(table(spark, sf, "documents"), "source", F.col("n_chars") < 500, 0.1, 0.05)
+
+
+@query("a68_count_gate", "SELECT (SELECT count(*) FROM lineitem) AS canonical, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS source, (SELECT count(*) FROM lineitem) = (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS passed")
+def a68(spark, sf):
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    return gates.equal_counts({"canonical": l, "source": l.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")})
+
+
+@query("f13_parity", "SELECT o_custkey, count(DISTINCT o_orderstatus) > 1 AS status_differs, count(DISTINCT o_orderpriority) > 1 AS priority_differs FROM orders GROUP BY o_custkey")
+def f13(spark, sf):
+    return gates.parity(table(spark, sf, "orders"), ["o_custkey"], {"status_differs": "o_orderstatus", "priority_differs": "o_orderpriority"})
