@@ -33,7 +33,7 @@ from keelson.llm.common import shuffle_partitions, small_batches, table
 
 LENGTH, KMER = 50, 24
 #: Buckets and shards for each of the session's shuffle partitions, so that what a task holds stays small.
-BUCKETS, SHARDS = 4, 8
+BUCKETS, SHARDS = 2, 4
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
@@ -77,7 +77,9 @@ def anchors(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndar
         h = _kmer_hashes(data[begin : begin + BLOCK + length - 1], kmer)
         owner = (_sliding_least((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - kmer + 1) & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        out.append((h[owner[first]], begin + first, begin + np.r_[first[1:], len(owner)]))
+        # owners have small hashes; mixed again they spread over the shards
+        own = h[owner[first]] * np.uint64(0xD6E8FEB86659FD93)
+        out.append(((own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), begin + first, begin + np.r_[first[1:], len(owner)]))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
