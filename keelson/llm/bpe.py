@@ -37,9 +37,9 @@ from keelson.llm.common import arrow_schema, small_batches, table
 SAMPLE_DOCUMENTS, COMMON = 16_000, 500_000
 LONG, BUCKETS = 256, 1 << 15
 #: Text bytes whose pieces share a dictionary, and pieces in a row.
-GROUP_BYTES, ROW_PIECES = 64 << 20, 1 << 15
+GROUP_BYTES, ROW_PIECES = 96 << 20, 1 << 14
 #: Parts of the table that one task takes.
-MERGED_PARTS = 2
+MERGED_PARTS = 3
 _NONE, _STARTS = 1 << 20, 1 << 20
 
 
@@ -253,14 +253,15 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
     schema = arrow_schema(spark, CODED)
     short = F.transform("pieces", lambda p: F.when(F.length(p) <= LONG, p).otherwise(F.lit("")))
     coded = _cut(rows, pattern, words).withColumn("ids", encode_pieces(short, ranks))
-    coded = coded.select("doc_ids", "counts", "places", F.when(F.exists("pieces", lambda p: F.length(p) > LONG), F.col("pieces")).alias("long"), F.transform("ids", lambda x: F.array_join(x, " ")).alias("texts"), decode_ids(F.col("ids"), ranks).alias("bytes"))
+    coded = coded.select("doc_ids", "counts", "places", F.when(F.exists("pieces", lambda p: F.length(p) > LONG), F.col("pieces")).alias("long"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, blobs = map(list, encoded.value)
         sizes = np.array([t.count(b" ") + 1 for t in texts], dtype=np.int64)
         own_texts: list[bytes] = []
         own_blobs: list[bytes] = []
-        lengths, vocabulary, flat_ids, firsts = None, {}, None, None
+        lengths, flat_ids, firsts = None, None, None
+        vocabulary = {v: k for k, v in table_of_ranks.value.items()}
 
         def ids_at(here: np.ndarray) -> np.ndarray:
             size = lengths[here]
@@ -278,14 +279,12 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
         all_texts, all_blobs = texts, blobs
         for batch in batches:
             for r in batch.to_pylist():
-                if r["texts"] is not None:
-                    for i, (t, b) in enumerate(zip(r["texts"], r["bytes"], strict=True)):
+                if r["ids"] is not None:
+                    for i, ids in enumerate(r["ids"]):
                         if r["long"] is not None and len(r["long"][i]) > LONG:
                             ids = merge_long(r["long"][i].encode("latin-1"), table_of_ranks.value)
-                            vocabulary = vocabulary or {v: k for k, v in table_of_ranks.value.items()}
-                            t, b = " ".join(map(str, ids)), b"".join([vocabulary[x] for x in ids]).decode("latin-1")
-                        own_texts.append(t.encode())
-                        own_blobs.append(b.encode("latin-1"))
+                        own_texts.append(" ".join(map(str, ids)).encode())
+                        own_blobs.append(b"".join(map(vocabulary.__getitem__, ids)))
                 elif r["doc_ids"]:
                     if lengths is None:  # negative places count from the end
                         all_texts, all_blobs = texts + own_texts[::-1], blobs + own_blobs[::-1]
