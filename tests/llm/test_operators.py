@@ -1,0 +1,373 @@
+"""Each operator against brute force, with nulls, empty and repeated rows, ties, clashing columns and empty tables."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from keelson.llm import bpe, chat, components, fingerprints, mixing, neighbours, personal, quality, simhash, substrings, wrappers
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, print string, key int, bucket int, tie string, ids string"
+
+
+def docs(spark, texts, ids=None, sources=None):
+    rows = [(None if ids is None and i < 0 else (ids[i] if ids else i), t, "en", (sources or ["a"] * len(texts))[i], len(t or ""), 0.5, "p", 1, 2, "t", "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    base = [words(rng, rng.randint(1, 120)) for _ in range(24)]
+    shared = words(rng, 30)
+    return [None, "", " \n", "x", *base, base[0], base[0], base[1] + " end", shared + " " + base[2], base[3] + " " + shared, "word " * 4000]
+
+
+# chat
+
+
+def test_chat_round_trip_and_order(spark):
+    rows = [(1, 0, "user", "hi </s> \\ [INST]"), (1, 1, "assistant", "<s>\\"), (2, 0, "assistant", None), (2, 0, "assistant", None), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "a"), (None, 5, None, "[ROLE]"), (4, 1, "tool[TEXT]", "t")]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, state string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(table)).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = sorted([(t, r or "", x or "") for c, t, r, x in rows if c == conv])
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest()
+        loss = "".join(x for _, r, x in mine if r == "assistant")
+        assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert [got[c]["valid"] for c in (1, 2, 3, 4)] == [True, False, True, False]
+    assert chat.read_back(chat.format_turns(table.limit(0))).count() == 0
+
+
+def test_chat_escapes_any_text():
+    codec, rng = chat.Codec(chat.INSTRUCT), random.Random(1)
+    parts = [*chat.INSTRUCT.controls(), "\\", "<", "[", "a", "/", ">", "]", "\n"]
+    for _ in range(2000):
+        turns = [(rng.choice(["user", "assistant", "system", "", "o[TEXT]"]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))) for _ in range(3)]
+        formatted = "".join(s for r, t in turns for s, _ in codec.segments(r, t))
+        assert list(codec.read(formatted)) == turns
+
+
+# fingerprints
+
+
+def test_fingerprints(spark, texts):
+    table = docs(spark, texts)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(table).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        t, nxt = t or "", (texts[i - 1] if i else texts[-1]) or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[i]["fingerprint"] == fingerprints.fingerprint(fingerprints.chunk_set(t))
+        assert 0 <= got[i]["near_edited"] <= 1
+    assert fingerprints.fingerprint_documents(table.limit(0)).count() == 0
+    same = fingerprints.fingerprint_documents(docs(spark, ["abc"] * 3, ids=[7, 7, None])).collect()
+    assert len(same) == 3 and {r["near_next"] for r in same} == {1.0}
+
+
+def test_chunks_resist_shifts_and_blocks(monkeypatch):
+    rng = random.Random(5)
+    text = words(rng, 4000)
+    a, b = fingerprints.chunk_set(text), fingerprints.chunk_set("new start " + text)
+    assert fingerprints.likeness(a, b) > 0.98
+    monkeypatch.setattr(fingerprints, "BLOCK", 100)
+    assert fingerprints.chunk_set(text) == a
+
+
+# quality
+
+
+def test_quality(spark):
+    rng = random.Random(2)
+    good = [words(rng, 60) for _ in range(200)]
+    bad = ["#$% " * 30 + words(rng, 3) for _ in range(60)]
+    table = docs(spark, [*good, *bad, None, ""], ids=[*range(260), None, 261])
+    labels = spark.createDataFrame([(i, int(i < 200), None) for i in range(260)] + [(None, 1, None), (5, None, None)], "doc_id long, quality int, text string")
+    forest = quality.learn(table, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(table, forest).collect()}
+    held = [i for i in range(260) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all((got[i] >= 0.5) == (i < 200) for i in held)
+    assert all(0 <= s <= 1 for s in got.values()) and len(got) == 262
+    nothing = quality.learn(table, labels.limit(0))
+    assert {r["score"] for r in quality.score(table, nothing).collect()} == {0.5}
+    assert quality.score(table.limit(0), forest).count() == 0
+
+
+# exact substrings
+
+
+def brute_repeats(rows, length=50):
+    first, out = {}, []
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    for key, raw in order:
+        for k in range(len(raw) - length + 1):
+            first.setdefault(raw[k : k + length], (key is None, key or 0))
+    for key, raw in rows:
+        cover = bytearray(len(raw))
+        for k in range(len(raw) - length + 1):
+            if first[raw[k : k + length]] < (key is None, key or 0):
+                cover[k : k + length] = b"\1" * length
+        out.append((key, sum(cover), bytes(c for c, v in zip(raw, cover) if not v)))
+    return sorted(out, key=str)
+
+
+def test_substrings(spark, texts):
+    ids = [*range(len(texts) - 3), None, 5, 5]
+    got = substrings.remove_repeats(docs(spark, texts, ids=ids)).collect()
+    want = brute_repeats([(i, (t or "").encode()) for i, t in zip(ids, texts)])
+    assert sorted([(r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got], key=str) == want
+    assert substrings.remove_repeats(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_run_length_index_statistics():
+    rng = np.random.default_rng(4)
+    strings = sorted({bytes(rng.integers(1, 4, rng.integers(12, 30)).astype(np.uint8)) for _ in range(200)})
+    sizes = np.array([len(x) for x in strings])
+    matrix = np.zeros((len(strings), 31), np.uint8)
+    for i, x in enumerate(strings):
+        matrix[i, : len(x)] = np.frombuffer(x, np.uint8)
+    index = substrings.RunLengthIndex(matrix, sizes, 10)
+    assert len(index.head) < index.rows
+    got = index.least(matrix, sizes, np.arange(len(strings)))
+    for i, x in enumerate(strings):
+        for k in range(len(x) - 9):
+            assert got[i, k] == min(j for j, y in enumerate(strings) if x[k : k + 10] in y)
+
+
+def test_anchor_blocks(monkeypatch):
+    raw = words(random.Random(9), 900).encode()
+    whole = substrings.anchors(raw)
+    assert whole[1][0] == 0 and whole[2][-1] == len(raw) - 49 and (whole[1][1:] == whole[2][:-1]).all()
+    monkeypatch.setattr(substrings, "BLOCK", 64)
+    cut = substrings.anchors(raw)
+    owner = lambda x: np.repeat(x[0], x[2] - x[1])
+    assert (owner(cut) == owner(whole)).all()
+
+
+# SimHash
+
+
+def test_simhash_components(spark, texts):
+    ids = [*range(len(texts) - 1), 3]
+    got = simhash.near_duplicates(docs(spark, texts, ids=ids)).collect()
+    prints = [(i, simhash.simhash(t or "") & (1 << 64) - 1) for i, t in zip(ids, texts)]
+    label = {p: p for _, p in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in label:
+            for b in label:
+                if bin(a ^ b).count("1") <= 3 and label[a] != label[b]:
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    least = {}
+    for i, p in prints:
+        least[label[p]] = min(least.get(label[p], i), i)
+    assert sorted((r["doc_id"], r["print"] & (1 << 64) - 1, r["component_id"]) for r in got) == sorted((i, p, least[label[p]]) for i, p in prints)
+    assert simhash.near_duplicates(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_grid_loses_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    near = [b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 4), replace=False)) for b in base.tolist() for _ in range(4)]
+    all_ = np.unique(np.array([*base.tolist(), *near], dtype=np.uint64))
+    keys = simhash.cell_keys(all_, 3, False)
+    fine = simhash.cell_keys(all_, 3, True)
+    for i in range(len(all_)):
+        for j in np.flatnonzero(np.bitwise_count(all_ ^ all_[i]) <= 3):
+            assert (keys[i] == keys[j]).any() and (fine[i] == fine[j]).any()
+            assert simhash.manhattan(simhash.embed(all_[i : i + 1]), simhash.embed(all_[j : j + 1]))[0] <= 3
+    want = components_of(all_)
+    frame = spark.createDataFrame([(int(x),) for x in all_.view(np.int64)], "print long")
+    for cell, pairwise in ((2048, 48), (3, 2)):  # hot cells are dealt anew
+        monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+        roots = {r["node"]: r["root"] for r in components.components(simhash.link(frame)).collect()}
+        groups = {}
+        for x in all_.view(np.int64).tolist():
+            groups.setdefault(roots.get(x, x), set()).add(x)
+        assert {frozenset(g) for g in groups.values()} == want
+
+
+def components_of(all_):
+    rest, out = set(range(len(all_))), set()
+    while rest:
+        queue = [rest.pop()]
+        group = set(queue)
+        while queue:
+            near = set(np.flatnonzero(np.bitwise_count(all_ ^ all_[queue.pop()]) <= 3).tolist()) & rest
+            rest -= near
+            group |= near
+            queue += near
+        out.add(frozenset(all_.view(np.int64)[sorted(group)].tolist()))
+    return out
+
+
+def test_keep_first(spark, texts):
+    kept = simhash.keep_first(docs(spark, texts))
+    assert kept.columns == docs(spark, texts).columns
+    classes = {r["component_id"] for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(classes)
+
+
+# pages
+
+
+def test_pages(spark):
+    page = lambda body, extra="": f"<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; line</h1>{body}<aside>side</aside><section class='comments'><p>me too</p></section></article>{extra}<footer>foot</footer></body></html>"
+    rows = [(i, "http://h.example/a", page("".join(f"<p>par  {i}\n<b>bold</b>ly {k}</p>" for k in range(i)))) for i in range(1, 7)]
+    rows += [(10, None, None), (11, "http://h.example/b", ""), (12, "http://h.example/c", page("<p>cut <script>x<y</script>here")[:180]), (13, "odd", "just text <b"), (1, "http://h.example/a", rows[0][2])]
+    table = spark.createDataFrame([(*r, "w") for r in rows], "page_id long, url string, html string, wrapper string")
+    got = wrappers.extract_pages(table).collect()
+    assert len(got) == len(rows)
+    by = {r["page_id"]: r for r in got}
+    for i in range(1, 7):
+        assert by[i]["text"] == "\n".join(["Head & line", *[f"par {i} boldly {k}" for k in range(i)]])
+    assert by[10]["text"] == by[11]["text"] == "" and by[13]["text"] == "just text"
+    assert by[12]["text"].startswith("Head & line\ncut")
+    assert any(r["found_by"] == "wrapper" for r in got)
+    assert wrappers.extract_pages(table.limit(0)).count() == 0
+
+
+def test_alignment_generalises():
+    a, b = ["x", "p", "#", "/p", "y"], ["x", "p", "#", "/p", "p", "#", "/p", "z", "y"]
+    wrapper = wrappers.fit([["article", *a, "/article"], ["article", *b, "/article"]])
+    matcher = wrappers.Matcher(wrapper)
+    assert matcher.zone(["article", *a, "/article"]) == (0, 7) and matcher.zone(["article", *b, "/article"]) == (0, 11)
+
+
+# neighbours
+
+
+def test_neighbours_recall_and_edges(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[100:160] = x[7]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 0), (5001, [0.0] * 16, 0), (5002, [float("nan")] * 16, 0), (5003, [1.0, None], 0), (5004, [1.0], 0), (None, x[0].tolist(), 0), (20, x[20].tolist(), 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    got = {}
+    for r in neighbours.search(table, every=20, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    wide, hits = x.astype(np.float64), 0
+    assert sorted(got) == list(range(0, 3000, 20))
+    for q, found in got.items():
+        score = (wide * wide[q]).sum(axis=1)
+        score[q] = -np.inf
+        hits += len({i for i, _ in found} & set(np.lexsort((np.arange(3000), -score))[:10].tolist()))
+        assert len(found) == 10 and all(abs(score[i] - s) < 1e-12 for i, s in found)
+    assert hits / (10 * len(got)) >= 0.9
+    assert [i for i, _ in got[140]] == [7, *range(100, 109)]
+    assert neighbours.search(table.limit(0), every=20).count() == 0
+
+
+# mixing
+
+
+def test_mixing_targets_and_amounts(spark):
+    rng = random.Random(6)
+    sizes = {"a": 40, "b": 3, "c": 200, "d": 60, None: 20}
+    texts, sources = zip(*[(words(rng, rng.randint(1, 40)) if k % 9 else None, s) for s, n in sizes.items() for k in range(n)])
+    table = docs(spark, list(texts), sources=list(sources))
+    got = mixing.mix(mixing.size_and_weigh(table)).collect()
+    names = ["a", "b", "c", "d", None]
+    total = {s: sum(len((t or "").split()) for t, x in zip(texts, sources) if x == s) for s in names}
+    weight = dict(zip(names, [3, 1, 2, 3, 1]))
+    goal, open_ = {}, set(names)
+    left = 1.5 * sum(total.values())
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * total[s]]
+        if not over:
+            goal |= share
+            break
+        for s in over:
+            goal[s], left = 2 * total[s], left - 2 * total[s]
+            open_.discard(s)
+    for r in got:
+        assert abs(r["target"] - goal[r["source"]]) < 1e-6 and r["source_size"] == total[r["source"]]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] % max(r["size"], 1) == 0
+    for s in names:
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - goal[s]) <= 40
+    again = mixing.mix(mixing.size_and_weigh(table.repartition(7))).collect()
+    key = lambda r: (r["doc_id"], r["taken"])
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    assert mixing.mix(mixing.size_and_weigh(table.limit(0))).count() == 0
+    copies = mixing.repeat_mixed(table)
+    assert copies.columns == table.columns
+    assert copies.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
+
+
+# personal data
+
+
+def test_base_spans_are_the_patterns():
+    import re
+
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    fits = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 13 <= len(digits(s)) <= 19 and personal.luhn(digits(s)), "phone": lambda s: 9 <= len(digits(s)) <= 15}
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("12 -.+@a()0255%_x") for _ in range(rng.randint(0, 70))) + rng.choice(["", " 4111 1111 1111 1111", "a@b.c"])
+        assert personal.base_spans(text) == {k: [m.span() for m in re.finditer(p, text) if fits[k](m[0])] for k, p in kinds.items()}
+    assert personal.base_spans("a" * 300_000)["email"] == []
+
+
+def test_bootstrap_finds_unseen(spark):
+    rng = random.Random(12)
+    texts = [f"{words(rng, 5)} mail bob{i}@ex{i}.com now {words(rng, 5)}" for i in range(40)]
+    texts += [f"{words(rng, 5)} mail account-77{i}99x now {words(rng, 4)}" for i in range(3)]
+    texts += ["plain year 1984 text", None, "", texts[0]]
+    table = docs(spark, texts)
+    scanned, more = personal.find(table)
+    found = {r["d"]: [tuple(x) for x in r["more"]] for r in more.collect()}
+    assert sorted(found) == [40, 41, 42]
+    redacted = {r["doc_id"]: r["text"] for r in personal.redact(table).collect()}
+    assert "[ID]" in redacted[40] and "[EMAIL]" in redacted[0] and redacted[43] == texts[43] and redacted[44] is None
+    assert personal.redact(table.limit(0)).count() == 0
+
+
+# byte-level BPE
+
+
+def test_bpe_equals_the_library(spark, texts):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    odd = ["<|endoftext|> 'tis  two\n\n ½ ²x ª \x1c \x85 日本語 🙂", "z" * 3000, "".join(chr(rng.choice([*range(32, 600), 8232, 0x3000])) for _ in range(800))]
+    rows = [*texts, *odd]
+    got = {r["doc_id"]: r for r in bpe.encode_documents(docs(spark, rows), path, documents_read=8, most=50).collect()}
+    for i, t in enumerate(rows):
+        ids = library.encode_ordinary(t or "")
+        assert list(got[i]["ids"]) == ids and got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.encode_documents(docs(spark, rows).limit(0), path).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    where = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{where}/documents.parquet")
+    good = corpus_pipeline.keep_good(spark, table, where)
+    assert good.columns == table.columns
+    once = corpus_pipeline.drop_near_copies(spark, good, where)
+    prints = [simhash.simhash(r["text"]) & (1 << 64) - 1 for r in once.collect()]
+    assert all(bin(a ^ b).count("1") > 3 for i, a in enumerate(prints) for b in prints[:i])
+    assert once.columns == table.columns and corpus_pipeline.redact_personal_data(spark, once, where).count() == once.count()
+    assert corpus_pipeline.run(spark, where).where(F.col("ids").isNull()).count() == 0
