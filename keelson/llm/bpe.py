@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import arrow_schema, small_batches, table
 
-SAMPLE_DOCUMENTS, COMMON = 16_000, 500_000
-LONG, BUCKETS = 256, 1 << 15
+SAMPLE_DOCUMENTS, COMMON = 16_000, 200_000
+LONG, BUCKETS = 256, 1 << 14
 #: Text bytes whose pieces share a dictionary, and pieces in a row.
 GROUP_BYTES, ROW_PIECES = 96 << 20, 1 << 14
 #: Parts of the table that one task takes.
@@ -75,13 +75,6 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
-def vocabulary_literal(ranks: dict[bytes, int]) -> Column:
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-
-
 def encode_pieces(pieces: Column, ranks: dict[bytes, int]) -> Column:
     """Array of byte strings to array of id arrays; empty strings give none."""
     none = F.lit(_NONE).cast("long") * _STARTS
@@ -124,11 +117,6 @@ def encode_pieces(pieces: Column, ranks: dict[bytes, int]) -> Column:
     return let(rank_literal(ranks), with_table)
 
 
-def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """Array of id arrays to array of byte strings (as characters U+0000 to U+00FF); unknown ids are null strings."""
-    return let(vocabulary_literal(ranks), lambda v: F.transform(ids, lambda x: F.array_join(F.transform(x, lambda i: F.get(v, i)), "")))
-
-
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap, for long pieces."""
     if piece in ranks:
@@ -153,8 +141,8 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def common_pieces(documents: DataFrame, ranks: dict[bytes, int], pattern: str, documents_read: int, most: int) -> dict[str, tuple[bytes, bytes]]:
-    """Pieces of a bounded sample of documents, the most frequent first: (ids as decimal text, bytes they decode to)."""
+def common_pieces(documents: DataFrame, ranks: dict[bytes, int], pattern: str, documents_read: int, most: int) -> tuple[list[str], list[bytes], list[bytes]]:
+    """Pieces of a bounded sample of documents, their ids as decimal text, and the bytes that these decode to."""
     n = documents.count()
     if n > documents_read:
         documents = documents.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < (documents_read << 20) // n)
@@ -172,9 +160,15 @@ def common_pieces(documents: DataFrame, ranks: dict[bytes, int], pattern: str, d
 
     words = documents.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     words = words.where(F.col("n") > 1).orderBy(F.desc("n"), "piece").limit(most)
-    encoded = words.repartition(24).select("piece", encode_pieces(F.array("piece"), ranks)[0].alias("ids"))
-    rows = encoded.select("piece", F.array_join("ids", " ").alias("text"), decode_ids(F.array("ids"), ranks)[0].alias("bytes")).toArrow()
-    return {p.encode("latin-1").decode(): (t.encode(), b.encode("latin-1")) for p, t, b in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True)}
+    encoded = words.repartition(24).select("piece", encode_pieces(F.array("piece"), ranks)[0].alias("ids")).toArrow()
+    vocabulary = {v: k for k, v in ranks.items()}
+    found: tuple[list, list, list] = ([], [], [])
+    for batch in encoded.to_batches(max_chunksize=10_000):
+        for piece, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[0].append(piece.encode("latin-1").decode())
+            found[1].append(" ".join(map(str, ids)).encode())
+            found[2].append(b"".join(map(vocabulary.__getitem__, ids)))
+    return found
 
 
 CUT = "doc_ids array<long>, counts array<int>, places binary, pieces array<string>"
@@ -244,9 +238,8 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
     small_batches(spark)
     ranks = load_ranks(path)
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = common_pieces(rows, ranks, pattern, documents_read, most)
-    words, encoded = spark.sparkContext.broadcast(list(found)), spark.sparkContext.broadcast(tuple(zip(*found.values(), strict=True)) or ((), ()))
-    del found
+    common, texts, blobs = common_pieces(rows, ranks, pattern, documents_read, most)
+    words, encoded = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast((texts, blobs))
     # larger parts share more pieces
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // MERGED_PARTS)))
     table_of_ranks = spark.sparkContext.broadcast(ranks)
@@ -256,7 +249,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
     coded = coded.select("doc_ids", "counts", "places", F.when(F.exists("pieces", lambda p: F.length(p) > LONG), F.col("pieces")).alias("long"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, blobs = map(list, encoded.value)
+        texts, blobs = encoded.value
         sizes = np.array([t.count(b" ") + 1 for t in texts], dtype=np.int64)
         own_texts: list[bytes] = []
         own_blobs: list[bytes] = []
