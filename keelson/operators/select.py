@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_VIDEO = W.partitionBy("video_id")
+def by_video() -> WindowSpec:
+    return W.partitionBy("video_id")
 
 
 def important(segments: DataFrame) -> DataFrame:
@@ -21,14 +23,14 @@ def threshold(segments: DataFrame, least: float, weight: str = "weight", default
 def threshold_or_best(segments: DataFrame, least: float, weight: str = "weight") -> DataFrame:
     """As threshold, but a video without any keeps its heaviest segment, the first on ties."""
     w = F.coalesce(F.col(weight), F.lit(0.0))
-    ranked = segments.withColumn("hits", F.sum((w >= least).cast("int")).over(BY_VIDEO)).withColumn("best", F.row_number().over(BY_VIDEO.orderBy(w.desc(), "idx")))
+    ranked = segments.withColumn("hits", F.sum((w >= least).cast("int")).over(by_video())).withColumn("best", F.row_number().over(by_video().orderBy(w.desc(), "idx")))
     return ranked.where((w >= least) | ((F.col("hits") == 0) & (F.col("best") == 1))).drop("hits", "best")
 
 
 def lowest_evidence(segments: DataFrame, weight: str = "weight") -> DataFrame:
     """As many of the lightest segments as are important, one at least."""
-    n = F.greatest(F.sum((F.col("label") == "important").cast("int")).over(BY_VIDEO), F.lit(1))
-    ranked = segments.withColumn("n", n).withColumn("k", F.row_number().over(BY_VIDEO.orderBy(F.coalesce(F.col(weight), F.lit(0.0)), "idx")))
+    n = F.greatest(F.sum((F.col("label") == "important").cast("int")).over(by_video()), F.lit(1))
+    ranked = segments.withColumn("n", n).withColumn("k", F.row_number().over(by_video().orderBy(F.coalesce(F.col(weight), F.lit(0.0)), "idx")))
     return ranked.where(F.col("k") <= F.col("n")).drop("n", "k")
 
 
@@ -41,14 +43,14 @@ def fast_forward(segments: DataFrame, alpha: float, inverted: bool = False) -> D
 def until_share(segments: DataFrame, share: float, order: list[Column]) -> DataFrame:
     """In the order, segments while the duration before them is under the share of the total; one at least."""
     order = [*order, F.col("idx")]
-    before = F.coalesce(F.sum("dur").over(BY_VIDEO.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = segments.withColumn("before", before).withColumn("total", F.sum("dur").over(BY_VIDEO)).withColumn("k", F.row_number().over(BY_VIDEO.orderBy(*order)))
+    before = F.coalesce(F.sum("dur").over(by_video().orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = segments.withColumn("before", before).withColumn("total", F.sum("dur").over(by_video())).withColumn("k", F.row_number().over(by_video().orderBy(*order)))
     return ranked.where((F.col("before") < share * F.col("total")) | (F.col("k") == 1)).drop("before", "total", "k")
 
 
 def evenly_spaced(segments: DataFrame, count: Column) -> DataFrame:
     """count segments spread over the whole video, halves to even; one (or none asked): the centre."""
-    sized = segments.withColumn("n", F.count("*").over(BY_VIDEO).cast("int")).withColumn("want", count.cast("int"))
+    sized = segments.withColumn("n", F.count("*").over(by_video()).cast("int")).withColumn("want", count.cast("int"))
     picks = F.when(F.col("want") <= 1, F.array((F.col("n") / 2).cast("int"))).when(F.col("want") >= F.col("n"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(F.col("want"), F.lit(2)) - 1), lambda i: F.rint(i * (F.col("n") - 1) / (F.greatest(F.col("want"), F.lit(2)) - 1)).cast("int"))
     )
