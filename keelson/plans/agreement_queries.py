@@ -20,32 +20,32 @@ def _sets(spark, sf):
 _PEARSON = "covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)"
 
 
-@query("a29_pearson", "WITH {SEG}, p AS (SELECT video_id, weight AS x, weight2 AS y FROM seg) SELECT video_id, round(" + _PEARSON + ", 9) AS r FROM p GROUP BY video_id")
+@query("a29_pearson", "WITH {SEG}, p AS (SELECT video_id, weight AS x, weight2 AS y FROM seg) SELECT video_id, 0.0::DOUBLE + round(" + _PEARSON + ", 9) AS r FROM p GROUP BY video_id")
 def a29(spark, sf):
     return segments(spark, sf).groupBy("video_id").agg(F.round(g.pearson(F.col("weight"), F.col("weight2")), 9).alias("r"))
 
 
 @query("a31_spearman_average", """WITH {SEG}, p AS (SELECT video_id, rank() OVER (PARTITION BY video_id ORDER BY weight) + (count(*) OVER (PARTITION BY video_id, weight) - 1) / 2 AS x,
-  rank() OVER (PARTITION BY video_id ORDER BY weight2) + (count(*) OVER (PARTITION BY video_id, weight2) - 1) / 2 AS y FROM seg) SELECT video_id, round(""" + _PEARSON + ", 6) AS rho FROM p GROUP BY video_id")
+  rank() OVER (PARTITION BY video_id ORDER BY weight2) + (count(*) OVER (PARTITION BY video_id, weight2) - 1) / 2 AS y FROM seg) SELECT video_id, 0.0::DOUBLE + round(""" + _PEARSON + ", 6) AS rho FROM p GROUP BY video_id")
 def a31(spark, sf):
     return g.spearman(segments(spark, sf), ["video_id"], "weight", "weight2").select("video_id", F.round("rho", 6).alias("rho"))
 
 
 @query("a32_spearman_ordinal", """WITH {SEG}, p AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY weight, idx)::DOUBLE AS x, row_number() OVER (PARTITION BY video_id ORDER BY weight2, idx)::DOUBLE AS y FROM seg)
-SELECT video_id, round(""" + _PEARSON + ", 6) AS rho FROM p GROUP BY video_id")
+SELECT video_id, 0.0::DOUBLE + round(""" + _PEARSON + ", 6) AS rho FROM p GROUP BY video_id")
 def a32(spark, sf):
     return g.spearman(segments(spark, sf), ["video_id"], "weight", "weight2", ties="ordinal").select("video_id", F.round("rho", 6).alias("rho"))
 
 
 @query("a33_spearman_zero", """WITH {SEG}, p AS (SELECT video_id, rank() OVER (PARTITION BY video_id ORDER BY weight) + (count(*) OVER (PARTITION BY video_id, weight) - 1) / 2 AS x,
-  rank() OVER (PARTITION BY video_id ORDER BY weight2) + (count(*) OVER (PARTITION BY video_id, weight2) - 1) / 2 AS y FROM seg) SELECT video_id, coalesce(round(""" + _PEARSON + ", 6), 0) AS rho FROM p GROUP BY video_id")
+  rank() OVER (PARTITION BY video_id ORDER BY weight2) + (count(*) OVER (PARTITION BY video_id, weight2) - 1) / 2 AS y FROM seg) SELECT video_id, coalesce(0.0::DOUBLE + round(""" + _PEARSON + ", 6), 0) AS rho FROM p GROUP BY video_id")
 def a33(spark, sf):
     return g.spearman(segments(spark, sf), ["video_id"], "weight", "weight2").select("video_id", F.coalesce(F.round("rho", 6), F.lit(0.0)).alias("rho"))
 
 
 @query("a34_kendall_tau_b", """WITH {SEG}, p AS (SELECT x.video_id, sign(x.weight - y.weight) AS a, sign(x.weight2 - y.weight2) AS b FROM seg x JOIN seg y ON x.video_id = y.video_id AND x.idx < y.idx),
 c AS (SELECT video_id, sum(a * b) AS s, count_if(a <> 0) AS na, count_if(b <> 0) AS nb FROM p GROUP BY video_id)
-SELECT v.video_id, round(s / nullif(sqrt(na * nb), 0), 6) AS tau FROM (SELECT DISTINCT video_id FROM seg) v LEFT JOIN c USING (video_id)""")
+SELECT v.video_id, 0.0::DOUBLE + round(s / nullif(sqrt(na * nb), 0), 6) AS tau FROM (SELECT DISTINCT video_id FROM seg) v LEFT JOIN c USING (video_id)""")
 def a34(spark, sf):
     return g.kendall(segments(spark, sf), "video_id", "weight", "weight2").select("video_id", F.round("tau", 6).alias("tau"))
 
@@ -127,7 +127,7 @@ def a46(spark, sf):
 
 @query("a48_disagreement", """WITH {SEG}, p AS (SELECT video_id, rank() OVER (PARTITION BY video_id ORDER BY weight) + (count(*) OVER (PARTITION BY video_id, weight) - 1) / 2 AS x,
   rank() OVER (PARTITION BY video_id ORDER BY weight2) + (count(*) OVER (PARTITION BY video_id, weight2) - 1) / 2 AS y FROM seg), r AS (SELECT video_id, """ + _PEARSON + """ AS rho FROM p GROUP BY video_id)
-SELECT video_id, round(1 - rho, 6) AS disagreement FROM r WHERE rho IS NOT NULL""")
+SELECT video_id, 0.0::DOUBLE + round(1 - rho, 6) AS disagreement FROM r WHERE rho IS NOT NULL""")
 def a48(spark, sf):
     rho = g.spearman(segments(spark, sf), ["video_id"], "weight", "weight2")
     return rho.where(F.col("rho").isNotNull()).select("video_id", F.round(1 - F.col("rho"), 6).alias("disagreement"))

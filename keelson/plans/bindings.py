@@ -48,6 +48,11 @@ def recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_write(all_events(spark, sf_dir), ["video_id", "condition"], "event_id")
 
 
+def _one_zero(df: DataFrame) -> DataFrame:
+    """Negative zero as zero."""
+    return df.select(*[(F.col(c) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
 def _long_counts(sql: str) -> str:
     """DuckDB counts conditions in 128 bits; casts them to long."""
     out, at = [], 0
@@ -68,7 +73,7 @@ def query(name: str, sql: str | None = None):
     """Registers a query and the SQL that checks it; SEG and REC in braces stand for the canonical tables."""
 
     def register(function):
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, sf_dir: _one_zero(function(spark, sf_dir))
         if sql:
             ORACLES[name] = _long_counts(sql.replace("{SEG}", SEG.strip()).replace("{REC}", REC.strip()))
         return function

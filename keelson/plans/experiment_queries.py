@@ -79,7 +79,7 @@ def a5(spark, sf):
 
 
 @query("a6_paired_difference", _boot({"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHEN condition = 'error' THEN top1::INT END"}, 43)
-  + " SELECT round(quantile_cont(x - y, 0.025), 6) AS low, round(quantile_cont(x - y, 0.975), 6) AS high FROM rep")
+  + " SELECT 0.0::DOUBLE + round(quantile_cont(x - y, 0.025), 6) AS low, 0.0::DOUBLE + round(quantile_cont(x - y, 0.975), 6) AS high FROM rep")
 def a6(spark, sf):
     m, _ = _matrix(spark, sf)
     rep = paired.resampled_means(m.select("video_id", F.col("click").alias("x"), F.col("error").alias("y")), "video_id", ["x", "y"], 200, 43)
@@ -127,7 +127,7 @@ def a10(spark, sf):
     return _tests(spark, sf).select("name", (p < 0.05).alias("raw"), (p < 0.05 / F.count("*").over(W.partitionBy())).alias("corrected"))
 
 
-@query("a22_damage", "WITH {REC} SELECT b.condition, count(*) AS n, round(avg(a.top1::INT) - avg(b.top1::INT), 9) AS damage, count_if(a.top1 AND NOT b.top1) AS lost, count_if(NOT a.top1 AND b.top1) AS won FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition = 'view' AND b.condition <> 'view' GROUP BY b.condition HAVING count(*) >= 10")
+@query("a22_damage", "WITH {REC} SELECT b.condition, count(*) AS n, 0.0::DOUBLE + round(avg(a.top1::INT) - avg(b.top1::INT), 9) AS damage, count_if(a.top1 AND NOT b.top1) AS lost, count_if(NOT a.top1 AND b.top1) AS won FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition = 'view' AND b.condition <> 'view' GROUP BY b.condition HAVING count(*) >= 10")
 def a22(spark, sf):
     rows = recognition(spark, sf)
     base = rows.where(F.col("condition") == "view").select("video_id", F.col("top1").alias("base"))
@@ -165,7 +165,7 @@ def a20(spark, sf):
     return _auc(spark, sf).groupBy("ordering").agg(F.round(F.avg("auc"), 6).alias("auc"), F.count("*").alias("n"))
 
 
-@query("a30_difference_correlation", "WITH {REC}, p AS (SELECT a.condition AS a, b.condition AS b, a.value - b.value AS x, a.top1::INT - b.top1::INT AS y FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition < b.condition) SELECT a, b, CASE WHEN count(*) >= 10 THEN round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) END AS r, count(*) AS n FROM p GROUP BY a, b")
+@query("a30_difference_correlation", "WITH {REC}, p AS (SELECT a.condition AS a, b.condition AS b, a.value - b.value AS x, a.top1::INT - b.top1::INT AS y FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition < b.condition) SELECT a, b, CASE WHEN count(*) >= 10 THEN 0.0::DOUBLE + round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) END AS r, count(*) AS n FROM p GROUP BY a, b")
 def a30(spark, sf):
     p = align.unordered_pairs(recognition(spark, sf).withColumn("top1", F.col("top1").cast("int")), "video_id", "condition", ["value", "top1"])
     r = pearson(F.col("value_a") - F.col("value_b"), F.col("top1_a") - F.col("top1_b"))

@@ -147,7 +147,7 @@ def a26(spark, sf):
 @query("a27_temporal_coverage", """WITH {SEG}, k AS (SELECT *, lead(start_s) OVER (PARTITION BY video_id ORDER BY idx) AS next_start FROM seg WHERE label = 'important'),
 t AS (SELECT video_id, max(end_s) AS total FROM seg GROUP BY video_id)
 SELECT k.video_id, round(max(end_s) - min(start_s), 6) AS range_s, round(sum(dur) / max(total), 6) AS coverage_ratio, round(sum(dur * ((start_s + end_s) / 2)) / sum(dur) / max(total), 6) AS com_position,
-  round(coalesce(avg(greatest(next_start - end_s, 0)), 0), 6) AS mean_gap, count(*) AS n FROM k JOIN t USING (video_id) GROUP BY k.video_id""")
+  round(coalesce(avg(CASE WHEN next_start IS NOT NULL THEN greatest(next_start - end_s, 0) END), 0), 6) AS mean_gap, count(*) AS n FROM k JOIN t USING (video_id) GROUP BY k.video_id""")
 def a27(spark, sf):
     return coverage.temporal(segments(spark, sf))
 

@@ -26,11 +26,10 @@ def documents(spark: SparkSession, paths: str | list[str], schema: str, glob: st
     return rows.where(F.col(CORRUPT).isNull() & ~F.col("file_name").rlike(BOOKKEEPING)).drop(CORRUPT)
 
 
-def dead_letters(spark: SparkSession, paths: str | list[str], schema: str, glob: str = "*.json") -> DataFrame:
-    """The malformed files: file_name and text."""
-    reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    rows = reader.option("pathGlobFilter", glob).json(paths).select("*", F.col("_metadata.file_name").alias("file_name"))
-    return rows.where(F.col(CORRUPT).isNotNull()).select("file_name", F.col(CORRUPT).alias("text"))
+def dead_letters(spark: SparkSession, paths: str | list[str], glob: str = "*.json") -> DataFrame:
+    """The files that aren't JSON: file_name and text."""
+    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(paths).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return rows.where(F.try_parse_json("text").isNull() & ~F.col("file_name").rlike(BOOKKEEPING))
 
 
 def records(spark: SparkSession, paths: str | list[str], schema: str = RECORD) -> DataFrame:

@@ -114,9 +114,7 @@ def test_files(spark, tmp_path):
     got = {(r["video_id"], r["condition"], r["top1_correct"]) for r in scans.records(spark, str(run)).collect()}
     assert got == {("v__x", "full", True), ("w", "full", False), ("w", "full--shuffled", True)}
     assert scans.twins(scans.records(spark, str(run))).count() == 1
-    from keelson.sources.schema import RECORD
-
-    assert [r["file_name"] for r in scans.dead_letters(spark, str(run), RECORD).collect()] == ["bad__full.json"]
+    assert [r["file_name"] for r in scans.dead_letters(spark, str(run)).collect()] == ["bad__full.json"]
     files = spark.createDataFrame([(0, "b", bytearray(b"2")), (0, "a", bytearray(b"1")), (1, "c", bytearray(b"3"))], "shard int, name string, content binary")
     once, again = ({r["shard"]: r["sha256"] for r in sinks.archives(f).collect()} for f in (files, files.repartition(3)))
     assert once == again and len(once) == 2
