@@ -33,7 +33,7 @@ from keelson.llm.common import shuffle_partitions, small_batches, table
 
 LENGTH, KMER = 50, 24
 #: Buckets and shards for each of the session's shuffle partitions, so that what a task holds stays small.
-BUCKETS, SHARDS = 2, 4
+BUCKETS, SHARDS = 1, 4
 BLOCK = 1 << 20
 _PLACE = np.uint64((1 << 22) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
@@ -100,33 +100,39 @@ class RunLengthIndex:
         place = np.arange(width)[None, :]
         real = place <= sizes[:, None]
         where = np.flatnonzero(real.ravel())
-        # ranks of the first 8, 16, ... bytes of each suffix
-        packed = np.zeros((m, width), dtype=np.uint64)
-        for i in range(8):
-            packed[:, : width - i] |= strings[:, i:].astype(np.uint64) << np.uint64(56 - 8 * i)
-        rank = np.zeros(m * width, dtype=np.int64)
-        rank[where] = np.unique(packed.ravel()[where], return_inverse=True)[1]
-        del packed
-        by_depth, depth = {}, 8
+        # ranks of suffixes by their first bytes: as many symbols as fit into a word, then as many ranks as fit
+        symbols = np.unique(strings)
+        code = np.zeros(256, dtype=np.int64)
+        code[symbols] = np.arange(len(symbols)) + (symbols[0] > 0)
+        units, depth, level, half = code[strings], 1, None, 1
+        top = len(symbols)
         while depth < width:
-            by_depth[depth] = rank
-            ahead = np.zeros((m, width), dtype=np.int64)
+            many = min(63 // top.bit_length(), -(-width // depth))
+            key = np.zeros((m, width), dtype=np.int64)
+            for i in range(many):
+                key <<= top.bit_length()
+                if i * depth < width:
+                    key[:, : width - i * depth] |= units[:, i * depth :]
+            if depth <= length:
+                level, half = units, depth
+            depth *= many
             if depth < width:
-                ahead[:, : width - depth] = rank.reshape(m, width)[:, depth:]
-            key = rank[where] * (int(rank.max()) + 1) + ahead.ravel()[where]
-            rank = np.zeros(m * width, dtype=np.int64)
-            rank[where] = np.unique(key, return_inverse=True)[1]
-            depth *= 2
-        suffixes = where[np.argsort(rank[where], kind="stable")]
+                values, inverse = np.unique(key.ravel()[where], return_inverse=True)
+                top = len(values)
+                units = np.zeros(m * width, dtype=np.int64)
+                units[where] = inverse + 1
+                units = units.reshape(m, width)
+        suffixes = where[np.argsort(key.ravel()[where], kind="stable")]
+        del key, units
         # classes of suffixes whose first `length` bytes are equal
-        half = max((d for d in by_depth if d <= length), default=8)
-        level = by_depth[half] if by_depth else rank
+        level = level.ravel()
         enough = (suffixes % width) + length <= sizes[suffixes // width]
         same = enough[1:] & enough[:-1]
-        for shift in sorted({*range(0, length - half + 1, half), max(0, length - half)}):
+        for shift in sorted({*range(0, length - half + 1, half), length - half}):
             at = np.minimum(suffixes + shift, len(level) - 1)
             same &= level[at[1:]] == level[at[:-1]]
-        self._class = np.zeros(m * width, dtype=np.int64)
+        del level
+        self._class = np.zeros(m * width, dtype=np.int32)
         self._class[suffixes] = np.cumsum(np.r_[True, ~same]) - 1
         # runs
         first = suffixes % width == 0
@@ -363,9 +369,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
         width = int(sizes.max()) + 1
         # bytes are shifted by one, zero is the terminator; a byte 255 never occurs in UTF-8
         matrix = np.zeros((len(strings), width), dtype=np.uint8)
-        for i, x in enumerate(strings):
-            matrix[i, : len(x)] = np.frombuffer(x, np.uint8)
-        matrix[np.arange(width)[None, :] < sizes[:, None]] += 1
+        matrix[np.arange(width)[None, :] < sizes[:, None]] = np.frombuffer(b"".join(strings), np.uint8) + 1
         first = RunLengthIndex(matrix, sizes, length).least(matrix, sizes, np.array([least[x] for x in strings], dtype=np.int64))
         windows = np.arange(width)[None, :] < (sizes - length + 1)[:, None]
         out = []
