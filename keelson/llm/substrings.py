@@ -268,37 +268,42 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 class _Contexts:
-    """The different contexts of a bucket's repeated anchors, by shard, in an order that their bytes alone decide."""
+    """The different contexts of a bucket's repeated anchors, by shard, in an order that their bytes alone decide.
+    Equal contexts have equal owners, so bytes decide the shard too."""
 
     def __init__(self, docs: pd.DataFrame, repeated: np.ndarray, shards: int, length: int, kmer: int) -> None:
-        self.number: dict[tuple[int, bytes], int] = {}
-        self.least: list[int] = []
+        number: dict[bytes, int] = {}
+        shard_of: list[int] = []
+        least: list[int] = []
         self.stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        nothing = (np.zeros(0, np.int64),) * 3
         for raw, key in zip(docs["raw"], docs["key"], strict=True):
             hashes, begin, end = anchors(raw, length, kmer)
-            if len(repeated) and len(hashes):
-                at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
-                kept = np.flatnonzero(repeated[at] == hashes)
-            else:
-                kept = np.zeros(0, dtype=np.int64)
+            if not len(repeated) or not len(hashes):
+                self.stretches.append(nothing)
+                continue
+            at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
+            kept = np.flatnonzero(repeated[at] == hashes)
             begin, end = begin[kept], end[kept]
-            names = [(s, raw[b : e + length - 1]) for s, b, e in zip(_shard(hashes[kept], shards).tolist(), begin.tolist(), end.tolist(), strict=True)]
             places = []
-            for name in names:
-                at = self.number.setdefault(name, len(self.number))
-                if at == len(self.least):
-                    self.least.append(key)
-                elif key < self.least[at]:
-                    self.least[at] = key
-                places.append(at)
-            self.stretches.append((begin.astype(np.int32) if len(raw) < 1 << 31 else begin, end.astype(np.int32) if len(raw) < 1 << 31 else end, np.array(places, dtype=np.int32)))
-        self.order = sorted(self.number)
-
-
-def _by_shard(order: list[tuple[int, bytes]]) -> list[tuple[int, int, int]]:
-    shards = np.array([s for s, _ in order], dtype=np.int64)
-    starts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else shards
-    return list(zip(shards[starts].tolist(), starts.tolist(), np.r_[starts[1:], len(order)].tolist(), strict=True)) if len(shards) else []
+            for shard, b, e in zip(_shard(hashes[kept], shards).tolist(), begin.tolist(), (end + (length - 1)).tolist(), strict=True):
+                place = number.setdefault(raw[b:e], len(least))
+                if place == len(least):
+                    least.append(key)
+                    shard_of.append(shard)
+                elif key < least[place]:
+                    least[place] = key
+                places.append(place)
+            self.stretches.append((begin, end, np.array(places, dtype=np.int64)))
+        self.least = np.array(least, dtype=np.int64)
+        names = sorted(number)
+        places = np.array([number[x] for x in names], dtype=np.int64)
+        shards_in_order = np.array(shard_of, dtype=np.int64)[places] if names else places
+        by_shard = np.argsort(shards_in_order, kind="stable")
+        self.names, self.places, of = [names[i] for i in by_shard.tolist()], places[by_shard], shards_in_order[by_shard]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if names else by_shard
+        #: (shard, first, past the last) in names and places
+        self.spans = list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(names)][: len(starts)], strict=True))
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -348,9 +353,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
         if docs.empty or parts.empty:
             return _rows([], _NAMES)
         found, out = _Contexts(docs, repeated_of(parts), shards, length, kmer), []
-        for shard, a, b in _by_shard(found.order):
-            mine = found.order[a:b]
-            out.append((shard, docs["bucket"].iloc[0], 2, b"".join(x for _, x in mine), bytes(len(x) - length for _, x in mine), _pack(np.array([found.least[found.number[x]] for x in mine], dtype=np.int64))))
+        for shard, a, b in found.spans:
+            mine = found.names[a:b]
+            out.append((shard, docs["bucket"].iloc[0], 2, b"".join(mine), bytes(len(x) - length for x in mine), _pack(found.least[found.places[a:b]])))
         return _rows(out, _NAMES)
 
     def index(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
@@ -389,24 +394,32 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
             return _rows([], names)
         found = _Contexts(docs, repeated_of(parts), shards, length, kmer)
         answers = {s: (a, b) for s, a, b in zip(*(parts[parts["kind"] == 3][c] for c in ("shard", "a", "b")), strict=True)}
-        first: list[np.ndarray | None] = [None] * len(found.number)
-        for shard, a, b in _by_shard(found.order):
+        windows = np.zeros(len(found.names), dtype=np.int64)
+        for shard, a, b in found.spans:
+            windows[found.places[a:b]] = [len(x) - length + 1 for x in found.names[a:b]]
+        offset = np.cumsum(windows) - windows
+        first = np.zeros(int(windows.sum()), dtype=np.int64)
+        for shard, a, b in found.spans:
             values = np.repeat(_unpack(answers[shard][0], np.int64), _unpack(answers[shard][1], np.uint16))
-            ends = np.cumsum([len(x) - length + 1 for _, x in found.order[a:b]])
-            for x, part in zip(found.order[a:b], np.split(values, ends[:-1]), strict=True):
-                first[found.number[x]] = part
+            size = windows[found.places[a:b]]
+            first[np.repeat(offset[found.places[a:b]] - (np.cumsum(size) - size), size) + np.arange(len(values))] = values
         out = []
-        for doc_id, key, raw, (begin, end, contexts) in zip(docs["doc_id"], docs["key"], docs["raw"], found.stretches, strict=True):
+        for doc_id, key, raw, (begin, end, places) in zip(docs["doc_id"], docs["key"], docs["raw"], found.stretches, strict=True):
             size, removed, spans, kept = len(raw), 0, 0, raw
-            if len(contexts):
-                starts = np.zeros(size + 1, dtype=np.int32)
-                for a, b, x in zip(begin.tolist(), end.tolist(), contexts.tolist(), strict=True):
-                    starts[a:b] = first[x] < key
-                upto = np.r_[0, np.cumsum(starts[:size])]
-                covered = upto[1:] > upto[np.maximum(np.arange(size) + 1 - length, 0)]
-                removed = int(covered.sum())
-                spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                kept = np.frombuffer(raw, np.uint8)[~covered].tobytes() if removed else raw
+            if len(places):
+                wide = end - begin
+                step = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
+                repeat = first[np.repeat(offset[places], wide) + step] < key
+                if repeat.any():
+                    starts = np.zeros(size + 1, dtype=np.int32)
+                    starts[(np.repeat(begin, wide) + step)[repeat]] = 1
+                    upto = np.cumsum(starts)
+                    covered = upto[:size].copy()
+                    covered[length:] -= upto[: size - length]
+                    covered = covered > 0
+                    removed = int(covered.sum())
+                    spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
+                    kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
             out.append((None if pd.isna(doc_id) else doc_id, size, removed, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         frame = _rows(out, names)
         return frame.astype({"doc_id": "Int64"})
