@@ -37,9 +37,9 @@ from keelson.llm.common import arrow_schema, small_batches, table
 SAMPLE_DOCUMENTS, COMMON = 16_000, 200_000
 LONG, BUCKETS = 256, 1 << 14
 #: Text bytes whose pieces share a dictionary, and pieces in a row.
-GROUP_BYTES, ROW_PIECES = 96 << 20, 1 << 14
+GROUP_BYTES, ROW_PIECES = 128 << 20, 1 << 14
 #: Parts of the table that one task takes.
-MERGED_PARTS = 3
+MERGED_PARTS = 4
 _NONE, _STARTS = 1 << 20, 1 << 20
 
 
@@ -171,7 +171,7 @@ def common_pieces(documents: DataFrame, ranks: dict[bytes, int], pattern: str, d
     return found
 
 
-CUT = "doc_ids array<long>, counts array<int>, places binary, pieces array<string>"
+CUT = "doc_ids array<long>, counts array<int>, places binary, pieces array<string>, long array<string>"
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
@@ -207,7 +207,9 @@ def _cut(documents: DataFrame, pattern: str, common: object) -> DataFrame:
             nonlocal size
             words = [x.encode().decode("latin-1") for x in places_of.own]
             for at in range(0, len(words), ROW_PIECES):
-                yield pa.RecordBatch.from_pylist([{"pieces": words[at : at + ROW_PIECES]}], schema=schema)
+                part = words[at : at + ROW_PIECES]
+                large = [x if len(x) > LONG else "" for x in part] if max(map(len, part)) > LONG else None
+                yield pa.RecordBatch.from_pylist([{"pieces": [x if len(x) <= LONG else "" for x in part] if large else part, "long": large}], schema=schema)
             while held:
                 ids, places = held.pop(0)
                 yield pa.RecordBatch.from_pylist([{"doc_ids": ids, "counts": [len(p) for p in places], "places": np.concatenate(places).tobytes()}], schema=schema)
@@ -244,9 +246,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // MERGED_PARTS)))
     table_of_ranks = spark.sparkContext.broadcast(ranks)
     schema = arrow_schema(spark, CODED)
-    short = F.transform("pieces", lambda p: F.when(F.length(p) <= LONG, p).otherwise(F.lit("")))
-    coded = _cut(rows, pattern, words).withColumn("ids", encode_pieces(short, ranks))
-    coded = coded.select("doc_ids", "counts", "places", F.when(F.exists("pieces", lambda p: F.length(p) > LONG), F.col("pieces")).alias("long"), "ids")
+    coded = _cut(rows, pattern, words).select("doc_ids", "counts", "places", "long", encode_pieces(F.col("pieces"), ranks).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, blobs = encoded.value
@@ -274,7 +274,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
             for r in batch.to_pylist():
                 if r["ids"] is not None:
                     for i, ids in enumerate(r["ids"]):
-                        if r["long"] is not None and len(r["long"][i]) > LONG:
+                        if r["long"] is not None and r["long"][i]:
                             ids = merge_long(r["long"][i].encode("latin-1"), table_of_ranks.value)
                         own_texts.append(" ".join(map(str, ids)).encode())
                         own_blobs.append(b"".join(map(vocabulary.__getitem__, ids)))
