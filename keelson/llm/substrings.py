@@ -171,43 +171,47 @@ class RunLengthIndex:
 
     def matching_statistics(self, patterns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each byte of each pattern, from the right, a text position where the longest match of what follows starts; -1 without any."""
+        order = np.argsort(-sizes, kind="stable")
+        patterns, sizes = patterns[order], sizes[order]
         m, width = patterns.shape
-        found = np.full((m, width), -1, dtype=np.int64)
-        q, sa = np.zeros(m, dtype=np.int64), np.full(m, -1, dtype=np.int64)
+        columns = np.ascontiguousarray(patterns.T).astype(np.int64)
+        found = np.full((width, m), -1, dtype=np.int64)
+        q_all, sa_all = np.zeros(m, dtype=np.int64), np.full(m, -1, dtype=np.int64)
+        last = len(self.head) - 1
         for off in range(width - 1, -1, -1):
-            live = np.flatnonzero(off < sizes)
-            if not len(live):
+            n = int(np.searchsorted(-sizes, -off, side="left"))  # those with more than off bytes
+            if not n:
                 continue
-            c = patterns[live, off].astype(np.int64)
-            j = np.searchsorted(self.key, c * self.rows + q[live], side="right") - 1
-            held = (j >= 0) & (self.head[np.maximum(j, 0)] == c)
-            inside = held & (q[live] < self.start[np.maximum(j, 0)] + self.run[np.maximum(j, 0)]) & (sa[live] >= 0)
-            nxt = np.minimum(j + 1, len(self.head) - 1)
-            has_next = (j + 1 < len(self.head)) & (self.head[nxt] == c)
-            move = np.flatnonzero(~inside)
+            c, q, sa = columns[off, :n], q_all[:n], sa_all[:n]
+            j = np.searchsorted(self.key, c * self.rows + q, side="right") - 1
+            at = np.maximum(j, 0)
+            held = (j >= 0) & (self.head[at] == c)
+            move = np.flatnonzero(~(held & (q < self.start[at] + self.run[at]) & (sa >= 0)))
             if len(move):
-                pick = j[move].copy()
-                down, up = held[move], has_next[move]
+                pick = j[move]
+                nxt = np.minimum(pick + 1, last)
+                down, up = held[move], (pick < last) & (self.head[nxt] == c[move])
                 both = np.flatnonzero(down & up)
                 if len(both):
-                    rows = live[move[both]]
+                    rows = move[both]
                     after = np.full(len(rows), off + 1)
-                    a = self.common(patterns[rows], after, self.sample_last[pick[both]])
-                    b = self.common(patterns[rows], after, self.sample_first[pick[both] + 1])
-                    up[both], down[both] = b > a, b <= a
-                rows = live[move]
-                chosen = np.where(down, pick, np.minimum(pick + 1, len(self.head) - 1))
-                q[rows] = np.where(down, self.start[chosen] + self.run[chosen] - 1, self.start[chosen])
-                sa[rows] = np.where(down, self.sample_last[chosen], np.where(up, self.sample_first[chosen], -1))
+                    here = patterns[rows]
+                    upper = self.common(here, after, self.sample_first[nxt[both]]) > self.common(here, after, self.sample_last[pick[both]])
+                    up[both], down[both] = upper, ~upper
+                chosen = np.where(down, pick, nxt)
+                q[move] = np.where(down, self.start[chosen] + self.run[chosen] - 1, self.start[chosen])
+                sa[move] = np.where(down, self.sample_last[chosen], self.sample_first[chosen])
                 j[move] = chosen
-                lost = rows[~(down | up)]
-                q[lost], j[move[~(down | up)]] = 0, -1
-            good = j >= 0
-            rows, run = live[good], j[good]
-            q[rows] = self.smaller[c[good]] + self.earlier[run] + q[rows] - self.start[run]
-            sa[rows] -= 1
-            found[rows, off] = sa[rows]
-        return found
+                lost = move[~(down | up)]
+                q[lost], sa[lost], j[lost] = 0, -1, -1
+            good = slice(None) if not len(move) or j.min() >= 0 else np.flatnonzero(j >= 0)
+            run = j[good]
+            q[good] = self.smaller[c[good]] + self.earlier[run] + q[good] - self.start[run]
+            sa[good] -= 1
+            found[off, :n] = sa
+        out = np.empty((m, width), dtype=np.int64)
+        out[order] = found.T
+        return out
 
     def least(self, patterns: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
         """For each `length`-byte window of each pattern the least of the strings' values over all of its occurrences; the
