@@ -69,3 +69,15 @@ def first_fit_decreasing(items: DataFrame, key: str, ids: list[str], cost: str,
         return rows[[key, *ids]].assign(bin=out)
 
     return items.select(key, *ids, cost).groupBy(key).applyInPandas(pack, schema)
+
+
+def linspace(n: Column, count: int) -> Column:
+    """count places spread over n items, halves to even; with fewer items the last repeats."""
+    picks = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(count)) - 1), lambda i: F.rint(i * (n - 1) / F.greatest(F.least(n, F.lit(count)) - 1, F.lit(1))).cast("int"))
+    return F.when(n > 0, F.concat(picks, F.array_repeat((n - 1).cast("int"), F.greatest(count - n, F.lit(0)).cast("int"))))
+
+
+def strided(n: Column, stride: float) -> Column:
+    """Places 0, stride, 2 * stride, ... under n, rounded half to even."""
+    steps = F.ceil(n / stride).cast("int")
+    return F.when(n > 0, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), lambda i: F.rint(i * stride).cast("int")), lambda x: x < n))

@@ -81,3 +81,22 @@ def cochran_q(rows: DataFrame, effect: str, variance: str) -> DataFrame:
 def variance_from_interval(low: Column, high: Column) -> Column:
     width = (high - low) / 3.92
     return F.greatest(width * width, F.lit(1e-12))
+
+
+def interval_at(replicates: DataFrame, value: str, low: int, high: int) -> DataFrame:
+    """Interval by order statistics at given places (from 0) of the replicates, which are a bounded few thousand."""
+    ordered = F.array_sort(F.collect_list(value))
+    return replicates.agg(ordered.alias("s")).select(F.get("s", F.lit(low)).alias("low"), F.get("s", F.lit(high)).alias("high"))
+
+
+def centred_p(replicates: DataFrame, value: str, observed: float) -> DataFrame:
+    """Two-sided p of replicates shifted to mean zero, at least 1/B and at most 1."""
+    n = F.count("*").over(W.partitionBy())
+    shifted = replicates.select((F.col(value) - F.avg(value).over(W.partitionBy())).alias("d"), n.alias("n"))
+    return shifted.agg(F.least(F.lit(1.0), F.greatest(F.try_divide(F.lit(1.0), F.max("n")), F.avg((F.abs("d") >= abs(observed) - 1e-12).cast("double")))).alias("p"))
+
+
+def sign_p(replicates: DataFrame, value: str, observed: float) -> DataFrame:
+    """Twice the share of replicates on the other side of zero, at most 1."""
+    other = F.col(value) <= 0 if observed >= 0 else F.col(value) >= 0
+    return replicates.agg(F.least(F.lit(1.0), 2 * F.avg(other.cast("double"))).alias("p"))

@@ -246,3 +246,38 @@ def x4(spark, sf):
     one = lambda c, n: rows.where(F.col("condition") == c).select("video_id", F.col("top1").alias(n))
     outcome = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "win").when(F.col("b"), "loss").otherwise("neither")
     return one("click", "a").join(one("view", "b"), "video_id").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_PAIR = {"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHEN condition = 'error' THEN top1::INT END"}
+
+
+def _difference(spark, sf, seed):
+    """Replicates of the difference d of two conditions' means, and the observed one."""
+    m, _ = _matrix(spark, sf)
+    m = m.select("video_id", F.col("click").alias("x"), F.col("error").alias("y"))
+    observed = m.agg(F.avg(F.col("x") - F.col("y"))).first()[0] or 0.0
+    return paired.resampled_means(m, "video_id", ["x", "y"], 200, seed).withColumn("d", F.round(F.col("x") - F.col("y"), 9)), observed
+
+
+@query("a21_index_interval", _boot(_PAIR, 44) + ", s AS (SELECT list_sort(list(round(x - y, 9))) AS s FROM rep) SELECT 0.0::DOUBLE + s[6] AS low, 0.0::DOUBLE + s[196] AS high FROM s")
+def a21(spark, sf):
+    rep, _ = _difference(spark, sf, 44)
+    return paired.interval_at(rep, "d", int(0.025 * 200), int(0.975 * 200))
+
+
+@query("a41_lower_index_interval", _boot(_PAIR, 7) + ", s AS (SELECT list_sort(list(round(x - y, 9))) AS s FROM rep) SELECT 0.0::DOUBLE + s[6] AS low, 0.0::DOUBLE + s[195] AS high FROM s")
+def a41(spark, sf):
+    rep, _ = _difference(spark, sf, 7)
+    return paired.interval_at(rep, "d", int(0.025 * 200), int(0.975 * 200) - 1)
+
+
+@query("a18_centred_p", _boot(_PAIR, 45) + ", o AS (SELECT avg(x - y) AS o FROM m), c AS (SELECT round(x - y, 9) AS d, avg(round(x - y, 9)) OVER () AS a FROM rep) SELECT round(least(1, greatest(1 / 200, avg((abs(d - a) >= abs(o) - 1e-12)::INT))), 9)::DOUBLE AS p FROM c, o")
+def a18(spark, sf):
+    rep, observed = _difference(spark, sf, 45)
+    return paired.centred_p(rep, "d", observed).select(F.round("p", 9).alias("p"))
+
+
+@query("a24_sign_p", _boot(_PAIR, 46) + ", o AS (SELECT avg(x - y) AS o FROM m) SELECT round(least(1, 2 * avg((CASE WHEN o >= 0 THEN round(x - y, 9) <= 0 ELSE round(x - y, 9) >= 0 END)::INT)), 9)::DOUBLE AS p FROM rep, o")
+def a24(spark, sf):
+    rep, observed = _difference(spark, sf, 46)
+    return paired.sign_p(rep, "d", observed).select(F.round("p", 9).alias("p"))

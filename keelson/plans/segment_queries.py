@@ -286,3 +286,35 @@ def n14(spark, sf):
     f = s.select("video_id").distinct().select("video_id", F.explode(F.array(F.lit(2.0), F.lit(11.0), F.lit(29.0))).alias("t"))
     kept = select.important(s).select(F.col("video_id").alias("v"), "start_s", "end_s")
     return f.join(kept, (F.col("video_id") == F.col("v")) & (F.col("t") >= F.col("start_s")) & (F.col("t") < F.col("end_s")), "left_semi")
+
+
+@query("r9_linspace", """WITH p AS (SELECT p_partkey, p_size AS n FROM part WHERE p_size > 0)
+SELECT p_partkey, list_concat([CAST(round_even(i * (n - 1) / greatest(least(n, 8) - 1, 1)::DOUBLE, 0) AS INTEGER) FOR i IN range(least(n, 8))], [CAST(n - 1 AS INTEGER) FOR i IN range(greatest(8 - n, 0))]) AS places FROM p""")
+def r9(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").where("p_size > 0").select("p_partkey", allocate.linspace(F.col("p_size"), 8).alias("places"))
+
+
+@query("r10_strided", "SELECT p_partkey, [CAST(round_even(i * 2.5::DOUBLE, 0) AS INTEGER) FOR i IN range(CAST(ceil(p_size / 2.5) AS BIGINT)) IF round_even(i * 2.5::DOUBLE, 0) < p_size] AS places FROM part WHERE p_size > 0")
+def r10(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").where("p_size > 0").select("p_partkey", allocate.strided(F.col("p_size"), 2.5).alias("places"))
+
+
+@query("r5_kept_frames", """WITH {SEG} SELECT video_id, list_sort(flatten(list(range(CAST(start_s AS BIGINT), CAST(end_s AS BIGINT))))) AS frames FROM seg WHERE label = 'important' GROUP BY video_id""")
+def r5(spark, sf):
+    frames = F.sequence(F.col("start_s").cast("long"), F.col("end_s").cast("long") - 1)
+    return select.important(segments(spark, sf)).groupBy("video_id").agg(F.array_sort(F.flatten(F.collect_list(frames))).alias("frames"))
+
+
+@query("w6_importance_cdf", "WITH {SEG} SELECT video_id, idx, round(sum(weight) OVER (PARTITION BY video_id ORDER BY idx), 6) AS cdf FROM seg")
+def w6(spark, sf):
+    order = W.partitionBy("video_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    return segments(spark, sf).select(*KEPT, F.round(F.sum("weight").over(order), 6).alias("cdf"))
+
+
+@query("n8_shared_pairs", """WITH {REC} SELECT a.condition AS a, b.condition AS b, count(*) AS n, round(avg(a.value - b.value), 6) AS gap FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition < b.condition GROUP BY a.condition, b.condition HAVING count(*) >= 10""")
+def n8(spark, sf):
+    from keelson.operators.align import unordered_pairs
+    from keelson.plans.bindings import recognition
+
+    pairs = unordered_pairs(recognition(spark, sf), "video_id", "condition", ["value"]).groupBy("a", "b")
+    return pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.col("value_a") - F.col("value_b")), 6).alias("gap")).where("n >= 10")
