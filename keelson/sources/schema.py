@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Field names of the files that are read.
 SEGMENT = "index int, start_s double, end_s double, frequency double, label string, weight double, removal_score double, drop double"
 RESPONSE = "decision string, confidence double, evidence string, rationale string, raw_output string, logit_yes double, logit_no double, logit_skip double, logit_confidence double, logit_p_skip double"
 ANNOTATION = (
