@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), merged_parts=2)
 
 
 STAGES = [

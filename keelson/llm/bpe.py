@@ -234,7 +234,7 @@ def _cut(documents: DataFrame, pattern: str, common: object) -> DataFrame:
     return documents.mapInArrow(run, CUT)
 
 
-def encode_documents(documents: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, documents_read: int = SAMPLE_DOCUMENTS, most: int = COMMON, keep_ids: bool = True) -> DataFrame:
+def encode_documents(documents: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, documents_read: int = SAMPLE_DOCUMENTS, most: int = COMMON, keep_ids: bool = True, merged_parts: int = MERGED_PARTS) -> DataFrame:
     """Per document: doc_id, n_tokens, digests of the ids and of the bytes they decode to, and the ids (null without keep_ids). No shuffle."""
     spark = documents.sparkSession
     small_batches(spark)
@@ -243,7 +243,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
     common, texts, blobs = common_pieces(rows, ranks, pattern, documents_read, most)
     words, encoded = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast((texts, blobs))
     # larger parts share more pieces
-    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // MERGED_PARTS)))
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // merged_parts)))
     table_of_ranks = spark.sparkContext.broadcast(ranks)
     schema = arrow_schema(spark, CODED)
     coded = _cut(rows, pattern, words).select("doc_ids", "counts", "places", "long", encode_pieces(F.col("pieces"), ranks).alias("ids"))
@@ -283,7 +283,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
                         all_texts, all_blobs = texts + own_texts[::-1], blobs + own_blobs[::-1]
                         lengths = np.concatenate([sizes, np.array([t.count(b" ") + 1 for t in own_texts[::-1]], dtype=np.int64)])
                         if keep_ids:
-                            flat_ids, firsts = np.array(b" ".join(all_texts).split(), dtype=np.int32), np.cumsum(lengths) - lengths
+                            flat_ids, firsts = np.fromstring(b" ".join(all_texts), dtype=np.int32, sep=" "), np.cumsum(lengths) - lengths
                     yield closed(r["doc_ids"], r["counts"], r["places"])
                 else:
                     own_texts, own_blobs, lengths = [], [], None
