@@ -37,9 +37,9 @@ from keelson.llm.common import arrow_schema, small_batches, table
 SAMPLE_DOCUMENTS, COMMON = 16_000, 200_000
 LONG, BUCKETS = 256, 1 << 14
 #: Text bytes whose pieces share a dictionary, and pieces in a row.
-GROUP_BYTES, ROW_PIECES = 128 << 20, 1 << 14
+GROUP_BYTES, ROW_PIECES = 96 << 20, 1 << 14
 #: Parts of the table that one task takes.
-MERGED_PARTS = 4
+MERGED_PARTS = 3
 _NONE, _STARTS = 1 << 20, 1 << 20
 
 
