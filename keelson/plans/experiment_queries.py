@@ -137,10 +137,10 @@ def a22(spark, sf):
     return both.agg(F.count("*").alias("n"), gap.alias("damage"), lost.alias("lost"), won.alias("won")).where("n >= 10")
 
 
-@query("a19_fraction_means", "SELECT event_type AS ordering, (day(ts) % 10) / 10 AS fraction, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(*)), 6) AS se FROM events GROUP BY ordering, fraction")
+@query("a19_fraction_means", "SELECT event_type AS ordering, (day(ts) % 10) / 10 AS fraction, round(avg(value), 9) AS mean, round(stddev_samp(value) / sqrt(count(*)), 9) AS se FROM events GROUP BY ordering, fraction")
 def a19(spark, sf):
     by = table(spark, sf, "events").groupBy(F.col("event_type").alias("ordering"), (F.dayofmonth("ts") % 10 / 10).alias("fraction"))
-    return by.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.try_divide(F.stddev_samp("value"), F.sqrt(F.count("*"))), 6).alias("se"))
+    return by.agg(F.round(F.avg("value"), 9).alias("mean"), F.round(F.try_divide(F.stddev_samp("value"), F.sqrt(F.count("*"))), 9).alias("se"))
 
 
 _CURVE = """WITH c AS (SELECT user_id, event_type AS ordering, day(ts) / 31 AS x, avg(value) AS y FROM events GROUP BY ALL), f AS (SELECT * FROM c UNION ALL SELECT DISTINCT user_id, ordering, 0.0, 0.2 FROM c),

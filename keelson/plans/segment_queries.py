@@ -311,10 +311,10 @@ def w6(spark, sf):
     return segments(spark, sf).select(*KEPT, F.round(F.sum("weight").over(order), 6).alias("cdf"))
 
 
-@query("n8_shared_pairs", """WITH {REC} SELECT a.condition AS a, b.condition AS b, count(*) AS n, round(avg(a.value - b.value), 6) AS gap FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition < b.condition GROUP BY a.condition, b.condition HAVING count(*) >= 10""")
+@query("n8_shared_pairs", """WITH {REC} SELECT a.condition AS a, b.condition AS b, count(*) AS n, round(avg(a.value - b.value), 9) + 0.0::DOUBLE AS gap FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition < b.condition GROUP BY a.condition, b.condition HAVING count(*) >= 10""")
 def n8(spark, sf):
     from keelson.operators.align import unordered_pairs
     from keelson.plans.bindings import recognition
 
     pairs = unordered_pairs(recognition(spark, sf), "video_id", "condition", ["value"]).groupBy("a", "b")
-    return pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.col("value_a") - F.col("value_b")), 6).alias("gap")).where("n >= 10")
+    return pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.col("value_a") - F.col("value_b")), 9).alias("gap")).where("n >= 10")
