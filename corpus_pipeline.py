@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, mixing, personal, quality, simhash
+from keelson.llm import bpe, mixing, near_copies, personal, quality
 from keelson.session import materialize, table
 
 
@@ -19,8 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    return simhash.keep_first(docs)
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_copies.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

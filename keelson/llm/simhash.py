@@ -195,7 +195,11 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
 def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the least doc_id (nulls last), then the least
     text digest, and one of rows that share both. All columns stay."""
-    found = near_duplicates(documents, radius, shingle)
+    return first_of_class(documents, near_duplicates(documents, radius, shingle))
+
+
+def first_of_class(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents that come first in their class; found has doc_id, digest and root."""
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")
     first = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.digest").alias("__digest"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, chat, components, fingerprints, mixing, neighbours, personal, quality, simhash, substrings, wrappers
+from keelson.llm import bpe, chat, components, fingerprints, mixing, near_copies, neighbours, personal, quality, simhash, substrings, wrappers
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, print string, key int, bucket int, tie string, ids string"
 
@@ -371,3 +371,56 @@ def test_pipeline_stages(spark):
     assert all(bin(a ^ b).count("1") > 3 for i, a in enumerate(prints) for b in prints[:i])
     assert once.columns == table.columns and corpus_pipeline.redact_personal_data(spark, once, where).count() == once.count()
     assert corpus_pipeline.run(spark, where).where(F.col("ids").isNull()).count() == 0
+
+
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def alike_classes(texts):
+    """Classes of Jaccard similarity 0.8 by all pairs, as the least place of each."""
+    sets = [five_words(t) for t in texts]
+    least = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (5 * len(a & b) >= 4 * len(a | b)) and least[i] != least[j]:
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    return least
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = "new" + str(rng.randrange(10**6))
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("part", [256, 8])
+def test_near_copies_by_all_pairs(spark, texts, monkeypatch, part):
+    monkeypatch.setattr(near_copies, "PART", part)
+    rng = random.Random(11)
+    rows = list(texts)
+    for n in (12, 60, 150, 400):
+        base = words(rng, n)
+        rows += [base.upper(), *(edited(rng, base, rng.randint(0, 1 + n // 25)) for _ in range(25))]
+    rng.shuffle(rows)
+    want = sorted(set(alike_classes(rows)))
+    got = near_copies.keep_first(docs(spark, rows))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    assert got.columns == docs(spark, rows).columns
+    assert near_copies.keep_first(docs(spark, rows).limit(0)).count() == 0
+    same = docs(spark, ["a b", "a  B", None, " "], ids=[None, None, None, 3])
+    assert near_copies.keep_first(same).count() == 2
+
+
+def test_pipeline_drops_near_copies_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    base = [words(rng, 200) for _ in range(12)]
+    rows = base + [edited(rng, t, 3) for t in base]
+    assert 5 * len(five_words(base[0]) & five_words(rows[12])) >= 4 * len(five_words(base[0]) | five_words(rows[12]))
+    kept = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(12))
