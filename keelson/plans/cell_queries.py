@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators import paired, sample
 from keelson.plans.bindings import query, recognition, segments
-from keelson.session import table
+from keelson.session import collect_all, table
 
 
 @query("f2_precheck_default", "SELECT count_if(coalesce(nullif(c_acctbal > 0, c_custkey % 3 = 0), false)) AS strict, count_if(coalesce(nullif(c_acctbal > 0, c_custkey % 3 = 0), true)) AS lenient FROM customer")
@@ -193,7 +193,7 @@ def k7(spark, sf):
     from keelson.sources.sinks import matrix
 
     r = recognition(spark, sf)
-    names = [x[0] for x in r.select("condition").distinct().orderBy("condition").limit(64).collect()]
+    names = [x[0] for x in collect_all(r.select("condition").distinct().orderBy("condition"), 64)]
     pairs = unordered_pairs(r, "video_id", "condition", ["top1"]).groupBy("a", "b").agg(F.avg((F.col("top1_a") == F.col("top1_b")).cast("int")).alias("v"))
     return matrix(pairs, "v", names).select("a", "click", "view")
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from keelson.operators import align, paired
 from keelson.operators.agreement import pearson
 from keelson.plans.bindings import all_events, query, recognition
-from keelson.session import table
+from keelson.session import collect_all, table
 
 CONDITIONS = ["click", "error", "purchase", "signup", "view"]
 
 
 def _conditions(spark, sf):
-    return [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(64).collect()]
+    return [r[0] for r in collect_all(table(spark, sf, "events").select("event_type").distinct().orderBy("event_type"), 64)]
 
 
 def _matrix(spark, sf, value="top1"):

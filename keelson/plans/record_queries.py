@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators import align, sample
 from keelson.plans.bindings import query
-from keelson.session import table
+from keelson.session import collect_all, table
 
 
 @query("n6_inner_enrichment", "SELECT o_orderpriority, count(*) AS n, round(avg(l_discount), 9) AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
@@ -142,7 +142,7 @@ def _scores(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("truth"), F.col("embedding").cast("array<double>").alias("x"))
     means = v.select("truth", F.posexplode("x").alias("i", "x")).groupBy("truth", "i").agg(F.round(F.avg("x"), 9).alias("c"))
     means = means.groupBy("truth").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
-    labels = {r["truth"]: r["c"] for r in means.limit(4096).collect()}
+    labels = {r["truth"]: r["c"] for r in collect_all(means, 4096)}
     dot = lambda c: F.round(F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), 6)
     scored = F.array(*[F.struct((-dot(c)).alias("s"), F.lit(k).alias("label")) for k, c in sorted(labels.items())])
     return v.select("vec_id", "truth", F.array_sort(scored).alias("ranked"))

@@ -36,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def collect_all(df: DataFrame, most: int) -> list:
+    """All rows of a result that has to be small; an error where there are more than `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of {', '.join(df.columns)}")
+    return rows
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession

@@ -144,3 +144,14 @@ def test_stream_windows(spark, tmp_path):
     counted = ingest.windowed_counts(stream, "ts", "2 minutes", ["kind"], "1 minute")
     counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sum(r["n"] for r in spark.table("counted").collect()) == 20
+
+
+def test_conditions_and_labels_past_their_bound_raise(spark, tmp_path):
+    from keelson.plans import experiment_queries, record_queries
+
+    spark.createDataFrame([(f"t{i:02d}",) for i in range(65)], "event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    with pytest.raises(ValueError, match="more than 64"):
+        experiment_queries._conditions(spark, str(tmp_path))
+    spark.range(4097).selectExpr("id AS vec_id", "id AS label", "array(1.0D) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(ValueError, match="more than 4096"):
+        record_queries._scores(spark, str(tmp_path))
