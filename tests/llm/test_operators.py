@@ -424,3 +424,10 @@ def test_pipeline_drops_near_copies_at_four_fifths(spark):
     assert 5 * len(five_words(base[0]) & five_words(rows[12])) >= 4 * len(five_words(base[0]) | five_words(rows[12]))
     kept = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(12))
+
+
+@pytest.mark.parametrize("tag", ['article class="post has-sidebar"', 'article id="comments-12"', 'main role="main" class="search"'])
+def test_hint_words_of_the_main_element_keep_its_text(tag):
+    name = tag.split()[0]
+    page = f'<body><nav>menu</nav><{tag}><p>one</p><section class="header-offset"><p>two</p></section><div class="cookie-notice">no</div></{name}></body>'
+    assert wrappers.extract(page, None)[0] == "one\ntwo"
