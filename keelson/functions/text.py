@@ -91,19 +91,22 @@ def _braces(text: str) -> list[str]:
 
 def _close(text: str) -> str | None:
     """Closes a cut object, dropping trailing members until it parses."""
-    for cut in [len(text), *[m.start() for m in reversed(list(re.finditer(",", text)))][:64]]:
-        piece, stack, quoted, escaped = text[:cut].rstrip().rstrip(","), [], False, False
-        for c in piece:
-            if quoted:
-                escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack:
-                stack.pop()
+    cuts, stack, quoted, escaped = [], [], False, False
+    for i, c in enumerate(text):
+        if c == ",":
+            cuts.append((i, quoted, "".join(reversed(stack))))
+        if quoted:
+            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            stack.append("}" if c == "{" else "]")
+        elif c in "}]" and stack:
+            stack.pop()
+    for cut, quoted, closers in [(len(text), quoted, "".join(reversed(stack))), *reversed(cuts)]:
+        piece = text[:cut].rstrip().rstrip(",")
         try:
-            found = json.loads(piece + '"' * quoted + "".join(reversed(stack)))
+            found = json.loads(piece + '"' * quoted + closers)
         except ValueError:
             continue
         return json.dumps(found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 from keelson.session import materialize
 
 
-def minimal_subset(segments: DataFrame, score: Callable[[DataFrame], DataFrame], least: float = 0.5, rounds: int = 1000) -> DataFrame:
+def minimal_subset(segments: DataFrame, score: Callable[[DataFrame], DataFrame], least: float = 0.5, rounds: int | None = None) -> DataFrame:
     """segments: video_id, idx. score takes (video_id, removed, kept) rows of candidate subsets and adds `p`. Each round removes, for each
     video, the segment whose removal costs least among those that leave p above `least` (the first on ties), and ends
-    a video with one segment or none removable. Returns video_id, kept, rounds."""
+    a video with one segment or none removable; no video is open after as many rounds as it has segments. `rounds` is the most
+    that are run, all where None. Returns video_id, kept, rounds."""
     now = segments.groupBy("video_id").agg(F.array_sort(F.collect_set("idx")).alias("kept")).withColumn("rounds", F.lit(0)).withColumn("open", F.lit(True))
     now = materialize(now, "subsets")
-    for number in range(1, rounds + 1):
+    for number in count(1) if rounds is None else range(1, rounds + 1):
         candidates = now.where(F.col("open") & (F.size("kept") > 1)).select("video_id", F.explode("kept").alias("removed"), F.col("kept").alias("all"))
         scored = score(candidates.select("video_id", "removed", F.array_remove("all", F.col("removed")).alias("kept")))
         best = scored.where(F.col("p") > least).withColumn("k", F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("p"), "removed"))).where("k = 1")

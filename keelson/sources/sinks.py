@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.session import collect_all
+
 ROWS_A_FILE, MEMBERS_AN_ARCHIVE = 100_000, 10_000
 
 
@@ -74,6 +76,6 @@ def matrix(pairs: DataFrame, value: str, names: list[str]) -> DataFrame:
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:
-    """A table of a small result."""
-    lines = [list(rows.columns), ["---"] * len(rows.columns)] + [["" if v is None else str(v) for v in r] for r in rows.limit(most).collect()]
+    """A table of a small result; an error where it has more than `most` rows."""
+    lines = [list(rows.columns), ["---"] * len(rows.columns)] + [["" if v is None else str(v) for v in r] for r in collect_all(rows, most)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)

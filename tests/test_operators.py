@@ -155,3 +155,20 @@ def test_conditions_and_labels_past_their_bound_raise(spark, tmp_path):
     spark.range(4097).selectExpr("id AS vec_id", "id AS label", "array(1.0D) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
     with pytest.raises(ValueError, match="more than 4096"):
         record_queries._scores(spark, str(tmp_path))
+
+
+def test_cut_json_with_many_commas_in_its_last_member():
+    cut = '{"a": 1, "b": [' + "{1, 2}, " * 100
+    assert text.repair(cut) == ('{"a": 1}', "closed")
+
+
+def test_markdown_raises_past_its_bound(spark):
+    assert sinks.markdown(spark.range(3), 3).count("\n") == 4
+    with pytest.raises(ValueError, match="more than 3"):
+        sinks.markdown(spark.range(4), 3)
+
+
+def test_minimal_subset_goes_on_past_its_former_end():
+    import inspect
+
+    assert inspect.signature(search.minimal_subset).parameters["rounds"].default is None
