@@ -96,6 +96,11 @@ def shape(text: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", text[:LONGEST_CANDIDATE])))
 
 
+def instance(text: str) -> str:
+    """The key of an instance: itself, or a prefix and the digest of the whole where it is long."""
+    return text if len(text) <= LONGEST_CANDIDATE else f"{text[:LONGEST_CANDIDATE]} {hashlib.md5(text.encode()).hexdigest()}"
+
+
 def candidates(text: str, taken: list[Span]) -> Iterator[Span]:
     """Identifier-like strings outside of taken spans, without the quotes and stops around them."""
     end = 0
@@ -138,8 +143,8 @@ def scan(documents: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 spans = base_spans(text)
                 taken = sorted(s for x in spans.values() for s in x)
-                seen = [{"instance": text[b:e][:LONGEST_CANDIDATE], "seed": True, "begin": b, "end": e, "patterns": contexts(text, b, e)} for b, e in taken]
-                seen += [{"instance": text[b:e][:LONGEST_CANDIDATE], "seed": False, "begin": b, "end": e, "patterns": contexts(text, b, e)} for b, e in candidates(text, taken)]
+                seen = [{"instance": instance(text[b:e]), "seed": True, "begin": b, "end": e, "patterns": contexts(text, b, e)} for b, e in taken]
+                seen += [{"instance": instance(text[b:e]), "seed": False, "begin": b, "end": e, "patterns": contexts(text, b, e)} for b, e in candidates(text, taken)]
                 out.append({"doc_id": doc_id, "digest": hashlib.md5(text.encode()).hexdigest(), "base": [[f"{k}:{b}:{e}" for b, e in spans[k]] for k in KINDS], "n": [len(spans[k]) for k in KINDS], "seen": seen})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)

@@ -431,3 +431,9 @@ def test_hint_words_of_the_main_element_keep_its_text(tag):
     name = tag.split()[0]
     page = f'<body><nav>menu</nav><{tag}><p>one</p><section class="header-offset"><p>two</p></section><div class="cookie-notice">no</div></{name}></body>'
     assert wrappers.extract(page, None)[0] == "one\ntwo"
+
+
+def test_long_instances_differ_past_their_prefix():
+    long = "1234567890" * 30
+    assert personal.instance(long + "a") != personal.instance(long + "b")
+    assert personal.instance("ACC-123456") == "ACC-123456"
