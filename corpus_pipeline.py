@@ -44,7 +44,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: The first two stages can't be put in SQL; tests hold the pipeline against brute force.
+#: The first two stages can't be put in SQL; tests hold the near-copy stage against brute force, but not yet the rows of run().
 ORACLE_SQL = None
 
 
