@@ -3,16 +3,22 @@
 Every byte covered by a `length`-byte string that also starts in a document with a smaller doc_id is removed. Plan:
 
 1. Anchors. Of the KMER-byte strings inside a window of `length` bytes the one with the least hash owns it, so equal windows have
-   equal owners. Documents are dealt to buckets once, and that exchange is used three times. Each bucket sends
+   equal owners at equal places. Documents are dealt to buckets once, and that exchange is used three times. Each bucket sends
    its different anchor hashes, in shards by hash; a shard answers with those that occur in more than one document.
 2. Index. A bucket sends, for those anchors only, the different contexts (the bytes of the windows that an anchor owns) with
-   the least doc_id of each. A shard so holds all windows of its anchors, and builds a Burrows-Wheeler transform of its contexts,
-   stored as runs with suffix-array samples at run ends. Matching statistics of the contexts are streamed against
-   the index, all contexts a byte at a time; a match of `length` bytes gives the least doc_id among all the occurrences of those bytes.
-3. Answers go back by bucket, as runs of least doc_ids by context, and each document removes the windows whose least doc_id is smaller.
-
-A bucket sends a context once however many of its documents hold it, so copies and common passages don't pile up in a task:
-a shard sees them once a bucket. Nothing but texts, anchors, contexts and answers is shuffled, texts once.
+   the least doc_id of each. A shard so holds all windows of its anchors. Where an anchor has contexts of several documents, the contexts
+   are ranked by their least doc_id, and each has to be compared with those of smaller rank: for each bit of the rank, contexts with
+   the bit unset go into the index and those with the bit set, and the same higher bits, are streamed against it. The anchor's
+   first byte is a symbol of its own for each such comparison, so one index serves all of them. The index is a run-compressed Burrows-Wheeler
+   transform with suffix-array samples at run ends; matching statistics are streamed, all contexts a byte at a time, and where
+   the match at the sampled place has `length` bytes, the window occurs in an earlier document. Nothing else decides.
+3. Answers go back by bucket: the least doc_id of each context and a mask of its windows that occur earlier. A document removes
+   those windows, and all windows of contexts that an earlier document has.
+
+Buckets and shards are as many as the bytes ask for, whatever the session's partitions, and a message is never empty, so there
+are never more messages than anchors. A bucket sends a context once however many of its documents hold it, so copies and common
+passages don't pile up in a task. An anchor of HOT documents or more is split by the windows it owns, each of which is
+a context of its own, so that no shard has to hold all surroundings of a very common string.
 
 Defined cases: null text is empty; texts under `length` bytes lose nothing; a null doc_id is after all others; equal doc_ids
 aren't smaller than each other, so repeated rows keep their text alike; matches never cross documents; an empty table
@@ -22,19 +28,23 @@ gives no row; extra columns are ignored; very long texts are hashed in blocks.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import shuffle_partitions, small_batches, table
+from keelson.llm.common import small_batches, table
 
 LENGTH, KMER = 50, 24
-#: Buckets and shards for each of the session's shuffle partitions, so that what a task holds stays small.
-BUCKETS, SHARDS = 1, 4
+#: Text bytes of a bucket, and shards for each bucket.
+BUCKET_BYTES, SHARDS = 12 << 20, 2
+#: Documents with an anchor from which on its windows are sent one by one.
+HOT = 1 << 16
 BLOCK = 1 << 20
+#: Symbols from here on tell comparisons apart; below are bytes, shifted by one, and the terminator zero.
+TAGS = 257
 _PLACE = np.uint64((1 << 22) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
 _LAST = np.iinfo(np.int64).max
@@ -57,6 +67,10 @@ def _kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
         tail = powers[part][at:]
         h = h[: len(tail)] * np.uint64(pow(_R, part, 1 << 64)) + tail
         at, rest = at + part, rest - part
+    return _mixed(h)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -69,8 +83,8 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :])
 
 
-def anchors(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, past the last window) of each stretch of windows with one owner."""
+def anchors(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, past the last window, place of the anchor) of each stretch of windows with one owner."""
     out: list[tuple[np.ndarray, ...]] = []
     data = np.frombuffer(raw, dtype=np.uint8)
     for begin in range(0, len(raw) - length + 1, BLOCK):
@@ -79,9 +93,9 @@ def anchors(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndar
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         # owners have small hashes; mixed again they spread over the shards
         own = h[owner[first]] * np.uint64(0xD6E8FEB86659FD93)
-        out.append(((own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), begin + first, begin + np.r_[first[1:], len(owner)]))
+        out.append(((own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), begin + first, begin + np.r_[first[1:], len(owner)], begin + owner[first]))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -91,52 +105,15 @@ def anchors(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndar
 class RunLengthIndex:
     """Burrows-Wheeler transform of a collection of short strings as runs, with suffix-array samples at both ends of each run.
 
-    Strings are rows of a zero-padded matrix, sorted suffixes end in terminators ordered by string. Positions are row * width + offset."""
+    Strings are rows of a zero-padded matrix of symbols above zero, suffixes end in terminators ordered by string. Positions are row * width + offset."""
 
-    def __init__(self, strings: np.ndarray, sizes: np.ndarray, length: int) -> None:
-        self.text, self.sizes, self.length = strings, sizes, length
+    def __init__(self, strings: np.ndarray, sizes: np.ndarray) -> None:
+        self.text, self.sizes = strings, sizes
         m, width = strings.shape
         self.width = width
-        place = np.arange(width)[None, :]
-        real = place <= sizes[:, None]
-        where = np.flatnonzero(real.ravel())
-        # ranks of suffixes by their first bytes: as many symbols as fit into a word, then as many ranks as fit
-        symbols = np.unique(strings)
-        code = np.zeros(256, dtype=np.int64)
-        code[symbols] = np.arange(len(symbols)) + (symbols[0] > 0)
-        units, depth, level, half = code[strings], 1, None, 1
-        top = len(symbols)
-        while depth < width:
-            many = min(63 // top.bit_length(), -(-width // depth))
-            key = np.zeros((m, width), dtype=np.int64)
-            for i in range(many):
-                key <<= top.bit_length()
-                if i * depth < width:
-                    key[:, : width - i * depth] |= units[:, i * depth :]
-            if depth <= length:
-                level, half = units, depth
-            depth *= many
-            if depth < width:
-                values, inverse = np.unique(key.ravel()[where], return_inverse=True)
-                top = len(values)
-                units = np.zeros(m * width, dtype=np.int64)
-                units[where] = inverse + 1
-                units = units.reshape(m, width)
-        suffixes = where[np.argsort(key.ravel()[where], kind="stable")]
-        del key, units
-        # classes of suffixes whose first `length` bytes are equal
-        level = level.ravel()
-        enough = (suffixes % width) + length <= sizes[suffixes // width]
-        same = enough[1:] & enough[:-1]
-        for shift in sorted({*range(0, length - half + 1, half), length - half}):
-            at = np.minimum(suffixes + shift, len(level) - 1)
-            same &= level[at[1:]] == level[at[:-1]]
-        del level
-        self._class = np.zeros(m * width, dtype=np.int32)
-        self._class[suffixes] = np.cumsum(np.r_[True, ~same]) - 1
-        # runs
-        first = suffixes % width == 0
-        bwt = np.where(first, 0, strings.ravel()[np.maximum(suffixes - 1, 0)]).astype(np.int64)
+        where = np.flatnonzero((np.arange(width)[None, :] <= sizes[:, None]).ravel())
+        suffixes = where[self._order(strings, where)]
+        bwt = np.where(suffixes % width == 0, 0, strings.ravel()[np.maximum(suffixes - 1, 0)]).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         ends = np.r_[starts[1:], len(bwt)]
         heads = bwt[starts]
@@ -145,19 +122,40 @@ class RunLengthIndex:
         self.head, self.start, self.run = heads[order], starts[order], (ends - starts)[order]
         self.sample_first, self.sample_last = suffixes[starts][order], suffixes[ends - 1][order]
         before = np.cumsum(self.run) - self.run
-        opens = np.searchsorted(self.head, self.head)
-        self.earlier = before - before[opens]
-        # rows that start with smaller bytes; every string has a row for its terminator
-        counts = np.bincount(bwt[bwt > 0], minlength=257)
+        self.earlier = before - before[np.searchsorted(self.head, self.head)]
+        # rows that start with smaller symbols; every string has a row for its terminator
+        counts = np.bincount(bwt[bwt > 0], minlength=TAGS)
         self.smaller = m + np.cumsum(counts) - counts
         self.key = self.head * self.rows + self.start
 
-    def common(self, patterns: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Bytes that patterns from `at` on and the text from `places` on have in common, `length` at most."""
+    @staticmethod
+    def _order(strings: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """The order of the suffixes at `where`: as many symbols as fit into a word, then as many ranks as fit."""
+        m, width = strings.shape
+        symbols, inverse = np.unique(strings, return_inverse=True)
+        units, depth, top = inverse.reshape(m, width) + (symbols[0] > 0), 1, len(symbols)
+        while True:
+            many = min(63 // top.bit_length(), -(-width // depth))
+            key = np.zeros((m, width), dtype=np.int64)
+            for i in range(many):
+                key <<= top.bit_length()
+                if i * depth < width:
+                    key[:, : width - i * depth] |= units[:, i * depth :]
+            depth *= many
+            if depth >= width:
+                return np.argsort(key.ravel()[where], kind="stable")
+            values, inverse = np.unique(key.ravel()[where], return_inverse=True)
+            top = len(values)
+            units = np.zeros(m * width, dtype=np.int64)
+            units[where] = inverse + 1
+            units = units.reshape(m, width)
+
+    def common(self, patterns: np.ndarray, at: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
+        """Symbols that patterns from `at` on and the text from `places` on have in common, `most` at most."""
         total = np.zeros(len(places), dtype=np.int64)
         alive = np.arange(len(places))
         row, off = places // self.width, places % self.width
-        for i in range(self.length):
+        for i in range(most):
             p, t = at[alive] + i, off[alive] + i
             ok = (p < patterns.shape[1]) & (t < self.width)
             alive, p, t = alive[ok], p[ok], t[ok]
@@ -169,8 +167,9 @@ class RunLengthIndex:
             total[alive] += 1
         return total
 
-    def matching_statistics(self, patterns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """For each byte of each pattern, from the right, a text position where the longest match of what follows starts; -1 without any."""
+    def matching_statistics(self, patterns: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+        """For each symbol of each pattern, from the right, a text position where the longest match of what follows (as far as
+        `most` symbols) starts; -1 without any."""
         order = np.argsort(-sizes, kind="stable")
         patterns, sizes = patterns[order], sizes[order]
         m, width = patterns.shape
@@ -179,7 +178,7 @@ class RunLengthIndex:
         q_all, sa_all = np.zeros(m, dtype=np.int64), np.full(m, -1, dtype=np.int64)
         last = len(self.head) - 1
         for off in range(width - 1, -1, -1):
-            n = int(np.searchsorted(-sizes, -off, side="left"))  # those with more than off bytes
+            n = int(np.searchsorted(-sizes, -off, side="left"))  # those with more than off symbols
             if not n:
                 continue
             c, q, sa = columns[off, :n], q_all[:n], sa_all[:n]
@@ -196,7 +195,7 @@ class RunLengthIndex:
                     rows = move[both]
                     after = np.full(len(rows), off + 1)
                     here = patterns[rows]
-                    upper = self.common(here, after, self.sample_first[nxt[both]]) > self.common(here, after, self.sample_last[pick[both]])
+                    upper = self.common(here, after, self.sample_first[nxt[both]], most) > self.common(here, after, self.sample_last[pick[both]], most)
                     up[both], down[both] = upper, ~upper
                 chosen = np.where(down, pick, nxt)
                 q[move] = np.where(down, self.start[chosen] + self.run[chosen] - 1, self.start[chosen])
@@ -213,50 +212,90 @@ class RunLengthIndex:
         out[order] = found.T
         return out
 
-    def least(self, patterns: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For each `length`-byte window of each pattern the least of the strings' values over all of its occurrences; the
-        greatest integer where it has none or past the last window."""
-        m, width = self.text.shape
-        classes = self._class.reshape(m, width)
-        windows = np.arange(width)[None, :] + self.length <= self.sizes[:, None]
-        best = np.full(int(classes.max()) + 1, _LAST)
-        np.minimum.at(best, classes[windows], np.broadcast_to(values[:, None], classes.shape)[windows])
-        out = np.full(patterns.shape, _LAST)
+    def occurs(self, patterns: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+        """For each place of each pattern whether the `length` symbols from there on occur in the text."""
+        out = np.zeros(patterns.shape, dtype=bool)
         for begin in range(0, len(patterns), 1 << 15):
             part, size = patterns[begin : begin + (1 << 15)], sizes[begin : begin + (1 << 15)]
-            found = self.matching_statistics(part, size)
-            rows, offs = np.nonzero((np.arange(part.shape[1])[None, :] + self.length <= size[:, None]) & (found >= 0))
-            places = found[rows, offs]
-            whole = self.common_rows(part, rows, offs, places)
-            out[begin + rows[whole], offs[whole]] = best[self._class[places[whole]]]
+            found = self.matching_statistics(part, size, length)
+            rows, offs = np.nonzero((np.arange(part.shape[1])[None, :] + length <= size[:, None]) & (found >= 0))
+            whole = self._equal(part, rows, offs, found[rows, offs], length)
+            out[begin + rows[whole], offs[whole]] = True
         return out
 
-    def common_rows(self, patterns: np.ndarray, rows: np.ndarray, offs: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Whether whole windows are equal to the text at places."""
-        same = (places % self.width) + self.length <= self.sizes[places // self.width]
+    def _equal(self, patterns: np.ndarray, rows: np.ndarray, offs: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+        """Those whose `length` symbols are the text's at places."""
+        keep = np.flatnonzero((places % self.width) + length <= self.sizes[places // self.width])
         flat, own, text = patterns.ravel(), rows * patterns.shape[1] + offs, self.text.ravel()
-        keep = np.flatnonzero(same)
-        for i in range(self.length):
+        for i in range(length):
             ok = flat[own[keep] + i] == text[places[keep] + i]
             if not ok.all():
                 keep = keep[ok]
-        out = np.zeros(len(places), dtype=bool)
-        out[keep] = True
-        return out
+        return keep
+
+
+def comparisons(anchor: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, tag, later): every two contexts of one anchor with different least doc_ids share exactly one tag, the
+    smaller doc_id's as earlier and the other's as later. A context has about as many tags as its anchor's contexts have bits."""
+    order = np.lexsort((least, anchor))
+    a, x = anchor[order], least[order]
+    opens = np.r_[True, a[1:] != a[:-1]]
+    step = np.cumsum(opens | np.r_[True, x[1:] != x[:-1]])
+    number = np.cumsum(opens) - 1
+    rank = step - step[opens][number]
+    out: list[tuple[np.ndarray, ...]] = []
+    tags = 0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        group = rank >> (bit + 1)
+        later = (rank >> bit & 1).astype(bool)
+        new = np.r_[True, (number[1:] != number[:-1]) | (group[1:] != group[:-1])]
+        of = np.cumsum(new) - 1
+        both = (np.bincount(of, later) > 0) & (np.bincount(of, ~later) > 0)
+        kept = np.flatnonzero(both[of])
+        out.append((order[kept], tags + (np.cumsum(both) - 1)[of[kept]], later[kept]))
+        tags += int(both.sum())
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def occurs_earlier(strings: list[bytes], anchor: np.ndarray, place: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """For each string a mask of its windows that occur in a string of its anchor with a smaller least doc_id."""
+    masks = np.zeros(len(strings), dtype=np.int64)
+    context, tag, later = comparisons(anchor, least)
+    if not len(context):
+        return masks
+    sizes = np.array([len(x) for x in strings], dtype=np.int64)
+    needed, row = np.unique(context, return_inverse=True)
+    matrix = np.zeros((len(needed), int(sizes[needed].max()) + 1), dtype=np.int32)
+    matrix[np.arange(matrix.shape[1])[None, :] < sizes[needed][:, None]] = np.frombuffer(b"".join([strings[i] for i in needed.tolist()]), np.uint8).astype(np.int32) + 1
+
+    def tagged(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        symbols = matrix[row[side]]
+        symbols[np.arange(len(symbols)), place[context[side]]] = TAGS + tag[side]
+        return symbols, sizes[context[side]]
+
+    found = RunLengthIndex(*tagged(~later)).occurs(*tagged(later), length)
+    hit, off = np.nonzero(found)
+    np.bitwise_or.at(masks, context[later][hit], np.int64(1) << off)
+    return masks
 
 
 # ---- what is sent
 
+_CODEC = "zstd"
+
 
 def _pack(values: np.ndarray) -> bytes:
     """Integers by byte planes, compressed."""
     wide = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
-    return zlib.compress(np.ascontiguousarray(wide.T).tobytes(), 1)
+    return len(wide).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(wide.T).tobytes(), codec=_CODEC, asbytes=True)
 
 
 def _unpack(blob: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(size, -1).T).tobytes(), kind)
+    size, n = np.dtype(kind).itemsize, int.from_bytes(blob[:8], "little")
+    planes = pa.decompress(blob[8:], decompressed_size=n * size, codec=_CODEC, asbytes=True)
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).tobytes(), kind)
 
 
 def _pack_sorted(values: np.ndarray) -> bytes:
@@ -271,162 +310,169 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is among sorted ones."""
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), dtype=bool)
+
+
+def _split(raw: bytes, found: tuple[np.ndarray, ...], hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Stretches, where those of hot anchors are cut into windows that are anchors of their own."""
+    hashes, begin, end, owner = found
+    common = _found(hashes, hot)
+    if not common.any():
+        return found
+    wide = np.where(common, end - begin, 1)
+    row = np.repeat(np.arange(len(wide)), wide)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(wide) - wide, wide)
+    cut = common[row]
+    start = begin[row] + step
+    own = np.array([int.from_bytes(hashlib.blake2b(raw[b : b + length], digest_size=8).digest(), "little") for b in start[cut].tolist()], dtype=np.uint64)
+    hashes = hashes[row]
+    hashes[cut] = own
+    return hashes, start, np.where(cut, start + 1, end[row]), np.where(cut, start, owner[row])
+
+
 class _Contexts:
     """The different contexts of a bucket's repeated anchors, by shard, in an order that their bytes alone decide.
     Equal contexts have equal owners, so bytes decide the shard too."""
 
-    def __init__(self, docs: pd.DataFrame, repeated: np.ndarray, shards: int, length: int, kmer: int) -> None:
+    def __init__(self, docs: pd.DataFrame, repeated: np.ndarray, hot: np.ndarray, shards: int, length: int, kmer: int) -> None:
         number: dict[bytes, int] = {}
-        shard_of: list[int] = []
         least: list[int] = []
+        hash_of: list[int] = []
+        offset_of: list[int] = []
         self.stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         nothing = (np.zeros(0, np.int64),) * 3
         for raw, key in zip(docs["raw"], docs["key"], strict=True):
-            hashes, begin, end = anchors(raw, length, kmer)
-            if not len(repeated) or not len(hashes):
+            found = anchors(raw, length, kmer)
+            kept = np.flatnonzero(_found(found[0], repeated))
+            if not len(kept):
                 self.stretches.append(nothing)
                 continue
-            at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
-            kept = np.flatnonzero(repeated[at] == hashes)
-            begin, end = begin[kept], end[kept]
+            hashes, begin, end, owner = _split(raw, tuple(x[kept] for x in found), hot, length)
             places = []
-            for shard, b, e in zip(_shard(hashes[kept], shards).tolist(), begin.tolist(), (end + (length - 1)).tolist(), strict=True):
+            for b, e, h, o in zip(begin.tolist(), (end + (length - 1)).tolist(), hashes.tolist(), (owner - begin).tolist(), strict=True):
                 place = number.setdefault(raw[b:e], len(least))
                 if place == len(least):
                     least.append(key)
-                    shard_of.append(shard)
+                    hash_of.append(h)
+                    offset_of.append(o)
                 elif key < least[place]:
                     least[place] = key
                 places.append(place)
             self.stretches.append((begin, end, np.array(places, dtype=np.int64)))
-        self.least = np.array(least, dtype=np.int64)
+        self.least, self.hashes, self.offsets = np.array(least, dtype=np.int64), np.array(hash_of, dtype=np.uint64), np.array(offset_of, dtype=np.uint8)
         names = sorted(number)
         places = np.array([number[x] for x in names], dtype=np.int64)
-        shards_in_order = np.array(shard_of, dtype=np.int64)[places] if names else places
-        by_shard = np.argsort(shards_in_order, kind="stable")
-        self.names, self.places, of = [names[i] for i in by_shard.tolist()], places[by_shard], shards_in_order[by_shard]
+        of = _shard(self.hashes[places], shards).astype(np.int64)
+        by_shard = np.argsort(of, kind="stable")
+        self.names, self.places, of = [names[i] for i in by_shard.tolist()], places[by_shard], of[by_shard]
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if names else by_shard
         #: (shard, first, past the last) in names and places
         self.spans = list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(names)][: len(starts)], strict=True))
 
 
-def _rows(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names)
+PARTS = "shard int, bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
+_NAMES = ["shard", "bucket", "kind", "a", "b", "c", "d", "e"]
+REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-PARTS = "shard int, bucket int, kind int, a binary, b binary, c binary"
-_NAMES = ["shard", "bucket", "kind", "a", "b", "c"]
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+def _rows(rows: list[tuple], names: list[str] | None = None) -> pd.DataFrame:
+    return pd.DataFrame([(*r, *[None] * (len(_NAMES) - len(r))) for r in rows] if names is None else rows, columns=names or _NAMES)
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER, keep_text: bool = True) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes that stay (kept; null without keep_text)."""
+def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER, keep_text: bool = True, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes that stay (kept; null without keep_text).
+    A window's mask has a bit for each window of a context, so length - kmer is 62 at most."""
+    if not 0 <= length - kmer <= 62:
+        raise ValueError("length - kmer must be 0 to 62")
     spark = documents.sparkSession
     small_batches(spark)
-    n = shuffle_partitions(spark) * BUCKETS
-    shards = shuffle_partitions(spark) * SHARDS
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(int(_LAST)))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n)).cast("int"))
-    dealt = rows.repartition(n, "bucket")
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // bucket_bytes))
+    shards = n * SHARDS
+    dealt = rows.withColumn("key", F.coalesce("doc_id", F.lit(int(_LAST)))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n)).cast("int"))
 
     def send_anchors(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
         found = [np.unique(anchors(raw, length, kmer)[0]) for raw in docs["raw"]]
         hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-        of = _shard(hashes, shards)
-        cuts = np.searchsorted(of, np.arange(shards + 1))
-        return _rows([(s, key[0], 0, _pack_sorted(hashes[a:b]), np.packbits(counts[a:b] > 1).tobytes(), None) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], _NAMES)
+        cuts = np.searchsorted(_shard(hashes, shards), np.arange(shards + 1))
+        return _rows([(s, key[0], 0, _pack_sorted(hashes[a:b]), _pack(counts[a:b].astype(np.uint32))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
 
     def find_repeated(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         each = [_unpack_sorted(x) for x in parts["a"]]
-        flags = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(parts["b"], each, strict=True)])
-        _, inverse, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        many = (counts > 1) | (np.bincount(inverse, flags) > 0)
+        _, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([_unpack(x, np.uint32) for x in parts["b"]]))
         out, at = [], 0
         for bucket, h in zip(parts["bucket"], each, strict=True):
-            mine = h[many[inverse[at : at + len(h)]]]
+            many = total[inverse[at : at + len(h)]]
             at += len(h)
-            if len(mine):
-                out.append((key[0], bucket, 1, _pack_sorted(mine), None, None))
-        return _rows(out, _NAMES)
+            if len(mine := h[many > 1]):
+                out.append((key[0], bucket, 1, _pack_sorted(mine), _pack_sorted(h[many >= hot])))
+        return _rows(out)
 
-    def repeated_of(parts: pd.DataFrame) -> np.ndarray:
+    def repeated_of(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         mine = parts[parts["kind"] == 1]
-        return np.sort(np.concatenate([_unpack_sorted(x) for x in mine["a"]])) if len(mine) else np.zeros(0, np.uint64)
+        return tuple(np.sort(np.concatenate([_unpack_sorted(x) for x in mine[c]])) if len(mine) else np.zeros(0, np.uint64) for c in ("a", "b"))
 
     def send_contexts(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or parts.empty:
-            return _rows([], _NAMES)
-        found, out = _Contexts(docs, repeated_of(parts), shards, length, kmer), []
+            return _rows([])
+        found, out = _Contexts(docs, *repeated_of(parts), shards, length, kmer), []
         for shard, a, b in found.spans:
-            mine = found.names[a:b]
-            out.append((shard, docs["bucket"].iloc[0], 2, b"".join(mine), bytes(len(x) - length for x in mine), _pack(found.least[found.places[a:b]])))
-        return _rows(out, _NAMES)
+            mine, at = found.names[a:b], found.places[a:b]
+            anchor = (found.hashes[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            out.append((shard, docs["bucket"].iloc[0], 2, _pack(np.frombuffer(b"".join(mine), np.uint8)), bytes(len(x) - length for x in mine), _pack(found.least[at]), _pack(anchor), _pack(found.offsets[at])))
+        return _rows(out)
 
     def index(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        least: dict[bytes, int] = {}
-        each: list[tuple[int, list[bytes]]] = []
-        for bucket, data, sizes, keys in zip(parts["bucket"], parts["a"], parts["b"], parts["c"], strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64) + length)
-            names = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            for x, k in zip(names, _unpack(keys, np.int64).tolist(), strict=True):
-                if least.get(x, _LAST) >= k:
-                    least[x] = k
-            each.append((bucket, names))
-        strings = sorted(least)
-        number = {x: i for i, x in enumerate(strings)}
-        sizes = np.array([len(x) for x in strings], dtype=np.int64)
-        width = int(sizes.max()) + 1
-        # bytes are shifted by one, zero is the terminator; a byte 255 never occurs in UTF-8
-        matrix = np.zeros((len(strings), width), dtype=np.uint8)
-        matrix[np.arange(width)[None, :] < sizes[:, None]] = np.frombuffer(b"".join(strings), np.uint8) + 1
-        first = RunLengthIndex(matrix, sizes, length).least(matrix, sizes, np.array([least[x] for x in strings], dtype=np.int64))
-        windows = np.arange(width)[None, :] < (sizes - length + 1)[:, None]
-        out = []
-        for bucket, names in each:
-            mine = np.array([number[x] for x in names])
-            values = first[mine][windows[mine]]
-            opens = np.zeros(len(values), dtype=bool)
-            opens[np.cumsum(np.r_[0, (sizes[mine] - length + 1)[:-1]])] = True
-            opens[1:] |= values[1:] != values[:-1]
-            at = np.flatnonzero(opens)
-            out.append((key[0], bucket, 3, _pack(values[at]), _pack(np.diff(np.r_[at, len(values)]).astype(np.uint16)), None))
-        return _rows(out, _NAMES)
+        number: dict[bytes, int] = {}
+        each: list[tuple[int, np.ndarray]] = []
+        columns: tuple[list[np.ndarray], ...] = ([], [], [])
+        for bucket, data, sizes, *packed in zip(*(parts[c] for c in ("bucket", "a", "b", "c", "d", "e")), strict=True):
+            data, ends = _unpack(data, np.uint8).tobytes(), np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64) + length)
+            mine = [number.setdefault(data[a:b], len(number)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            each.append((bucket, np.array(mine, dtype=np.int64)))
+            for x, blob, kind in zip(columns, packed, (np.int64, np.uint32, np.uint8), strict=True):
+                x.append(_unpack(blob, kind))
+        of = np.concatenate([x for _, x in each])
+        least = np.full(len(number), _LAST)
+        np.minimum.at(least, of, np.concatenate(columns[0]))
+        anchor, place = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
+        anchor[of], place[of] = np.concatenate(columns[1]), np.concatenate(columns[2])
+        masks = occurs_earlier(list(number), anchor, place, least, length)
+        return _rows([(key[0], bucket, 3, _pack(least[mine]), _pack(masks[mine])) for bucket, mine in each])
 
     def remove(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         if docs.empty:
             return _rows([], names)
-        found = _Contexts(docs, repeated_of(parts), shards, length, kmer)
+        found = _Contexts(docs, *repeated_of(parts), shards, length, kmer)
         answers = {s: (a, b) for s, a, b in zip(*(parts[parts["kind"] == 3][c] for c in ("shard", "a", "b")), strict=True)}
-        windows = np.zeros(len(found.names), dtype=np.int64)
-        for shard, a, b in found.spans:
-            windows[found.places[a:b]] = [len(x) - length + 1 for x in found.names[a:b]]
-        offset = np.cumsum(windows) - windows
-        first = np.zeros(int(windows.sum()), dtype=np.int64)
+        least, masks = np.zeros(len(found.names), dtype=np.int64), np.zeros(len(found.names), dtype=np.int64)
         for shard, a, b in found.spans:
-            values = np.repeat(_unpack(answers[shard][0], np.int64), _unpack(answers[shard][1], np.uint16))
-            size = windows[found.places[a:b]]
-            first[np.repeat(offset[found.places[a:b]] - (np.cumsum(size) - size), size) + np.arange(len(values))] = values
+            at = found.places[a:b]
+            least[at], masks[at] = (_unpack(x, np.int64) for x in answers[shard])
         out = []
         for doc_id, key, raw, (begin, end, places) in zip(docs["doc_id"], docs["key"], docs["raw"], found.stretches, strict=True):
             size, removed, spans, kept = len(raw), 0, 0, raw
-            if len(places):
-                wide = end - begin
+            mask = np.where(least[places] < key, np.int64(-1), masks[places])
+            some = np.flatnonzero(mask)
+            if len(some):
+                begin, wide, mask = begin[some], (end - begin)[some], mask[some]
                 step = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
-                repeat = first[np.repeat(offset[places], wide) + step] < key
-                if repeat.any():
-                    starts = np.zeros(size + 1, dtype=np.int32)
-                    starts[(np.repeat(begin, wide) + step)[repeat]] = 1
-                    upto = np.cumsum(starts)
-                    covered = upto[:size].copy()
-                    covered[length:] -= upto[: size - length]
-                    covered = covered > 0
-                    removed = int(covered.sum())
-                    spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                    kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
+                repeat = (np.repeat(mask, wide) >> step & 1).astype(bool)
+                starts = np.zeros(size + 1, dtype=np.int32)
+                starts[(np.repeat(begin, wide) + step)[repeat]] = 1
+                upto = np.cumsum(starts)
+                covered = upto[:size].copy()
+                covered[length:] -= upto[: size - length]
+                covered = covered > 0
+                removed = int(covered.sum())
+                spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
+                kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
             out.append((None if pd.isna(doc_id) else doc_id, size, removed, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-        frame = _rows(out, names)
-        return frame.astype({"doc_id": "Int64"})
+        return _rows(out, names).astype({"doc_id": "Int64"})
 
     hashes = dealt.groupBy("bucket").applyInPandas(send_anchors, PARTS)
     repeated = hashes.groupBy("shard").applyInPandas(find_repeated, PARTS)

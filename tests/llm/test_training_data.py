@@ -122,25 +122,58 @@ def brute_repeats(rows, length=50):
 
 def test_substrings(spark, texts):
     ids = [*range(len(texts) - 3), None, 5, 5]
-    got = substrings.remove_repeats(docs(spark, texts, ids=ids)).collect()
     want = brute_repeats([(i, (t or "").encode()) for i, t in zip(ids, texts)])
-    assert sorted([(r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got], key=str) == want
+    for options in ({}, {"bucket_bytes": 3000}, {"bucket_bytes": 3000, "hot": 2}):
+        got = substrings.remove_repeats(docs(spark, texts, ids=ids), **options).collect()
+        assert sorted([(r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got], key=str) == want
     assert substrings.remove_repeats(docs(spark, texts).limit(0)).count() == 0
 
 
-def test_run_length_index_statistics():
-    rng = np.random.default_rng(4)
-    strings = sorted({bytes(rng.integers(1, 4, rng.integers(12, 30)).astype(np.uint8)) for _ in range(200)})
+def test_substrings_of_common_phrases(spark):
+    """One phrase in many surroundings, near copies and a very long text: many contexts an anchor, and chains of them."""
+    rng = random.Random(14)
+    phrase, base = words(rng, 9), words(rng, 80)
+    rows = [f"{words(rng, rng.randint(0, 9))} {phrase[rng.randint(0, 9) :]} {words(rng, rng.randint(0, 9))}" for _ in range(60)]
+    rows += [edited(rng, base, rng.randint(0, 4)) for _ in range(30)] + [" ".join(rows[:20]) * 3]
+    rng.shuffle(rows)
+    want = brute_repeats([(i, t.encode()) for i, t in enumerate(rows)])
+    for options in ({}, {"hot": 5, "bucket_bytes": 2000}):
+        got = substrings.remove_repeats(docs(spark, rows), **options).collect()
+        assert sorted([(r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got], key=str) == want
+
+
+def matrix_of(strings):
     sizes = np.array([len(x) for x in strings])
-    matrix = np.zeros((len(strings), 31), np.uint8)
+    matrix = np.zeros((len(strings), sizes.max() + 1), np.int32)
     for i, x in enumerate(strings):
         matrix[i, : len(x)] = np.frombuffer(x, np.uint8)
-    index = substrings.RunLengthIndex(matrix, sizes, 10)
-    assert len(index.head) < index.rows
-    got = index.least(matrix, sizes, np.arange(len(strings)))
-    for i, x in enumerate(strings):
-        for k in range(len(x) - 9):
-            assert got[i, k] == min(j for j, y in enumerate(strings) if x[k : k + 10] in y)
+    return matrix, sizes
+
+
+def test_run_length_index_statistics():
+    """Strings that aren't in the index: the sampled place has the longest match, and `occurs` is what is in the text."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: [bytes(rng.integers(1, 4, rng.integers(12, 30)).astype(np.uint8)) for _ in range(n)]
+    strings, others = draw(200), draw(150)
+    index = substrings.RunLengthIndex(*matrix_of(strings))
+    assert len(index.head) < index.rows and len(index.sample_first) == len(index.sample_last) == len(index.head)
+    places = index.matching_statistics(*matrix_of(others), 10)
+    got = index.occurs(*matrix_of(others), 10)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for i, x in enumerate(others):
+        for k in range(len(x)):
+            best = max(common(x[k : k + 10], y[j:]) for y in strings for j in range(len(y)))
+            at = places[i, k]
+            assert min(10, common(x[k:], strings[at // index.width][at % index.width :])) == best
+            assert got[i, k] == (best == 10)
+
+
+def test_each_two_contexts_are_compared_once():
+    rng = np.random.default_rng(3)
+    anchor, least = rng.integers(0, 6, 90), rng.integers(0, 20, 90)
+    context, tag, later = substrings.comparisons(anchor, least)
+    met = sorted((int(a), int(b)) for t in set(tag.tolist()) for a in context[(tag == t) & ~later] for b in context[(tag == t) & later])
+    assert met == sorted((i, j) for i in range(90) for j in range(90) if anchor[i] == anchor[j] and least[i] < least[j])
 
 
 def test_anchor_blocks(monkeypatch):
