@@ -7,9 +7,9 @@ Every byte covered by a `length`-byte string that also starts in a document with
    its different anchor hashes, in shards by hash; a shard answers with those that occur in more than one document.
 2. Index. A bucket sends, for those anchors only, the different contexts (the bytes of the windows that an anchor owns) with
    the least doc_id of each. A shard so holds all windows of its anchors. Where an anchor has contexts of several documents, the contexts
-   are ranked by their least doc_id, and each has to be compared with those of smaller rank: for each bit of the rank, contexts with
+   are grouped by the bytes next to the anchor, of which they have to share half, and ranked by their least doc_id. Each has to be compared with those of smaller rank: for each bit of the rank, contexts with
    the bit unset go into the index and those with the bit set, and the same higher bits, are streamed against it. The anchor's
-   first byte is a symbol of its own for each such comparison, so one index serves all of them. The index is a run-compressed Burrows-Wheeler
+   first byte is a symbol of its own for each such comparison, so one index serves many of them. The index is a run-compressed Burrows-Wheeler
    transform with suffix-array samples at run ends; matching statistics are streamed, all contexts a byte at a time, and where
    the match at the sampled place has `length` bytes, the window occurs in an earlier document. Nothing else decides.
 3. Answers go back by bucket: the least doc_id of each context and a mask of its windows that occur earlier. A document removes
@@ -41,7 +41,9 @@ LENGTH, KMER = 50, 24
 #: Text bytes of a bucket, and shards for each bucket.
 BUCKET_BYTES, SHARDS = 12 << 20, 2
 #: Documents with an anchor from which on its windows are sent one by one.
-HOT = 1 << 16
+HOT = 1 << 14
+#: Strings that are compared in one index.
+PART = 1 << 14
 BLOCK = 1 << 20
 #: Symbols from here on tell comparisons apart; below are bytes, shifted by one, and the terminator zero.
 TAGS = 257
@@ -143,7 +145,12 @@ class RunLengthIndex:
                     key[:, : width - i * depth] |= units[:, i * depth :]
             depth *= many
             if depth >= width:
-                return np.argsort(key.ravel()[where], kind="stable")
+                order = np.argsort(key.ravel()[where])
+                last = key.ravel()[where[order]]
+                tied = np.flatnonzero(np.r_[False, last[1:] == last[:-1]] | np.r_[last[1:] == last[:-1], False])
+                # equal suffixes by string; the sort isn't stable since that is much slower
+                order[tied] = order[tied][np.lexsort((order[tied], last[tied]))]
+                return order
             values, inverse = np.unique(key.ravel()[where], return_inverse=True)
             top = len(values)
             units = np.zeros(m * width, dtype=np.int64)
@@ -234,50 +241,79 @@ class RunLengthIndex:
         return keep
 
 
-def comparisons(anchor: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, tag, later): every two contexts of one anchor with different least doc_ids share exactly one tag, the
-    smaller doc_id's as earlier and the other's as later. A context has about as many tags as its anchor's contexts have bits."""
-    order = np.lexsort((least, anchor))
-    a, x = anchor[order], least[order]
-    opens = np.r_[True, a[1:] != a[:-1]]
+def comparisons(group: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, tag, later): every two members of one group with different least doc_ids share exactly one tag, the
+    smaller doc_id's as earlier and the other's as later. A member has no more tags than its group's size has bits."""
+    order = np.lexsort((least, group))
+    g, x = group[order], least[order]
+    opens = np.r_[True, g[1:] != g[:-1]]
     step = np.cumsum(opens | np.r_[True, x[1:] != x[:-1]])
     number = np.cumsum(opens) - 1
     rank = step - step[opens][number]
-    out: list[tuple[np.ndarray, ...]] = []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     tags = 0
     for bit in range(int(rank.max(initial=0)).bit_length()):
-        group = rank >> (bit + 1)
-        later = (rank >> bit & 1).astype(bool)
-        new = np.r_[True, (number[1:] != number[:-1]) | (group[1:] != group[:-1])]
-        of = np.cumsum(new) - 1
+        block, later = rank >> (bit + 1), (rank >> bit & 1).astype(bool)
+        of = np.cumsum(np.r_[True, (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) - 1
         both = (np.bincount(of, later) > 0) & (np.bincount(of, ~later) > 0)
         kept = np.flatnonzero(both[of])
         out.append((order[kept], tags + (np.cumsum(both) - 1)[of[kept]], later[kept]))
         tags += int(both.sum())
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def occurs_earlier(strings: list[bytes], anchor: np.ndarray, place: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+def _sides(matrix: np.ndarray, sizes: np.ndarray, anchor: np.ndarray, place: np.ndarray, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, group): strings of one anchor that share a window have at least half of its bytes outside of the anchor in common on
+    one side of it, so they share a group by those bytes; strings that are alone in a group are left out."""
+    flat, width = matrix.ravel(), matrix.shape[1]
+    far = (length - kmer + 1) // 2
+    contexts, groups = [], []
+    for side in (0, 1):
+        rows = np.flatnonzero(place >= far if not side else sizes - place - kmer >= far)
+        h = anchor[rows].astype(np.uint64) * np.uint64(2) + np.uint64(side)
+        first = rows * width + place[rows] + (kmer if side else -far)
+        for i in range(far):
+            h = _mixed(h * np.uint64(_R) + flat[first + i].astype(np.uint64))
+        _, of, counts = np.unique(h, return_inverse=True, return_counts=True)
+        kept = counts[of] > 1
+        contexts.append(rows[kept])
+        groups.append(h[kept])
+    return np.concatenate(contexts), np.concatenate(groups)
+
+
+def occurs_earlier(strings: list[bytes], anchor: np.ndarray, place: np.ndarray, least: np.ndarray, length: int, kmer: int) -> np.ndarray:
     """For each string a mask of its windows that occur in a string of its anchor with a smaller least doc_id."""
     masks = np.zeros(len(strings), dtype=np.int64)
-    context, tag, later = comparisons(anchor, least)
-    if not len(context):
+    _, of, counts = np.unique(anchor, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(counts[of] > 1)
+    if not len(some):
+        return masks
+    sizes, place = np.array([len(strings[i]) for i in some.tolist()], dtype=np.int64), place[some]
+    matrix = np.zeros((len(some), int(sizes.max()) + 1), dtype=np.int32)
+    matrix[np.arange(matrix.shape[1])[None, :] < sizes[:, None]] = np.frombuffer(b"".join([strings[i] for i in some.tolist()]), np.uint8).astype(np.int32) + 1
+    member, group = _sides(matrix, sizes, anchor[some], place, length, kmer)
+    if not len(member):
+        return masks
+    entry, tag, later = comparisons(group, least[some][member])
+    context = member[entry]
+    order = np.argsort(tag, kind="stable")
+    context, tag, later = context[order], tag[order], later[order]
+    if not len(tag):
         return masks
-    sizes = np.array([len(x) for x in strings], dtype=np.int64)
-    needed, row = np.unique(context, return_inverse=True)
-    matrix = np.zeros((len(needed), int(sizes[needed].max()) + 1), dtype=np.int32)
-    matrix[np.arange(matrix.shape[1])[None, :] < sizes[needed][:, None]] = np.frombuffer(b"".join([strings[i] for i in needed.tolist()]), np.uint8).astype(np.int32) + 1
-
-    def tagged(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        symbols = matrix[row[side]]
-        symbols[np.arange(len(symbols)), place[context[side]]] = TAGS + tag[side]
-        return symbols, sizes[context[side]]
-
-    found = RunLengthIndex(*tagged(~later)).occurs(*tagged(later), length)
-    hit, off = np.nonzero(found)
-    np.bitwise_or.at(masks, context[later][hit], np.int64(1) << off)
+    # a part holds whole comparisons, and more than PART strings only for one that has more
+    opens = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1]])
+    cuts = np.unique(np.searchsorted(opens, np.arange(0, len(tag), PART)))
+    cuts = opens[cuts[cuts < len(opens)]].tolist()
+
+    def tagged(rows: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        symbols = matrix[rows]
+        symbols[np.arange(len(rows)), place[rows]] = TAGS + tags
+        return symbols, sizes[rows]
+
+    for a, b in zip(cuts, [*cuts[1:], len(tag)], strict=True):
+        c, t, x = context[a:b], tag[a:b] - tag[a], later[a:b]
+        hit, off = np.nonzero(RunLengthIndex(*tagged(c[~x], t[~x])).occurs(*tagged(c[x], t[x]), length))
+        np.bitwise_or.at(masks, some[c[x][hit]], np.int64(1) << off)
     return masks
 
 
@@ -440,7 +476,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
         np.minimum.at(least, of, np.concatenate(columns[0]))
         anchor, place = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
         anchor[of], place[of] = np.concatenate(columns[1]), np.concatenate(columns[2])
-        masks = occurs_earlier(list(number), anchor, place, least, length)
+        masks = occurs_earlier(list(number), anchor, place, least, length, kmer)
         return _rows([(key[0], bucket, 3, _pack(least[mine]), _pack(masks[mine])) for bucket, mine in each])
 
     def remove(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:

@@ -168,6 +168,21 @@ def test_run_length_index_statistics():
             assert got[i, k] == (best == 10)
 
 
+def test_masks_of_windows_that_occur_earlier(monkeypatch):
+    """Parts of a few strings each, and anchors of many contexts, against all pairs."""
+    rng = np.random.default_rng(6)
+    kmer, length = b"kkkk", 10
+    strings = sorted({bytes(rng.integers(97, 99, rng.integers(0, 7)).astype(np.uint8)) + kmer + bytes(rng.integers(97, 99, 6).astype(np.uint8)) for _ in range(200)})
+    least, place = rng.integers(0, 60, len(strings)), np.array([x.index(kmer) for x in strings])
+    anchor = rng.integers(0, 3, len(strings))
+    want = [sum(1 << k for k in range(len(x) - length + 1) if any(least[j] < least[i] and anchor[i] == anchor[j] and x[k : k + length] in y for j, y in enumerate(strings))) for i, x in enumerate(strings)]
+    want = [w & ((1 << place[i] + 1) - 1) for i, w in enumerate(want)]
+    for part in (1 << 14, 5):
+        monkeypatch.setattr(substrings, "PART", part)
+        got = substrings.occurs_earlier(strings, anchor, place, least, length, 4)
+        assert [int(g) & ((1 << place[i] + 1) - 1) for i, g in enumerate(got)] == want
+
+
 def test_each_two_contexts_are_compared_once():
     rng = np.random.default_rng(3)
     anchor, least = rng.integers(0, 6, 90), rng.integers(0, 20, 90)
