@@ -3,9 +3,12 @@
 PIVOTS vectors, taken by a hash of all vectors, stand for places. Each vector is represented by its PREFIX nearest pivots in order
 (a permutation prefix), and posted under each of them with its position there: pivot inverted files. A query merges
 the lists of its own nearest pivots and ranks what it meets by footrule distance, the sum of the differences of the
-positions, where a missing pivot counts as position PREFIX. The best SHARE of a block (CANDIDATES at least) is reranked by the exact inner product in double
-precision. The index is kept in blocks of BLOCK vectors; blocks of QUERIES queries are set against all of them, so
-no task holds more than a block of both, and a block's lists are built where they are used.
+positions, where a missing pivot counts as position PREFIX. The best candidates are reranked by the exact inner product in double
+precision; there are GROWTH times the square root of all vectors of them, 10 k at least, so the share that is scored exactly falls as the table grows.
+
+The index is a table, built and written once, with a row for each block of BLOCK vectors: their ids, vectors and inverted files. Sets of
+QUERIES queries are set against all blocks, so no task holds more than a block and a set. Merging the lists costs a query
+PREFIX**2 / PIVOTS additions for each vector: the queries are a share of all rows, so that part grows with the square of the table.
 
 Many copies of one vector don't crowd out others: of equal vectors only the k + 1 smallest vec_ids can be among
 the nearest k, and only those are indexed (every different vector is). Recall at 20 is measured in tests against brute force.
@@ -18,16 +21,19 @@ rows are one candidate; an empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.llm.common import materialize, table
 
-PIVOTS, PREFIX, SHARE, CANDIDATES = 256, 64, 6, 512
-BLOCK, QUERIES = 8192, 4096
+PIVOTS, PREFIX, GROWTH = 512, 128, 5
+BLOCK, QUERIES = 8192, 8192
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -46,64 +52,98 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 class InvertedFiles:
-    """For each pivot, which vectors have it in their prefix, and where."""
+    """For each pivot, which vectors of a block have it in their prefix, and where."""
+
+    def __init__(self, rows: np.ndarray, places: np.ndarray, starts: np.ndarray, prefix: int, size: int) -> None:
+        self.rows, self.places, self.starts, self.prefix, self.size = rows, places, starts, prefix, size
 
-    def __init__(self, x: np.ndarray, pivots: np.ndarray, prefix: int) -> None:
-        self.x, self.pivots, self.prefix = x, pivots, min(prefix, len(pivots))
-        order = prefixes(x, pivots, self.prefix)
-        flat = order.ravel()
-        by_pivot = np.argsort(flat, kind="stable")
-        self.rows, self.places = by_pivot // self.prefix, by_pivot % self.prefix
-        self.starts = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
+    @classmethod
+    def of(cls, x: np.ndarray, pivots: np.ndarray, prefix: int) -> InvertedFiles:
+        order = prefixes(x, pivots, prefix)
+        by_pivot = np.argsort(order.ravel(), kind="stable")
+        starts = np.searchsorted(order.ravel()[by_pivot], np.arange(len(pivots) + 1))
+        return cls((by_pivot // order.shape[1]).astype(np.int32), (by_pivot % order.shape[1]).astype(np.int16), starts, order.shape[1], len(x))
 
-    def nearest(self, own: np.ndarray, q: np.ndarray, count: int) -> np.ndarray:
+    def nearest(self, own: np.ndarray, count: int) -> np.ndarray:
         """Rows with the least footrule distance to a query whose prefix is `own`: a shared pivot saves
         2 * prefix - i - j of the distance without it and costs |i - j|."""
-        n = len(self.x)
-        if n <= count:
-            return np.arange(n)
+        if self.size <= count:
+            return np.arange(self.size)
         spans = [slice(self.starts[p], self.starts[p + 1]) for p in own]
         rows = np.concatenate([self.rows[s] for s in spans])
         saved = np.concatenate([2 * self.prefix - i - self.places[s] - np.abs(self.places[s] - i) for i, s in enumerate(spans)])
-        total = np.bincount(rows, saved, minlength=n)
-        return np.argpartition(-total, count - 1)[:count]
-
-    def search(self, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: int, least: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        own = prefixes(queries, self.pivots, self.prefix)
-        count = max(least, -(-len(self.x) // share))
-        out = []
-        for query_id, q, o in zip(query_ids, queries, own, strict=True):
-            near = self.nearest(o, q, count)
-            near = near[ids[near] != query_id]
-            score = (self.x[near] * q).sum(axis=1)
-            best = np.lexsort((ids[near], -score))[:k]
-            out.append((query_id, ids[near][best], score[best]))
-        return out
-
-
-def search(vectors: DataFrame, every: int, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: int = SHARE, least: int = CANDIDATES) -> DataFrame:
+        return np.argpartition(-np.bincount(rows, saved, minlength=self.size), count - 1)[:count]
+
+
+def _matrix(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.float64).reshape(n, -1)
+
+
+BLOCKS = "block long, ids binary, vectors binary, rows binary, places binary, starts binary, prefix int"
+
+
+def index(vectors: DataFrame, pivots: np.ndarray, n_blocks: int, prefix: int = PREFIX) -> DataFrame:
+    """The permutation index of vec_id, embedding: a row a block, with its vectors and their inverted files."""
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["embedding"].to_list()).astype(np.float64)
+        files = InvertedFiles.of(x, pivots, prefix)
+        parts = (rows["vec_id"].to_numpy(np.int64), x, files.rows, files.places, files.starts.astype(np.int64))
+        return pd.DataFrame([(key[0], *(np.ascontiguousarray(v).tobytes() for v in parts), files.prefix)], columns=["block", "ids", "vectors", "rows", "places", "starts", "prefix"])
+
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+    return materialize(dealt.groupBy("block").applyInPandas(build, BLOCKS), "index")
+
+
+def _asked(queries: DataFrame, pivots: np.ndarray, n_sets: int, prefix: int) -> DataFrame:
+    """A row for each set of queries: their ids, vectors and prefixes."""
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["embedding"].to_list()).astype(np.float64)
+        own = prefixes(x, pivots, prefix).astype(np.int32)
+        return pd.DataFrame([(key[0], rows["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes(), np.ascontiguousarray(own).tobytes())], columns=["set", "query_ids", "queries", "own"])
+
+    dealt = queries.withColumn("set", F.pmod(F.xxhash64("vec_id"), F.lit(n_sets)))
+    return dealt.groupBy("set").applyInPandas(build, "set long, query_ids binary, queries binary, own binary")
+
+
+def candidates_of_block(n: int, n_blocks: int, k: int, growth: float) -> int:
+    """Candidates that a block gives a query: its part of all, and three standard deviations of what chance puts there."""
+    part = max(10 * k, growth * n**0.5) / n_blocks
+    return int(np.ceil(part + (3 * part**0.5 if n_blocks > 1 else 0)))
+
+
+def search(vectors: DataFrame, every: int, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, growth: float = GROWTH, block: int = BLOCK) -> DataFrame:
     """The k nearest of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score."""
     rows = materialize(valid(vectors), "vectors")
     n, asked = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     places = np.array([r[0] for r in rows.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(pivots).collect()], dtype=np.float64)
-    n_blocks, n_sets = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERIES))
+    n_blocks, n_sets = max(1, -(-n // block)), max(1, -(-asked // QUERIES))
     first = W.partitionBy("embedding").orderBy("vec_id")
-    indexed = rows.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy")
-    indexed = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1))))
-    asking = rows.where(F.col("vec_id") % every == 0).withColumnsRenamed({"vec_id": "query_id"})
-    asking = asking.withColumn("set", F.pmod(F.xxhash64("query_id"), F.lit(n_sets)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-
-    def run(block: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        if block.empty or questions.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        index = InvertedFiles(np.stack(block["embedding"].to_list()).astype(np.float64), places, prefix)
-        found = index.search(block["vec_id"].to_numpy(), questions["query_id"].to_numpy(), np.stack(questions["embedding"].to_list()).astype(np.float64), k, share, least)
-        return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
-
-    met = indexed.groupBy("block", "set").cogroup(asking.groupBy("block", "set")).applyInPandas(run, FOUND)
+    once = rows.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy")
+    count = candidates_of_block(n, n_blocks, k, growth)
+    blocks = index(once, places, n_blocks, prefix).withColumn("set", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sets - 1).cast("long"))))
+    sets = _asked(rows.where(F.col("vec_id") % every == 0), places, n_sets, prefix).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, query_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
+                x, queries = _matrix(r["vectors"], len(ids)), _matrix(r["queries"], len(query_ids))
+                own = np.frombuffer(r["own"], np.int32).reshape(len(query_ids), -1)
+                files = InvertedFiles(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["places"], np.int16), np.frombuffer(r["starts"], np.int64), r["prefix"], len(ids))
+                out = []
+                for query_id, q, o in zip(query_ids, queries, own, strict=True):
+                    near = files.nearest(o, count)
+                    near = near[ids[near] != query_id]
+                    score = (x[near] * q).sum(axis=1)
+                    best = np.lexsort((ids[near], -score))[:k]
+                    out.append((np.full(len(best), query_id), ids[near][best], score[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    met = blocks.join(sets, ["block", "set"]).mapInArrow(run, FOUND)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,7 +297,35 @@ def test_alignment_generalises():
 # neighbours
 
 
-def test_neighbours_recall_and_edges(spark):
+def nearest_by_brute_force(x, ids, q, k):
+    score = (x * x[q]).sum(axis=1)
+    score[q] = -np.inf
+    best = np.lexsort((ids, -score))[:k]
+    return ids[best].tolist(), score[best]
+
+
+@pytest.mark.parametrize("kind", ["embeddings", "clusters", "blocks"])
+def test_recall_at_twenty(spark, kind):
+    """Recall of the registered query's parameters, and the share of vectors that is scored exactly."""
+    if kind == "clusters":
+        rng = np.random.default_rng(2)
+        x = rng.normal(size=(40, 24))[rng.integers(0, 40, 6000)] + 0.3 * rng.normal(size=(6000, 24))
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    else:
+        table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+        x = np.array([r["embedding"] for r in table.orderBy("vec_id").collect()], dtype=np.float64)
+    ids, block = np.arange(len(x)), 500 if kind == "blocks" else neighbours.BLOCK
+    got = {}
+    for r in neighbours.search(table, every=20, block=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = [len({*got[q]} & {*nearest_by_brute_force(x, ids, q, 20)[0]}) / 20 for q in range(0, len(x), 20)]
+    n_blocks = -(-len(x) // block)
+    share = neighbours.candidates_of_block(len(x), n_blocks, 20, neighbours.GROWTH) * n_blocks / len(x)
+    print(f"{kind}: recall {np.mean(hits):.3f}, share scored exactly {share:.3f}")
+    assert np.mean(hits) >= 0.9 and share <= 0.2
+
+
+def test_neighbours_edges(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x[100:160] = x[7]
@@ -306,16 +334,13 @@ def test_neighbours_recall_and_edges(spark):
     got = {}
     for r in neighbours.search(table, every=20, k=10).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    wide, hits = x.astype(np.float64), 0
+    wide = x.astype(np.float64)
     assert sorted(got) == list(range(0, 3000, 20))
     for q, found in got.items():
-        score = (wide * wide[q]).sum(axis=1)
-        score[q] = -np.inf
-        hits += len({i for i, _ in found} & set(np.lexsort((np.arange(3000), -score))[:10].tolist()))
-        assert len(found) == 10 and all(abs(score[i] - s) < 1e-12 for i, s in found)
-    assert hits / (10 * len(got)) >= 0.9
+        assert len(found) == 10 and all(abs((wide[i] * wide[q]).sum() - s) < 1e-12 for i, s in found)
     assert [i for i, _ in got[140]] == [7, *range(100, 109)]
     assert neighbours.search(table.limit(0), every=20).count() == 0
+    assert neighbours.search(table.limit(5), every=1).count() == 20
 
 
 # mixing
