@@ -152,17 +152,17 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fore
     return fit(x, (np.array(rows.column("y").to_pylist(), dtype=np.float64) >= 0.5).astype(np.float64))
 
 
-def score(documents: DataFrame, forest: Forest) -> DataFrame:
-    """All columns of documents and `score` (a column of that name is replaced)."""
-    documents = documents.drop("score")
+def score(documents: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
+    """All columns of documents and the score under a name (a column of that name is replaced)."""
+    documents = documents.drop(name)
     small_batches(documents.sparkSession)
-    kind = StructType([*documents.schema.fields, StructField("score", DoubleType())])
+    kind = StructType([*documents.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.array([statistics(t or "") for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.scores(x))], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.scores(x))], names=[*batch.schema.names, name])
 
     return documents.mapInArrow(run, kind)
 

@@ -401,15 +401,38 @@ def test_bootstrap_finds_unseen(spark):
     texts = [f"{words(rng, 5)} mail bob{i}@ex{i}.com now {words(rng, 5)}" for i in range(40)]
     texts += [f"{words(rng, 5)} mail account-77{i}99x now {words(rng, 4)}" for i in range(3)]
     texts += ["plain year 1984 text", None, "", texts[0]]
-    table = docs(spark, texts)
+    table = docs(spark, texts).withColumns({"d": F.lit(1), "g": F.lit("g"), "more": F.lit("m"), "seen": F.lit(2)})
     scanned, more = personal.find(table)
-    found = {r["d"]: [tuple(x) for x in r["more"]] for r in more.collect()}
+    found = {r["__doc"]: [tuple(x) for x in r["__more"]] for r in more.collect()}
     assert sorted(found) == [40, 41, 42]
     redacted = {r["doc_id"]: r["text"] for r in personal.redact(table).collect()}
     assert "[ID]" in redacted[40] and "[EMAIL]" in redacted[0] and redacted[43] == texts[43] and redacted[44] is None
     assert personal.redact(table.limit(0)).count() == 0
 
 
+def test_bootstrap_finds_spaced_numbers_and_names(spark):
+    rng = random.Random(3)
+    texts = [f"{words(rng, 4)} phone +1 (212) 555-01{i} today {words(rng, 4)}" for i in range(10, 40)] + [f"{words(rng, 4)} mail bob{i}@ex{i}.com please {words(rng, 3)}" for i in range(20)]
+    texts += ["see phone (017) 555 7713 today", "or mail Bob_Miller please now", "it is StreamReader here"]
+    redacted = {r["doc_id"]: r["text"] for r in personal.redact(docs(spark, texts)).collect()}
+    n = len(texts)
+    assert redacted[n - 3] == "see phone [ID] today" and redacted[n - 2] == "or mail [ID] please now" and redacted[n - 1] == texts[-1]
+
+
+@pytest.mark.parametrize("make", [lambda n: "1" * n + "...", lambda n: "1." * n, lambda n: "a@" * n, lambda n: "x1x2x3x4x5@a.b," * (n // 15), lambda n: "1234567890 " * (n // 11), lambda n: "Ab_12345678," * (n // 12), lambda n: "+1 " * (n // 3)])
+def test_scans_are_linear(make):
+    import time
+
+    def scan(text):
+        began = time.process_time()
+        taken = sorted(s for x in personal.base_spans(text).values() for s in x)
+        found = [*taken, *personal.candidates(text, taken)]
+        assert len(personal.contexts(text, found)) == len(found)
+        return time.process_time() - began
+
+    assert scan(make(1 << 20)) < 20 * scan(make(1 << 17)) + 2
+
+
 # byte-level BPE
 
 
