@@ -15,7 +15,7 @@ from keelson.session import materialize, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
     forest = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, forest).where(F.col("score") >= 0.5).select(*docs.columns)
+    return quality.score(docs, forest, "__quality").where(F.col("__quality") >= 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
