@@ -7,11 +7,13 @@ sources in order of most*size/weight, the level is the first for which the sourc
 Sampling (Efraimidis and Spirakis): each document draws an exponential key -ln(u)/w, with u a hash of seed and
 doc_id and w its quality weight, and smaller keys go first. A target takes as many complete epochs (every document
 once) as fit, and the rest is a fractional selection: documents by key while the prefix sum of sizes stays under
-the budget, the document on the edge if that ends nearer. A source is cut into ranges of keys, whose sums are
-prefix-summed first, so that no task sorts a whole source.
+the budget, the document on the edge if that ends nearer. A source is cut into ranges of the logarithm of the key, whose sums are
+prefix-summed first, so that no task sorts a whole source: an exponential key of any weight falls into a range of width d of its logarithm
+with a probability of d / e at most, so no range expects more than 0.025 % of a source whatever its weights are.
+Words are counted once, and sizes and weights are written for the three reads that follow.
 
 Defined cases: null text has size 0; empty documents take part and take 0 words; a null source is a source, last;
-documents without sizes leave all targets 0; ties go by doc_id, nulls last (same doc_id: by size and text digest);
+documents without sizes leave all targets 0; ties go by doc_id, nulls last (same doc_id: by size and text digest), and a null doc_id draws by its text;
 repeated rows are rows of their own; an empty table gives no row; extra columns don't matter. Only built-in functions are used.
 """
 
@@ -21,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.llm.common import table
+from keelson.llm.common import materialize, table
 
-#: Ranges of keys in each source.
-RANGES = 4096
+#: Ranges of keys in each source for a doubling of the key.
+RANGES = 1024
 
 
 def size_of(text: Column) -> Column:
@@ -32,9 +34,9 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def unit_draw(doc_id: Column, seed: int) -> Column:
-    """Uniform in (0, 1), the same in every run: 48 bits of an MD5."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def unit_draw(doc_id: Column, tie: Column, seed: int) -> Column:
+    """Uniform in (0, 1), the same in every run: 48 bits of an MD5 of doc_id, or of tie where that is null."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), tie, F.lit(""))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -57,12 +59,12 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17, ranges: int = RANGES) -> DataFrame:
-    """sized: doc_id, source, size, quality (weight above 0). Also tie, which tells rows of one doc_id apart. Returns doc_id,
-    source, tie, size, source_size, target, taken."""
+    """sized: doc_id, source, size, quality (weight above 0). Also tie, which tells rows of one doc_id apart. It is read three
+    times. Returns doc_id, source, tie, size, source_size, target, taken."""
     goal = targets(sized, weights, share, most)
-    key = -F.log(unit_draw(F.col("doc_id"), seed)) / F.greatest(F.coalesce(F.col("quality"), F.lit(1.0)), F.lit(1e-9))
+    key = -F.log(unit_draw(F.col("doc_id"), F.col("tie"), seed)) / F.greatest(F.coalesce(F.col("quality"), F.lit(1.0)), F.lit(1e-9))
     keyed = sized.withColumn("key", key)
-    keyed = keyed.withColumn("range", F.least(F.floor(ranges * (1 - F.exp(-F.col("key")))), F.lit(ranges - 1)).cast("int"))
+    keyed = keyed.withColumn("range", F.floor(ranges * F.log2("key")).cast("int"))
     sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     up_to = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("below", F.coalesce(F.sum("range_size").over(up_to), F.lit(0))).withColumnsRenamed({"source": "s", "range": "r"})
@@ -79,11 +81,12 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: f
 
 
 def size_and_weigh(documents: DataFrame) -> DataFrame:
-    """Sizes, and quality weights: the share of letters among a text's characters, squared."""
+    """Sizes, and quality weights: the share of letters among a text's characters, squared. Written, since mix reads it thrice."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
     letters = letters / F.greatest(F.length(text), F.lit(1))
-    return documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(text).alias("size"), (letters * letters + 0.05).alias("quality"), F.md5(text).alias("tie"))
+    sized = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(text).alias("size"), (letters * letters + 0.05).alias("quality"), F.md5(text).alias("tie"))
+    return materialize(sized, "sized")
 
 
 def repeat_mixed(documents: DataFrame, **options: object) -> DataFrame:
@@ -109,7 +112,7 @@ WITH docs AS (
     pow((len(text) - len(regexp_replace(text, '\p{L}+', '', 'g'))) / greatest(len(text), 1)::DOUBLE, 2) + 0.05 AS quality
   FROM docs
 ), keyed AS (
-  SELECT *, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / pow(2, 48)) / quality AS key FROM sized
+  SELECT *, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, tie)), 1, 12))::BIGINT + 0.5::DOUBLE) / pow(2, 48)) / quality AS key FROM sized
 ), by_source AS (
   SELECT source, sum(size)::DOUBLE AS source_size,
     [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight

@@ -380,6 +380,28 @@ def test_mixing_targets_and_amounts(spark):
     assert copies.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
 
 
+def test_ranges_stay_even_with_low_weights(spark):
+    """Texts of digits have weights near 0.05, others near 1; no range holds much of a source, and prefix sums are those of one sort."""
+    import math
+
+    texts = ["1234 567 89" if i % 2 else words(random.Random(i), 5) for i in range(4000)]
+    sized = mixing.size_and_weigh(docs(spark, texts, ids=[None if i % 50 == 0 else i for i in range(4000)]))
+    rows = [(r["doc_id"], r["tie"], r["size"], r["quality"]) for r in sized.collect()]
+    draw = lambda i, tie: (int(hashlib.md5(f"17:{tie if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+    keyed = sorted((-math.log(draw(i, tie)) / q, i is None, i or 0, n, tie) for i, tie, n, q in rows)
+    ranges = [math.floor(mixing.RANGES * math.log2(k[0])) for k in keyed]
+    assert max(map(ranges.count, set(ranges))) < 40
+    total = sum(k[3] for k in keyed)
+    prefix, taken = 0, {}
+    for _, null, i, n, tie in keyed:
+        taken.setdefault((None if null else i, tie), []).append(n + n * (prefix + n / 2 < total * 0.5))
+        prefix += n
+    got = {}
+    for r in mixing.mix(sized).collect():
+        got.setdefault((r["doc_id"], r["tie"]), []).append(r["taken"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in taken.items()}
+
+
 # personal data
 
 
