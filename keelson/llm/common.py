@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,5 +49,15 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def count_below(cuts: list, value: Column, include: bool = False) -> Column:
+    """How many of sorted cuts are below a value (or equal to it): first among every k-th of them, then among the k in between."""
+    if not cuts:
+        return F.lit(0)
+    k = math.isqrt(len(cuts)) + 1
+    below = (lambda x: x <= value) if include else (lambda x: x < value)
+    whole = F.size(F.filter(F.array(*map(F.lit, cuts[k - 1 :: k])), below)) * k
+    return whole + F.size(F.filter(F.slice(F.array(*map(F.lit, cuts)), whole + 1, k), below))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

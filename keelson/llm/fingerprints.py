@@ -8,7 +8,7 @@ insertion or deletion moves boundaries only near itself. Likeness is containment
 shared chunks over the bytes of the smaller set.
 
 Defined cases: null text is empty; two empty sets are alike (1), an empty and another aren't (0); the next
-document is by descending doc_id, nulls last, ties by text, and the first follows the last; repeated rows are rows
+document is by descending doc_id, nulls last, ties by a hash of the text, then by text, and the first follows the last; repeated rows are rows
 of their own; an empty table gives no row; extra columns are ignored; texts of any length are hashed in blocks.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import arrow_schema, shuffle_partitions, small_batches, table
+from keelson.llm.common import arrow_schema, count_below, shuffle_partitions, small_batches, table
 
 MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 16, 64, 256
 STRICT, LOOSE = np.uint32((1 << 7) - 1 << 20), np.uint32((1 << 5) - 1 << 20)
@@ -93,26 +93,35 @@ PRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def with_successor(documents: DataFrame) -> DataFrame:
     """Deals documents to buckets of descending doc_id and copies each bucket's first row to the bucket before it, so
-    that every row meets its successor while streaming. Text is shuffled once; the driver sees one number a bucket."""
+    that every row meets its successor while streaming. A doc_id that fills several buckets, and null, are cut by a hash of
+    the text. Text is shuffled once; the driver sees a few numbers a bucket."""
     spark = documents.sparkSession
     n = shuffle_partitions(spark)
-    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x > F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above).cast("int"))
-    tops = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    cuts, unknown = sorted(found[0] or []), -(-n * found[2] // max(found[1], 1))
+    # a doc_id that is several cuts has as many buckets, which hold ranges of the mark
+    below, upto = count_below(cuts, F.col("doc_id")), count_below(cuts, F.col("doc_id"), include=True)
+    part = (F.col("mark") / float(1 << 64) + 0.5).cast("double")
+    known = F.lit(len(cuts)) - upto + F.least(F.floor(part * (upto - below)), F.greatest(upto - below - 1, F.lit(0)))
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + F.least(F.floor(part * unknown), F.lit(max(unknown - 1, 0)))).otherwise(known).cast("int"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), (-F.col("doc_id")).alias("down"), F.col("mark"))
+    tops = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.min(place).alias("top")).collect()}
     order = sorted(tops)
     if not order:
-        return rows.withColumn("ahead", F.lit(0)).limit(0)
+        return rows.withColumn("ahead", F.lit(0)).drop("mark").limit(0)
     prior = {b: order[i - 1] for i, b in enumerate(order)}
-    seat = F.array(*[F.lit(prior.get(b, 0)) for b in range(len(cuts) + 2)])
-    top = F.array(*[F.lit(tops.get(b)).cast("long") for b in range(len(cuts) + 2)])
+    every = range(len(cuts) + 1 + max(unknown, 1))
+    seat = F.array(*[F.lit(prior.get(b, 0)) for b in every])
+    top_id = F.array(*[F.lit(None if b not in tops or tops[b]["down"] is None else -tops[b]["down"]).cast("long") for b in every])
+    top_mark = F.array(*[F.lit(tops[b]["mark"] if b in tops else None).cast("long") for b in every])
+    first = F.col("doc_id").eqNullSafe(F.get(top_id, F.col("bucket"))) & (F.col("mark") == F.get(top_mark, F.col("bucket")))
     own = F.struct(F.col("bucket"), F.lit(0).alias("ahead"))
     copy = F.struct(F.get(seat, F.col("bucket")).alias("bucket"), F.lit(1).alias("ahead"))
-    dealt = rows.withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.get(top, F.col("bucket"))), F.array(own, copy)).otherwise(F.array(own))))
-    dealt = dealt.select("doc_id", "text", "to.bucket", "to.ahead").repartitionById(len(cuts) + 2, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text")
+    dealt = rows.withColumn("to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
+    dealt = dealt.select("doc_id", "text", "mark", "to.bucket", "to.ahead").repartitionById(len(every), F.col("bucket"))
+    return dealt.sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "mark", "text").drop("mark")
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:

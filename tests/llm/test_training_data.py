@@ -58,17 +58,63 @@ def test_chat_escapes_any_text():
 # fingerprints
 
 
-def test_fingerprints(spark, texts):
-    table = docs(spark, texts)
-    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(table).collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        t, nxt = t or "", (texts[i - 1] if i else texts[-1]) or ""
+def chunks_byte_by_byte(text):
+    """Chunks (as bytes) by a gear hash that is rolled a byte at a time."""
+    raw, out, at, h = text.encode(), [], 0, 0
+    for i, byte in enumerate(raw):
+        h = (2 * h + int(fingerprints.GEAR[byte])) & 0xFFFFFFFF
+        size, mask = i + 1 - at, 0
+        if fingerprints.MIN_BYTES <= size < fingerprints.NORMAL_BYTES:
+            mask = int(fingerprints.STRICT)
+        elif size >= fingerprints.NORMAL_BYTES:
+            mask = int(fingerprints.LOOSE)
+        if i + 1 == len(raw) or size == fingerprints.MAX_BYTES or (mask and h & mask == 0 and len(raw) - at > fingerprints.MIN_BYTES):
+            out.append(raw[at : i + 1])
+            at = i + 1
+    return out
+
+
+def print_of(text):
+    import xxhash
+
+    return ",".join(sorted({f"{xxhash.xxh64_intdigest(c, 7) >> 16:012x}{len(c):03x}" for c in chunks_byte_by_byte(text)}))
+
+
+def likeness_of(a, b):
+    a, b = ({f: int(f[-3:], 16) for f in x.split(",") if f} for x in (a, b))
+    least = min(sum(a.values()), sum(b.values()))
+    return sum(v for f, v in a.items() if f in b) / least if least else float(not a and not b)
+
+
+def test_fingerprints_by_brute_force(spark, texts):
+    rng = random.Random(31)
+    rows = [*texts, *(edited(rng, texts[9] + " " + texts[10], 2) for _ in range(3)), words(rng, 3000)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(rows):
+        t, nxt = t or "", (rows[i - 1] if i else rows[-1]) or ""
         half = len(t) // 2
-        edited = t[: len(t) - half] + nxt[:half]
-        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[i]["fingerprint"] == fingerprints.fingerprint(fingerprints.chunk_set(t))
-        assert 0 <= got[i]["near_edited"] <= 1
+        new = t[: len(t) - half] + nxt[:half]
+        want = (len(t), hashlib.sha256(new.encode()).hexdigest(), print_of(t), print_of(new))
+        assert (got[i]["n_chars"], got[i]["edited_sha256"], got[i]["fingerprint"], got[i]["edited_fingerprint"]) == want
+        assert abs(got[i]["near_edited"] - likeness_of(want[2], want[3])) < 1e-12 and abs(got[i]["near_next"] - likeness_of(want[2], print_of(nxt))) < 1e-12
+
+
+def test_successors_of_hot_and_null_ids(spark):
+    """Half of the rows have one doc_id and a third have none: they are cut into several buckets, and the order still holds."""
+    ids = [7] * 60 + [None] * 40 + list(range(20)) + [3, 3]
+    texts_ = [f"text {i * 7 % 61} " * 3 for i in range(len(ids))]
+    table = docs(spark, texts_, ids=ids)
+    dealt = fingerprints.with_successor(table)
+    sizes = {}
+    for r in dealt.where("ahead = 0").collect():
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + 1
+    assert max(sizes.values()) < 50
+    marks = {r["text"]: r["m"] for r in table.select("text", F.xxhash64("text").alias("m")).collect()}
+    order = sorted(zip(ids, texts_), key=lambda r: (r[0] is None, -(r[0] or 0), marks[r[1]], r[1]))
+    want = sorted(((i, t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]) for k, (i, t) in enumerate(order)), key=str)
+    got = fingerprints.fingerprint_documents(table).select("doc_id", "edited_sha256").collect()
+    assert sorted(((r[0], r[1]) for r in got), key=str) == sorted(((i, hashlib.sha256(e.encode()).hexdigest()) for i, e in want), key=str)
     assert fingerprints.fingerprint_documents(table.limit(0)).count() == 0
     same = fingerprints.fingerprint_documents(docs(spark, ["abc"] * 3, ids=[7, 7, None])).collect()
     assert len(same) == 3 and {r["near_next"] for r in same} == {1.0}
