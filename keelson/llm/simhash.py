@@ -2,14 +2,17 @@
 
 Fingerprints are mapped to the bit counts of SEGMENTS two-bit segments. The Manhattan distance of two such vectors
 is a lower bound of their Hamming distance, so fingerprints that differ in `radius` bits lie within `radius` there.
-The range join is over grid cells: the segments form radius + 3 groups, of which a pair within the radius shares at least
-three, so each choice of three groups with their counts is a cell key, and every linked pair shares a cell. Inside a
+The range join is over grid cells: the segments form radius + chosen groups, of which a pair within the radius shares at least
+`chosen`, so each choice of that many groups with their counts is a cell key, and every linked pair shares a cell. Inside a
 cell candidates are those within the Manhattan radius, and each is verified by its exact Hamming distance.
 
+The more fingerprints, the more groups are chosen, so that a cell holds few of them: three give 2**24 cells or so, five 2**30,
+seven 2**33. Fingerprints of cells over CELL are dealt anew with two groups more, which loses no link and breaks up hot cells, until GROUPS[-1].
+A cell of that last grid may be of any size: it holds fingerprints that agree in the bit counts of 22 given segments.
+
 Only different fingerprints are joined. A cell up to PAIRWISE of them is compared in pairs, a larger one by a
 search that follows links and takes what it reaches out of the rest, so that a cell gives a spanning forest and never all
-its pairs. Fingerprints of cells over CELL are dealt anew by the bits themselves (five of eight bytes equal), which
-loses no link and breaks up hot cells; such a cell holds fingerprints that differ in three given bytes, 2**24 at most.
+its pairs. Cells stream through a task in order; of one over CELL no more than CELL are held before it is passed on.
 
 Defined cases: null text is empty; fingerprint zero (no words) links like any other; a null doc_id counts for no
 class id (null where all are null); repeated rows are rows of their own in one class; an empty table gives no row;
@@ -32,6 +35,8 @@ from keelson.llm.components import components
 
 SEED, SHINGLE, RADIUS, SEGMENTS = 42, 3, 3, 32
 PAIRWISE, CELL = 48, 2048
+#: Groups that are chosen for a cell, and different fingerprints up to which a number of groups is taken first.
+GROUPS, UP_TO = (3, 5, 7), (1 << 24, 1 << 31)
 _LANES = 0x5555555555555555
 
 
@@ -77,18 +82,16 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return near
 
 
-def _masks(groups: int, chosen: int, unit: int) -> list[int]:
-    """Masks of each choice of groups, where 64 bits are cut into groups of whole units."""
-    units = np.array_split(np.arange(64 // unit), groups)
-    parts = [sum(((1 << unit) - 1) << (int(u) * unit) for u in g) for g in units]
+def _masks(groups: int, chosen: int) -> list[int]:
+    """Masks of each choice of groups of segments."""
+    parts = [sum(3 << (int(u) * 2) for u in g) for g in np.array_split(np.arange(SEGMENTS), groups)]
     return [sum(c) for c in combinations(parts, chosen)]
 
 
-def cell_keys(prints: np.ndarray, radius: int, by_bits: bool) -> np.ndarray:
-    """A row of cell keys for each fingerprint. by_bits: cells of the bits themselves, five of eight bytes for radius 3."""
-    masks = np.array(_masks(radius + 5, 5, 8 if radius == 3 else 1) if by_bits else _masks(radius + 3, 3, 2), dtype=np.uint64)
-    words = (prints if by_bits else embed(prints))[:, None] & masks[None, :]
-    keys = words ^ (np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+def cell_keys(prints: np.ndarray, radius: int, chosen: int) -> np.ndarray:
+    """A row of cell keys for each fingerprint."""
+    masks = np.array(_masks(radius + chosen, chosen), dtype=np.uint64)
+    keys = (embed(prints)[:, None] & masks[None, :]) ^ (np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
     for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xD6E8FEB86659FD93), (32, 1)):
         keys = (keys ^ (keys >> np.uint64(shift))) * np.uint64(factor)
     return keys
@@ -109,30 +112,41 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and fingerprints in sorted order, cut only between cells or where a cell is over CELL."""
+def _cells(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Keys and fingerprints in sorted order, cut between cells, or (True) part of a cell that is over `most`."""
     keys = prints = np.zeros(0, dtype=np.int64)
+    over = None
     for batch in batches:
         keys = np.concatenate([keys, batch.column("cell").to_numpy()])
         prints = np.concatenate([prints, batch.column("print").to_numpy()])
+        if over is not None and (cut := int(np.searchsorted(keys, over, side="right"))):
+            yield keys[:cut], prints[:cut], True
+            keys, prints = keys[cut:], prints[cut:]
         if len(keys) and (cut := int(np.searchsorted(keys, keys[-1]))):
-            yield keys[:cut], prints[:cut]
+            yield keys[:cut], prints[:cut], False
             keys, prints = keys[cut:], prints[cut:]
+        if most is not None and len(keys) > most:
+            over = keys[0]
+            yield keys, prints, True
+            keys, prints = keys[:0], prints[:0]
     if len(keys):
-        yield keys, prints
+        yield keys, prints, False
 
 
-def _links(cells: DataFrame, radius: int, most: int) -> DataFrame:
+def _links(cells: DataFrame, radius: int, most: int | None) -> DataFrame:
     """a, b: links that connect each cell; a with a null b: a fingerprint of a cell over `most`, to be dealt anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, signed in _cells(batches):
+        for keys, signed, over in _cells(batches, most):
             prints = signed.view(np.uint64)
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
             size_of = np.repeat(sizes, sizes)
+            large = size_of > most if most is not None else np.zeros(len(keys), dtype=bool)
+            if over:
+                large[:] = True
             a, b = [], []
-            small = size_of <= PAIRWISE
+            small = (size_of <= PAIRWISE) & ~large
             for step in range(1, min(PAIRWISE, int(sizes.max()))):
                 i = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
                 if not len(i):
@@ -141,18 +155,18 @@ def _links(cells: DataFrame, radius: int, most: int) -> DataFrame:
                 a.append(signed[i])
                 b.append(signed[i + step])
             for s, n in zip(starts[sizes > PAIRWISE], sizes[sizes > PAIRWISE], strict=True):
-                if n <= most:
+                if not large[s]:
                     found = np.array(forest(prints[s : s + n], radius), dtype=np.uint64).reshape(-1, 2).view(np.int64)
                     a.append(found[:, 0])
                     b.append(found[:, 1])
-            large = pa.array(signed[size_of > most])
+            again = pa.array(signed[large])
             left, right = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(left), large]), pa.concat_arrays([pa.array(right), pa.nulls(len(large), pa.int64())])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(left), again]), pa.concat_arrays([pa.array(right), pa.nulls(len(again), pa.int64())])], names=["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long")
 
 
-def _dealt(prints: DataFrame, radius: int, by_bits: bool) -> DataFrame:
+def _dealt(prints: DataFrame, radius: int, chosen: int) -> DataFrame:
     """cell, print: each fingerprint in each of its cells, cells together and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +174,7 @@ def _dealt(prints: DataFrame, radius: int, by_bits: bool) -> DataFrame:
             x = batch.column("print").to_numpy()
             for at in range(0, len(x), 4096):
                 part = x[at : at + 4096]
-                keys = cell_keys(part.view(np.uint64), radius, by_bits)
+                keys = cell_keys(part.view(np.uint64), radius, chosen)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part, keys.shape[1]))], names=["cell", "print"])
 
     return prints.mapInArrow(run, "cell long, print long").repartition("cell").sortWithinPartitions("cell", "print")
@@ -168,10 +182,18 @@ def _dealt(prints: DataFrame, radius: int, by_bits: bool) -> DataFrame:
 
 def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Different fingerprints (print) within the radius of each other: a, b, enough of the links to connect all that any do."""
-    found = materialize(_links(_dealt(prints, radius, False), radius, CELL), "links")
-    hot = found.where(F.col("b").isNull()).select(F.col("a").alias("print")).distinct()
-    again = _links(_dealt(hot, radius, True), radius, 1 << 24)
-    return found.where(F.col("b").isNotNull()).unionByName(again).distinct()
+    n = prints.count()
+    grids = GROUPS[sum(n > x for x in UP_TO) :]
+    links = None
+    for chosen in grids:
+        last = chosen == grids[-1]
+        found = materialize(_links(_dealt(prints, radius, chosen), radius, None if last else CELL), "links")
+        own = found.where(F.col("b").isNotNull())
+        links = own if links is None else links.unionByName(own)
+        prints = found.where(F.col("b").isNull()).select(F.col("a").alias("print")).distinct()
+        if last or prints.isEmpty():
+            return links.distinct()
+    raise AssertionError
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -275,16 +275,16 @@ def test_grid_loses_no_link(spark, monkeypatch):
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 4), replace=False)) for b in base.tolist() for _ in range(4)]
     all_ = np.unique(np.array([*base.tolist(), *near], dtype=np.uint64))
-    keys = simhash.cell_keys(all_, 3, False)
-    fine = simhash.cell_keys(all_, 3, True)
+    grids = [simhash.cell_keys(all_, 3, chosen) for chosen in simhash.GROUPS]
     for i in range(len(all_)):
         for j in np.flatnonzero(np.bitwise_count(all_ ^ all_[i]) <= 3):
-            assert (keys[i] == keys[j]).any() and (fine[i] == fine[j]).any()
+            assert all((keys[i] == keys[j]).any() for keys in grids)
             assert simhash.manhattan(simhash.embed(all_[i : i + 1]), simhash.embed(all_[j : j + 1]))[0] <= 3
     want = components_of(all_)
     frame = spark.createDataFrame([(int(x),) for x in all_.view(np.int64)], "print long")
-    for cell, pairwise in ((2048, 48), (3, 2)):  # hot cells are dealt anew
+    for cell, pairwise, up_to in ((2048, 48, simhash.UP_TO), (3, 2, simhash.UP_TO), (1, 2, (9, 1 << 31))):  # hot cells are dealt anew
         monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "UP_TO", up_to)
         monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
         roots = {r["node"]: r["root"] for r in components.components(simhash.link(frame)).collect()}
         groups = {}
@@ -293,6 +293,19 @@ def test_grid_loses_no_link(spark, monkeypatch):
         assert {frozenset(g) for g in groups.values()} == want
 
 
+def test_cells_are_cut_where_they_are_large():
+    import pyarrow as pa
+
+    keys = np.sort(np.repeat(np.arange(9), [1, 5, 40, 2, 3, 30, 1, 1, 7]))
+    for step in (1, 4, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(np.arange(len(keys))[i : i + step])], names=["cell", "print"]) for i in range(0, len(keys), step)]
+        parts = list(simhash._cells(iter(batches), 10))
+        assert np.concatenate([p for _, p, _ in parts]).tolist() == list(range(len(keys)))
+        whole = [k for ks, _, over in parts if not over for k in set(ks.tolist())]
+        assert len(whole) == len(set(whole)) and not {k for ks, _, over in parts if over for k in ks.tolist()} & set(whole)
+        assert step > 10 or max(len(k) for k, _, over in parts if over) <= 10 + step
+
+
 def components_of(all_):
     rest, out = set(range(len(all_))), set()
     while rest:
