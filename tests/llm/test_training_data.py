@@ -353,6 +353,36 @@ def test_alignment_generalises():
     assert matcher.zone(["article", *a, "/article"]) == (0, 7) and matcher.zone(["article", *b, "/article"]) == (0, 11)
 
 
+def test_long_groups_fold():
+    row = ["tr", *(x for i in range(20) for x in ("td", f"=x{i}", "br", "#", "/td")), "/tr"]
+    assert wrappers.fold(["table", *row * 7, "/table"]) == ["table", ("+", tuple(row)), "/table"]
+
+
+def div_page(rng, i, paragraphs, odd=False):
+    """A page without article or main elements and without telling class words: menu, teaser and legal boxes around the text."""
+    texts = [words(rng, 30) for _ in range(paragraphs)]
+    extra = "<div class='c9'><span>Special of the week</span></div>" if odd else ""
+    return texts, f"<html><body><div class='c1'><ul><li>Home</li><li>Products</li><li>Contact us</li></ul></div>{extra}<div class='c2'><div class='c3'><h1>Title {i}</h1></div><div class='c4'>{''.join(f'<p>{t}</p>' for t in texts)}<p>Read more on our site</p></div></div><div class='c5'><p>Buy our fine new teapots today, they are cheap</p><p>{words(rng, 3)}</p></div><div class='c6'>All rights reserved by Example</div></body></html>"
+
+
+def test_wrapper_finds_text_of_div_layouts(spark):
+    """The wrapper decides: with it boilerplate goes, without it the page comes out whole."""
+    rng = random.Random(21)
+    made = [div_page(rng, i, rng.randint(1, 9), odd=i % 5 == 4) for i in range(40)]
+    want = ["\n".join([f"Title {i}", *texts]) for i, (texts, _) in enumerate(made)]
+    table = spark.createDataFrame([(i, "https://div.example/x", page) for i, (_, page) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["found_by"]) for r in wrappers.extract_pages(table).collect()}
+    assert [got[i][0] for i in range(40)] == want
+    assert {how for _, how in got.values()} <= {"wrapper", "generalised"}
+    alone = [wrappers.extract(page, None)[0] for _, page in made]
+    assert all(a != w and "All rights reserved" in a for a, w in zip(alone, want))
+
+
+def test_large_page_is_whole(spark):
+    page = "<body><article>" + "".join(f"<p>par {i}</p>" for i in range(60_000)) + "</article></body>"
+    assert wrappers.extract(page, wrappers.fitted(["<body><article><p>a</p></article></body>", page]))[0].count("\n") == 59_999
+
+
 # neighbours
 
 
