@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,10 +13,64 @@ from pyspark.sql import types as T
 
 
 def label_key(label: Column) -> Column:
-    """Normal form of a label: brackets and quotes around it and stops at its end go, lower case, single spaces."""
-    bare = F.regexp_replace(F.trim(label), r"^[\"'\[\]]+|[\"'\[\]]+$", "")
-    bare = F.regexp_replace(bare, r"[.,;:!?]+$", "")
-    return F.trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
+    """Normal form of a label: brackets and quotes around it go, then stops and quotes at its end, lower case, single spaces."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    bare = strip(F.regexp_replace(strip(label), r"^[\[(\"']+|[\])\"']+$", ""))
+    bare = strip(F.regexp_replace(bare, r"[.,;!?'\"`]+$", ""))
+    return F.regexp_replace(F.lower(bare), r"\s+", " ")
+
+
+def _variants(text: Column, bare: bool) -> Column:
+    """The answer list of a JSON text as an array of variants: of an object by its key, or (bare) the list itself."""
+    found = F.try_parse_json(text)
+    paths = ["$.top5_label_ids", "$.top5_ids", "$.top5", *(["$"] if bare else [])]
+    return F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get(found, p, "variant")).startswith("ARRAY"), F.try_variant_get(found, p, "array<variant>")) for p in paths])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates value once for body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def five_answers(raw: Column, labels: list[str]) -> Column:
+    """(labels, normalized, reason) of a model's answer: five different ids (from 0) or labels of a taxonomy, in an object or a bare list,
+    alone, in a fence or among other text. A reason says why there are none, else it is empty."""
+    names, keys = F.array(*map(F.lit, labels)), F.array(*[label_key(F.lit(x)) for x in labels])
+    nothing = F.array().cast("array<string>")
+
+    def found(body: Column) -> Column:
+        object_, list_ = (F.regexp_extract(body, p, 0) for p in (r"(?s)\{.*?\}", r"\[[^\[\]]*\]"))
+        return F.coalesce(_variants(body, True), _variants(object_, False), F.when(list_ != "", F.try_variant_get(F.try_parse_json(list_), "$", "array<variant>")))
+
+    def item(v: Column) -> Column:
+        kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+        number = F.when((kind == "BIGINT") | (kind == "STRING") & text.rlike(r"^\s*-?\d+\s*$"), F.trim(text).try_cast("int"))
+        place = F.nullif(F.array_position(keys, label_key(text)), F.lit(0)).cast("int")
+        label = F.when(kind == "STRING", F.when(F.array_contains(names, text), text).otherwise(F.try_element_at(names, place)))
+        return F.struct(kind.alias("kind"), text.alias("text"), number.alias("id"), label.alias("label"))
+
+    def judged(items: Column) -> Column:
+        numeric = F.forall(items, lambda x: x["id"].isNotNull())
+        fewer = lambda part: F.size(F.array_distinct(F.transform(items, lambda x: x[part]))) < 5
+        reason = F.when(items.isNull(), "no JSON array found").when(F.size(items) != 5, F.concat(F.lit("expected 5 items, got "), F.size(items).cast("string")))
+        reason = reason.when(numeric & F.exists(items, lambda x: (x["id"] < 0) | (x["id"] >= len(labels))), "id out of range").when(numeric & fewer("id"), "duplicate ids")
+        reason = reason.when(numeric, "").when(F.exists(items, lambda x: x["kind"] != "STRING"), "neither ids nor labels")
+        reason = reason.when(F.exists(items, lambda x: x["label"].isNull()), "not in taxonomy").when(fewer("label"), "duplicate labels").otherwise("")
+        chosen = F.transform(items, lambda x: F.when(numeric, F.get(names, x["id"])).otherwise(x["label"]))
+        changed = ~numeric & F.exists(items, lambda x: x["text"] != x["label"])
+        return _let(reason, lambda r: F.struct(F.when(r == "", chosen).otherwise(nothing).alias("labels"), ((r == "") & F.coalesce(changed, F.lit(False))).alias("normalized"), r.alias("reason")))
+
+    body = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    body = F.when(body.startswith("```"), F.regexp_replace(F.regexp_replace(body, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")).otherwise(body)
+    return _let(_let(body, lambda b: F.transform(found(b), item)), judged)
+
+
+def last_resort(raw: Column) -> Column:
+    """decision, confidence and evidence sought in a text that can't be parsed; null without a decision."""
+    found = lambda pattern: F.nullif(F.regexp_extract(raw, pattern, 1), F.lit(""))
+    choice = found(r'(?i)"decision"\s*:\s*"([^"]+)"')
+    sure = found(r'"confidence"\s*:\s*([0-9]*\.?[0-9]+)').try_cast("double")
+    return F.when(choice.isNotNull(), F.struct(choice.alias("decision"), sure.alias("confidence"), found(r'"(?:action_summary|evidence)"\s*:\s*"([^"\\]*(?:\\.[^"\\]*)*)"').alias("evidence")))
 
 
 def bracketless(label: Column) -> Column:

@@ -81,3 +81,14 @@ def strided(n: Column, stride: float) -> Column:
     """Places 0, stride, 2 * stride, ... under n, rounded half to even."""
     steps = F.ceil(n / stride).cast("int")
     return F.when(n > 0, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), lambda i: F.rint(i * stride).cast("int")), lambda x: x < n))
+
+
+def thinned_frames(start: Column, end: Column, weight: Column, fps: float, frames: Column, step: int = 1) -> Column:
+    """Frames of one kept segment at a density: weight over duration, in [0, 1], of its frames, one at least, spread evenly (halves to even).
+    Frame numbers are rounded and stop at the last frame; a segment beyond it has none."""
+    first, last = F.greatest(F.rint(start * fps), F.lit(0.0)).cast("int"), F.least(F.rint(end * fps), frames - 1).cast("int")
+    n = F.floor((last - first) / step).cast("int") + 1
+    density = F.least(F.greatest(weight / F.greatest(end - start, F.lit(1e-6)), F.lit(0.0)), F.lit(1.0))
+    m = F.greatest(F.rint(n * density).cast("int"), F.lit(1))
+    picks = F.transform(F.sequence(F.lit(0), F.least(m, F.greatest(n, F.lit(1))) - 1), lambda i: F.when(m >= n, i).otherwise(F.rint(i * (n - 1) / F.greatest(m - 1, F.lit(1))).cast("int")))
+    return F.when(last >= first, F.transform(picks, lambda i: first + i * step)).otherwise(F.array().cast("array<int>"))

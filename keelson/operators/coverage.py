@@ -70,3 +70,17 @@ def trapezoid(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     order = W.partitionBy(*keys).orderBy(x)
     area = (F.col(x) - F.lag(x).over(order)) * (F.col(y) + F.lag(y).over(order)) / 2
     return rows.withColumn("area", area).groupBy(*keys).agg(F.sum("area").alias("auc"))
+
+
+def complete_curves(points: DataFrame, full: DataFrame, classes: int) -> DataFrame:
+    """points: video_id, ordering, fraction, failed, top1, top5; full: video_id, top1, top5. Curves of those videos and orderings that have no
+    failed point, every fraction that any video has in that ordering, and a full record, with their ends: chance at 0, the full record at 1."""
+    hit = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int").cast("double").alias(c)
+    failed = F.coalesce(F.col("failed"), F.lit(False))
+    grid = points.where(~failed).groupBy("ordering").agg(F.count_distinct("fraction").alias("all"))
+    whole = points.groupBy("video_id", "ordering").agg(F.bool_or(failed).alias("bad"), F.count_distinct("fraction").alias("own"))
+    whole = whole.where(~F.col("bad")).join(F.broadcast(grid), "ordering").where(F.col("own") == F.col("all")).select("video_id", "ordering")  # a row an ordering
+    ends = whole.join(full.select("video_id", hit("top1"), hit("top5")), "video_id")
+    inner = points.join(ends.select("video_id", "ordering"), ["video_id", "ordering"]).select("video_id", "ordering", "fraction", hit("top1"), hit("top5"))
+    chance = ends.select("video_id", "ordering", F.lit(0.0).alias("fraction"), F.lit(min(1.0, 1 / classes)).alias("top1"), F.lit(min(1.0, 5 / classes)).alias("top5"))
+    return inner.unionByName(chance).unionByName(ends.select("video_id", "ordering", F.lit(1.0).alias("fraction"), "top1", "top5"))

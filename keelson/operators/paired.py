@@ -10,17 +10,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def resampled_means(rows: DataFrame, key: str, values: list[str], replicates: int, seed: int) -> DataFrame:
-    """Bootstrap replicates of the means: draw k of replicate r takes row md5(seed|r|k) mod n in order of key. The rows
-    are first reduced to their different patterns with counts along that order, so the join is with draws by position."""
-    order = W.partitionBy().orderBy(key)
-    numbered = rows.select(*values, (F.row_number().over(order) - 1).alias("i"))
-    n = numbered.count()
-    draws = rows.sparkSession.range(replicates * n).select((F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).alias("k"))
+from keelson.session import collect_all
+
+
+def resampled_means(rows: DataFrame, values: list[str], replicates: int, seed: int, most: int = 4096) -> DataFrame:
+    """Bootstrap replicates of the means: draw k of replicate r takes place md5(seed|r|k) mod n of the rows in order of their
+    values. Rows of equal values are one pattern with a count (an error where there are more than `most`), so a draw finds its pattern among
+    the cumulative counts, and nothing but sums by replicate is shuffled."""
+    patterns = collect_all(rows.groupBy(*values).agg(F.count("*").alias("n")).orderBy(*values), most)
+    n, ends = 0, []
+    for p in patterns:
+        n += p["n"]
+        ends.append(n)
+    draws = rows.sparkSession.range(replicates * n).select((F.col("id") / max(n, 1)).cast("int").alias("r"), (F.col("id") % max(n, 1)).alias("k"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string")))
-    draws = draws.select("r", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n).alias("i"))
-    return draws.join(numbered, "i").groupBy("r").agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in values])
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1)
+    if not patterns:
+        return draws.select("r", *[F.lit(None).cast("double").alias(v) for v in values])
+    of = draws.select("r", F.array_size(F.filter(F.array(*map(F.lit, ends[:-1])), lambda e: e <= place)).alias("p") if len(ends) > 1 else F.lit(0).alias("p"))
+    each = [F.avg(F.get(F.array(*[F.lit(p[v]).cast("double") for p in patterns]), F.col("p"))).alias(v) for v in values]
+    return of.groupBy("r").agg(*each)
 
 
 def interval(replicates: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:

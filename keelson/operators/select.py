@@ -60,28 +60,3 @@ def evenly_spaced(segments: DataFrame, count: Column) -> DataFrame:
 def tolerance(durations: Column) -> Column:
     """Half the upper median duration, 0.05 at least."""
     return F.greatest(F.lit(0.05), 0.5 * F.element_at(F.array_sort(durations), (F.size(durations) / 2).cast("int") + 1))
-
-
-def greedy_match(segments: DataFrame, order: Column, target: str = "target") -> DataFrame:
-    """Duration-matched selection: in the order, a segment joins unless it overshoots the target by more than the
-    tolerance, until the sum is within it; if that never happens, segments in the order up to the first that crosses
-    the target. A fold over each video's own segments: one row a video, with `kept` as sorted indices."""
-    item = F.struct(order.alias("o"), F.col("idx").alias("i"), F.col("dur").alias("d"))
-    by = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(target).alias("target"))
-    by = by.withColumn("tol", tolerance(F.transform("items", lambda x: x["d"]))).withColumn("total", F.aggregate("items", F.lit(0.0), lambda a, x: a + x["d"]))
-    empty = F.array().cast("array<int>")
-
-    def skipping(a: Column, x: Column) -> Column:
-        done = F.abs(a["s"] - F.col("target")) <= F.col("tol")
-        fits = ~done & (a["s"] + x["d"] <= F.col("target") + F.col("tol"))
-        return F.struct(F.when(fits, a["s"] + x["d"]).otherwise(a["s"]).alias("s"), F.when(fits, F.concat(a["k"], F.array(x["i"]))).otherwise(a["k"]).alias("k"))
-
-    def crossing(a: Column, x: Column) -> Column:
-        open_ = a["s"] < F.col("target")
-        return F.struct(F.when(open_, a["s"] + x["d"]).otherwise(a["s"]).alias("s"), F.when(open_, F.concat(a["k"], F.array(x["i"]))).otherwise(a["k"]).alias("k"))
-
-    zero = F.struct(F.lit(0.0).alias("s"), empty.alias("k"))
-    by = by.withColumn("skip", F.aggregate("items", zero, skipping)).withColumn("cross", F.aggregate("items", zero, crossing))
-    near = F.abs(F.col("skip.s") - F.col("target")) <= F.col("tol")
-    chosen = F.when(F.col("target") >= F.col("total"), F.transform("items", lambda x: x["i"])).when(near, F.col("skip.k")).when(F.col("target") <= 0, F.transform(F.slice("items", 1, 1), lambda x: x["i"])).otherwise(F.col("cross.k"))
-    return by.select("video_id", F.array_sort(chosen).alias("kept"))

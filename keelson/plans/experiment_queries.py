@@ -61,19 +61,22 @@ def a4(spark, sf):
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg((F.col("top1_a") == F.col("top1_b")).cast("int")), 9).alias("agreement"))
 
 
-_BOOT = """, m AS (SELECT video_id, {cols} FROM al GROUP BY video_id), k AS (SELECT *, row_number() OVER (ORDER BY video_id) - 1 AS i FROM m), d AS (SELECT r, k, (SELECT count(*) FROM m) AS n FROM range({B}) a(r), range((SELECT count(*) FROM m)) b(k)),
+_BOOT = """, m AS (SELECT video_id, {cols} FROM al GROUP BY video_id), k AS (SELECT *, row_number() OVER (ORDER BY {names}) - 1 AS i FROM m), d AS (SELECT r, k, (SELECT count(*) FROM m) AS n FROM range({B}) a(r), range((SELECT count(*) FROM m)) b(k)),
 dr AS (SELECT r, ('0x' || substr(md5('{seed}|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM d), rep AS (SELECT r, {avgs} FROM dr JOIN k USING (i) GROUP BY r)"""
 
 
-def _boot(columns: dict[str, str], seed: int, replicates: int = 200) -> str:
-    return _ALIGNED + _BOOT.format(cols=", ".join(f"max({x}) AS {c}" for c, x in columns.items()), avgs=", ".join(f"avg({c}) AS {c}" for c in columns), seed=seed, B=replicates)
+REPLICATES = 1000
+
+
+def _boot(columns: dict[str, str], seed: int, replicates: int = REPLICATES) -> str:
+    return _ALIGNED + _BOOT.format(cols=", ".join(f"max({x}) AS {c}" for c, x in columns.items()), avgs=", ".join(f"avg({c}) AS {c}" for c in columns), names=", ".join(columns), seed=seed, B=replicates)
 
 
 @query("a5_paired_bootstrap", _boot({"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHEN condition = 'error' THEN top1::INT END"}, 42)
   + " SELECT round(quantile_cont(x, 0.025), 6) AS x_low, round(quantile_cont(x, 0.975), 6) AS x_high, round(quantile_cont(y, 0.025), 6) AS y_low, round(quantile_cont(y, 0.975), 6) AS y_high FROM rep")
 def a5(spark, sf):
     m, _ = _matrix(spark, sf)
-    rep = paired.resampled_means(m.select("video_id", F.col("click").alias("x"), F.col("error").alias("y")), "video_id", ["x", "y"], 200, 42)
+    rep = paired.resampled_means(m.select(F.col("click").alias("x"), F.col("error").alias("y")), ["x", "y"], REPLICATES, 42)
     q = lambda c, p: F.round(F.percentile(c, p), 6)
     return rep.agg(q("x", 0.025).alias("x_low"), q("x", 0.975).alias("x_high"), q("y", 0.025).alias("y_low"), q("y", 0.975).alias("y_high"))
 
@@ -82,7 +85,7 @@ def a5(spark, sf):
   + " SELECT 0.0::DOUBLE + round(quantile_cont(x - y, 0.025), 6) AS low, 0.0::DOUBLE + round(quantile_cont(x - y, 0.975), 6) AS high FROM rep")
 def a6(spark, sf):
     m, _ = _matrix(spark, sf)
-    rep = paired.resampled_means(m.select("video_id", F.col("click").alias("x"), F.col("error").alias("y")), "video_id", ["x", "y"], 200, 43)
+    rep = paired.resampled_means(m.select(F.col("click").alias("x"), F.col("error").alias("y")), ["x", "y"], REPLICATES, 43)
     return paired.interval(rep.withColumn("d", F.col("x") - F.col("y")), "d").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -103,28 +106,38 @@ def a7(spark, sf):
     return _tests(spark, sf).withColumn("chi2", F.round(paired.mcnemar_chi2(F.col("b10"), F.col("b01")), 9))
 
 
-@query("a7_mcnemar_p")
+#: The tail of chi-squared with one degree of freedom, erfc(sqrt(x / 2)), by the series of erf with positive terms; exact binomial tail.
+_CHI = "(CASE WHEN b10 + b01 = 0 THEN 0 ELSE pow(abs(b10 - b01) - 1, 2) / (b10 + b01) END)::DOUBLE"
+_TAIL = "greatest(0.0::DOUBLE, 1 - 2 / sqrt(pi()) * list_sum([exp(2 * j * ln(2) + (2 * j + 1) * ln(greatest(sqrt(chi / 2), 1e-300)) - lgamma(2 * j + 2) + lgamma(j + 1) - chi / 2) FOR j IN range(400)]))"
+_P = _TESTS + f", c AS (SELECT *, {_CHI} AS chi FROM t), p AS (SELECT name, b10, b01, {_TAIL} AS p FROM c)"
+_EXACT = "least(1.0::DOUBLE, 2 * list_sum([exp(lgamma(b10 + b01 + 1) - lgamma(j + 1) - lgamma(b10 + b01 - j + 1) - (b10 + b01) * ln(2)) FOR j IN range(least(b10, b01) + 1)]))"
+
+
+def _p(spark, sf):
+    return _tests(spark, sf).withColumn("p", F.round(paired.chi2_p(paired.mcnemar_chi2(F.col("b10"), F.col("b01"))), 9))
+
+
+@query("a7_mcnemar_p", _P + " SELECT name, b10, b01, round(p, 9) AS p FROM p")
 def a7p(spark, sf):
-    return _tests(spark, sf).withColumn("p", paired.chi2_p(paired.mcnemar_chi2(F.col("b10"), F.col("b01"))))
+    return _p(spark, sf)
 
 
-@query("a8_mcnemar_exact")
+@query("a8_mcnemar_exact", _TESTS + f" SELECT name, b10, b01, round(CASE WHEN b10 + b01 = 0 THEN 1 ELSE {_EXACT} END, 9)::DOUBLE AS p FROM t")
 def a8(spark, sf):
-    return _tests(spark, sf).withColumn("p", paired.binomial_p("b10", "b01"))
+    return _tests(spark, sf).withColumn("p", F.round(paired.binomial_p("b10", "b01"), 9))
 
 
-@query("a9_holm", _TESTS + """, p AS (SELECT name, exp(-(CASE WHEN b10 + b01 = 0 THEN 0 ELSE pow(abs(b10 - b01) - 1, 2) / (b10 + b01) END) / 2) AS p FROM t), r AS (SELECT *, 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) AS threshold FROM p)
-SELECT name, round(p, 9) AS p, round(threshold, 9) AS threshold, bool_and(p < threshold) OVER (ORDER BY p, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rejected FROM r""")
+@query("a9_holm", _P + """, r AS (SELECT name, round(p, 9) AS p, 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY round(p, 9), name) + 1) AS threshold FROM p)
+SELECT name, p, round(threshold, 9) AS threshold, bool_and(p < threshold) OVER (ORDER BY p, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rejected FROM r""")
 def a9(spark, sf):
-    """p here is the closed tail for two degrees of freedom, which both engines have."""
-    t = _tests(spark, sf).select("name", F.exp(-paired.mcnemar_chi2(F.col("b10"), F.col("b01")) / 2).alias("p"), F.lit(0).alias("family"))
-    return paired.holm(t, "p", "name", 0.05, ["family"]).select("name", F.round("p", 9).alias("p"), F.round("threshold", 9).alias("threshold"), "rejected")
+    t = _p(spark, sf).select("name", "p", F.lit(0).alias("family"))
+    return paired.holm(t, "p", "name", 0.05, ["family"]).select("name", "p", F.round("threshold", 9).alias("threshold"), "rejected")
 
 
-@query("a10_bonferroni", _TESTS + ", p AS (SELECT name, exp(-(CASE WHEN b10 + b01 = 0 THEN 0 ELSE pow(abs(b10 - b01) - 1, 2) / (b10 + b01) END) / 2) AS p FROM t) SELECT name, p < 0.05 AS raw, p < 0.05 / count(*) OVER () AS corrected FROM p")
+@query("a10_bonferroni", _P + " SELECT name, round(p, 9) < 0.05 AS raw, round(p, 9) < 0.05 / count(*) OVER () AS corrected FROM p")
 def a10(spark, sf):
-    p = F.exp(-paired.mcnemar_chi2(F.col("b10"), F.col("b01")) / 2)
-    return _tests(spark, sf).select("name", (p < 0.05).alias("raw"), (p < 0.05 / F.count("*").over(W.partitionBy())).alias("corrected"))
+    """A family of tests is a row for each condition, so its window is small."""
+    return _p(spark, sf).select("name", (F.col("p") < 0.05).alias("raw"), (F.col("p") < 0.05 / F.count("*").over(W.partitionBy())).alias("corrected"))
 
 
 @query("a22_damage", "WITH {REC} SELECT b.condition, count(*) AS n, 0.0::DOUBLE + round(avg(a.top1::INT) - avg(b.top1::INT), 9) AS damage, count_if(a.top1 AND NOT b.top1) AS lost, count_if(NOT a.top1 AND b.top1) AS won FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition = 'view' AND b.condition <> 'view' GROUP BY b.condition HAVING count(*) >= 10")
@@ -155,6 +168,21 @@ def _auc(spark, sf):
     return trapezoid(c.unionByName(chance), ["user_id", "ordering"], "x", "y")
 
 
+@query("a16_complete_curves", """WITH {REC}, r AS (SELECT *, CAST(right(video_id, 1) AS INTEGER) AS week, length(video_id) % 2 AS ordering FROM rec), i AS (SELECT *, CASE condition WHEN 'click' THEN 25 WHEN 'signup' THEN 50 WHEN 'purchase' THEN 75 END AS pct FROM r WHERE condition IN ('click', 'signup', 'purchase')),
+grid AS (SELECT DISTINCT ordering, pct FROM i WHERE NOT coalesce(failed, false)), ok AS (SELECT video_id, ordering FROM i GROUP BY video_id, ordering HAVING NOT bool_or(coalesce(failed, false)) AND count(DISTINCT pct) = (SELECT count(*) FROM grid g WHERE g.ordering = i.ordering)),
+f AS (SELECT video_id, coalesce(top1, false) AS top1, coalesce(top5, false) AS top5 FROM r WHERE condition = 'view')
+SELECT video_id, ordering, pct / 100 AS fraction, coalesce(i.top1, false)::INT::DOUBLE AS top1, coalesce(i.top5, false)::INT::DOUBLE AS top5 FROM i JOIN ok USING (video_id, ordering) JOIN (SELECT video_id FROM f) USING (video_id)
+UNION ALL SELECT video_id, ordering, 0.0, 1 / 174, 5 / 174 FROM ok JOIN f USING (video_id) UNION ALL SELECT video_id, ordering, 1.0, f.top1::INT::DOUBLE, f.top5::INT::DOUBLE FROM ok JOIN f USING (video_id)""")
+def a16(spark, sf):
+    """Conditions stand for fractions, view for the full record, and the length of a video's id for its ordering."""
+    from keelson.operators.coverage import complete_curves
+
+    rows = recognition(spark, sf)
+    pct = F.create_map(*[F.lit(x) for x in ("click", 25, "signup", 50, "purchase", 75)])
+    points = rows.where(F.col("condition").isin("click", "signup", "purchase")).select("video_id", (F.length("video_id") % 2).alias("ordering"), (F.try_element_at(pct, "condition") / 100).alias("fraction"), "failed", "top1", "top5")
+    return complete_curves(points, rows.where("condition = 'view'"), 174)
+
+
 @query("a17_curve_auc", _CURVE + " SELECT user_id, ordering, round(auc, 6) AS auc FROM a")
 def a17(spark, sf):
     return _auc(spark, sf).select("user_id", "ordering", F.round("auc", 6).alias("auc"))
@@ -254,24 +282,24 @@ _PAIR = {"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHE
 def _difference(spark, sf, seed):
     """Replicates of the difference d of two conditions' means, and the observed one."""
     m, _ = _matrix(spark, sf)
-    m = m.select("video_id", F.col("click").alias("x"), F.col("error").alias("y"))
+    m = m.select(F.col("click").alias("x"), F.col("error").alias("y"))
     observed = m.agg(F.avg(F.col("x") - F.col("y"))).first()[0] or 0.0
-    return paired.resampled_means(m, "video_id", ["x", "y"], 200, seed).withColumn("d", F.round(F.col("x") - F.col("y"), 9)), observed
+    return paired.resampled_means(m, ["x", "y"], REPLICATES, seed).withColumn("d", F.round(F.col("x") - F.col("y"), 9)), observed
 
 
-@query("a21_index_interval", _boot(_PAIR, 44) + ", s AS (SELECT list_sort(list(round(x - y, 9))) AS s FROM rep) SELECT 0.0::DOUBLE + s[6] AS low, 0.0::DOUBLE + s[196] AS high FROM s")
+@query("a21_index_interval", _boot(_PAIR, 44) + ", s AS (SELECT list_sort(list(round(x - y, 9))) AS s FROM rep) SELECT 0.0::DOUBLE + s[26] AS low, 0.0::DOUBLE + s[976] AS high FROM s")
 def a21(spark, sf):
     rep, _ = _difference(spark, sf, 44)
-    return paired.interval_at(rep, "d", int(0.025 * 200), int(0.975 * 200))
+    return paired.interval_at(rep, "d", int(0.025 * REPLICATES), int(0.975 * REPLICATES))
 
 
-@query("a41_lower_index_interval", _boot(_PAIR, 7) + ", s AS (SELECT list_sort(list(round(x - y, 9))) AS s FROM rep) SELECT 0.0::DOUBLE + s[6] AS low, 0.0::DOUBLE + s[195] AS high FROM s")
+@query("a41_lower_index_interval", _boot(_PAIR, 7) + ", s AS (SELECT list_sort(list(round(x - y, 9))) AS s FROM rep) SELECT 0.0::DOUBLE + s[26] AS low, 0.0::DOUBLE + s[975] AS high FROM s")
 def a41(spark, sf):
     rep, _ = _difference(spark, sf, 7)
-    return paired.interval_at(rep, "d", int(0.025 * 200), int(0.975 * 200) - 1)
+    return paired.interval_at(rep, "d", int(0.025 * REPLICATES), int(0.975 * REPLICATES) - 1)
 
 
-@query("a18_centred_p", _boot(_PAIR, 45) + ", o AS (SELECT avg(x - y) AS o FROM m), c AS (SELECT round(x - y, 9) AS d, avg(round(x - y, 9)) OVER () AS a FROM rep) SELECT round(least(1, greatest(1 / 200, avg((abs(d - a) >= abs(o) - 1e-12)::INT))), 9)::DOUBLE AS p FROM c, o")
+@query("a18_centred_p", _boot(_PAIR, 45) + ", o AS (SELECT avg(x - y) AS o FROM m), c AS (SELECT round(x - y, 9) AS d, avg(round(x - y, 9)) OVER () AS a FROM rep) SELECT round(least(1, greatest(1 / 1000, avg((abs(d - a) >= abs(o) - 1e-12)::INT))), 9)::DOUBLE AS p FROM c, o")
 def a18(spark, sf):
     rep, observed = _difference(spark, sf, 45)
     return paired.centred_p(rep, "d", observed).select(F.round("p", 9).alias("p"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.operators import allocate, coverage, select
+from keelson.operators import allocate, conditions, coverage, select
 from keelson.plans.bindings import query, segments
 
 KEPT = ["video_id", "idx"]
@@ -54,20 +54,73 @@ def c8(spark, sf):
     return _kept(select.lowest_evidence(segments(spark, sf)))
 
 
-def _target(spark, sf):
-    by = W.partitionBy("video_id")
-    return segments(spark, sf).withColumn("target", F.coalesce(F.sum(F.when(F.col("label") == "important", F.col("dur"))).over(by), F.lit(0.0)))
+_POOL = """WITH RECURSIVE {SEG}, v AS (SELECT video_id, list(idx ORDER BY idx) AS i, list(dur ORDER BY idx) AS d, CAST(count(*) AS INTEGER) AS n, sum(dur) AS total, greatest(0.05, 0.5 * list_sort(list(dur))[CAST(floor(count(*) / 2) AS INTEGER) + 1])::DOUBLE AS tol,
+  coalesce(sum(dur) FILTER (label = 'important'), 0) AS goal, coalesce(sum(dur) FILTER (weight >= 0.9), 0) AS strict, bool_or(weight2 >= 0.8) AS unscored FROM seg GROUP BY video_id)"""
+_GREEDY = _POOL + """, o AS (SELECT video_id, idx, dur, CAST(row_number() OVER (PARTITION BY video_id ORDER BY {order}, idx) AS INTEGER) AS k FROM seg),
+g AS (SELECT video_id, 0 AS k, 0.0::DOUBLE AS s, CAST([] AS INTEGER[]) AS kept FROM v UNION ALL SELECT g.video_id, o.k, CASE WHEN abs(s - goal) > tol AND s + dur <= goal + tol THEN s + dur ELSE s END,
+  CASE WHEN abs(s - goal) > tol AND s + dur <= goal + tol THEN list_append(kept, idx) ELSE kept END FROM g JOIN o ON g.video_id = o.video_id AND o.k = g.k + 1 JOIN v ON v.video_id = g.video_id),
+b AS (SELECT o.*, coalesce(sum(dur) OVER (PARTITION BY video_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+x AS (SELECT b.video_id, list_sort(list(idx) FILTER (before < goal)) AS crossing, min_by(idx, k) AS first FROM b JOIN v USING (video_id) GROUP BY b.video_id)
+SELECT video_id, CASE WHEN {fail} THEN CAST([] AS INTEGER[]) WHEN goal >= total - tol THEN i WHEN goal <= tol THEN [first] WHEN abs(s - goal) <= tol THEN list_sort(kept) ELSE crossing END AS kept, {fail} AS failed FROM v JOIN g USING (video_id) JOIN x USING (video_id) WHERE g.k = n"""
+_UNIFORM = _POOL + """, u AS (SELECT *, {goal} AS want FROM v), e AS (SELECT *, least(greatest(CAST(round_even(want / (total / n), 0) AS INTEGER), 1), n) AS guess FROM u),
+t AS (SELECT video_id, c, CASE WHEN c <= 1 THEN [n // 2] ELSE list_sort(list_distinct([CAST(round_even(j * (n - 1) / (c - 1)::DOUBLE, 0) AS INTEGER) FOR j IN range(c)])) END AS p, CASE c - guess WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN -1 THEN 2 WHEN 2 THEN 3 WHEN -2 THEN 4 END AS turn FROM (SELECT *, unnest(range(greatest(guess - 3, 1), least(guess + 3, n) + 1)) AS c FROM e)),
+m AS (SELECT t.video_id, c, turn, [i[x + 1] FOR x IN p] AS k, abs(list_sum([d[x + 1] FOR x IN p]) - want) AS off, tol FROM t JOIN u USING (video_id)),
+r AS (SELECT video_id, min_by(k, turn) FILTER (off <= tol AND turn IS NOT NULL) AS hit, (list(k ORDER BY off, c))[1] AS best FROM m GROUP BY video_id)
+SELECT video_id, CASE WHEN {fail} THEN CAST([] AS INTEGER[]) WHEN want >= total - tol THEN i WHEN want <= tol THEN [i[n // 2 + 1]] ELSE coalesce(hit, best) END AS kept, {fail} AS failed FROM u JOIN r USING (video_id)"""
 
 
-@query("c9_random_matched")
-def c9(spark, sf):
-    order = F.md5(F.concat_ws("|", F.lit("42"), F.col("video_id").cast("string"), F.col("idx").cast("string")))
-    return select.greedy_match(_target(spark, sf), order)
+def _sql(text: str, **parts: str) -> str:
+    for name, part in parts.items():
+        text = text.replace("{" + name + "}", part)
+    return text
 
 
-@query("c12_motion_matched")
-def c12(spark, sf):
-    return select.greedy_match(_target(spark, sf), -F.col("weight2"))
+def _gathered(spark, sf):
+    """Motion scores of 0.8 or more count as missing, so that failures occur."""
+    return conditions.gather(segments(spark, sf).withColumn("motion", F.when(F.col("weight2") < 0.8, F.col("weight2"))), "motion")
+
+
+def _matched(name: str, condition: str, sql: str) -> None:
+    query(name, sql)(lambda spark, sf: conditions.run(_gathered(spark, sf), [condition]).select("video_id", "kept", "failed"))
+
+
+_matched("c9_random_matched", "random", _sql(_GREEDY, order="md5('42|' || video_id || '|' || idx)", fail="false"))
+_matched("c10_uniform_matched", "uniform", _sql(_UNIFORM, goal="goal", fail="false"))
+_matched("c11_uniform_vs_strict", "uniform-vs-strict-0.9", _sql(_UNIFORM, goal="strict", fail="(strict = 0)"))
+_matched("c12_motion_matched", "motion", _sql(_GREEDY, order="-weight2", fail="unscored"))
+
+_SWEEP = ["full", "vlm-selected", "vlm-strict-0.9", "vlm-score-threshold-t70", "lowest-evidence", "uniform-equal-segs", "id-vlm-f50", "id-temporal-f10", "id-motion-f30", "vlm-anchored"]
+_RUN = """WITH {SEG}, s AS (SELECT *, weight2 < 0.8 AS scored, count(*) OVER v AS n, CAST(count_if(label = 'important') OVER v AS BIGINT) AS imp, row_number() OVER (v ORDER BY weight DESC, idx) AS heavy, row_number() OVER (v ORDER BY weight, idx) AS light,
+  sum(dur) OVER v AS total, coalesce(sum(dur) OVER (v ORDER BY weight DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b_vlm, coalesce(sum(dur) OVER (v ORDER BY weight2 DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b_motion,
+  bool_and(weight2 < 0.8) OVER v AS whole, CAST(count_if(weight >= 0.7) OVER v AS BIGINT) AS hits FROM seg WINDOW v AS (PARTITION BY video_id)),
+k AS (SELECT video_id, 'full' AS condition, idx, false AS k FROM s UNION ALL SELECT video_id, 'vlm-selected', idx, label = 'important' FROM s UNION ALL SELECT video_id, 'vlm-strict-0.9', idx, weight >= 0.9 FROM s
+UNION ALL SELECT video_id, 'vlm-score-threshold-t70', idx, weight >= 0.7 OR (hits = 0 AND heavy = 1) FROM s UNION ALL SELECT video_id, 'lowest-evidence', idx, light <= greatest(imp, 1) FROM s
+UNION ALL SELECT video_id, 'uniform-equal-segs', idx, CASE WHEN imp <= 1 THEN idx = n // 2 ELSE list_contains([CAST(round_even(j * (n - 1) / (imp - 1)::DOUBLE, 0) AS INTEGER) FOR j IN range(imp)], idx) END FROM s
+UNION ALL SELECT video_id, 'id-vlm-f50', idx, b_vlm < 0.5 * total FROM s UNION ALL SELECT video_id, 'id-temporal-f10', idx, start_s < 0.1 * total FROM s UNION ALL SELECT video_id, 'id-motion-f30', idx, whole AND b_motion < 0.3 * total FROM s UNION ALL SELECT video_id, 'vlm-anchored', idx, true FROM s)
+"""
+
+
+@query("c0_conditions", _RUN + "SELECT video_id, condition, coalesce(list(idx ORDER BY idx) FILTER (k), []) AS kept, condition <> 'full' AND count_if(k) = 0 AS failed FROM k GROUP BY video_id, condition")
+def c0(spark, sf):
+    return conditions.run(_gathered(spark, sf), _SWEEP).drop("reason")
+
+
+@query("c1_full", "WITH {SEG} SELECT DISTINCT video_id, c AS condition, CAST([] AS INTEGER[]) AS kept, false AS failed FROM seg, (VALUES ('full'), ('full-single')) t(c)")
+def c1(spark, sf):
+    return conditions.run(_gathered(spark, sf), ["full", "full-single"]).drop("reason")
+
+
+@query("c15_whole_markers", "WITH {SEG} SELECT video_id, c AS condition, list(idx ORDER BY idx) AS kept, false AS failed FROM seg, (VALUES ('vlm-aggregate'), ('vlm-anchored'), ('vlm-anchored-hybrid')) t(c) GROUP BY video_id, c")
+def c15(spark, sf):
+    return conditions.run(_gathered(spark, sf), ["vlm-aggregate", "vlm-anchored", "vlm-anchored-hybrid"]).drop("reason")
+
+
+@query("c19_failure_policy", """WITH {SEG}, v AS (SELECT video_id, count_if(weight >= 0.9) = 0 AS no_strict, bool_or(weight2 >= 0.8) AS unscored FROM seg GROUP BY video_id)
+SELECT video_id, 'vlm-strict-0.9' AS condition, false AS retried FROM v WHERE no_strict UNION ALL SELECT video_id, 'motion', true FROM v WHERE unscored""")
+def c19(spark, sf):
+    selected = conditions.run(_gathered(spark, sf), ["vlm-strict-0.9", "motion"])
+    written = conditions.to_write(selected).select("video_id", "condition", F.lit(False).alias("retried"))
+    return written.unionByName(conditions.to_retry(selected).withColumn("retried", F.lit(True)))
 
 
 @query("c13_evenly_spaced", """WITH {SEG}, s AS (SELECT *, CAST(count(*) OVER (PARTITION BY video_id) AS INTEGER) AS n FROM seg)
@@ -206,7 +259,9 @@ def r2(spark, sf):
     return segments(spark, sf).select(*KEPT, *allocate.frame_range(F.col("start_s"), F.col("end_s"), 2.5))
 
 
-@query("r3_largest_remainder")
+@query("r3_largest_remainder", """WITH {SEG}, i AS (SELECT video_id, idx, 16 * dur / sum(dur) OVER v AS exact, count(*) OVER v AS n FROM seg WHERE label = 'important' WINDOW v AS (PARTITION BY video_id)), b AS (SELECT *, CAST(round_even(exact, 0) AS INTEGER) AS base FROM i),
+g AS (SELECT *, 16 - CAST(sum(base) OVER (PARTITION BY video_id) AS INTEGER) AS gap FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY (exact - base) * sign(gap) DESC, idx) AS place FROM g)
+SELECT video_id, idx, CAST(base + sign(gap) * CASE WHEN place <= abs(gap) THEN floor((abs(gap) - place) / n) + 1 ELSE 0 END AS INTEGER) AS seats FROM p""")
 def r3(spark, sf):
     return allocate.apportion(select.important(segments(spark, sf)), "video_id", "idx", "dur", 16)
 
@@ -305,6 +360,14 @@ def r5(spark, sf):
     return select.important(segments(spark, sf)).groupBy("video_id").agg(F.array_sort(F.flatten(F.collect_list(frames))).alias("frames"))
 
 
+@query("r6_thinned_frames", """WITH {SEG}, w AS (SELECT video_id, idx, CAST(greatest(round_even(start_s / 2, 0), 0) AS INTEGER) AS a, CAST(least(round_even(end_s / 2, 0), 79) AS INTEGER) AS b, CASE WHEN label = 'important' THEN 1.0 ELSE 0.25 END::DOUBLE AS density FROM seg),
+n AS (SELECT *, b - a + 1 AS n, greatest(CAST(round_even((b - a + 1) * density, 0) AS INTEGER), 1) AS m FROM w)
+SELECT video_id, idx, CASE WHEN b < a THEN [] WHEN m >= n THEN range(a, b + 1)::INTEGER[] ELSE [a + CAST(round_even(i * (n - 1) / greatest(m - 1, 1)::DOUBLE, 0) AS INTEGER) FOR i IN range(m)] END AS frames FROM n""")
+def r6(spark, sf):
+    s = select.fast_forward(segments(spark, sf), 0.25)
+    return s.select(*KEPT, allocate.thinned_frames(F.col("start_s"), F.col("end_s"), F.col("played"), 0.5, F.lit(80)).alias("frames"))
+
+
 @query("w6_importance_cdf", "WITH {SEG} SELECT video_id, idx, round(sum(weight) OVER (PARTITION BY video_id ORDER BY idx), 6) AS cdf FROM seg")
 def w6(spark, sf):
     order = W.partitionBy("video_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)

@@ -10,9 +10,43 @@ from keelson.plans.bindings import query
 from keelson.session import table
 
 
-@query("j8_label_key", r"SELECT part_key AS p_partkey, trim(regexp_replace(lower(regexp_replace(regexp_replace(trim(raw), '^[\"''\[\]]+|[\"''\[\]]+$', '', 'g'), '[.,;:!?]+$', '')), '\s+', ' ', 'g')) AS key FROM (SELECT p_partkey AS part_key, '[' || p_name || '  ' || p_type || '!]' AS raw FROM part)")
+#: Labels in brackets, quotes and stops; the same expression in both dialects but for the quote sign.
+_RAW = "CASE p_partkey % 4 WHEN 0 THEN concat('[', p_name, '  ', p_type, '!]') WHEN 1 THEN concat(' (\"', p_name, '\") ') WHEN 2 THEN concat(p_name, ':`.,') ELSE concat({quote}, p_type, '.', {quote}) END"
+
+
+@query("j8_label_key", "SELECT p_partkey, regexp_replace(lower(trim(regexp_replace(trim(regexp_replace(trim(raw), '^[\\[(\"'']+|[\\])\"'']+$', '', 'g')), '[.,;!?''\"`]+$', ''))), '\\s+', ' ', 'g') AS key FROM (SELECT p_partkey, " + _RAW.format(quote="chr(39)") + " AS raw FROM part)")
 def j8(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", t.label_key(F.concat(F.lit("["), "p_name", F.lit("  "), "p_type", F.lit("!]"))).alias("key"))
+    return table(spark, sf, "part").selectExpr("p_partkey", _RAW.format(quote="char(39)") + " AS raw").select("p_partkey", t.label_key(F.col("raw")).alias("key"))
+
+
+_COLOURS = ["red", "green", "dark blue", "white", "black", "grey", "pink"]
+#: Answers by p_partkey % 10, with what they give: labels, whether normalised, reason.
+_ANSWERS = [
+    ('{"top5_label_ids": [0, 1, 2, 3, 6]}', ["red", "green", "dark blue", "white", "pink"], False, ""),
+    ('```json\n{"top5": ["red", "Green", "dark  blue", "(white)", "pink."]}\n```', ["red", "green", "dark blue", "white", "pink"], True, ""),
+    ('so: ["red", "green", "black", "grey", "white"] ok', ["red", "green", "black", "grey", "white"], False, ""),
+    ('{"top5_ids": ["1", 2, 3, 4, 5]}', ["green", "dark blue", "white", "black", "grey"], False, ""),
+    ('{"top5_label_ids": [0, 1, 2, 3, 7]}', [], False, "id out of range"),
+    ("[1, 1, 2, 3, 4]", [], False, "duplicate ids"),
+    ("[1, 2, 3]", [], False, "expected 5 items, got 3"),
+    ("I do not know", [], False, "no JSON array found"),
+    ('["red", "Red", "pink", "grey", "black"]', [], False, "duplicate labels"),
+    ('["red", "green", "pink", "grey", true]', [], False, "neither ids nor labels"),
+]
+_BY_KIND = lambda place, text: "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {text(a[place])}" for i, a in enumerate(_ANSWERS)) + " END"
+
+
+@query("j7_five_answers", f"SELECT p_partkey, {_BY_KIND(1, lambda x: f'{x}::VARCHAR[]')} AS labels, p_partkey % 10 = 1 AS normalized, {_BY_KIND(3, repr)} AS reason FROM part")
+def j7(spark, sf):
+    raw = F.get(F.array(*[F.lit(a) for a, *_ in _ANSWERS]), (F.col("p_partkey") % 10).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", t.five_answers(raw, _COLOURS).alias("x")).select("p_partkey", "x.*")
+
+
+@query("j3_last_resort", r"""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS decision, CASE WHEN event_id % 3 > 0 THEN event_id % 10 + 0.5::DOUBLE END AS confidence, CASE WHEN event_id % 3 > 0 THEN 'it \" is ' || event_type END AS evidence FROM events""")
+def j3(spark, sf):
+    name = F.when(F.col("event_id") % 3 > 0, F.lit('{"Decision": "')).otherwise(F.lit('{"choice": "'))
+    raw = F.concat(name, "event_type", F.lit('", "confidence": '), (F.col("event_id") % 10).cast("string"), F.lit('.5, "evidence": "it \\" is '), "event_type", F.lit('", "cut'))
+    return table(spark, sf, "events").select("event_id", t.last_resort(raw).alias("x")).select("event_id", "x.*")
 
 
 @query("j9_bracketless", "SELECT p_partkey, lower(translate('[' || p_name || '] ' || p_brand, '[]', '')) AS label FROM part")

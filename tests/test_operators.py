@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions import text
-from keelson.operators import agreement, align, allocate, coverage, paired, sample, search, select
+from keelson.operators import agreement, align, allocate, conditions, coverage, paired, sample, search, select
 from keelson.sources import scans, sinks
 from keelson.streaming import ingest
 
@@ -31,7 +31,7 @@ def test_golden_selectors(spark):
     assert kept(select.until_share(a, 0.5, [F.coalesce("weight", F.lit(0.0)).desc()])) == [0, 1, 2]
     assert kept(select.until_share(a, 0.5, [F.col("idx")])) == [0, 1, 2]
     motion = a.join(spark.createDataFrame([(i, m) for i, m in enumerate((0.1, 0.9, 0.5, 0.7, 0.2, 0.6))], "idx int, motion double"), "idx")
-    assert select.greedy_match(motion.withColumn("target", F.lit(2.0)), -F.col("motion")).first()["kept"] == [1, 2, 3, 5]
+    assert conditions.run(conditions.gather(motion, "motion"), ["motion"]).first()["kept"] == [1, 2, 3, 5]
     b = video(spark, [0.1, 0.9, 0.5, 0.7])
     assert kept(select.until_share(b, 0.5, [F.desc("weight")])) == [1, 3]
     assert kept(select.until_share(b, 0.5, [F.asc("weight")])) == [0, 2]
@@ -42,6 +42,70 @@ def test_golden_selectors(spark):
     assert kept(select.evenly_spaced(c, F.lit(1))) == [2] and kept(select.evenly_spaced(c, F.lit(3))) == [0, 2, 4]
 
 
+def by_hand(durations, order, goal):
+    """The matched selection of one video, a segment at a time."""
+    n, total = len(durations), sum(durations)
+    tol = max(0.05, 0.5 * sorted(durations)[n // 2])
+    if goal >= total - tol:
+        return list(range(n))
+    if goal <= tol:
+        return [order[0]]
+    chosen, length = [], 0.0
+    for i in order:
+        if abs(length - goal) <= tol:
+            break
+        if length + durations[i] <= goal + tol:
+            chosen.append(i)
+            length += durations[i]
+    if abs(length - goal) > tol:
+        chosen, length = [], 0.0
+        for i in order:
+            chosen.append(i)
+            length += durations[i]
+            if length >= goal:
+                break
+    return sorted(chosen)
+
+
+def test_conditions(spark):
+    """Golden cases by condition name, and matched selections against one segment at a time."""
+    import random
+
+    a = conditions.gather(video(spark), "weight")
+    names = ["full", "vlm-selected", "lowest-evidence", "id-temporal-f50", "vlm-anchored", "uniform-equal-segs", "vlm-strict-0.9", "motion", "uniform-vs-strict-0.9"]
+    got = {r["condition"]: (r["kept"], r["failed"], r["reason"]) for r in conditions.run(a, names).collect()}
+    assert got["full"] == ([], False, None) and got["vlm-selected"][0] == [0, 2, 3, 5] and got["lowest-evidence"][0] == [0, 1, 2, 3] and got["id-temporal-f50"][0] == [0, 1, 2]
+    assert got["vlm-anchored"][0] == [0, 1, 2, 3, 4, 5] and got["uniform-equal-segs"][0] == [0, 2, 3, 5]
+    assert got["vlm-strict-0.9"] == ([], True, conditions.NO_STRICT) == got["uniform-vs-strict-0.9"] and got["motion"] == ([], True, conditions.NO_SCORE)
+    b = conditions.gather(video(spark, [0.1, 0.9, 0.5, 0.7]), "weight")
+    assert [r["kept"] for r in conditions.run(b, ["id-vlm-f50", "id-anti-vlm-f50"]).collect()] == [[1, 3], [0, 2]]
+    c = conditions.gather(video(spark, [0.20, 0.60, 0.85, 0.40, 0.95]), "weight")
+    assert [r["kept"] for r in conditions.run(c, ["vlm-score-threshold-t50", "vlm-score-threshold-t100", "vlm-score-threshold-t0"]).collect()] == [[1, 2, 4], [4], [0, 1, 2, 3, 4]]
+    with pytest.raises(ValueError):
+        conditions.choose("no-such-condition")
+    nobody = conditions.gather(video(spark), "weight", spark.createDataFrame([("v",), ("empty",)], "video_id string"))
+    assert {(r["video_id"], r["reason"]) for r in conditions.run(nobody, ["uniform"]).collect()} == {("v", None), ("empty", conditions.EMPTY_POOL)}
+    rng = random.Random(4)
+    videos = {f"v{k}": [(rng.choice([0.5, 1.0, 2.5, 7.0]), rng.random(), rng.random() < 0.4) for _ in range(rng.randint(1, 12))] for k in range(60)}
+    rows = [(v, i, 0.0, 0.0, d, m, "important" if x else "unimportant") for v, items in videos.items() for i, (d, m, x) in enumerate(items)]
+    kept_of = {r["video_id"]: r["kept"] for r in conditions.run(conditions.gather(spark.createDataFrame(rows, SEGMENTS), "weight"), ["motion"]).collect()}
+    for v, items in videos.items():
+        order = sorted(range(len(items)), key=lambda i: -items[i][1])
+        assert kept_of[v] == by_hand([d for d, _, _ in items], order, sum(d for d, _, x in items if x))
+    failed = conditions.run(a, ["vlm-strict-0.9", "motion"])
+    assert [r["condition"] for r in conditions.to_write(failed).collect()] == ["vlm-strict-0.9"] and [r["condition"] for r in conditions.to_retry(failed).collect()] == ["motion"]
+
+
+def test_bootstrap_of_patterns(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 1), (0, 0), (1, 0), (None, 1)], "x int, y int")
+    rep = paired.resampled_means(rows, ["x", "y"], 300, 5)
+    got = rep.agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")).first()
+    assert got["n"] == 300 and abs(got["x"] - 0.75) < 0.05 and abs(got["y"] - 0.4) < 0.05
+    assert paired.resampled_means(rows.limit(0), ["x", "y"], 10, 5).count() == 0
+    with pytest.raises(ValueError):
+        paired.resampled_means(rows, ["x", "y"], 10, 5, most=2)
+
+
 def test_agreement_conventions(spark):
     e, ab = F.array().cast("array<int>"), F.array(F.lit(1), F.lit(2))
     row = spark.range(1).select(agreement.jaccard(e, e, 0.0).alias("zero"), agreement.jaccard(e, e, None).alias("null"), agreement.jaccard(e, e, 1.0).alias("one"), agreement.set_f1(e, ab).alias("f"), agreement.set_f1(e, e).alias("g"), agreement.jaccard(ab, F.array(F.lit(2)), 0.0).alias("h")).first()
