@@ -44,7 +44,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: The first two stages can't be put in SQL; tests hold the near-copy stage against brute force, but not yet the rows of run().
+#: The classifier, the bootstrapped patterns and the tokenizer can't be put in SQL; tests hold each stage and the rows of run() against plain Python.
 ORACLE_SQL = None
 
 
