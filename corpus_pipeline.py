@@ -33,7 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), merged_parts=2)
+    """Smaller parts and a smaller dictionary of common pieces than op10's: executors still hold what the stages before have grown to."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), most=100_000, merged_parts=1)
 
 
 STAGES = [
