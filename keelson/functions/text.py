@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ def _variants(text: Column, bare: bool) -> Column:
     return F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get(found, p, "variant")).startswith("ARRAY"), F.try_variant_get(found, p, "array<variant>")) for p in paths])
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates value once for body."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -58,11 +58,11 @@ def five_answers(raw: Column, labels: list[str]) -> Column:
         reason = reason.when(F.exists(items, lambda x: x["label"].isNull()), "not in taxonomy").when(fewer("label"), "duplicate labels").otherwise("")
         chosen = F.transform(items, lambda x: F.when(numeric, F.get(names, x["id"])).otherwise(x["label"]))
         changed = ~numeric & F.exists(items, lambda x: x["text"] != x["label"])
-        return _let(reason, lambda r: F.struct(F.when(r == "", chosen).otherwise(nothing).alias("labels"), ((r == "") & F.coalesce(changed, F.lit(False))).alias("normalized"), r.alias("reason")))
+        return let(reason, lambda r: F.struct(F.when(r == "", chosen).otherwise(nothing).alias("labels"), ((r == "") & F.coalesce(changed, F.lit(False))).alias("normalized"), r.alias("reason")))
 
     body = F.regexp_replace(raw, r"^\s+|\s+$", "")
     body = F.when(body.startswith("```"), F.regexp_replace(F.regexp_replace(body, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")).otherwise(body)
-    return _let(_let(body, lambda b: F.transform(found(b), item)), judged)
+    return let(let(body, lambda b: F.transform(found(b), item)), judged)
 
 
 def last_resort(raw: Column) -> Column:
@@ -198,3 +198,59 @@ def fill_gaps(scores: Column) -> Column:
         return F.concat(a, F.array(filled))
 
     return F.aggregate(F.sequence(F.lit(1), F.size(scores)), F.array().cast("array<double>"), step)
+
+
+def general(x: Column) -> Column:
+    """A number with six significant digits and no trailing zeros, with an exponent below 1e-4 and from 1e6 on."""
+    size = F.abs(x)
+    fixed = F.lit("0")
+    for e in range(5, -5, -1):
+        fixed = F.when((size < 10.0 ** (e + 1)) & (size >= 10.0**e), F.round(x, 5 - e).cast("decimal(20,9)").cast("string")).otherwise(fixed)
+    fixed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    power = F.regexp_replace(F.format_string("%.5e", x), r"\.?0+(e)", "$1")
+    return F.when((size >= 1e-4) & (size < 999999.5) | (size == 0), fixed).otherwise(F.when(x.isNotNull(), power))
+
+
+def time_range(start: Column, end: Column) -> Column:
+    """Null if either end is."""
+    return F.concat(general(start), F.lit("-"), general(end))
+
+
+def first_containing(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The name of the first rule (part, name) whose part the text contains, whatever its case."""
+    lower, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(default)
+    for part, name in reversed(rules):
+        out = F.when(lower.contains(part), name).otherwise(out)
+    return out
+
+
+def first_prefix(text: Column, rules: list[tuple[str, str]], default: str, explicit: Column | None = None) -> Column:
+    """An explicit name unless it is empty or auto, else the name of the first rule (prefix, name) that the text starts with."""
+    out = F.lit(default)
+    for prefix, name in reversed(rules):
+        out = F.when(F.coalesce(text, F.lit("")).startswith(prefix), name).otherwise(out)
+    return out if explicit is None else F.when(~F.coalesce(explicit, F.lit("")).isin("", "auto"), explicit).otherwise(out)
+
+
+def class_name(kind: Column, sources: dict[str, list[Column]]) -> Column:
+    """By kind of dataset, the first source of a name that isn't empty; null for other kinds."""
+    out = F.lit(None).cast("string")
+    for name, columns in sources.items():
+        out = F.when(kind == name, F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])).otherwise(out)
+    return out
+
+
+def other_columns(df: DataFrame, keys: list[str]) -> Column:
+    """All columns but the keys as one map of texts; NaN is null."""
+    value = lambda c, kind: (F.when(~F.isnan(c), F.col(c)) if kind in ("double", "float") else F.col(c)).cast("string")
+    return F.create_map(*[x for c, kind in df.dtypes if c not in keys for x in (F.lit(c), value(c, kind))])
+
+
+def scrub_json(document: Column, root: str) -> Column:
+    """A JSON text in which string values lose a leading root, at any depth; keys stay."""
+    return F.regexp_replace(document, r'([\[,:{]\s*")' + re.escape(root) + r'(?=(?:[^"\\]|\\.)*"\s*[,\]}])', "$1")
+
+
+def forbidden(text: Column, markers: list[str]) -> Column:
+    """The markers that a text still contains."""
+    return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(text, m))

@@ -44,3 +44,19 @@ def first_source(rows: DataFrame, key: str, priority: str, value: str) -> DataFr
     """The value of the source with the least priority number, by key."""
     order = W.partitionBy(key).orderBy(priority, value)
     return rows.where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+
+
+def backfill_truth(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """records: truth_id, truth, top5_ids, top1, top5; ids: label, id (the least, if a label has several). A record without truth_id takes
+    that of its label without brackets, else of the label as it is; zero is an id like any other. Only for records filled so, top1
+    and top5 are computed anew; those that no label matches stay as they are."""
+    known = ids.groupBy(F.lower(F.trim("label")).alias("key")).agg(F.min("id").alias("id"))
+    text = F.lower(F.trim(F.coalesce("truth", F.lit(""))))
+    found = records.withColumns({"__bare": F.when(F.col("truth_id").isNull(), F.trim(F.translate(text, "[]", ""))), "__whole": F.when(F.col("truth_id").isNull(), text)})
+    for key in ("__bare", "__whole"):
+        found = found.join(known.select(F.col("key").alias(key), F.col("id").alias(f"{key}_id")), key, "left")
+    found = found.withColumn("__id", F.coalesce("__bare_id", "__whole_id"))
+    new = F.col("__id").isNotNull()
+    answers = F.coalesce("top5_ids", F.array())
+    filled = {"truth_id": F.coalesce("truth_id", "__id"), "top1": F.when(new, F.coalesce(F.get(answers, F.lit(0)) == F.col("__id"), F.lit(False))).otherwise(F.col("top1")), "top5": F.when(new, F.array_contains(answers, F.col("__id"))).otherwise(F.col("top5"))}
+    return found.withColumns(filled).select(*records.columns)

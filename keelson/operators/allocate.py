@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.functions.text import let
+
 
 def fixed_segments(videos: DataFrame, duration: str, step: float) -> DataFrame:
     """Segments of `step` seconds, the last cut; none for a video of no length."""
@@ -92,3 +96,51 @@ def thinned_frames(start: Column, end: Column, weight: Column, fps: float, frame
     m = F.greatest(F.rint(n * density).cast("int"), F.lit(1))
     picks = F.transform(F.sequence(F.lit(0), F.least(m, F.greatest(n, F.lit(1))) - 1), lambda i: F.when(m >= n, i).otherwise(F.rint(i * (n - 1) / F.greatest(m - 1, F.lit(1))).cast("int")))
     return F.when(last >= first, F.transform(picks, lambda i: first + i * step)).otherwise(F.array().cast("array<int>"))
+
+
+def pooled_clips(pool: Column, per_clip: int, clips: int) -> Column:
+    """Clips of per_clip neighbouring frames of a pool, their starts spread evenly (a single one: the centre). A pool no longer than a
+    clip is every clip, its last frame repeated; an empty pool is frame 0."""
+    full = F.when(F.size(pool) > 0, pool).otherwise(F.array(F.lit(0)))
+    room = F.greatest(F.size(full) - per_clip, F.lit(0))
+    starts = F.array((room / 2).cast("int")) if clips == 1 else uniform_starts(room, clips)
+    padded = F.concat(full, F.array_repeat(F.element_at(full, -1), F.greatest(per_clip - F.size(full), F.lit(0))))
+    return F.when(room > 0, F.transform(starts, lambda s: F.slice(full, s + 1, per_clip))).otherwise(F.array_repeat(padded, clips))
+
+
+def hybrid_starts(items: Column, frames: Column, fps: float, clips: int, per_clip: int, step: int = 1, share: float = 0.5) -> Column:
+    """Clip starts, a share of them (rounded up, one at least) at quantiles of the frames' cumulative weight, the rest spread evenly; the two
+    may coincide. items: structs of start_s, end_s, weight; a frame in several has the last one's weight, a frame in none has none.
+    Without any weight all starts are spread evenly."""
+    anchors = min(clips, max(1, ceil(clips * share)))
+    last = F.greatest(frames - per_clip * step, F.lit(0)).cast("int")
+    even = lambda n: F.array((last / 2).cast("int")) if n == 1 else uniform_starts(last, n)
+
+    def weight(f: Column) -> Column:
+        over = F.filter(items, lambda x: (F.rint(x["start_s"] * fps) <= f) & (f <= F.rint(x["end_s"] * fps)) & (f < frames))
+        return F.coalesce(F.try_element_at(over, F.lit(-1))["weight"].cast("double"), F.lit(0.0))
+
+    def reached(weights: Column, goal: Column) -> Column:
+        """The number of frames before the cumulative weight reaches the goal."""
+        state = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        return F.aggregate(weights, state, lambda a, w: F.struct((a["s"] + w).alias("s"), (a["n"] + (a["s"] + w < goal).cast("int")).alias("n")), lambda a: F.least(a["n"], last))
+
+    def placed(weights: Column, total: Column) -> Column:
+        found = F.transform(F.array(*[F.lit((i + 0.5) / anchors) for i in range(anchors)]), lambda q: let(q * total, lambda goal: reached(weights, goal)))
+        rest = even(clips - anchors) if clips > anchors else F.array().cast("array<int>")
+        none = even(clips) if clips > anchors else F.array().cast("array<int>")
+        return F.when(total > 0, F.array_sort(F.concat(found, rest))).otherwise(none)
+
+    weights = F.transform(F.sequence(F.lit(0), F.greatest(frames, F.lit(1)) - 1), weight)
+    return let(weights, lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda total: placed(w, total)))
+
+
+def tiles(width: Column, height: Column, size: int = 448, least: int = 1, most: int = 12) -> Column:
+    """(columns, rows) of the grid of square tiles nearest to an image's proportions. Of grids equally near, the largest whose half area
+    the image exceeds, else the smallest; grids of one area in order of columns."""
+    grids = sorted(((i, j) for i in range(1, most + 1) for j in range(1, most + 1) if least <= i * j <= most), key=lambda g: (g[0] * g[1], g))
+    off = lambda g: F.abs(width / height - g["columns"] / g["rows"])
+    known = F.array(*[F.struct(F.lit(i).alias("columns"), F.lit(j).alias("rows")) for i, j in grids])
+    nearest = let(F.array_min(F.transform(known, off)), lambda d: F.filter(known, lambda g: off(g) == d))
+    fits = lambda g: width * height > 0.5 * size * size * g["columns"] * g["rows"]
+    return let(nearest, lambda near: F.coalesce(F.try_element_at(F.filter(near, fits), F.lit(-1)), F.get(near, 0)))

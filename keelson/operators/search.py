@@ -28,3 +28,33 @@ def minimal_subset(segments: DataFrame, score: Callable[[DataFrame], DataFrame],
         if now.where("open").isEmpty():
             break
     return now.drop("open")
+
+
+def random_removal(segments: DataFrame, score: Callable[[DataFrame], DataFrame], seed: int = 42, fraction: float = 0.5, least: int = 2, most: int = 8) -> DataFrame:
+    """segments: video_id, idx. score takes (video_id, removed, kept) rows of candidate subsets and adds `ok`. Each round scores a shortlist
+    of a video's segments, chosen by hash: `fraction` of them, `least` at least and `most` at most. Only where none of it is ok, all
+    others are scored too. One of those that are ok goes, chosen by hash; a video ends with one segment or when none is ok.
+    Returns video_id, kept, removed (in order), calls (scored subsets), reason (single_segment, no_removable)."""
+    kept = F.array_sort(F.collect_set("idx")).alias("kept")
+    now = segments.groupBy("video_id").agg(kept).withColumns({"removed": F.expr("cast(array() as array<int>)"), "calls": F.lit(0).cast("long"), "open": F.size("kept") > 1})
+    now = materialize(now, "subsets")
+    for number in count(1):
+        drawn = lambda use, x: F.md5(F.concat_ws("|", F.lit(f"{seed}|{number}|{use}"), F.col("video_id").cast("string"), x.cast("string")))  # noqa: B023, E731
+        mixed = F.array_sort(F.transform("kept", lambda x: F.struct(drawn("list", x).alias("h"), x.alias("x"))))
+        candidates = now.where("open").select("video_id", F.col("kept").alias("all"), F.posexplode(mixed).alias("place", "y"))
+        size = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.lit(fraction) * F.size("all"))))
+        candidates = candidates.select("video_id", F.col("y.x").alias("removed"), F.array_remove("all", F.col("y.x")).alias("kept"), (F.col("place") < size).alias("listed"))
+        part = lambda rows: rows.select("video_id", "removed", "kept")
+        first = materialize(score(part(candidates.where("listed"))).select("video_id", "removed", "ok"), "shortlist")
+        others = candidates.where("not listed").join(first.where("ok").select("video_id").distinct(), "video_id", "left_anti")
+        scored = first.unionByName(score(part(others)).select("video_id", "removed", "ok"))
+        gone = F.min(F.when(F.col("ok"), F.struct(drawn("pick", F.col("removed")).alias("h"), F.col("removed").alias("x"))))["x"].alias("gone")
+        step = now.join(scored.groupBy("video_id").agg(gone, F.count("*").alias("more")), "video_id", "left")
+        now = materialize(step.select(
+            "video_id", F.when(F.col("gone").isNull(), F.col("kept")).otherwise(F.array_remove("kept", F.col("gone"))).alias("kept"),
+            F.when(F.col("gone").isNull(), F.col("removed")).otherwise(F.array_append("removed", F.col("gone"))).alias("removed"),
+            (F.col("calls") + F.coalesce("more", F.lit(0))).alias("calls"), (F.col("gone").isNotNull() & (F.size("kept") > 2)).alias("open"),
+        ), "subsets")
+        if now.where("open").isEmpty():
+            break
+    return now.drop("open").withColumn("reason", F.when(F.size("kept") <= 1, "single_segment").otherwise("no_removable"))

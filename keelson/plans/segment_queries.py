@@ -381,3 +381,35 @@ def n8(spark, sf):
 
     pairs = unordered_pairs(recognition(spark, sf), "video_id", "condition", ["value"]).groupBy("a", "b")
     return pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.col("value_a") - F.col("value_b")), 9).alias("gap")).where("n >= 10")
+
+
+@query("r6_weighted_clips", """WITH {SEG}, w AS (SELECT video_id, idx, CAST(greatest(round_even(start_s / 2, 0), 0) AS INTEGER) AS a, CAST(least(round_even(end_s / 2, 0), 79) AS INTEGER) AS b, CASE WHEN label = 'important' THEN 1.0 ELSE 0.25 END::DOUBLE AS density FROM seg),
+n AS (SELECT *, b - a + 1 AS n, greatest(CAST(round_even((b - a + 1) * density, 0) AS INTEGER), 1) AS m FROM w),
+p AS (SELECT video_id, flatten(list(CASE WHEN b < a THEN [] WHEN m >= n THEN range(a, b + 1)::INTEGER[] ELSE [a + CAST(round_even(i * (n - 1) / greatest(m - 1, 1)::DOUBLE, 0) AS INTEGER) FOR i IN range(m)] END ORDER BY idx)) AS pool FROM n GROUP BY video_id),
+q AS (SELECT video_id, CASE WHEN len(pool) > 0 THEN pool ELSE [0] END AS pool FROM p)
+SELECT video_id, CAST(clip AS INTEGER) AS clip, CASE WHEN len(pool) > 16 THEN list_slice(pool, 1 + CAST(round_even(clip * (len(pool) - 16) / 2.0::DOUBLE, 0) AS BIGINT), 16 + CAST(round_even(clip * (len(pool) - 16) / 2.0::DOUBLE, 0) AS BIGINT))
+  ELSE list_concat(pool, [pool[len(pool)] FOR i IN range(16 - len(pool))]) END AS frames FROM q, (SELECT unnest(range(3)) AS clip)""")
+def r6_clips(spark, sf):
+    s = select.fast_forward(segments(spark, sf), 0.25)
+    frames = allocate.thinned_frames(F.col("start_s"), F.col("end_s"), F.col("played"), 0.5, F.lit(80))
+    pools = s.groupBy("video_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", frames.alias("f")))), lambda x: x["f"])).alias("pool"))
+    return pools.select("video_id", F.posexplode(allocate.pooled_clips(F.col("pool"), 16, 3)).alias("clip", "frames"))
+
+
+@query("r8_hybrid_starts", """WITH {SEG}, v AS (SELECT video_id, CAST(ceil(max(end_s) / 2) AS INTEGER) AS n, list(struct_pack(a := round_even(start_s / 2, 0), b := round_even(end_s / 2, 0), w := CAST(round(weight * 10) AS BIGINT)) ORDER BY idx) AS items FROM seg GROUP BY video_id),
+f AS (SELECT video_id, n, unnest(range(n)) AS f, items FROM v), w AS (SELECT video_id, n, f, coalesce(list_filter(items, lambda x: x.a <= f AND f <= x.b)[-1].w, 0) AS w FROM f),
+c AS (SELECT *, sum(w) OVER (PARTITION BY video_id ORDER BY f) AS cum, sum(w) OVER (PARTITION BY video_id) AS total, greatest(n - 16, 0) AS last FROM w),
+s AS (SELECT video_id, last, max(total) AS total, least(count_if(cum < 0.25::DOUBLE * total), last) AS q1, least(count_if(cum < 0.75::DOUBLE * total), last) AS q3 FROM c GROUP BY video_id, last)
+SELECT video_id, CASE WHEN total > 0 THEN list_sort([q1, q3, 0, last])::INTEGER[] ELSE [CAST(round_even(i * last / 3.0::DOUBLE, 0) AS INTEGER) FOR i IN range(4)] END AS starts FROM s""")
+def r8(spark, sf):
+    item = F.struct("idx", "start_s", "end_s", F.round(F.col("weight") * 10).alias("weight"))
+    by = segments(spark, sf).groupBy("video_id").agg(F.ceil(F.max("end_s") / 2).cast("int").alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+    return by.select("video_id", allocate.hybrid_starts(F.col("items"), F.col("n"), 0.5, 4, 16).alias("starts"))
+
+
+@query("r16_tiles", """WITH g AS (SELECT i, j FROM (SELECT unnest(range(1, 7)) AS i), (SELECT unnest(range(1, 7)) AS j) WHERE i * j <= 6), p AS (SELECT p_partkey, p_size * 40 AS w, (p_partkey % 9 + 1) * 120 AS h FROM part),
+d AS (SELECT *, abs(w / h - i / j) AS off, w * h > 0.5 * 448 * 448 * i * j AS fits FROM p, g), n AS (SELECT *, min(off) OVER (PARTITION BY p_partkey) AS best FROM d)
+SELECT p_partkey, CAST(i AS INTEGER) AS "columns", CAST(j AS INTEGER) AS "rows" FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY fits DESC, CASE WHEN fits THEN -i * j ELSE i * j END, CASE WHEN fits THEN -i ELSE i END) AS k FROM n WHERE off = best) WHERE k = 1""")
+def r16(spark, sf):
+    grid = allocate.tiles(F.col("p_size") * 40, (F.col("p_partkey") % 9 + 1) * 120, most=6)
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", grid.alias("g")).select("p_partkey", "g.columns", "g.rows")

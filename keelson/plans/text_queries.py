@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelson.functions import text as t
-from keelson.operators import gates
+from keelson.operators import align, gates
 from keelson.plans.bindings import query
 from keelson.session import table
 
@@ -143,3 +143,54 @@ def a68(spark, sf):
 @query("f13_parity", "SELECT o_custkey, count(DISTINCT o_orderstatus) > 1 AS status_differs, count(DISTINCT o_orderpriority) > 1 AS priority_differs FROM orders GROUP BY o_custkey")
 def f13(spark, sf):
     return gates.parity(table(spark, sf, "orders"), ["o_custkey"], {"status_differs": "o_orderstatus", "priority_differs": "o_orderpriority"})
+
+
+_SIZES = "CASE o_orderkey % 4 WHEN 0 THEN o_orderkey / 8 WHEN 1 THEN o_orderkey * 1e-6 WHEN 2 THEN o_orderkey * 1000.0 ELSE 0 END"
+
+
+@query("j18_time_range", f"SELECT o_orderkey, printf('%g', (o_orderkey % 500 / 4)::DOUBLE) || '-' || printf('%g', ({_SIZES})::DOUBLE) AS time_range FROM orders")
+def j18(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", t.time_range(F.col("o_orderkey") % 500 / 4, F.expr(f"cast({_SIZES} as double)")).alias("time_range"))
+
+
+@query("j13_by_substring", "SELECT doc_id, CASE WHEN contains(lower(text), 'table') OR contains(lower(text), 'the') THEN 'a' WHEN contains(lower(text), 'data') THEN 'b' ELSE 'unknown' END AS dataset FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def j13(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.first_containing(F.col("text"), [("table", "a"), ("the", "a"), ("data", "b")], "unknown").alias("dataset"))
+
+
+@query("j26_by_prefix", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'given' WHEN p_type LIKE 'S%' THEN 's' WHEN p_type LIKE 'P%' THEN 'p' ELSE 'local' END AS provider FROM part")
+def j26(spark, sf):
+    given = F.when(F.col("p_partkey") % 5 == 0, "given").when(F.col("p_partkey") % 5 == 1, "auto")
+    return table(spark, sf, "part").select("p_partkey", t.first_prefix(F.col("p_type"), [("S", "s"), ("P", "p")], "local", given).alias("provider"))
+
+
+@query("j15_class_name", "SELECT event_id, CASE event_type WHEN 'click' THEN coalesce(CASE WHEN event_id % 2 = 0 THEN 'template' END, props) WHEN 'view' THEN props END AS name FROM events")
+def j15(spark, sf):
+    template = F.when(F.col("event_id") % 2 == 0, "template").otherwise("")
+    return table(spark, sf, "events").select("event_id", t.class_name(F.col("event_type"), {"click": [template, F.col("props")], "view": [F.col("props")]}).alias("name"))
+
+
+@query("f12_pass_through", "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS nation, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN 1.5 END::DOUBLE AS score FROM supplier")
+def f12(spark, sf):
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_name", F.when(F.col("s_suppkey") % 3 > 0, 1.5).otherwise(float("nan")).alias("score"))
+    rest = rows.select("s_suppkey", t.other_columns(rows, ["s_suppkey"]).alias("m"))
+    return rest.select("s_suppkey", F.col("m")["s_nationkey"].alias("nation"), F.col("m")["s_name"].alias("name"), F.col("m")["score"].cast("double").alias("score"))
+
+
+@query("j11_scrub_json", r"""SELECT p_partkey, '{"/root/x": "a/' || p_partkey || '", "l": ["b \" /root/x", {"v": "c"}], "t": "at /root/d"}' AS doc, ['/root/', 'at /'] AS markers FROM part WHERE p_partkey % 7 = 0
+UNION ALL SELECT p_partkey, '{"/root/x": "a/' || p_partkey || '", "l": ["b \" /root/x", {"v": "c"}], "t": "at d"}' AS doc, ['/root/'] AS markers FROM part WHERE p_partkey % 7 > 0""")
+def j11(spark, sf):
+    tail = F.when(F.col("p_partkey") % 7 == 0, "at /root/d").otherwise("at d")
+    raw = F.concat(F.lit('{"/root/x": "/root/a/'), F.col("p_partkey").cast("string"), F.lit('", "l": ["b \\" /root/x", {"v": "/root/c"}], "t": "'), tail, F.lit('"}'))
+    clean = table(spark, sf, "part").select("p_partkey", t.scrub_json(raw, "/root/").alias("doc"))
+    return clean.select("p_partkey", "doc", t.forbidden(F.col("doc"), ["/root/", "at /"]).alias("markers"))
+
+
+@query("j16_backfill_truth", """WITH ids AS (SELECT lower(p_type) AS key, CAST(min(p_size) - 1 AS INTEGER) AS id FROM part GROUP BY 1),
+r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS INTEGER) END AS truth_id, CASE WHEN p_partkey % 4 = 3 THEN 'no such' ELSE lower(p_type) END AS key, [CAST(p_size - 1 AS INTEGER), 0, 7] AS a FROM part)
+SELECT p_partkey, coalesce(truth_id, id) AS truth_id, truth_id IS NULL AND id IS NOT NULL AND a[1] = id AS top1, truth_id IS NULL AND id IS NOT NULL AND list_contains(a, id) AS top5 FROM r LEFT JOIN ids USING (key)""")
+def j16(spark, sf):
+    p = table(spark, sf, "part")
+    label = F.when(F.col("p_partkey") % 4 == 3, "no such").when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" ["), "p_type", F.lit("]"))).otherwise(F.col("p_type"))
+    records = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("int")).alias("truth_id"), label.alias("truth"), F.array((F.col("p_size") - 1).cast("int"), F.lit(0), F.lit(7)).alias("top5_ids"), F.lit(False).alias("top1"), F.lit(False).alias("top5"))
+    return align.backfill_truth(records, p.select(F.col("p_type").alias("label"), (F.col("p_size") - 1).cast("int").alias("id"))).drop("truth", "top5_ids")

@@ -236,3 +236,36 @@ def test_minimal_subset_goes_on_past_its_former_end():
     import inspect
 
     assert inspect.signature(search.minimal_subset).parameters["rounds"].default is None
+
+
+def test_general_format(spark):
+    values = [0.0, 1.0, 0.5, 12.25, 100.0, 123456.7, 999999.4, 999999.7, 1e6, 1234567.0, 1e-4, 0.00012345678, 9.9999996, 1e-5, -2.50, 1e20, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = {r["i"]: r["s"] for r in rows.select("i", text.general(F.col("x")).alias("s")).collect()}
+    assert got == {i: None if v is None else f"{v:g}" for i, v in enumerate(values)}
+
+
+def test_pools_and_starts_at_their_edges(spark):
+    one = spark.createDataFrame([([],), ([3, 5],), (list(range(10)),)], "pool array<int>")
+    got = [r["c"] for r in one.select(allocate.pooled_clips(F.col("pool"), 4, 2).alias("c")).collect()]
+    assert got == [[[0] * 4] * 2, [[3, 5, 5, 5]] * 2, [[0, 1, 2, 3], [6, 7, 8, 9]]]
+    assert one.select(allocate.pooled_clips(F.col("pool"), 4, 1).alias("c")).collect()[2]["c"] == [[3, 4, 5, 6]]
+    items = "array<struct<start_s:double,end_s:double,weight:double>>"
+    rows = spark.createDataFrame([(1, [], 40), (2, [(0.0, 10.0, 0.0), (10.0, 20.0, 1.0)], 40), (3, [(0.0, 10.0, 1.0)], 0), (4, None, 40)], f"k int, items {items}, n int")
+    got = {r["k"]: r["s"] for r in rows.select("k", allocate.hybrid_starts(F.col("items"), F.col("n"), 1.0, 4, 8).alias("s")).collect()}
+    assert got == {1: [0, 11, 21, 32], 2: [0, 12, 18, 32], 3: [0, 0, 0, 0], 4: [0, 11, 21, 32]}
+
+
+def test_random_removal(spark):
+    rows = spark.createDataFrame([(v, i) for v in ("a", "b", "c", "d") for i in range(1 if v == "d" else 6)], "video_id string, idx int")
+    needs = {"a": [1, 4], "b": [], "c": list(range(6)), "d": []}
+    needed = F.coalesce(*[F.when(F.col("video_id") == v, F.array(*map(F.lit, n)).cast("array<int>")) for v, n in needs.items()])
+    calls = lambda df: df.withColumn("ok", F.size(F.array_except(needed, "kept")) == 0)
+    got = {r["video_id"]: r for r in search.random_removal(rows, calls).collect()}
+    assert got["a"]["kept"] == [1, 4] and got["a"]["reason"] == "no_removable" and sorted(got["a"]["removed"]) == [0, 2, 3, 5]
+    assert len(got["b"]["kept"]) == 1 and got["b"]["reason"] == "single_segment" and len(got["b"]["removed"]) == 5
+    assert got["b"]["calls"] == 3 + 3 + 2 + 2 + 2
+    assert got["c"]["kept"] == list(range(6)) and got["c"]["calls"] == 6
+    assert got["d"]["kept"] == [0] and got["d"]["calls"] == 0
+    again = {r["video_id"]: r["removed"] for r in search.random_removal(rows, calls).collect()}
+    assert again == {v: r["removed"] for v, r in got.items()}
