@@ -1,18 +1,32 @@
-"""Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
+"""Operators of a training-data pipeline. Nothing else in the library imports this subpackage.
 
-from keelson.llm import bpe, chat, fingerprints, mixing, neighbours, personal, quality, simhash, substrings, wrappers
+A query's module is imported when it is called: Python workers import this package with any operator's functions, and would hold the
+libraries of all ten."""
+
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+from keelson.llm import chat, mixing
 
 _MODULES = {
-    "op1_chat_formatting": chat,
-    "op2_document_fingerprints": fingerprints,
-    "op3_quality_classifier": quality,
-    "op4_suffix_array_dedup": substrings,
-    "op5_simhash_near_dedup": simhash,
-    "op6_html_extraction": wrappers,
-    "op7_nearest_neighbours": neighbours,
-    "op8_mixing_sources": mixing,
-    "op9_personal_data": personal,
-    "op10_byte_level_bpe": bpe,
+    "op1_chat_formatting": "chat",
+    "op2_document_fingerprints": "fingerprints",
+    "op3_quality_classifier": "quality",
+    "op4_suffix_array_dedup": "substrings",
+    "op5_simhash_near_dedup": "simhash",
+    "op6_html_extraction": "wrappers",
+    "op7_nearest_neighbours": "neighbours",
+    "op8_mixing_sources": "mixing",
+    "op9_personal_data": "personal",
+    "op10_byte_level_bpe": "bpe",
 }
-QUERIES = {name: module.query for name, module in _MODULES.items()}
-ORACLES = {name: module.ORACLE_SQL for name, module in _MODULES.items() if getattr(module, "ORACLE_SQL", None)}
+
+
+def _query(module: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: import_module(f"keelson.llm.{module}").query(spark, sf_dir)
+
+
+QUERIES = {name: _query(module) for name, module in _MODULES.items()}
+ORACLES = {"op1_chat_formatting": chat.ORACLE_SQL, "op8_mixing_sources": mixing.ORACLE_SQL}

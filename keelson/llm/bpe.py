@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import arrow_schema, small_batches, table
+from keelson.llm.common import arrow_schema, give_back, small_batches, table
 
 SAMPLE_DOCUMENTS, COMMON = 16_000, 200_000
 LONG, BUCKETS = 256, 1 << 14
@@ -230,6 +230,7 @@ def _cut(documents: DataFrame, pattern: str, common: object) -> DataFrame:
                 yield from flush()
         if held:
             yield from flush()
+        give_back()
 
     return documents.mapInArrow(run, CUT)
 
@@ -271,7 +272,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
 
         all_texts, all_blobs = texts, blobs
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):  # a row holds ROW_PIECES pieces or a batch of documents
                 if r["ids"] is not None:
                     for i, ids in enumerate(r["ids"]):
                         if r["long"] is not None and r["long"][i]:
@@ -286,7 +287,9 @@ def encode_documents(documents: DataFrame, path: str, pattern: str = public_toke
                             flat_ids, firsts = np.fromstring(b" ".join(all_texts), dtype=np.int32, sep=" "), np.cumsum(lengths) - lengths
                     yield closed(r["doc_ids"], r["counts"], r["places"])
                 else:
-                    own_texts, own_blobs, lengths = [], [], None
+                    own_texts, own_blobs, lengths, flat_ids, firsts = [], [], None, None, None
+                    all_texts, all_blobs = texts, blobs
+        give_back()
 
     return coded.mapInArrow(run, CODED)
 

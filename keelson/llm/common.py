@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keelson.session import materialize, table
 
-__all__ = ["BATCH_ROWS", "map_batches", "materialize", "shuffle_partitions", "small_batches", "table"]
+__all__ = ["BATCH_ROWS", "give_back", "map_batches", "materialize", "shuffle_partitions", "small_batches", "table"]
 
 #: Rows in an Arrow batch; whole texts pass through Python, so a batch must stay small.
 BATCH_ROWS = 1000
@@ -28,6 +28,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system: workers outlive tasks, and wait beside those of other stages."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Applies a function of column lists to each Arrow batch, without a shuffle."""
     small_batches(df.sparkSession)
@@ -38,6 +44,7 @@ def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, l
             if batch.num_rows:
                 out = function(batch.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
