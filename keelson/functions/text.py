@@ -246,6 +246,12 @@ def other_columns(df: DataFrame, keys: list[str]) -> Column:
     return F.create_map(*[x for c, kind in df.dtypes if c not in keys for x in (F.lit(c), value(c, kind))])
 
 
+def settings(given: dict, config: dict, defaults: dict) -> dict:
+    """Options of a run: what was given (not None), else what the config's sections or top level say, else the default. Unknown names are left out."""
+    flat = {k: v for x in (config, *(v for v in config.values() if isinstance(v, dict))) for k, v in x.items() if not isinstance(v, dict)}
+    return {name: given[name] if given.get(name) is not None else flat.get(name, default) for name, default in defaults.items()}
+
+
 def scrub_json(document: Column, root: str) -> Column:
     """A JSON text in which string values lose a leading root, at any depth; keys stay."""
     return F.regexp_replace(document, r'([\[,:{]\s*")' + re.escape(root) + r'(?=(?:[^"\\]|\\.)*"\s*[,\]}])', "$1")

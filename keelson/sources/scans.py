@@ -40,6 +40,23 @@ def records(spark: SparkSession, paths: str | list[str], schema: str = RECORD) -
     return last_write(rows.withColumn("written", F.struct("modified", "file_name")).drop("modified", "file_name"), ["video_id", "condition"], "written").drop("written")
 
 
+def cell_records(spark: SparkSession, root: str, cell: str, condition: str, schema: str = RECORD) -> DataFrame:
+    """Records of one cell's folder under a condition; only files of that condition are listed. The name's video_id ends at its first double underscore."""
+    rows = documents(spark, f"{root.rstrip('/')}/{cell}", schema, f"*__{condition}.json")
+    rows = rows.withColumn("video_id", F.coalesce(F.nullif(F.col("video_id"), F.lit("")), F.substring_index("file_name", "__", 1)))
+    return last_write(rows, ["video_id"], "file_name").drop("modified", "file_name")
+
+
+def feature_shards(spark: SparkSession, path: str, metadata: str | None = None) -> tuple[DataFrame, int | None]:
+    """video_id, label and features of all Parquet shards of a folder, and the class count that the first of its metadata files
+    (JSON, in order of name) states, other than 0."""
+    rows = spark.read.schema("video_id string, label int, features array<float>").option("pathGlobFilter", "*.parquet").parquet(path)
+    if metadata is None:
+        return rows, None
+    stated = documents(spark, metadata, "num_labels int").where("num_labels <> 0").agg(F.min_by("num_labels", "file_name")).first()[0]
+    return rows, stated
+
+
 def annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Annotations keyed by video_id, else by the file's stem."""
     return documents(spark, paths, ANNOTATION).withColumn("video_id", F.coalesce("video_id", stem(F.col("file_name")))).drop("modified")

@@ -193,6 +193,25 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "release")).count() == 2 and sinks.digests(spark, str(tmp_path / "release")).count() >= 2
 
 
+def test_cells_shards_and_settings(spark, tmp_path):
+    cell = tmp_path / "m_d"
+    cell.mkdir()
+    for name, body in {"a__full": {"top1_correct": True}, "b__x__full": {"video_id": "", "top1_correct": False}, "a__random": {"top1_correct": False}}.items():
+        (cell / f"{name}.json").write_text(json.dumps(body))
+    (cell / "c__full.json").write_text("{cut")
+    assert {(r["video_id"], r["top1_correct"]) for r in scans.cell_records(spark, str(tmp_path), "m_d", "full").collect()} == {("a", True), ("b", False)}
+    shards, about = str(tmp_path / "shards"), tmp_path / "about"
+    spark.createDataFrame([("v", 1, [0.5, 1.0]), ("w", 0, [2.0, 0.0])], "video_id string, label int, features array<float>").repartition(2).write.parquet(shards)
+    about.mkdir()
+    (about / "a.json").write_text('{"num_labels": 0}')
+    (about / "b.json").write_text('{"num_labels": 7}')
+    (about / "c.json").write_text('{"num_labels": 9}')
+    rows, stated = scans.feature_shards(spark, shards, str(about))
+    assert stated == 7 and {(r["video_id"], r["label"], tuple(r["features"])) for r in rows.collect()} == {("v", 1, (0.5, 1.0)), ("w", 0, (2.0, 0.0))}
+    config = {"seed": 5, "part": {"delta": 0.2, "tau": 0.9}, "other": 1}
+    assert text.settings({"tau": 0.5, "seed": None}, config, {"seed": 1, "delta": 0.1, "tau": 0.0, "runs": 3}) == {"seed": 5, "delta": 0.2, "tau": 0.5, "runs": 3}
+
+
 def test_incremental_ingest(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     schema = "video_id string, condition string, n int"
