@@ -21,6 +21,7 @@ _MODULES = {
     "op8_mixing_sources": "mixing",
     "op9_personal_data": "personal",
     "op10_byte_level_bpe": "bpe",
+    "op11_best_fit_packing": "packing",
 }
 
 
