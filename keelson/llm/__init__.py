@@ -1,15 +1,13 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage.
 
 A query's module is imported when it is called: Python workers import this package with any operator's functions, and would hold the
-libraries of all ten."""
+libraries of all of them."""
 
 from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import chat, mixing
-
 _MODULES = {
     "op1_chat_formatting": "chat",
     "op2_document_fingerprints": "fingerprints",
@@ -22,6 +20,8 @@ _MODULES = {
     "op9_personal_data": "personal",
     "op10_byte_level_bpe": "bpe",
     "op11_best_fit_packing": "packing",
+    "op12_ranked_search": "ranking",
+    "op13_hard_negatives": "negatives",
 }
 
 
@@ -30,4 +30,11 @@ def _query(module: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _query(module) for name, module in _MODULES.items()}
-ORACLES = {"op1_chat_formatting": chat.ORACLE_SQL, "op8_mixing_sources": mixing.ORACLE_SQL}
+
+
+def __getattr__(name: str) -> dict[str, str]:
+    """ORACLES, read from the modules when asked for."""
+    if name != "ORACLES":
+        raise AttributeError(name)
+    with_sql = ("op1_chat_formatting", "op8_mixing_sources", "op12_ranked_search", "op13_hard_negatives")
+    return {query: import_module(f"keelson.llm.{_MODULES[query]}").ORACLE_SQL for query in with_sql}
