@@ -13,9 +13,13 @@ def last_write(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(packed).alias("x")).select(*[F.col(c) if c in keys else F.col(f"x.{c}") for c in rows.columns])
 
 
-def having_all(rows: DataFrame, key: str, part: str, parts: list) -> DataFrame:
-    """Keys that have every one of the parts (relational division)."""
-    return rows.where(F.col(part).isin(parts)).groupBy(key).agg(F.count_distinct(part).alias("n")).where(F.col("n") == len(parts)).select(key)
+def having_all(rows: DataFrame, key: str, part: str, parts: list | None = None) -> DataFrame:
+    """Keys that have every one of the parts (relational division), or every part that occurs where none are named."""
+    if parts is not None:
+        rows, wanted = rows.where(F.col(part).isin(parts)), F.lit(len(parts))
+    else:
+        wanted = rows.select(F.count_distinct(part)).scalar()
+    return rows.groupBy(key).agg(F.count_distinct(part).alias("n")).where(F.col("n") == wanted).select(key)
 
 
 def eligible(rows: DataFrame, key: str, failed: str) -> DataFrame:

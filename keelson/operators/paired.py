@@ -1,4 +1,4 @@
-"""Paired experiments: bootstrap by hashed resampling, McNemar tests, step-down corrections, strata, heterogeneity."""
+"""Paired experiments: McNemar tests, step-down corrections, strata, heterogeneity."""
 
 from __future__ import annotations
 
@@ -10,32 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.session import collect_all
-
-
-def resampled_means(rows: DataFrame, values: list[str], replicates: int, seed: int, most: int = 4096) -> DataFrame:
-    """Bootstrap replicates of the means: draw k of replicate r takes place md5(seed|r|k) mod n of the rows in order of their
-    values. Rows of equal values are one pattern with a count (an error where there are more than `most`), so a draw finds its pattern among
-    the cumulative counts, and nothing but sums by replicate is shuffled."""
-    patterns = collect_all(rows.groupBy(*values).agg(F.count("*").alias("n")).orderBy(*values), most)
-    n, ends = 0, []
-    for p in patterns:
-        n += p["n"]
-        ends.append(n)
-    draws = rows.sparkSession.range(replicates * n).select((F.col("id") / max(n, 1)).cast("int").alias("r"), (F.col("id") % max(n, 1)).alias("k"))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("k").cast("string")))
-    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1)
-    if not patterns:
-        return draws.select("r", *[F.lit(None).cast("double").alias(v) for v in values])
-    of = draws.select("r", F.array_size(F.filter(F.array(*map(F.lit, ends[:-1])), lambda e: e <= place)).alias("p") if len(ends) > 1 else F.lit(0).alias("p"))
-    each = [F.avg(F.get(F.array(*[F.lit(p[v]).cast("double") for p in patterns]), F.col("p"))).alias(v) for v in values]
-    return of.groupBy("r").agg(*each)
-
-
-def interval(replicates: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval, linear between order statistics."""
-    tail = (1 - confidence) / 2
-    return replicates.agg(F.percentile(value, tail).alias("low"), F.percentile(value, 1 - tail).alias("high"))
+from keelson.operators.order import order_statistics
 
 
 def mcnemar_counts(a: Column, b: Column) -> tuple[Column, Column]:
@@ -75,9 +50,22 @@ def holm(tests: DataFrame, p: str, name: str, alpha: float, family: list[str]) -
 
 
 def index_edges(rows: DataFrame, value: str, parts: int) -> DataFrame:
-    """One row: edges sorted[n * i div parts], i from 1 to parts - 1. The order statistics come from ranks, not from a collected list."""
-    ranked = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("x"), (F.row_number().over(W.partitionBy().orderBy(value)) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))
-    return ranked.agg(*[F.max(F.when(F.col("i") == F.floor(F.col("n") * k / parts), F.col("x"))).alias(f"edge{k}") for k in range(1, parts)])
+    """One row: edges sorted[n * i div parts], i from 1 to parts - 1."""
+    return order_statistics(rows, value, {f"edge{k}": (k, parts) for k in range(1, parts)})
+
+
+def stratum(value: Column, edges: list[Column], names: list[str]) -> Column:
+    """The name of the stratum that a value falls into: below the first edge, below the second, and so on; unknown without a value."""
+    found = F.lit(names[-1])
+    for edge, name in reversed(list(zip(edges, names, strict=False))):
+        found = F.when(value < edge, name).otherwise(found)
+    return F.when(value.isNull(), "unknown").otherwise(found)
+
+
+def index_strata(rows: DataFrame, value: str, names: list[str]) -> Column:
+    """Strata of about as many rows each, by index edges of the values that aren't null; all are unknown where there is none."""
+    edges = index_edges(rows, value, len(names))
+    return stratum(F.col(value), [edges.select(c).scalar() for c in edges.columns], names)
 
 
 def cochran_q(rows: DataFrame, effect: str, variance: str) -> DataFrame:
@@ -90,22 +78,3 @@ def cochran_q(rows: DataFrame, effect: str, variance: str) -> DataFrame:
 def variance_from_interval(low: Column, high: Column) -> Column:
     width = (high - low) / 3.92
     return F.greatest(width * width, F.lit(1e-12))
-
-
-def interval_at(replicates: DataFrame, value: str, low: int, high: int) -> DataFrame:
-    """Interval by order statistics at given places (from 0) of the replicates, which are a bounded few thousand."""
-    ordered = F.array_sort(F.collect_list(value))
-    return replicates.agg(ordered.alias("s")).select(F.get("s", F.lit(low)).alias("low"), F.get("s", F.lit(high)).alias("high"))
-
-
-def centred_p(replicates: DataFrame, value: str, observed: float) -> DataFrame:
-    """Two-sided p of replicates shifted to mean zero, at least 1/B and at most 1."""
-    n = F.count("*").over(W.partitionBy())
-    shifted = replicates.select((F.col(value) - F.avg(value).over(W.partitionBy())).alias("d"), n.alias("n"))
-    return shifted.agg(F.least(F.lit(1.0), F.greatest(F.try_divide(F.lit(1.0), F.max("n")), F.avg((F.abs("d") >= abs(observed) - 1e-12).cast("double")))).alias("p"))
-
-
-def sign_p(replicates: DataFrame, value: str, observed: float) -> DataFrame:
-    """Twice the share of replicates on the other side of zero, at most 1."""
-    other = F.col(value) <= 0 if observed >= 0 else F.col(value) >= 0
-    return replicates.agg(F.least(F.lit(1.0), 2 * F.avg(other.cast("double"))).alias("p"))

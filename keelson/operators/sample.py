@@ -11,20 +11,6 @@ def hash_order(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def row_position(rows: DataFrame, key: str, ranges: int = 64) -> DataFrame:
-    """0-based positions in order of a unique numeric key. Ranges of the key are counted and prefix-summed; each range is numbered on its own."""
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return rows.withColumn("position", F.lit(0).cast("long")).limit(0)
-    step = (high - low) // ranges + 1
-    dealt = rows.withColumn("__r", F.floor((F.col(key) - low) / step))
-    sums = dealt.groupBy("__r").agg(F.count("*").alias("__n"))
-    sums = sums.select(F.col("__r").alias("__s"), F.coalesce(F.sum("__n").over(W.partitionBy().orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__below"))
-    inner = F.row_number().over(W.partitionBy("__r").orderBy(key)) - 1
-    numbered = dealt.withColumn("__i", inner).join(F.broadcast(sums), F.col("__r") == F.col("__s"))  # at most `ranges` rows
-    return numbered.withColumn("position", F.col("__below") + F.col("__i")).drop("__r", "__s", "__i", "__below")
-
-
 def cap_by_class(rows: DataFrame, cls: str, key: str, cap: int, seed: int) -> DataFrame:
     """At most cap rows of each class, in hash order."""
     order = W.partitionBy(cls).orderBy(hash_order(seed, key), key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.operators import resample
 from keelson.session import table
 
 QUERIES: dict = {}
@@ -48,6 +49,20 @@ def recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_write(all_events(spark, sf_dir), ["video_id", "condition"], "event_id")
 
 
+def weights_sql(rows: str, seed: int, key: str, replicates: int, carry: str) -> str:
+    """The counts of resample.weights in SQL: r (from -1), w and the carried columns of a relation."""
+    digests = f"SELECT *, md5('{seed}|' || {key}) AS __d FROM {rows}"
+    words = f"SELECT {carry}, ('0x' || substr(__d, 1, 8))::UBIGINT AS __high, ('0x' || substr(__d, 9, 8))::UBIGINT AS __low FROM ({digests})"
+    steps = f"SELECT {carry}, r, __low, (__high + (r + 1) * {resample.STRIDE}) % 4294967296 AS __x FROM ({words}), (SELECT range::UBIGINT AS r FROM range({replicates}))"
+    for last in (False, True):
+        for shift, factor in resample.MIX:
+            steps = f"SELECT {carry}, r, __low, (xor(__x, __x >> {shift}) * {factor}) % 4294967296 AS __x FROM ({steps})"
+        if not last:
+            steps = f"SELECT {carry}, r, __low, xor(__low, __x) AS __x FROM ({steps})"
+    count = " + ".join(f"(__x >= {t})::INT" for t in resample.REACHED)
+    return f"SELECT {carry}, CAST(r AS INTEGER) AS r, {count} AS w FROM ({steps}) UNION ALL SELECT {carry}, -1, 1 FROM {rows}"
+
+
 def _one_zero(df: DataFrame) -> DataFrame:
     """Negative zero as zero."""
     return df.select(*[(F.col(c) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])

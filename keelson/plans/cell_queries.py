@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.operators import paired, sample
-from keelson.plans.bindings import query, recognition, segments
-from keelson.session import collect_all, table
+from keelson.operators import order, paired, resample, sample
+from keelson.plans.bindings import query, recognition, segments, weights_sql
+from keelson.session import table
 
 
 @query("f2_precheck_default", "SELECT count_if(coalesce(nullif(c_acctbal > 0, c_custkey % 3 = 0), false)) AS strict, count_if(coalesce(nullif(c_acctbal > 0, c_custkey % 3 = 0), true)) AS lenient FROM customer")
@@ -82,11 +82,16 @@ def a43(spark, sf):
     return by.agg(F.round(F.sum("s") / F.sum("n"), 9).alias("pooled"), F.round(F.avg(F.col("s") / F.col("n")), 9).alias("mean_of_means"))
 
 
-@query("a50_correlation", "SELECT c_mktsegment, round(covar_pop(c_acctbal, c_nationkey) / nullif(stddev_pop(c_acctbal) * stddev_pop(c_nationkey), 0), 6) + 0.0::DOUBLE AS r FROM customer GROUP BY c_mktsegment")
+@query("a50_correlation", f"""WITH m AS (SELECT c_custkey, c_mktsegment, c_acctbal AS x, c_nationkey AS y FROM customer), w AS ({weights_sql('m', 7, 'c_custkey', 1000, 'c_mktsegment, x, y')}),
+v AS (SELECT c_mktsegment, r, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS mxx, sum(w * y * y) / sum(w) AS myy, sum(w * x * y) / sum(w) AS mxy FROM w GROUP BY c_mktsegment, r),
+c AS (SELECT c_mktsegment, r, n, CASE WHEN mxx - mx * mx >= 1e-18 AND myy - my * my >= 1e-18 THEN round((mxy - mx * my) / sqrt((mxx - mx * mx) * (myy - my * my)), 9) END AS rho FROM v),
+s AS (SELECT c_mktsegment, max(n) FILTER (r < 0) AS n, max(rho) FILTER (r < 0) AS r, list_sort(list(rho) FILTER (r >= 0 AND rho IS NOT NULL)) AS s FROM c GROUP BY c_mktsegment)
+SELECT c_mktsegment, CAST(n AS BIGINT) AS n, CASE WHEN n >= 3 THEN round(r, 6) + 0.0::DOUBLE END AS r, CASE WHEN n >= 3 THEN round(s[CAST(floor(len(s) * 0.025) AS INTEGER) + 1], 6) + 0.0::DOUBLE END AS low, CASE WHEN n >= 3 THEN round(s[CAST(floor(len(s) * 0.975) AS INTEGER) + 1], 6) + 0.0::DOUBLE END AS high FROM s""")
 def a50(spark, sf):
-    from keelson.operators.agreement import pearson
-
-    return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.round(pearson(F.col("c_acctbal"), F.col("c_nationkey")), 6).alias("r"))
+    rep = resample.replicate_pearson(table(spark, sf, "customer"), ["c_custkey"], "c_acctbal", "c_nationkey", 1000, 7, ["c_mktsegment"])
+    s = resample.collected(rep, ["value"], ["c_mktsegment"])
+    enough = lambda c, name: F.when(F.col("n") >= 3, F.round(c, 6)).alias(name)
+    return s.select("c_mktsegment", "n", enough(F.col("value"), "r"), enough(resample.at_share(F.col("value_s"), 0.025), "low"), enough(resample.at_share(F.col("value_s"), 0.975), "high"))
 
 
 @query("a52_selection_gaps", "WITH {REC}, w AS (SELECT video_id, max(top1::INT) FILTER (condition = 'click') AS s, max(top1::INT) FILTER (condition = 'error') AS l, max(top1::INT) FILTER (condition = 'view') AS u FROM rec GROUP BY video_id) SELECT right(video_id, 2) AS cell, count(*) AS n, round(avg(s - l), 9) + 0.0::DOUBLE AS eps, round(avg(s - u), 9) + 0.0::DOUBLE AS tds FROM w WHERE s IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL GROUP BY cell")
@@ -184,7 +189,7 @@ def x9(spark, sf):
 @query("x11_half_sample", "SELECT s_suppkey FROM supplier ORDER BY md5('11|' || s_suppkey), s_suppkey LIMIT (SELECT count(*) // 2 FROM supplier)")
 def x11(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey")
-    return sample.exactly(s, "s_suppkey", s.count() // 2, 11)
+    return order.first_of(s, [sample.hash_order(11, "s_suppkey"), F.col("s_suppkey")], 1, 2)
 
 
 @query("k7_matrix", "WITH {REC}, p AS (SELECT a.condition AS a, b.condition AS b, avg((a.top1 = b.top1)::INT) AS v FROM rec a JOIN rec b ON a.video_id = b.video_id GROUP BY a.condition, b.condition) SELECT a, max(v) FILTER (b = 'click') AS click, max(v) FILTER (b = 'view') AS view FROM (SELECT a, b, printf('%.3f', v) AS v FROM p) GROUP BY a")
@@ -192,16 +197,14 @@ def k7(spark, sf):
     from keelson.operators.align import unordered_pairs
     from keelson.sources.sinks import matrix
 
-    r = recognition(spark, sf)
-    names = [x[0] for x in collect_all(r.select("condition").distinct().orderBy("condition"), 64)]
-    pairs = unordered_pairs(r, "video_id", "condition", ["top1"]).groupBy("a", "b").agg(F.avg((F.col("top1_a") == F.col("top1_b")).cast("int")).alias("v"))
-    return matrix(pairs, "v", names).select("a", "click", "view")
+    pairs = unordered_pairs(recognition(spark, sf), "video_id", "condition", ["top1"]).groupBy("a", "b").agg(F.avg((F.col("top1_a") == F.col("top1_b")).cast("int")).alias("v"))
+    return matrix(pairs, "v", ["click", "view"])
 
 
 @query("k6_digest_manifest", "SELECT doc_id, sha256(text) AS sha256, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 100) AS BIGINT) AS shard FROM documents")
 def k6(spark, sf):
-    d = sample.row_position(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return d.select("doc_id", F.sha2("text", 256).alias("sha256"), F.floor(F.col("position") / 100).alias("shard"))
+    digests = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return order.numbered(digests, [F.col("doc_id")]).select("doc_id", "sha256", F.floor(F.col("position") / 100).alias("shard"))
 
 
 @query("r11_cut_mask", "WITH {SEG} SELECT video_id, count(*) AS removed, round(sum(dur), 6) AS seconds FROM seg WHERE label <> 'important' GROUP BY video_id")

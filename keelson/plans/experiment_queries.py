@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.operators import align, paired
+from keelson.operators import align, order, paired, resample
 from keelson.operators.agreement import pearson
-from keelson.plans.bindings import all_events, query, recognition
-from keelson.session import collect_all, table
+from keelson.plans.bindings import all_events, query, recognition, weights_sql
+from keelson.session import materialize, table
 
-CONDITIONS = ["click", "error", "purchase", "signup", "view"]
+COMPARED = ["click", "error", "purchase", "signup"]
 
 
-def _conditions(spark, sf):
-    return [r[0] for r in collect_all(table(spark, sf, "events").select("event_type").distinct().orderBy("event_type"), 64)]
+def _aligned(spark, sf):
+    """Records of the videos that have every condition and no failed one."""
+    rows = recognition(spark, sf)
+    rows = rows.join(align.eligible(rows, "video_id", "failed"), "video_id", "left_semi")
+    return rows.join(align.having_all(recognition(spark, sf), "video_id", "condition"), "video_id", "left_semi")
 
 
 def _matrix(spark, sf, value="top1"):
-    """Aligned and eligible: one row a video, one column a condition."""
-    rows, names = recognition(spark, sf), _conditions(spark, sf)
-    rows = rows.join(align.eligible(rows, "video_id", "failed"), "video_id", "left_semi")
-    return align.matrix(rows.withColumn(value, F.col(value).cast("int")), "video_id", "condition", names, value), names
+    """Aligned and eligible: one row a video, one column for each condition that is compared."""
+    return align.matrix(_aligned(spark, sf).withColumn(value, F.col(value).cast("int")), "video_id", "condition", COMPARED, value)
 
 
 _ALIGNED = """WITH {REC}, ok AS (SELECT video_id FROM rec GROUP BY video_id HAVING count(DISTINCT condition) = (SELECT count(DISTINCT event_type) FROM events) AND NOT bool_or(failed)),
@@ -35,7 +36,7 @@ def s1(spark, sf):
 
 @query("n1_aligned_videos", "WITH {REC} SELECT video_id FROM rec GROUP BY video_id HAVING count(DISTINCT condition) = (SELECT count(DISTINCT event_type) FROM events)")
 def n1(spark, sf):
-    return align.having_all(recognition(spark, sf), "video_id", "condition", _conditions(spark, sf))
+    return align.having_all(recognition(spark, sf), "video_id", "condition")
 
 
 @query("f1_eligible", "WITH {REC} SELECT video_id FROM rec GROUP BY video_id HAVING NOT bool_or(failed)")
@@ -61,41 +62,56 @@ def a4(spark, sf):
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg((F.col("top1_a") == F.col("top1_b")).cast("int")), 9).alias("agreement"))
 
 
-_BOOT = """, m AS (SELECT video_id, {cols} FROM al GROUP BY video_id), k AS (SELECT *, row_number() OVER (ORDER BY {names}) - 1 AS i FROM m), d AS (SELECT r, k, (SELECT count(*) FROM m) AS n FROM range({B}) a(r), range((SELECT count(*) FROM m)) b(k)),
-dr AS (SELECT r, ('0x' || substr(md5('{seed}|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM d), rep AS (SELECT r, {avgs} FROM dr JOIN k USING (i) GROUP BY r)"""
+REPLICATES = 1000
+
 
+def _boot(columns: dict[str, str], seed: int) -> str:
+    """m: a row a video with columns; rep: their means by replicate, -1 for what was observed."""
+    of, names = ", ".join(f"{x} AS {c}" for c, x in columns.items()), ", ".join(columns)
+    means = ", ".join(f"sum(w * {c}) / nullif(sum(w), 0) AS {c}" for c in columns)
+    return _ALIGNED + f", m AS (SELECT video_id, {of} FROM al GROUP BY video_id), w AS ({weights_sql('m', seed, 'video_id', REPLICATES, names)}), rep AS (SELECT r, {means} FROM w GROUP BY r)"
+
+
+def _top1(condition: str) -> str:
+    return f"max(top1::INT) FILTER (condition = '{condition}')"
 
-REPLICATES = 1000
 
+_PAIR = {"x": _top1("click"), "y": _top1("error")}
 
-def _boot(columns: dict[str, str], seed: int, replicates: int = REPLICATES) -> str:
-    return _ALIGNED + _BOOT.format(cols=", ".join(f"max({x}) AS {c}" for c, x in columns.items()), avgs=", ".join(f"avg({c}) AS {c}" for c in columns), names=", ".join(columns), seed=seed, B=replicates)
 
+def _means(spark, sf, seed, **columns):
+    """Replicates of the means of columns of the aligned matrix."""
+    m = _matrix(spark, sf).select("video_id", *[c.cast("double").alias(n) for n, c in columns.items()])
+    return resample.replicate_means(m, ["video_id"], list(columns), REPLICATES, seed)
 
-@query("a5_paired_bootstrap", _boot({"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHEN condition = 'error' THEN top1::INT END"}, 42)
-  + " SELECT round(quantile_cont(x, 0.025), 6) AS x_low, round(quantile_cont(x, 0.975), 6) AS x_high, round(quantile_cont(y, 0.025), 6) AS y_low, round(quantile_cont(y, 0.975), 6) AS y_high FROM rep")
+
+@query("a5_paired_bootstrap", _boot(_PAIR, 42)
+  + " SELECT round(quantile_cont(round(x, 9), 0.025), 6) AS x_low, round(quantile_cont(round(x, 9), 0.975), 6) AS x_high, round(quantile_cont(round(y, 9), 0.025), 6) AS y_low, round(quantile_cont(round(y, 9), 0.975), 6) AS y_high FROM rep WHERE r >= 0")
 def a5(spark, sf):
-    m, _ = _matrix(spark, sf)
-    rep = paired.resampled_means(m.select(F.col("click").alias("x"), F.col("error").alias("y")), ["x", "y"], REPLICATES, 42)
-    q = lambda c, p: F.round(F.percentile(c, p), 6)
-    return rep.agg(q("x", 0.025).alias("x_low"), q("x", 0.975).alias("x_high"), q("y", 0.025).alias("y_low"), q("y", 0.975).alias("y_high"))
+    s = resample.collected(_means(spark, sf, 42, x=F.col("click"), y=F.col("error")), ["x", "y"])
+    q = lambda c, p: F.round(resample.linear(F.col(c), p), 6)
+    return s.select(q("x_s", 0.025).alias("x_low"), q("x_s", 0.975).alias("x_high"), q("y_s", 0.025).alias("y_low"), q("y_s", 0.975).alias("y_high"))
+
+
+def _difference(spark, sf, seed):
+    """The difference d of two conditions' means: observed, and its replicates."""
+    return resample.collected(_means(spark, sf, seed, d=F.col("click") - F.col("error")), ["d"])
 
 
-@query("a6_paired_difference", _boot({"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHEN condition = 'error' THEN top1::INT END"}, 43)
-  + " SELECT 0.0::DOUBLE + round(quantile_cont(x - y, 0.025), 6) AS low, 0.0::DOUBLE + round(quantile_cont(x - y, 0.975), 6) AS high FROM rep")
+_D = {"d": f"{_top1('click')} - {_top1('error')}"}
+
+
+@query("a6_paired_difference", _boot(_D, 43) + " SELECT 0.0::DOUBLE + round(quantile_cont(round(d, 9), 0.025), 6) AS low, 0.0::DOUBLE + round(quantile_cont(round(d, 9), 0.975), 6) AS high FROM rep WHERE r >= 0")
 def a6(spark, sf):
-    m, _ = _matrix(spark, sf)
-    rep = paired.resampled_means(m.select(F.col("click").alias("x"), F.col("error").alias("y")), ["x", "y"], REPLICATES, 43)
-    return paired.interval(rep.withColumn("d", F.col("x") - F.col("y")), "d").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    q = lambda p: F.round(resample.linear(F.col("d_s"), p), 6)
+    return _difference(spark, sf, 43).select(q(0.025).alias("low"), q(0.975).alias("high"))
 
 
 _TESTS = _ALIGNED + """, t AS (SELECT b.condition AS name, count_if(a.top1 AND NOT b.top1) AS b10, count_if(NOT a.top1 AND b.top1) AS b01 FROM al a JOIN al b ON a.video_id = b.video_id AND a.condition = 'click' AND b.condition <> 'click' GROUP BY b.condition)"""
 
 
 def _tests(spark, sf):
-    rows = recognition(spark, sf)
-    keep = align.having_all(rows, "video_id", "condition", _conditions(spark, sf))
-    rows = rows.join(align.eligible(rows, "video_id", "failed"), "video_id", "left_semi").join(keep, "video_id", "left_semi")
+    rows = _aligned(spark, sf)
     base = rows.where(F.col("condition") == "click").select("video_id", F.col("top1").alias("base"))
     b10, b01 = paired.mcnemar_counts(F.col("base"), F.col("top1"))
     return rows.where(F.col("condition") != "click").join(base, "video_id").groupBy(F.col("condition").alias("name")).agg(b10, b01)
@@ -219,7 +235,7 @@ def n5(spark, sf):
 def n18(spark, sf):
     """A declared grid of few names by few names."""
     r, n = table(spark, sf, "region").select(F.col("r_name").alias("oracle")), table(spark, sf, "nation").select(F.col("n_name").alias("dataset"))
-    return r.crossJoin(n).withColumn("condition", F.explode(F.array(*map(F.lit, _conditions(spark, sf)))))
+    return r.crossJoin(n).crossJoin(table(spark, sf, "events").select(F.col("event_type").alias("condition")).distinct())
 
 
 @query("w9_index_edges", "WITH v AS (SELECT list_sort(list(o_totalprice)) AS s FROM orders) SELECT s[len(s) // 4 + 1] AS edge1, s[len(s) * 2 // 4 + 1] AS edge2, s[len(s) * 3 // 4 + 1] AS edge3 FROM v")
@@ -241,12 +257,39 @@ def a51(spark, sf):
     return o.groupBy(sum((F.col("o_totalprice") > e).cast("int") for e in edges).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("a12_stratified", _ALIGNED + " SELECT coalesce(right(video_id, 2), 'all') AS stratum, condition, count(*) AS n, round(avg(top1::INT), 9) AS top1 FROM al GROUP BY GROUPING SETS ((condition), (right(video_id, 2), condition)) HAVING count(*) >= 5")
+#: The kept-ratio strata's edges.
+_KEPT_EDGES = (0.4, 0.6, 0.8)
+_LEVELS, _QUARTERS, _KEPT = ["low", "medium", "high"], ["Q1", "Q2", "Q3", "Q4"], ["below 0.4", "0.4 to 0.6", "0.6 to 0.8", "from 0.8"]
+
+
+def _label_sql(value: str, edges: list[str], names: list[str]) -> str:
+    return f"CASE WHEN {value} IS NULL THEN 'unknown' " + " ".join(f"WHEN {value} < {e} THEN '{n}'" for e, n in zip(edges, names)) + f" ELSE '{names[-1]}' END"  # noqa: B905
+
+
+_EDGES = lambda name, n: [f"(SELECT list_sort(list({name}))[count({name}) * {k} // {n} + 1] FROM c)" for k in range(1, n)]
+
+
+@query("a12_stratified", _ALIGNED + f""", per AS (SELECT video_id, max(CASE WHEN condition = 'view' AND value > 2 THEN value END) AS confidence, sum(value) AS seconds, sum(CASE WHEN condition IN ('click', 'error', 'view') THEN value ELSE 0 END) / nullif(sum(value), 0) AS kept FROM al GROUP BY video_id),
+m AS (SELECT video_id, {', '.join(f"{_top1(c)} AS {c}" for c in COMPARED)} FROM al GROUP BY video_id), c AS (SELECT video_id, confidence, round(seconds, 6) AS seconds, round(kept, 9) AS kept, {', '.join(COMPARED)} FROM per JOIN m USING (video_id)),
+f AS (SELECT *, 'all' AS family, 'all' AS stratum FROM c UNION ALL SELECT *, 'confidence', {_label_sql('confidence', _EDGES('confidence', 3), _LEVELS)} FROM c UNION ALL SELECT *, 'length', {_label_sql('seconds', _EDGES('seconds', 4), _QUARTERS)} FROM c UNION ALL SELECT *, 'kept_ratio', {_label_sql('kept', [str(e) for e in _KEPT_EDGES], _KEPT)} FROM c),
+w AS ({weights_sql('f', 42, 'video_id', REPLICATES, 'family, stratum, ' + ', '.join(COMPARED))}), v AS (UNPIVOT w ON {', '.join(COMPARED)} INTO NAME condition VALUE top1),
+rep AS (SELECT family, stratum, condition, r, sum(w) AS n, sum(w * top1) / nullif(sum(w), 0) AS x FROM v GROUP BY ALL)
+SELECT family, stratum, condition, CAST(max(n) FILTER (r < 0) AS BIGINT) AS n, round(max(x) FILTER (r < 0), 9) AS top1, round(quantile_cont(round(x, 9), 0.025) FILTER (r >= 0), 6) AS low, round(quantile_cont(round(x, 9), 0.975) FILTER (r >= 0), 6) AS high FROM rep GROUP BY family, stratum, condition HAVING max(n) FILTER (r < 0) >= 5""")
 def a12(spark, sf):
-    rows = recognition(spark, sf)
-    rows = rows.join(align.eligible(rows, "video_id", "failed"), "video_id", "left_semi").join(align.having_all(rows, "video_id", "condition", _conditions(spark, sf)), "video_id", "left_semi")
-    by = rows.withColumn("stratum", F.right("video_id", F.lit(2))).groupingSets([["condition"], ["stratum", "condition"]], "stratum", "condition")
-    return by.agg(F.count("*").alias("n"), F.round(F.avg(F.col("top1").cast("int")), 9).alias("top1")).where("n >= 5").withColumn("stratum", F.coalesce("stratum", F.lit("all")))
+    """Strata by terciles of confidence, quartiles of length and ranges of the kept ratio, beside all videos; those of fewer than five videos are left out."""
+    rows = _aligned(spark, sf)
+    value = lambda test: F.sum(F.when(test, F.col("value")).otherwise(0.0))
+    confidence = F.max(F.when((F.col("condition") == "view") & (F.col("value") > 2), F.col("value")))
+    kept = F.try_divide(value(F.col("condition").isin("click", "error", "view")), F.sum("value"))
+    one = [F.max(F.when(F.col("condition") == c, F.col("top1").cast("double"))).alias(c) for c in COMPARED]
+    videos = materialize(rows.groupBy("video_id").agg(confidence.alias("confidence"), F.round(F.sum("value"), 6).alias("seconds"), F.round(kept, 9).alias("kept"), *one), "strata")
+    families = {"all": F.lit("all"), "confidence": paired.index_strata(videos, "confidence", _LEVELS), "length": paired.index_strata(videos, "seconds", _QUARTERS), "kept_ratio": paired.stratum(F.col("kept"), [F.lit(e) for e in _KEPT_EDGES], _KEPT)}
+    each = videos.select("video_id", *COMPARED, F.explode(F.array(*[F.struct(F.lit(f).alias("family"), s.alias("stratum")) for f, s in families.items()])).alias("s"))
+    rep = resample.replicate_means(each.select("video_id", *COMPARED, "s.*"), ["video_id"], COMPARED, REPLICATES, 42, ["family", "stratum"])
+    s = resample.collected(rep, COMPARED, ["family", "stratum"]).where("n >= 5")
+    bound = lambda c, q: F.round(resample.linear(F.col(f"{c}_s"), q), 6)
+    out = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.round(c, 9).alias("top1"), bound(c, 0.025).alias("low"), bound(c, 0.975).alias("high")) for c in COMPARED]))
+    return s.select("family", "stratum", "n", out.alias("o")).select("family", "stratum", "o.condition", "n", "o.top1", "o.low", "o.high")
 
 
 @query("a53_cochran_q", "WITH g AS (SELECT event_type, avg(value) AS x, var_samp(value) / count(*) AS v FROM events GROUP BY event_type), s AS (SELECT sum(1 / greatest(v, 1e-12)) AS w, sum(x / greatest(v, 1e-12)) AS wx, sum(x * x / greatest(v, 1e-12)) AS wxx, count(*) AS n FROM g) SELECT round(wxx - wx * wx / w, 6) AS q, n - 1 AS df FROM s")
@@ -262,10 +305,7 @@ def w16(spark, sf):
 
 @query("f7_shard", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i % 7 = 3")
 def f7(spark, sf):
-    """Row positions without one sorted task: per-range counts are prefix-summed, then rows are numbered in their range."""
-    from keelson.operators.sample import row_position
-
-    return row_position(table(spark, sf, "events").select("event_id"), "event_id").where("position % 7 = 3").select("event_id")
+    return order.numbered(table(spark, sf, "events").select("event_id"), [F.col("event_id")]).where("position % 7 = 3").select("event_id")
 
 
 @query("x4_wins_losses", "WITH {REC} SELECT CASE WHEN a.top1 AND b.top1 THEN 'both' WHEN a.top1 THEN 'win' WHEN b.top1 THEN 'loss' ELSE 'neither' END AS outcome, count(*) AS n FROM rec a JOIN rec b ON a.video_id = b.video_id AND a.condition = 'click' AND b.condition = 'view' GROUP BY outcome")
@@ -276,36 +316,36 @@ def x4(spark, sf):
     return one("click", "a").join(one("view", "b"), "video_id").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-_PAIR = {"x": "CASE WHEN condition = 'click' THEN top1::INT END", "y": "CASE WHEN condition = 'error' THEN top1::INT END"}
-
-
-def _difference(spark, sf, seed):
-    """Replicates of the difference d of two conditions' means, and the observed one."""
-    m, _ = _matrix(spark, sf)
-    m = m.select(F.col("click").alias("x"), F.col("error").alias("y"))
-    observed = m.agg(F.avg(F.col("x") - F.col("y"))).first()[0] or 0.0
-    return paired.resampled_means(m, ["x", "y"], REPLICATES, seed).withColumn("d", F.round(F.col("x") - F.col("y"), 9)), observed
-
-
-@query("a21_index_interval", _boot(_PAIR, 44) + ", s AS (SELECT list_sort(list(round(x - y, 9))) AS s FROM rep) SELECT 0.0::DOUBLE + s[26] AS low, 0.0::DOUBLE + s[976] AS high FROM s")
+@query("a21_index_interval", _boot(_D, 44) + ", s AS (SELECT list_sort(list(round(d, 9))) AS s FROM rep WHERE r >= 0) SELECT 0.0::DOUBLE + s[26] AS low, 0.0::DOUBLE + s[976] AS high FROM s")
 def a21(spark, sf):
-    rep, _ = _difference(spark, sf, 44)
-    return paired.interval_at(rep, "d", int(0.025 * REPLICATES), int(0.975 * REPLICATES))
+    return _difference(spark, sf, 44).select(resample.at_share(F.col("d_s"), 0.025).alias("low"), resample.at_share(F.col("d_s"), 0.975).alias("high"))
 
 
-@query("a41_lower_index_interval", _boot(_PAIR, 7) + ", s AS (SELECT list_sort(list(round(x - y, 9))) AS s FROM rep) SELECT 0.0::DOUBLE + s[26] AS low, 0.0::DOUBLE + s[975] AS high FROM s")
+@query("a41_lower_index_interval", _boot(_D, 7) + ", s AS (SELECT list_sort(list(round(d, 9))) AS s FROM rep WHERE r >= 0) SELECT 0.0::DOUBLE + s[26] AS low, 0.0::DOUBLE + s[975] AS high FROM s")
 def a41(spark, sf):
-    rep, _ = _difference(spark, sf, 7)
-    return paired.interval_at(rep, "d", int(0.025 * REPLICATES), int(0.975 * REPLICATES) - 1)
+    return _difference(spark, sf, 7).select(resample.at_share(F.col("d_s"), 0.025).alias("low"), resample.at_share(F.col("d_s"), 0.975, less=1).alias("high"))
 
 
-@query("a18_centred_p", _boot(_PAIR, 45) + ", o AS (SELECT avg(x - y) AS o FROM m), c AS (SELECT round(x - y, 9) AS d, avg(round(x - y, 9)) OVER () AS a FROM rep) SELECT round(least(1, greatest(1 / 1000, avg((abs(d - a) >= abs(o) - 1e-12)::INT))), 9)::DOUBLE AS p FROM c, o")
+@query("a18_centred_p", _CURVE + f", m AS (SELECT a.user_id, a.auc - b.auc AS d FROM a JOIN a b ON a.user_id = b.user_id AND a.ordering = 'click' AND b.ordering = 'error'), w AS ({weights_sql('m', 45, 'user_id', REPLICATES, 'd')}), rep AS (SELECT r, sum(w * d) / nullif(sum(w), 0) AS d FROM w GROUP BY r),"
+  + """ o AS (SELECT avg(d) AS o, count(*) AS n FROM m), t AS (SELECT o, n, avg((round(d, 9) - o >= abs(o) - 1e-9)::INT) AS up, avg((round(d, 9) - o <= 1e-9 - abs(o))::INT) AS down, quantile_cont(round(d, 9), 0.025) AS low, quantile_cont(round(d, 9), 0.975) AS high FROM rep, o WHERE r >= 0 AND d IS NOT NULL GROUP BY o, n)
+SELECT n, round(o, 6) + 0.0::DOUBLE AS mean, CASE WHEN n > 1 THEN round(low, 6) + 0.0::DOUBLE END AS low, CASE WHEN n > 1 THEN round(high, 6) + 0.0::DOUBLE END AS high, CASE WHEN n > 1 THEN round(least(1, greatest(1 / 1000, 2 * least(up, down))), 9)::DOUBLE END AS p FROM t""")
 def a18(spark, sf):
-    rep, observed = _difference(spark, sf, 45)
-    return paired.centred_p(rep, "d", observed).select(F.round("p", 9).alias("p"))
+    """Differences of two orderings' areas, paired by user: any real values."""
+    auc = _auc(spark, sf).where(F.col("ordering").isin("click", "error")).groupBy("user_id").pivot("ordering", ["click", "error"]).agg(F.max("auc"))
+    pairs = auc.select("user_id", (F.col("click") - F.col("error")).alias("d"))
+    s = resample.collected(resample.replicate_means(pairs, ["user_id"], ["d"], REPLICATES, 45), ["d"])
+    enough = lambda c, name, digits=6: F.when(F.col("n") > 1, F.round(c, digits)).alias(name)
+    low, high = (resample.linear(F.col("d_s"), q) for q in (0.025, 0.975))
+    return s.select("n", F.round("d", 6).alias("mean"), enough(low, "low"), enough(high, "high"), enough(resample.centred_p(F.col("d_s"), F.col("d")), "p", 9))
+
+
+_SHUFFLED = {"d": f"({_top1('click')} - {_top1('purchase')}) - ({_top1('error')} - {_top1('signup')})"}
 
 
-@query("a24_sign_p", _boot(_PAIR, 46) + ", o AS (SELECT avg(x - y) AS o FROM m) SELECT round(least(1, 2 * avg((CASE WHEN o >= 0 THEN round(x - y, 9) <= 0 ELSE round(x - y, 9) >= 0 END)::INT)), 9)::DOUBLE AS p FROM rep, o")
+@query("a24_sign_p", _boot(_SHUFFLED, 46) + ", o AS (SELECT avg(d) AS o FROM m) SELECT 0.0::DOUBLE + round(o, 9) AS diff, 0.0::DOUBLE + round(quantile_cont(round(d, 9), 0.025), 6) AS low, 0.0::DOUBLE + round(quantile_cont(round(d, 9), 0.975), 6) AS high, round(least(1, 2 * avg((CASE WHEN o >= 0 THEN round(d, 9) <= 0 ELSE round(d, 9) >= 0 END)::INT)), 9)::DOUBLE AS p FROM rep, o WHERE r >= 0 AND d IS NOT NULL GROUP BY o")
 def a24(spark, sf):
-    rep, observed = _difference(spark, sf, 46)
-    return paired.sign_p(rep, "d", observed).select(F.round("p", 9).alias("p"))
+    """The damage of shuffling to one selection less that to another; purchase and signup stand for the shuffled twins of click and error."""
+    d = (F.col("click") - F.col("purchase")) - (F.col("error") - F.col("signup"))
+    s = resample.collected(_means(spark, sf, 46, d=d), ["d"])
+    low, high = (F.round(resample.linear(F.col("d_s"), q), 6) for q in (0.025, 0.975))
+    return s.select(F.round("d", 9).alias("diff"), low.alias("low"), high.alias("high"), F.round(resample.sign_p(F.col("d_s"), F.col("d")), 9).alias("p"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.operators import align, sample
 from keelson.plans.bindings import query
-from keelson.session import collect_all, table
+from keelson.session import table
 
 
 @query("n6_inner_enrichment", "SELECT o_orderpriority, count(*) AS n, round(avg(l_discount), 9) AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
@@ -137,25 +137,26 @@ _SIM = """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, gener
 s AS (SELECT v.vec_id, v.label AS truth, c.label AS label, round(sum(x * c), 6) AS score FROM v JOIN c USING (i) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k FROM s)"""
 
 
-def _scores(spark, sf):
-    """Similarity of every vector to each label's mean; the means are a row a label, so their table is bounded by the label set."""
+def _scores(spark, sf, k, block=512):
+    """The k labels whose means are most similar to each vector. Means are dealt in blocks of labels, each block scores all vectors, and the best of all blocks are ranked."""
     v = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("truth"), F.col("embedding").cast("array<double>").alias("x"))
     means = v.select("truth", F.posexplode("x").alias("i", "x")).groupBy("truth", "i").agg(F.round(F.avg("x"), 9).alias("c"))
     means = means.groupBy("truth").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
-    labels = {r["truth"]: r["c"] for r in collect_all(means, 4096)}
-    dot = lambda c: F.round(F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), 6)
-    scored = F.array(*[F.struct((-dot(c)).alias("s"), F.lit(k).alias("label")) for k, c in sorted(labels.items())])
-    return v.select("vec_id", "truth", F.array_sort(scored).alias("ranked"))
+    blocks = means.where("truth IS NOT NULL").groupBy(F.floor(F.col("truth") / block)).agg(F.collect_list(F.struct(F.col("truth").alias("label"), "c")).alias("labels"))
+    dot = lambda c: F.round(F.aggregate(F.zip_with("x", c, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), 6)
+    scored = F.transform("labels", lambda m: F.struct((-dot(m["c"])).alias("s"), m["label"].alias("label")))
+    met = v.crossJoin(blocks).select("vec_id", "truth", F.slice(F.array_sort(scored), 1, k).alias("best"))
+    return met.groupBy("vec_id", "truth").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("ranked"))
 
 
 @query("a76_top5", _SIM + " SELECT vec_id, list(label ORDER BY k) AS top5 FROM k WHERE k <= 5 GROUP BY vec_id")
 def a76(spark, sf):
-    return _scores(spark, sf).select("vec_id", F.transform(F.slice("ranked", 1, 5), lambda x: x["label"]).alias("top5"))
+    return _scores(spark, sf, 5).select("vec_id", F.transform("ranked", lambda x: x["label"]).alias("top5"))
 
 
 @query("a3_per_class", _SIM + " SELECT truth AS class, count(*) AS n, round(avg((label = truth)::INT), 9) AS top1 FROM k WHERE k = 1 GROUP BY truth")
 def a3(spark, sf):
-    s = _scores(spark, sf)
+    s = _scores(spark, sf, 1)
     return s.groupBy(F.col("truth").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("ranked")[0]["label"] == F.col("truth")).cast("int")), 9).alias("top1"))
 
 
@@ -215,3 +216,58 @@ def rate_limit(spark, sf):
 def cache_hits(spark, sf):
     k = F.row_number().over(W.partitionBy("user_id", "event_type", F.dayofmonth("ts")).orderBy("event_id"))
     return table(spark, sf, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.round(F.avg((F.col("k") > 1).cast("int")), 9).alias("hit_rate"))
+
+
+#: What an answer is like, by video_id % 9: as it should be, fenced after a thought, with ids twice (the last counts), or of one of the kinds that can't be joined.
+_ANSWER = {
+    "plain": "concat('{{\"action_summary\": \"sum ', v, '\", \"segments\": [', items, ']}}')",
+    "fenced": "concat('<think> {{\"a\" </think> so: ```json\n{{\"segments\": [', items, ']}}\n``` end')",
+    "twice": "concat('{{\"segments\": [{{\"segment_id\": 1, \"importance\": 3}}, ', items, ']}}')",
+    "unparseable": "concat('{{\"segments\": [', items, '}}')",
+    "no list": "'{{\"segments\": []}}'",
+    "one less": "concat('{{\"segments\": [', replace(items, '\"segment_id\": 1,', '\"segment_id\": 1000,'), ']}}')",
+    "other weight": "concat('{{\"segments\": [', replace(items, '\"importance\": ', '\"importance\": 1'), ']}}')",
+    "none": "NULL",
+    "word": "concat('{{\"segments\": [', replace(replace(items, '\"importance\": ', '\"importance\": \"'), ', \"phase', '\", \"phase'), ']}}')",
+}
+
+
+def _sidecars(spark, sf):
+    """A record for each video: its segments, and an answer about them of one of nine kinds."""
+    from keelson.plans.bindings import segments
+
+    item = F.format_string('{"segment_id": %d, "importance": %d, "phase": "p%d", "reason": "r%d"%s}', F.col("idx") + 1, F.round(F.col("weight") * 100).cast("long"), F.col("idx"), F.col("idx"), F.when(F.col("idx") % 2 == 0, F.concat(F.lit(', "time_range": "t'), F.col("idx").cast("string"), F.lit('"'))).otherwise(""))
+    one = F.struct(F.col("idx").alias("index"), "start_s", "end_s", F.col("weight").alias("frequency"), "label", "weight")
+    by = segments(spark, sf).withColumn("item", item).groupBy("video_id").agg(F.array_sort(F.collect_list(one)).alias("segments"), F.array_sort(F.collect_list(F.struct("idx", "item"))).alias("items"))
+    by = by.select(F.col("video_id").alias("n"), F.col("video_id").cast("string").alias("v"), "segments", F.array_join(F.transform("items", lambda x: x["item"]), ", ").alias("items"))
+    kinds = " ".join(f"WHEN {i} THEN {text.format()}" for i, text in enumerate(_ANSWER.values()))
+    raw = F.expr(f"CASE n % 9 {kinds} END")
+    response = F.when(raw.isNotNull(), F.array(F.struct(F.lit("YES").alias("decision"), F.lit(0.5).alias("confidence"), F.concat(F.lit("seen "), "v").alias("evidence"), raw.alias("raw_output"))))
+    kept = F.transform(F.filter("segments", lambda s: s["label"] == "important"), lambda s: s["index"])
+    result = F.struct(F.array(F.struct(kept.alias("kept_indices"))).alias("mss_runs"), F.lit(1).alias("total_oracle_calls"), F.lit(True).alias("precheck_passed"), F.lit(1.0).alias("precheck_vote_yes"), response.alias("precheck_responses"))
+    summary = F.when(F.col("n") % 2 == 0, F.concat(F.lit('{"total_segments": '), F.size("segments").cast("string"), F.lit(', "important_ratio": 0.5}'))).otherwise("prose")
+    return by.select(F.col("v").alias("video_id"), F.lit("label").alias("action_label"), F.concat(F.lit("/x/data/clips/"), "v").alias("video_path"), F.lit(None).cast("string").alias("timestamp"), summary.alias("summary"), "segments", result.alias("mss_result"), F.lit(1.5).alias("elapsed_s"))
+
+
+_CANONICAL = """WITH {SEG}, k AS (SELECT *, video_id % 9 AS kind FROM seg), s AS (SELECT *, CASE kind WHEN 0 THEN 'enriched' WHEN 1 THEN 'enriched' WHEN 2 THEN 'enriched' WHEN 3 THEN 'degraded:raw_unparseable' WHEN 4 THEN 'degraded:no_raw_segments'
+  WHEN 5 THEN 'degraded:segment_count_mismatch' WHEN 7 THEN 'degraded:no_precheck_response' ELSE 'degraded:weight_join_mismatch' END AS status FROM k),
+g AS (SELECT video_id, kind, status, CAST(count(*) AS INTEGER) AS n, list(idx ORDER BY idx) FILTER (label = 'important') AS kept, list(CASE WHEN status = 'enriched' THEN 'r' || idx ELSE '' END ORDER BY idx) AS reasons, list(CASE WHEN status = 'enriched' THEN 'p' || idx END ORDER BY idx) AS phases,
+  list(CASE WHEN status = 'enriched' AND idx % 2 = 0 THEN 't' || idx ELSE CAST(start_s AS BIGINT) || '-' || CAST(end_s AS BIGINT) END ORDER BY idx) AS ranges FROM s GROUP BY video_id, kind, status)
+"""
+
+
+@query("j28_canonical", _CANONICAL + """SELECT CAST(video_id AS VARCHAR) AS video_id, 'clips/' || video_id AS video_path, status, CASE WHEN kind = 0 THEN 'sum ' || video_id WHEN kind <> 7 THEN 'seen ' || video_id WHEN video_id % 2 = 1 THEN 'prose' END AS summary,
+  CASE WHEN video_id % 2 = 0 THEN CAST(n AS BIGINT) END AS total_segments, coalesce(kept, []) AS kept, reasons, phases, ranges FROM g""")
+def j28(spark, sf):
+    from keelson.operators.release import canonical
+
+    part = lambda name: F.transform("segments", lambda s: s[name])
+    rows = canonical(_sidecars(spark, sf))
+    return rows.select("video_id", "video_path", "status", "summary", "label_counts.total_segments", F.col("mss_result.kept_indices").alias("kept"), part("reason").alias("reasons"), part("phase").alias("phases"), part("time_range").alias("ranges"))
+
+
+@query("j28_recovery", _CANONICAL + "SELECT count(*) AS n, count_if(status = 'enriched') AS enriched, round(count_if(status = 'enriched') / count(*), 9) AS share, count_if(status = 'enriched') / count(*) >= 0.995 AS passed FROM g")
+def j28_recovery(spark, sf):
+    from keelson.operators.release import canonical, recovery
+
+    return recovery(canonical(_sidecars(spark, sf)), 0.995)

@@ -29,13 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder. A local session without one gets a temporary folder, a cluster an error."""
+    """The cluster's shared checkpoint folder. A local session without one uses a temporary folder of its own, a cluster gets an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="keelson-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = f"{tempfile.gettempdir()}/keelson-{spark.sparkContext.applicationId}"
     return where
 
 
@@ -53,3 +52,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table that materialize wrote for df; nothing that reads it may be left to run."""
+    spark = df.sparkSession
+    where = shared_dir(spark).rstrip("/").rsplit("/", 1)[-1]
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{where}/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

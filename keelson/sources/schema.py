@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Field names of the files that are read.
 SEGMENT = "index int, start_s double, end_s double, frequency double, label string, weight double, removal_score double, drop double"
 RESPONSE = "decision string, confidence double, evidence string, rationale string, raw_output string, logit_yes double, logit_no double, logit_skip double, logit_confidence double, logit_p_skip double"
@@ -17,4 +19,6 @@ RECORD = (
     "video_id string, ground_truth string, ground_truth_id int, condition string, kept_segments array<array<double>>, selector_failed boolean, selector_failure_reason string, "
     "top5_label_ids array<int>, top5_labels array<string>, top5_probs array<double>, top1_correct boolean, top5_correct boolean, recognizer string, run_seed bigint, elapsed_fwd_batch_s double"
 )
+#: As ANNOTATION, with the summary as text: prose, or the counts as JSON.
+SIDECAR = re.sub(r"summary struct<.*?>", "summary string", ANNOTATION).replace("precheck_vote_yes:double", "precheck_vote_yes:double, scores_recovered_from_raw_output:boolean")
 CORRUPT = "_corrupt"

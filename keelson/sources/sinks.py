@@ -9,9 +9,9 @@ import tarfile
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.operators.order import in_order, numbered
 from keelson.session import collect_all
 
 ROWS_A_FILE, MEMBERS_AN_ARCHIVE = 100_000, 10_000
@@ -35,9 +35,8 @@ def manifest(rows: DataFrame, members: int = MEMBERS_AN_ARCHIVE) -> DataFrame:
     """Per video: label, segments, precheck, kept fraction, and the archive shard by its place in order of video_id."""
     n = F.size("segments")
     kept = F.size(F.filter("segments", lambda s: s["label"] == "important"))
-    # an ordinal over all videos: one narrow column is sorted
-    place = F.row_number().over(W.partitionBy().orderBy("video_id")) - 1
-    return rows.select("video_id", "action_label", n.alias("n_segments"), "mss_result.precheck_passed", F.bround(F.try_divide(kept, n), 4).alias("kept_fraction"), F.floor(place / members).cast("int").alias("shard"))
+    narrow = rows.select("video_id", "action_label", n.alias("n_segments"), "mss_result.precheck_passed", F.bround(F.try_divide(kept, n), 4).alias("kept_fraction"))
+    return numbered(narrow, [F.col("video_id")]).withColumn("shard", F.floor(F.col("position") / members).cast("int")).drop("position")
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
@@ -66,13 +65,12 @@ def digests(spark, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def matrix(pairs: DataFrame, value: str, names: list[str]) -> DataFrame:
-    """pairs: a, b, value. The full symmetric matrix as text with three digits, the diagonal 1.000."""
-    spark = pairs.sparkSession
-    diagonal = spark.createDataFrame([(x, x, 1.0) for x in names], "a string, b string, v double")
+def matrix(pairs: DataFrame, value: str, columns: list[str]) -> DataFrame:
+    """pairs: a, b, value. The symmetric matrix as text with three digits, the diagonal 1.000: a row for each name, and the columns asked for."""
     both = pairs.select("a", "b", F.col(value).alias("v"))
-    full = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "v")).unionByName(diagonal)
-    return full.groupBy("a").pivot("b", names).agg(F.format_string("%.3f", F.max("v"))).orderBy("a")
+    full = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
+    diagonal = full.select("a", F.col("a").alias("b"), F.lit(1.0).alias("v")).distinct()
+    return full.unionByName(diagonal).groupBy("a").pivot("b", columns).agg(F.format_string("%.3f", F.max("v")))
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:

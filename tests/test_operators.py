@@ -96,16 +96,6 @@ def test_conditions(spark):
     assert [r["condition"] for r in conditions.to_write(failed).collect()] == ["vlm-strict-0.9"] and [r["condition"] for r in conditions.to_retry(failed).collect()] == ["motion"]
 
 
-def test_bootstrap_of_patterns(spark):
-    rows = spark.createDataFrame([(1, 0), (1, 1), (0, 0), (1, 0), (None, 1)], "x int, y int")
-    rep = paired.resampled_means(rows, ["x", "y"], 300, 5)
-    got = rep.agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")).first()
-    assert got["n"] == 300 and abs(got["x"] - 0.75) < 0.05 and abs(got["y"] - 0.4) < 0.05
-    assert paired.resampled_means(rows.limit(0), ["x", "y"], 10, 5).count() == 0
-    with pytest.raises(ValueError):
-        paired.resampled_means(rows, ["x", "y"], 10, 5, most=2)
-
-
 def test_agreement_conventions(spark):
     e, ab = F.array().cast("array<int>"), F.array(F.lit(1), F.lit(2))
     row = spark.range(1).select(agreement.jaccard(e, e, 0.0).alias("zero"), agreement.jaccard(e, e, None).alias("null"), agreement.jaccard(e, e, 1.0).alias("one"), agreement.set_f1(e, ab).alias("f"), agreement.set_f1(e, e).alias("g"), agreement.jaccard(ab, F.array(F.lit(2)), 0.0).alias("h")).first()
