@@ -25,6 +25,36 @@ def frame_range(start: Column, end: Column, fps: float) -> tuple[Column, Column]
     return (start * fps).cast("int").alias("first"), (end * fps).cast("int").alias("last")
 
 
+def spread(size: Column, n: int) -> Column:
+    """n places from 0 to size - 1 at even distances, rounded half to even; places repeat where there are fewer."""
+    step = (size - 1) / max(n - 1, 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * step).cast("int"))
+
+
+# How a recogniser is shown a selection.
+PROTOCOLS = ("repack", "mask", "sparse")
+
+
+def protocol_frames(kept: Column, total: Column, fps: Column, n: int, protocol: Column) -> Column:
+    """frames and blank: n frames for a recogniser under a protocol. kept is an array of (start_s, end_s), or null for the whole video. repack spreads
+    them over the kept frames, mask over all and blanks those that aren't kept; sparse is repack. The whole video is spread over
+    for a null selection, and by repack for an empty one. Null for an unknown protocol or a video without frames."""
+    last = total - 1
+    first_frame = lambda s: F.greatest(F.lit(0), F.rint(s["start_s"] * fps).cast("int"))
+    last_frame = lambda s: F.least(last, F.rint(s["end_s"] * fps).cast("int"))
+    ranges = F.transform(kept, lambda s: F.when(first_frame(s) <= last_frame(s), F.sequence(first_frame(s), last_frame(s))).otherwise(F.array().cast("array<int>")))
+
+    def shown(pool: Column) -> Column:
+        whole, none = spread(total, n), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda _: F.lit(False))
+        packed = F.transform(spread(F.size(pool), n), lambda i: F.get(pool, i))
+        masked = F.struct(whole.alias("frames"), F.transform(whole, lambda i: ~F.array_contains(pool, i)).alias("blank"))
+        repacked = F.struct(F.when(F.size(pool) > 0, packed).otherwise(whole).alias("frames"), none.alias("blank"))
+        chosen = F.when(pool.isNull(), F.struct(whole.alias("frames"), none.alias("blank"))).when(protocol == "mask", masked).otherwise(repacked)
+        return F.when((total > 0) & protocol.isin(*PROTOCOLS), chosen)
+
+    return let(F.array_sort(F.array_distinct(F.flatten(ranges))), shown)
+
+
 def apportion(rows: DataFrame, key: str, idx: str, share: str, seats: int) -> DataFrame:
     """Seats by share: rounded half to even, then the difference goes by remainder, one each in turn, as often as needed."""
     by = W.partitionBy(key)

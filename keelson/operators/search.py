@@ -2,59 +2,115 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import count
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keelson.session import materialize
-
-
-def minimal_subset(segments: DataFrame, score: Callable[[DataFrame], DataFrame], least: float = 0.5, rounds: int | None = None) -> DataFrame:
-    """segments: video_id, idx. score takes (video_id, removed, kept) rows of candidate subsets and adds `p`. Each round removes, for each
-    video, the segment whose removal costs least among those that leave p above `least` (the first on ties), and ends
-    a video with one segment or none removable; no video is open after as many rounds as it has segments. `rounds` is the most
-    that are run, all where None. Returns video_id, kept, rounds."""
-    now = segments.groupBy("video_id").agg(F.array_sort(F.collect_set("idx")).alias("kept")).withColumn("rounds", F.lit(0)).withColumn("open", F.lit(True))
-    now = materialize(now, "subsets")
-    for number in count(1) if rounds is None else range(1, rounds + 1):
-        candidates = now.where(F.col("open") & (F.size("kept") > 1)).select("video_id", F.explode("kept").alias("removed"), F.col("kept").alias("all"))
-        scored = score(candidates.select("video_id", "removed", F.array_remove("all", F.col("removed")).alias("kept")))
-        best = scored.where(F.col("p") > least).withColumn("k", F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("p"), "removed"))).where("k = 1")
-        step = now.join(best.select("video_id", F.col("kept").alias("next")), "video_id", "left")
-        now = materialize(step.select("video_id", F.coalesce("next", "kept").alias("kept"), F.when(F.col("next").isNotNull(), number).otherwise(F.col("rounds")).alias("rounds"), F.col("next").isNotNull().alias("open")), "subsets")
-        if now.where("open").isEmpty():
+from keelson.session import materialize, shared_dir
+
+
+# Why a search ended.
+BELOW, NONE_LEFT, SINGLE, COMPLETE = "baseline_below_tau_min", "no_removable_segments", "single_segment", "complete"
+_ENDED = "video_id string, kept array<int>, removed array<int>, calls long, baseline double, reason string"
+_TRACE = "video_id string, iteration int, baseline double, candidate int, score double, drop double, removable boolean, removed boolean"
+
+
+@dataclass
+class Search:
+    """What a search found: a row a video, and a row for each candidate of each round."""
+
+    found: DataFrame
+    trace: DataFrame
+
+
+def score_based_removal(segments: DataFrame, ask: Callable[[DataFrame], DataFrame], limits: DataFrame | None = None, least: float = 0.5) -> Search:
+    """segments: video_id, idx. ask takes candidate subsets (video_id, removed, kept, n) and adds `score`. Each round asks, for each open video, about
+    every subset that lacks one segment more; of those that score above `least` the one with the smallest drop from the baseline goes (the first on ties), and its
+    score is the new baseline. A video ends with one segment left, or when no segment can go.
+
+    limits: video_id, baseline (1 where null), and tau_final, delta, tau_min, each null for no such limit: then a candidate must also
+    score tau_final at least and drop by less than delta, and a video whose baseline is below tau_min ends before it is asked about.
+
+    Only open videos are written anew in a round; those that end are appended to the result."""
+    spark = segments.sparkSession
+    where = f"{shared_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    ended, traced = f"{where}/ended", f"{where}/trace"
+    asked = segments.select(F.col("video_id").cast("string").alias("video_id"), "idx").groupBy("video_id").agg(F.array_sort(F.collect_set(F.col("idx").cast("int"))).alias("kept"))
+    names = ["baseline", "tau_final", "delta", "tau_min"]
+    if limits is None:
+        limited = asked.withColumns({n: F.lit(None).cast("double") for n in names})
+    else:
+        limited = asked.join(limits.select(F.col("video_id").cast("string").alias("video_id"), *[F.col(n).cast("double").alias(n) for n in names]), "video_id", "left")
+    now = limited.withColumns({"baseline": F.coalesce("baseline", F.lit(1.0)), "n": F.when(F.size("kept") > 0, F.array_max("kept") + 1).otherwise(0), "removed": F.expr("cast(array() as array<int>)"), "calls": F.lit(0).cast("long"), "found": F.lit(True)})
+    none = F.lit(None).cast("string")
+    for number in count(1):
+        over = F.when(F.size("kept") == 1, SINGLE).when(F.size("kept") == 0, COMPLETE).when(~F.col("found"), NONE_LEFT).when(F.col("baseline") < F.col("tau_min"), BELOW).otherwise(none)
+        state = materialize(now.withColumn("reason", over), "open")
+        state.where("reason IS NOT NULL").select("video_id", "kept", "removed", "calls", "baseline", "reason").write.mode("append").parquet(ended)
+        still = state.where("reason IS NULL").drop("reason")
+        if still.isEmpty():
             break
-    return now.drop("open")
+        candidates = still.select("video_id", F.col("kept").alias("all"), "n", F.explode("kept").alias("candidate"))
+        questions = candidates.select("video_id", F.col("candidate").alias("removed"), F.array_remove("all", F.col("candidate")).alias("kept"), "n")
+        scored = ask(questions).select("video_id", F.col("removed").alias("candidate"), F.coalesce("score", F.lit(0.0)).alias("score"))
+        own = still.select("video_id", "baseline", "tau_final", "delta")
+        drop = F.col("baseline") - F.col("score")
+        can = (F.col("score") > least) & F.coalesce(F.col("score") >= F.col("tau_final"), F.lit(True)) & F.coalesce(drop < F.col("delta"), F.lit(True))
+        judged = materialize(scored.join(own, "video_id").select("video_id", "baseline", "candidate", "score", drop.alias("drop"), can.alias("removable")), "judged")
+        best = F.min(F.when(F.col("removable"), F.struct("drop", "candidate", "score"))).alias("best")
+        picked = judged.groupBy("video_id").agg(best, F.count("*").alias("more"))
+        rows = judged.join(picked.select("video_id", F.col("best.candidate").alias("gone")), "video_id")
+        rows.select("video_id", F.lit(number).alias("iteration"), "baseline", "candidate", "score", "drop", "removable", F.coalesce(F.col("candidate") == F.col("gone"), F.lit(False)).alias("removed")).write.mode("append").parquet(traced)
+        gone = F.col("best.candidate")
+        now = still.join(picked, "video_id").select(
+            "video_id", F.when(gone.isNull(), F.col("kept")).otherwise(F.array_remove("kept", gone)).alias("kept"), F.coalesce("best.score", "baseline").alias("baseline"), "tau_final", "delta", "tau_min", "n",
+            F.when(gone.isNull(), F.col("removed")).otherwise(F.array_append("removed", gone)).alias("removed"), (F.col("calls") + F.col("more")).alias("calls"), gone.isNotNull().alias("found"),
+        )
+    trace = spark.createDataFrame([], _TRACE) if number == 1 else spark.read.schema(_TRACE).parquet(traced)
+    return Search(spark.read.schema(_ENDED).parquet(ended), trace)
+
+
+def minimal_subset(segments: DataFrame, score: Callable[[DataFrame], DataFrame], least: float = 0.5) -> DataFrame:
+    """The same without limits: score adds `p` to candidate subsets. Returns video_id, kept, rounds (in which a segment went)."""
+    found = score_based_removal(segments, lambda rows: score(rows).withColumnRenamed("p", "score"), least=least).found
+    return found.select("video_id", "kept", F.size("removed").alias("rounds"))
 
 
 def random_removal(segments: DataFrame, score: Callable[[DataFrame], DataFrame], seed: int = 42, fraction: float = 0.5, least: int = 2, most: int = 8) -> DataFrame:
-    """segments: video_id, idx. score takes (video_id, removed, kept) rows of candidate subsets and adds `ok`. Each round scores a shortlist
+    """segments: video_id, idx. score takes (video_id, removed, kept, n) rows of candidate subsets and adds `ok`. Each round scores a shortlist
     of a video's segments, chosen by hash: `fraction` of them, `least` at least and `most` at most. Only where none of it is ok, all
-    others are scored too. One of those that are ok goes, chosen by hash; a video ends with one segment or when none is ok.
-    Returns video_id, kept, removed (in order), calls (scored subsets), reason (single_segment, no_removable)."""
-    kept = F.array_sort(F.collect_set("idx")).alias("kept")
-    now = segments.groupBy("video_id").agg(kept).withColumns({"removed": F.expr("cast(array() as array<int>)"), "calls": F.lit(0).cast("long"), "open": F.size("kept") > 1})
-    now = materialize(now, "subsets")
+    others are scored too. One of those that are ok goes, chosen by hash; a video ends with one segment or when none is ok. Only open videos are
+    written anew in a round. Returns video_id, kept, removed (in order), calls (scored subsets), reason (single_segment, no_removable)."""
+    spark = segments.sparkSession
+    ended = f"{shared_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    now = segments.groupBy("video_id").agg(F.array_sort(F.collect_set("idx")).alias("kept"))
+    now = now.withColumns({"n": F.coalesce(F.array_max("kept") + 1, F.lit(0)), "removed": F.expr("cast(array() as array<int>)"), "calls": F.lit(0).cast("long"), "found": F.lit(True)})
+    schema = now.drop("n", "found").withColumn("reason", F.lit(SINGLE)).schema
     for number in count(1):
+        over = F.when(F.size("kept") <= 1, SINGLE).when(~F.col("found"), "no_removable")
+        state = materialize(now.withColumn("reason", over), "open")
+        state.where("reason IS NOT NULL").drop("n", "found").write.mode("append").parquet(ended)
+        still = state.where("reason IS NULL")
+        if still.isEmpty():
+            return spark.read.schema(schema).parquet(ended)
         drawn = lambda use, x: F.md5(F.concat_ws("|", F.lit(f"{seed}|{number}|{use}"), F.col("video_id").cast("string"), x.cast("string")))  # noqa: B023, E731
         mixed = F.array_sort(F.transform("kept", lambda x: F.struct(drawn("list", x).alias("h"), x.alias("x"))))
-        candidates = now.where("open").select("video_id", F.col("kept").alias("all"), F.posexplode(mixed).alias("place", "y"))
+        candidates = still.select("video_id", F.col("kept").alias("all"), "n", F.posexplode(mixed).alias("place", "y"))
         size = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.lit(fraction) * F.size("all"))))
-        candidates = candidates.select("video_id", F.col("y.x").alias("removed"), F.array_remove("all", F.col("y.x")).alias("kept"), (F.col("place") < size).alias("listed"))
-        part = lambda rows: rows.select("video_id", "removed", "kept")
-        first = materialize(score(part(candidates.where("listed"))).select("video_id", "removed", "ok"), "shortlist")
+        candidates = candidates.select("video_id", F.col("y.x").alias("removed"), F.array_remove("all", F.col("y.x")).alias("kept"), "n", (F.col("place") < size).alias("listed"))
+        asked = lambda rows: score(rows.drop("listed")).select("video_id", "removed", "ok")
+        first = materialize(asked(candidates.where("listed")), "shortlist")
         others = candidates.where("not listed").join(first.where("ok").select("video_id").distinct(), "video_id", "left_anti")
-        scored = first.unionByName(score(part(others)).select("video_id", "removed", "ok"))
+        scored = first.unionByName(asked(others))
         gone = F.min(F.when(F.col("ok"), F.struct(drawn("pick", F.col("removed")).alias("h"), F.col("removed").alias("x"))))["x"].alias("gone")
-        step = now.join(scored.groupBy("video_id").agg(gone, F.count("*").alias("more")), "video_id", "left")
-        now = materialize(step.select(
-            "video_id", F.when(F.col("gone").isNull(), F.col("kept")).otherwise(F.array_remove("kept", F.col("gone"))).alias("kept"),
+        step = still.join(scored.groupBy("video_id").agg(gone, F.count("*").alias("more")), "video_id")
+        now = step.select(
+            "video_id", F.when(F.col("gone").isNull(), F.col("kept")).otherwise(F.array_remove("kept", F.col("gone"))).alias("kept"), "n",
             F.when(F.col("gone").isNull(), F.col("removed")).otherwise(F.array_append("removed", F.col("gone"))).alias("removed"),
-            (F.col("calls") + F.coalesce("more", F.lit(0))).alias("calls"), (F.col("gone").isNotNull() & (F.size("kept") > 2)).alias("open"),
-        ), "subsets")
-        if now.where("open").isEmpty():
-            break
-    return now.drop("open").withColumn("reason", F.when(F.size("kept") <= 1, "single_segment").otherwise("no_removable"))
+            (F.col("calls") + F.col("more")).alias("calls"), F.col("gone").isNotNull().alias("found"),
+        )
+    raise AssertionError("unreachable")

@@ -241,12 +241,6 @@ def test_markdown_raises_past_its_bound(spark):
         sinks.markdown(spark.range(4), 3)
 
 
-def test_minimal_subset_goes_on_past_its_former_end():
-    import inspect
-
-    assert inspect.signature(search.minimal_subset).parameters["rounds"].default is None
-
-
 def test_general_format(spark):
     values = [0.0, 1.0, 0.5, 12.25, 100.0, 123456.7, 999999.4, 999999.7, 1e6, 1234567.0, 1e-4, 0.00012345678, 9.9999996, 1e-5, -2.50, 1e20, None]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
