@@ -23,7 +23,7 @@ REACHED = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1
 GROUPS, ROWS = 256, 512
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in MIX:
         x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
     return x
@@ -32,7 +32,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def weights(high: np.ndarray, low: np.ndarray, replicates: int) -> np.ndarray:
     """Counts of rows (by two 32-bit words of a digest) in replicates, a row each."""
     stride = np.arange(1, replicates + 1, dtype=np.uint32) * np.uint32(STRIDE)
-    mixed = _mixed(low[:, None] ^ _mixed(high[:, None] + stride))
+    mixed = mixed(low[:, None] ^ mixed(high[:, None] + stride))
     return np.searchsorted(np.array(REACHED, np.uint32), mixed, side="right").astype(np.float64)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelson.operators import agreement as g
+from keelson.operators.permute import null_by_trial, null_summary
+from keelson.operators.resample import MIX, STRIDE
 from keelson.plans.bindings import query, segments
 from keelson.session import table
 
@@ -109,20 +111,44 @@ def a45(spark, sf):
     return by.agg(F.count_distinct("video_id").alias("videos"), F.round(g.kappa(F.col("weight") >= 0.5, F.col("weight2") >= 0.4), 9).alias("kappa")).where("videos >= 10")
 
 
-@query("a46_permutation_null", """WITH {SEG}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS i, count(*) OVER (PARTITION BY video_id) AS n FROM seg), t AS (SELECT *, unnest(range(5)) AS trial FROM k),
-p AS (SELECT *, row_number() OVER (PARTITION BY trial, video_id ORDER BY md5(trial || '|' || video_id || '|' || idx)) AS j FROM t),
-m AS (SELECT x.trial, x.video_id, count_if(x.weight >= 0.5 AND y.weight2 >= 0.4) AS both_, count_if(x.weight >= 0.5 OR y.weight2 >= 0.4) AS any_ FROM p x JOIN p y ON x.trial = y.trial AND x.video_id = y.video_id AND x.i = y.j GROUP BY ALL)
-SELECT CAST(trial AS INTEGER) AS trial, round(avg(CASE WHEN any_ = 0 THEN 0 ELSE both_ / any_ END), 9) AS jaccard FROM m GROUP BY trial""")
-def a46(spark, sf):
-    """Within-video permutation of the second rater, by a hash of trial and segment."""
+TRIALS = 200
+_RANK = "rank() OVER ({0} ORDER BY {1}) + (count(*) OVER ({0}, {1}) - 1) / 2"
+
+
+def _mixed_sql(source: str, name: str) -> str:
+    """Steps that mix column x of a relation, name0 and on; name2 is the last."""
+    steps = []
+    for i, (shift, factor) in enumerate(MIX):
+        steps.append(f"{name}{i} AS (SELECT * EXCLUDE (x), (xor(x, x >> {shift}) * {factor}) % 4294967296 AS x FROM {source})")
+        source = f"{name}{i}"
+    return ", ".join(steps)
+
+
+#: p is the place that place i's weight is shuffled to in trial t.
+_NULL = f"""WITH {{SEG}}, g AS (SELECT video_id, weight AS a, weight2 AS b, row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1 AS i, md5('7|' || video_id) AS d FROM seg),
+r AS (SELECT *, {_RANK.format('PARTITION BY video_id', 'a')} AS ra, {_RANK.format('PARTITION BY video_id', 'b')} AS rb, b >= 0.4 AS kb, count_if(a >= 0.5) OVER (PARTITION BY video_id) AS kept FROM g),
+k AS (SELECT DISTINCT video_id, d, t, (('0x' || substr(d, 1, 8))::UBIGINT + (t + 1) * {STRIDE}) % 4294967296 AS x FROM r, (SELECT range::UBIGINT AS t FROM range({TRIALS}))), {_mixed_sql('k', 'h')},
+q AS (SELECT r.video_id, t, i, a, ra, kept, (xor(('0x' || substr(r.d, 9, 8))::UBIGINT, x) + i::UBIGINT * {STRIDE}) % 4294967296 AS x FROM r JOIN h2 USING (video_id)), {_mixed_sql('q', 'm')},
+s AS (SELECT *, row_number() OVER (PARTITION BY video_id, t ORDER BY x, i) - 1 AS p FROM m2),
+u AS (SELECT s.video_id, CAST(t AS INTEGER) AS trial, s.ra AS x, r.rb AS y, row_number() OVER (PARTITION BY s.video_id, t ORDER BY s.a DESC, p) <= s.kept AS ka, r.kb FROM s JOIN r ON s.video_id = r.video_id AND s.p = r.i UNION ALL SELECT video_id, -1, ra, rb, a >= 0.5, kb FROM r),
+v AS (SELECT trial, video_id, {_PEARSON} AS rho, count_if(ka AND kb) / greatest(1, count_if(ka OR kb)) AS jaccard FROM u GROUP BY trial, video_id),
+n AS (SELECT trial, round(avg(rho), 9) AS rho, round(avg(jaccard), 9) AS jaccard, count(*) AS n FROM v GROUP BY trial)
+"""
+_OF = lambda c: f"max({c}) FILTER (trial < 0) + 0.0::DOUBLE AS {c}_observed, list_sort(list({c}) FILTER (trial >= 0))[CAST(floor({TRIALS - 1} * 0.95) AS INTEGER) + 1] + 0.0::DOUBLE AS {c}_p95, round((count_if(trial >= 0 AND {c} >= (SELECT {c} FROM n WHERE trial < 0)) + 1) / {TRIALS + 1}, 9) AS {c}_p"
+
+
+def _null(spark, sf):
+    """Videos of two raters: weights, and what each keeps."""
     item = F.struct("idx", "weight", "weight2")
-    by = segments(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("s")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    key = lambda x: F.md5(F.concat_ws("|", F.col("trial").cast("string"), F.col("video_id").cast("string"), x["idx"].cast("string")))
-    mixed = F.array_sort(F.transform("s", lambda x: F.struct(key(x).alias("h"), x["weight2"].alias("w"))))
-    pairs = F.arrays_zip(F.transform("s", lambda x: x["weight"] >= 0.5).alias("a"), F.transform(mixed, lambda x: x["w"] >= 0.4).alias("b"))
-    both, any_ = F.size(F.filter("p", lambda x: x["a"] & x["b"])), F.size(F.filter("p", lambda x: x["a"] | x["b"]))
-    j = by.select("trial", pairs.alias("p")).select("trial", F.when(any_ == 0, 0.0).otherwise(both / F.greatest(any_, F.lit(1))).alias("j"))
-    return j.groupBy("trial").agg(F.round(F.avg("j"), 9).alias("jaccard"))
+    by = segments(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    part = lambda f: F.transform("s", f)
+    return null_by_trial(by.select("video_id", part(lambda x: x["weight"]).alias("a"), part(lambda x: x["weight2"]).alias("b"), part(lambda x: x["weight"] >= 0.5).alias("kept_a"), part(lambda x: x["weight2"] >= 0.4).alias("kept_b")), "video_id", TRIALS, 7)
+
+
+@query("a46_permutation_null", _NULL + f"SELECT CAST(max(n) AS BIGINT) AS n, {_OF('rho')}, {_OF('jaccard')} FROM n")
+def a46(spark, sf):
+    """Spearman's rho and the Jaccard similarity against shuffles of the first rater's weights within each video."""
+    return _null(spark, sf).agg(F.max("n").alias("n"), *null_summary("rho"), *null_summary("jaccard"))
 
 
 @query("a48_disagreement", """WITH {SEG}, p AS (SELECT video_id, rank() OVER (PARTITION BY video_id ORDER BY weight) + (count(*) OVER (PARTITION BY video_id, weight) - 1) / 2 AS x,
