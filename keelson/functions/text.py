@@ -12,18 +12,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The signs around a label, and at its end, that don't count.
+OPENING, CLOSING, STOPS = "[(\"'", "])\"'", ".,;!?'\"`"
+
+
 def label_key(label: Column) -> Column:
     """Normal form of a label: brackets and quotes around it go, then stops and quotes at its end, lower case, single spaces."""
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    bare = strip(F.regexp_replace(strip(label), r"^[\[(\"']+|[\])\"']+$", ""))
-    bare = strip(F.regexp_replace(bare, r"[.,;!?'\"`]+$", ""))
-    return F.regexp_replace(F.lower(bare), r"\s+", " ")
+    inner = F.rtrim(F.ltrim(strip(label), F.lit(OPENING)), F.lit(CLOSING))
+    return F.regexp_replace(F.lower(strip(F.rtrim(strip(inner), F.lit(STOPS)))), r"\s+", " ")
+
+
+# The keys under which answers list their labels.
+ANSWER_KEYS = ("top5_label_ids", "top5_ids", "top5")
 
 
 def _variants(text: Column, bare: bool) -> Column:
     """The answer list of a JSON text as an array of variants: of an object by its key, or (bare) the list itself."""
     found = F.try_parse_json(text)
-    paths = ["$.top5_label_ids", "$.top5_ids", "$.top5", *(["$"] if bare else [])]
+    paths = [*(f"$.{k}" for k in ANSWER_KEYS), *(["$"] if bare else [])]
     return F.coalesce(*[F.when(F.schema_of_variant(F.try_variant_get(found, p, "variant")).startswith("ARRAY"), F.try_variant_get(found, p, "array<variant>")) for p in paths])
 
 
@@ -32,6 +39,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _first_list(text: Column) -> Column:
+    """From the last opening bracket before the first closing one that follows an opening one, up to that; null without such."""
+    rest = F.substring(text, F.locate("[", text), F.length(text))
+    inner = F.substring_index(F.substring_index(rest, "]", 1), "[", -1)
+    return F.when((F.locate("[", text) > 0) & (F.locate("]", rest) > 0), F.concat(F.lit("["), inner, F.lit("]")))
+
+
+def _first_object(text: Column) -> Column:
+    """From the first opening brace to the next closing one."""
+    rest = F.substring(text, F.locate("{", text), F.length(text))
+    return F.when((F.locate("{", text) > 0) & (F.locate("}", rest) > 0), F.concat(F.substring_index(rest, "}", 1), F.lit("}")))
+
+
+def _unfenced(text: Column) -> Column:
+    """A text that is a fence as a whole, without it: the fence's first word and its end go."""
+    inner = F.regexp_replace(F.ltrim(text, F.lit("`")), r"^\w*", "")
+    return F.when(text.startswith("```"), F.trim(F.rtrim(F.regexp_replace(inner, r"\s+$", ""), F.lit("`")))).otherwise(text)
+
+
+#: Why five_answers gives none.
+NO_LIST, NOT_FIVE, ID_RANGE, SAME_IDS, MIXED, UNKNOWN_LABEL, SAME_LABELS = "no list", "not five: ", "id range", "same ids", "mixed kinds", "unknown label", "same labels"
+
+
 def five_answers(raw: Column, labels: list[str]) -> Column:
     """(labels, normalized, reason) of a model's answer: five different ids (from 0) or labels of a taxonomy, in an object or a bare list,
     alone, in a fence or among other text. A reason says why there are none, else it is empty."""
@@ -39,38 +69,44 @@ def five_answers(raw: Column, labels: list[str]) -> Column:
     nothing = F.array().cast("array<string>")
 
     def found(body: Column) -> Column:
-        object_, list_ = (F.regexp_extract(body, p, 0) for p in (r"(?s)\{.*?\}", r"\[[^\[\]]*\]"))
-        return F.coalesce(_variants(body, True), _variants(object_, False), F.when(list_ != "", F.try_variant_get(F.try_parse_json(list_), "$", "array<variant>")))
+        return F.coalesce(_variants(body, True), _variants(_first_object(body), False), F.try_variant_get(F.try_parse_json(_first_list(body)), "$", "array<variant>"))
 
     def item(v: Column) -> Column:
         kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-        number = F.when((kind == "BIGINT") | (kind == "STRING") & text.rlike(r"^\s*-?\d+\s*$"), F.trim(text).try_cast("int"))
+        number = F.when((kind == "BIGINT") | (kind == "STRING"), F.regexp_replace(text, r"^\s+|\s+$", "").try_cast("int"))
+        whole = F.when(F.regexp_replace(text, r"^\s+|\s+$", "").rlike(r"^-?\d+$"), number)
         place = F.nullif(F.array_position(keys, label_key(text)), F.lit(0)).cast("int")
         label = F.when(kind == "STRING", F.when(F.array_contains(names, text), text).otherwise(F.try_element_at(names, place)))
-        return F.struct(kind.alias("kind"), text.alias("text"), number.alias("id"), label.alias("label"))
+        return F.struct(kind.alias("kind"), text.alias("text"), whole.alias("id"), label.alias("label"))
 
     def judged(items: Column) -> Column:
         numeric = F.forall(items, lambda x: x["id"].isNotNull())
         fewer = lambda part: F.size(F.array_distinct(F.transform(items, lambda x: x[part]))) < 5
-        reason = F.when(items.isNull(), "no JSON array found").when(F.size(items) != 5, F.concat(F.lit("expected 5 items, got "), F.size(items).cast("string")))
-        reason = reason.when(numeric & F.exists(items, lambda x: (x["id"] < 0) | (x["id"] >= len(labels))), "id out of range").when(numeric & fewer("id"), "duplicate ids")
-        reason = reason.when(numeric, "").when(F.exists(items, lambda x: x["kind"] != "STRING"), "neither ids nor labels")
-        reason = reason.when(F.exists(items, lambda x: x["label"].isNull()), "not in taxonomy").when(fewer("label"), "duplicate labels").otherwise("")
+        reason = F.when(items.isNull(), NO_LIST).when(F.size(items) != 5, F.concat(F.lit(NOT_FIVE), F.size(items).cast("string")))
+        reason = reason.when(numeric & F.exists(items, lambda x: (x["id"] < 0) | (x["id"] >= len(labels))), ID_RANGE).when(numeric & fewer("id"), SAME_IDS)
+        reason = reason.when(numeric, "").when(F.exists(items, lambda x: x["kind"] != "STRING"), MIXED)
+        reason = reason.when(F.exists(items, lambda x: x["label"].isNull()), UNKNOWN_LABEL).when(fewer("label"), SAME_LABELS).otherwise("")
         chosen = F.transform(items, lambda x: F.when(numeric, F.get(names, x["id"])).otherwise(x["label"]))
         changed = ~numeric & F.exists(items, lambda x: x["text"] != x["label"])
         return let(reason, lambda r: F.struct(F.when(r == "", chosen).otherwise(nothing).alias("labels"), ((r == "") & F.coalesce(changed, F.lit(False))).alias("normalized"), r.alias("reason")))
 
-    body = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    body = F.when(body.startswith("```"), F.regexp_replace(F.regexp_replace(body, r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")).otherwise(body)
+    body = _unfenced(F.regexp_replace(raw, r"^\s+|\s+$", ""))
     return let(let(body, lambda b: F.transform(found(b), item)), judged)
 
 
+def field_after(raw: Column, name: str) -> Column:
+    """The JSON literal (text or number) that follows the first quoted name, whatever its case, and a colon; null if none does. Texts come without their quotes,
+    with their escapes."""
+    place = F.locate(f'"{name}"', F.lower(raw))
+    value = F.regexp_extract(F.substring(raw, place + len(name) + 2, F.length(raw)), r"""^\s*:\s*("(?:\\.|[^\\"])*"|[-+]?[0-9.][0-9.eE+-]*)""", 1)
+    return F.when((place > 0) & (value != ""), F.when(value.startswith('"'), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+
+
 def last_resort(raw: Column) -> Column:
-    """decision, confidence and evidence sought in a text that can't be parsed; null without a decision."""
-    found = lambda pattern: F.nullif(F.regexp_extract(raw, pattern, 1), F.lit(""))
-    choice = found(r'(?i)"decision"\s*:\s*"([^"]+)"')
-    sure = found(r'"confidence"\s*:\s*([0-9]*\.?[0-9]+)').try_cast("double")
-    return F.when(choice.isNotNull(), F.struct(choice.alias("decision"), sure.alias("confidence"), found(r'"(?:action_summary|evidence)"\s*:\s*"([^"\\]*(?:\\.[^"\\]*)*)"').alias("evidence")))
+    """decision, confidence and evidence sought in a text that can't be parsed; null without a decision. A summary of the action is evidence too."""
+    choice = F.nullif(field_after(raw, "decision"), F.lit(""))
+    said = F.nullif(F.coalesce(field_after(raw, "action_summary"), field_after(raw, "evidence")), F.lit(""))
+    return F.when(choice.isNotNull(), F.struct(choice.alias("decision"), field_after(raw, "confidence").try_cast("double").alias("confidence"), said.alias("evidence")))
 
 
 def bracketless(label: Column) -> Column:
@@ -107,41 +143,123 @@ def run_hash(path: str, digest: str) -> Column:
     return F.sha2(F.array_join(lines, ""), 256)
 
 
+# How answers mark thoughts and fenced text, and the keys that an oracle's answer has at least one of.
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL)
 _THINK = re.compile(r"<think>.*?</think>", re.DOTALL)
+ORACLE_KEYS = ("decision", "confidence", "action_summary", "evidence", "segments", "minimum_sufficient_set")
 
 
-def repair(text: str | None) -> tuple[str | None, str]:
-    """(JSON text, how): strict, fenced, balanced (the first braces that parse), closed (cut short, then closed), or none."""
+def repair(text: str | None, keys: tuple[str, ...] = ()) -> tuple[str | None, str]:
+    """(JSON text, how): strict, fenced, balanced (the first braces that parse), closed (cut short, then closed), or none. Where keys are
+    given, only an object that has one of them counts."""
     body = _THINK.sub("", text or "")
-    for how, pieces in (("strict", [body]), ("fenced", _FENCE.findall(body)), ("balanced", _braces(body))):
+    wanted = set(keys)
+    fits = lambda x: isinstance(x, dict) and (not wanted or not wanted.isdisjoint(x))
+    for how, pieces in (("strict", [body]), ("fenced", _FENCE.findall(body))):
         for piece in pieces:
             try:
                 found = json.loads(piece)
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
-            if isinstance(found, dict):
+            if fits(found):
                 return json.dumps(found), how
+    if (found := _object_in(body, fits)) is not None:
+        return json.dumps(found), "balanced"
     at = body.find("{")
-    if at >= 0 and (closed := _close(body[at:])):
+    if at >= 0 and (closed := _close(body[at:])) and fits(json.loads(closed)):
         return closed, "closed"
     return None, "none"
 
 
-def _braces(text: str) -> list[str]:
-    """Balanced objects, strings respected, in order of their opening."""
-    out, opens, quoted, escaped = [], [], False, False
-    for i, c in enumerate(text):
+def _object_in(text: str, fits: Callable[[object], bool]) -> dict | None:
+    """The first object in a text that fits, in order of their opening braces, nested ones too. What a failed attempt has read isn't read again: braces
+    that are open where it failed would fail there as well."""
+    decoder, at = json.JSONDecoder(), text.find("{")
+    while at >= 0:
+        try:
+            found, end = decoder.raw_decode(text, at)
+        except RecursionError:
+            at = _less_deep(text, at)
+            continue
+        except json.JSONDecodeError as error:
+            still_open = set(_open_braces(text, at, error.pos))
+            if (inner := _complete(decoder, text, at + 1, error.pos, still_open, fits)) is not None:
+                return inner
+            at = text.find("{", max(error.pos, at + 1))
+            continue
+        if (inner := _fitting(found, fits)) is not None:
+            return inner
+        at = text.find("{", end)
+    return None
+
+
+#: Objects within objects that the parser reads for sure.
+_DEPTH = 500
+
+
+def _less_deep(text: str, at: int) -> int:
+    """The next brace after one whose object is too deep to be parsed: those that hold more than _DEPTH levels at the deepest place are passed over."""
+    depth, most, place = 0, 0, at
+    quoted = escaped = False
+    for i in range(at, len(text)):
+        c = text[i]
+        if quoted:
+            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
+        elif c == '"':
+            quoted = True
+        elif c == "{":
+            depth += 1
+            if depth > most:
+                most, place = depth, i
+        elif c == "}":
+            depth -= 1
+    opens = _open_braces(text, at, place + 1)
+    return opens[-_DEPTH] if len(opens) > _DEPTH else text.find("{", at + 1)
+
+
+def _complete(decoder: json.JSONDecoder, text: str, at: int, until: int, still_open: set[int], fits: Callable[[object], bool]) -> dict | None:
+    """The first fitting object among those that open from `at` on and are complete before `until`."""
+    at = text.find("{", at, until)
+    while at >= 0:
+        if at not in still_open:
+            try:
+                found, at = decoder.raw_decode(text, at)
+            except (json.JSONDecodeError, RecursionError):  # a brace in a text
+                at += 1
+            else:
+                if (inner := _fitting(found, fits)) is not None:
+                    return inner
+        else:
+            at += 1
+        at = text.find("{", at, until)
+    return None
+
+
+def _open_braces(text: str, start: int, end: int) -> list[int]:
+    """Braces that open from start on and are open at end, strings respected."""
+    opens, quoted, escaped = [], False, False
+    for i in range(start, end):
+        c = text[i]
         if quoted:
             escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-        elif c == '"' and opens:
+        elif c == '"':
             quoted = True
         elif c == "{":
             opens.append(i)
         elif c == "}" and opens:
-            start = opens.pop()
-            out.append((start, text[start : i + 1]))
-    return [piece for _, piece in sorted(out)]
+            opens.pop()
+    return opens
+
+
+def _fitting(value: object, fits: Callable[[object], bool]) -> dict | None:
+    """The first object that fits in a parsed value, outer ones first."""
+    left = [value]
+    while left:
+        v = left.pop()
+        if fits(v):
+            return v
+        left += reversed(list(v.values()) if isinstance(v, dict) else v if isinstance(v, list) else [])
+    return None
 
 
 def _close(text: str) -> str | None:
@@ -168,10 +286,14 @@ def _close(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("recovery", T.StringType())]))
-def repaired(text: pd.Series) -> pd.DataFrame:
-    """Column form of repair."""
-    return pd.DataFrame([repair(t) for t in text], columns=["json", "recovery"])
+def repaired(text: Column, keys: tuple[str, ...] = ()) -> Column:
+    """Column form of repair: json and recovery."""
+
+    @F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("recovery", T.StringType())]))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([repair(t, keys) for t in texts], columns=["json", "recovery"])
+
+    return run(text)
 
 
 def confidence(value: Column) -> Column:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from keelson.operators.select import tolerance
 
+# The weight that counts as strict, and (above and below) the conditions' names.
 STRICT = 0.9
 #: Why nothing could be selected. A missing motion score is transient: the row is tried again, not written.
-EMPTY_POOL, NO_SCORE, NO_STRICT, NOTHING = "empty segment pool", "motion scores missing", "no segment of the strict weight", "no segment selected"
+EMPTY_POOL, NO_SCORE, NO_STRICT, NOTHING = "nothing to choose from", "unscored", "none strict", "none chosen"
 
 
 def gather(segments: DataFrame, motion: str = "weight2", videos: DataFrame | None = None) -> DataFrame:

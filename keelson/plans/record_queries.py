@@ -271,3 +271,24 @@ def j28_recovery(spark, sf):
     from keelson.operators.release import canonical, recovery
 
     return recovery(canonical(_sidecars(spark, sf)), 0.995)
+
+
+@query("stream_rolling_counts", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent FROM events")
+def rolling_counts(spark, sf):
+    """The rate limit as a stream over the table's files. A row far ahead, in a folder of its own, moves the watermark past all events."""
+    import uuid
+
+    from keelson.session import shared_dir
+    from keelson.streaming import limiter
+
+    own = spark.newSession()
+    own.conf.set(*limiter.PROVIDER)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    where = f"{shared_dir(spark).rstrip('/')}/rolling-{uuid.uuid4().hex}"
+    events = table(own, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.agg(F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).write.parquet(f"{where}/ahead")
+    source = own.readStream.schema(table(own, sf, "events").schema).parquet(f"{sf}/event[s].parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))  # by a pattern, since a stream's path must be a folder and this may be a file
+    stream = source.unionByName(own.readStream.schema(events.schema).parquet(f"{where}/ahead"))
+    out = limiter.rolling_counts(stream, "user_id", "event_id", "ts", 3600, "1 second")
+    out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, event_id long, recent long").parquet(f"{where}/out").select("event_id", "recent")

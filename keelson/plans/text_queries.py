@@ -26,12 +26,12 @@ _ANSWERS = [
     ('```json\n{"top5": ["red", "Green", "dark  blue", "(white)", "pink."]}\n```', ["red", "green", "dark blue", "white", "pink"], True, ""),
     ('so: ["red", "green", "black", "grey", "white"] ok', ["red", "green", "black", "grey", "white"], False, ""),
     ('{"top5_ids": ["1", 2, 3, 4, 5]}', ["green", "dark blue", "white", "black", "grey"], False, ""),
-    ('{"top5_label_ids": [0, 1, 2, 3, 7]}', [], False, "id out of range"),
-    ("[1, 1, 2, 3, 4]", [], False, "duplicate ids"),
-    ("[1, 2, 3]", [], False, "expected 5 items, got 3"),
-    ("I do not know", [], False, "no JSON array found"),
-    ('["red", "Red", "pink", "grey", "black"]', [], False, "duplicate labels"),
-    ('["red", "green", "pink", "grey", true]', [], False, "neither ids nor labels"),
+    ('{"top5_label_ids": [0, 1, 2, 3, 7]}', [], False, "id range"),
+    ("[1, 1, 2, 3, 4]", [], False, "same ids"),
+    ("[1, 2, 3]", [], False, "not five: 3"),
+    ("I do not know", [], False, "no list"),
+    ('["red", "Red", "pink", "grey", "black"]', [], False, "same labels"),
+    ('["red", "green", "pink", "grey", true]', [], False, "mixed kinds"),
 ]
 _BY_KIND = lambda place, text: "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {text(a[place])}" for i, a in enumerate(_ANSWERS)) + " END"
 
@@ -97,12 +97,21 @@ def j4(spark, sf):
     return table(spark, sf, "events").select("event_id", t.decision(word).alias("decision"), F.round(t.confidence(F.col("value") / 50), 9).alias("confidence"))
 
 
-@query("j1_json_repair")
+@query("j1_json_repair", """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '{"a": [1, ' || props || ']}' ELSE props END AS json, CASE event_id % 4 WHEN 0 THEN 'strict' WHEN 1 THEN 'fenced' WHEN 2 THEN 'balanced' ELSE 'closed' END AS recovery FROM events""")
 def j1(spark, sf):
     raw = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("<think>{no}</think>```json\n"), "props", F.lit("```"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("so: "), "props", F.lit(" done"))).otherwise(F.concat(F.lit("{\"a\": [1, "), F.regexp_replace("props", "}$", "")))
     return table(spark, sf, "events").select("event_id", t.repaired(raw).alias("x")).select("event_id", "x.json", "x.recovery")
 
 
+@query("j1_known_keys", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"decision": "' || event_type || '"}' WHEN 1 THEN '{"confidence": ' || event_id || '}' WHEN 2 THEN '{"evidence": "{", "x": ' || props || '}' END AS json, CASE WHEN event_id % 4 < 3 THEN 'balanced' ELSE 'none' END AS recovery FROM events""")
+def j1_known_keys(spark, sf):
+    """Among objects without a known key, inside of them, after a brace in a text, and nowhere."""
+    kind, some = F.col("event_id") % 4, F.lit('{"decision": "')
+    raw = F.when(kind == 0, F.concat(F.lit("see "), "props", F.lit(" then "), some, "event_type", F.lit('"} end'))).when(kind == 1, F.concat(F.lit('{"list": [1, {"confidence": '), F.col("event_id").cast("string"), F.lit("}], \"p\": "), "props", F.lit("}")))
+    raw = raw.when(kind == 2, F.concat(F.lit('{"open": {"a": "}", {"evidence": "{", "x": '), "props", F.lit("} {"))).otherwise(F.concat("props", F.lit(' {"a": '), "props"))
+    return table(spark, sf, "events").select("event_id", t.repaired(raw, t.ORACLE_KEYS).alias("x")).select("event_id", "x.json", "x.recovery")
+
+
 @query("j6_gap_fill", "WITH s AS (SELECT o_orderkey, (o_orderkey % 10) / 10 AS a, (o_orderkey % 7) / 7 AS d FROM orders) SELECT o_orderkey, round(a, 9) AS s1, round((a + d) / 2, 9) AS s2, round(((a + d) / 2 + d) / 2, 9) AS s3, round(d, 9) AS s4 FROM s")
 def j6(spark, sf):
     key = F.col("o_orderkey")

@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,13 +136,6 @@ def test_allocation(spark):
     assert coverage.trapezoid(rows, ["video_id"], "idx", "dur").where("video_id = 'w'").first()["auc"] is None
 
 
-def test_positions(spark):
-    rows = spark.createDataFrame([(k * k - 50,) for k in range(200)], "id long")
-    got = sample.row_position(rows, "id").orderBy("id").collect()
-    assert [r["position"] for r in got] == list(range(200))
-    assert sample.row_position(rows.limit(0), "id").count() == 0
-
-
 @pytest.mark.parametrize(
     ("raw", "how"),
     [('{"a": 1}', "strict"), ('<think>{x}</think>```json\n{"a": 1}\n```', "fenced"), ('so {"a": "}"} done', "balanced"), ('{"a": [1, 2, {"b": "c', "closed"), ("none", "none"), (None, "none")],
@@ -219,15 +213,48 @@ def test_stream_windows(spark, tmp_path):
     assert sum(r["n"] for r in spark.table("counted").collect()) == 20
 
 
-def test_conditions_and_labels_past_their_bound_raise(spark, tmp_path):
-    from keelson.plans import experiment_queries, record_queries
-
-    spark.createDataFrame([(f"t{i:02d}",) for i in range(65)], "event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    with pytest.raises(ValueError, match="more than 64"):
-        experiment_queries._conditions(spark, str(tmp_path))
-    spark.range(4097).selectExpr("id AS vec_id", "id AS label", "array(1.0D) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
-    with pytest.raises(ValueError, match="more than 4096"):
-        record_queries._scores(spark, str(tmp_path))
+def test_any_number_of_conditions_and_labels(spark, tmp_path):
+    from keelson.plans import record_queries
+
+    rows = spark.createDataFrame([("all", f"t{i:02d}") for i in range(70)] + [("some", f"t{i:02d}") for i in range(69)], "video_id string, condition string")
+    assert [r[0] for r in align.having_all(rows, "video_id", "condition").collect()] == ["all"]
+    assert sorted(r[0] for r in align.having_all(rows, "video_id", "condition", ["t03", "t04"]).collect()) == ["all", "some"]
+    n = 1300  # several blocks of labels
+    spark.range(n).selectExpr("id AS vec_id", "CAST(id AS INT) AS label", "array(cos(id), sin(id)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: [x["label"] for x in r["ranked"]] for r in record_queries._scores(spark, str(tmp_path), 3).collect()}
+    x = np.array([[math.cos(i), math.sin(i)] for i in range(n)])
+    scores = np.round(x @ np.round(x, 9).T, 6)
+    assert got == {i: sorted(range(n), key=lambda j: (-scores[i, j], j))[:3] for i in range(n)}
+
+
+def test_known_keys_of_objects():
+    keys = text.ORACLE_KEYS
+    cases = [
+        ('pre {"a":1} {"decision":"YES"}', '{"decision": "YES"}', "balanced"),
+        ('{"segment_id": 1}', None, "none"),
+        ('{"x": [{"y": 1}, {"evidence": "e", "decision": "NO"}]}', '{"evidence": "e", "decision": "NO"}', "balanced"),
+        ('{"open": {"a": 1}, {"decision": "YES", "b": {"c": 2}} tail {', '{"decision": "YES", "b": {"c": 2}}', "balanced"),
+        ('text "{" and {"confidence": 0.5}', '{"confidence": 0.5}', "balanced"),
+        ('{"decision": "YES", "segments": [{"id": 1}, {"id"', '{"decision": "YES", "segments": [{"id": 1}]}', "closed"),
+        ('{"a": [1, 2', None, "none"),
+    ]
+    for raw, json_, how in cases:
+        assert text.repair(raw, keys) == (json_, how), raw
+    assert text.repair(cases[1][0]) == (cases[1][0], "strict")
+
+
+def test_nested_objects_are_read_once():
+    """Time grows with the length, not with the depth times the length."""
+    import time
+
+    def seconds(depth):
+        began = time.process_time()
+        assert text._object_in("so " + '{"a": ' * depth + "x", lambda v: True) is None
+        assert text._object_in('{"a": [' + '{"b": 1}, ' * depth + "]}", lambda v: isinstance(v, dict) and "c" in v) is None
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 30 * max(seconds(4_000), 0.01)
 
 
 def test_cut_json_with_many_commas_in_its_last_member():
