@@ -307,16 +307,16 @@ def decision(word: Column) -> Column:
     return F.when(w.isin("YES", "NO"), w).when(w.isin("SKIP", "INSUFFICIENT", "UNKNOWN", "UNCERTAIN"), "SKIP")
 
 
-def fill_gaps(scores: Column) -> Column:
+def fill_gaps(scores: Column, nothing: float = 0.5) -> Column:
     """Missing scores of an array are the mean of the neighbours; a filled score is the next one's left neighbour. Ends take the
-    neighbour they have, nothing known gives one half."""
+    neighbour they have, and `nothing` where no score is known."""
 
     def right(i: Column) -> Column:
         return F.try_element_at(F.filter(F.slice(scores, i + 1, F.size(scores)), lambda x: x.isNotNull()), F.lit(1))
 
     def step(a: Column, i: Column) -> Column:
         own, left = F.get(scores, i - 1), F.try_element_at(a, F.lit(-1))
-        filled = F.coalesce(own, (left + right(i)) / 2, left, right(i), F.lit(0.5))
+        filled = F.coalesce(own, (left + right(i)) / 2, left, right(i), F.lit(nothing))
         return F.concat(a, F.array(filled))
 
     return F.aggregate(F.sequence(F.lit(1), F.size(scores)), F.array().cast("array<double>"), step)
@@ -379,6 +379,34 @@ def scrub_json(document: Column, root: str) -> Column:
     return F.regexp_replace(document, r'([\[,:{]\s*")' + re.escape(root) + r'(?=(?:[^"\\]|\\.)*"\s*[,\]}])', "$1")
 
 
+def direct_scores(raw: Column, n: Column) -> Column:
+    """weights and kept of an answer that scores n segments itself: importances in percent by segment ids from 1 (the last of equal ids counts, gaps are filled), and its minimal set, or the
+    segments of one half and more where it names none. Null if there is no such object, no list of segments, or nothing is kept."""
+    after = F.when(F.contains(raw, F.lit("</think>")), F.substring(raw, F.locate("</think>", raw) + 8, F.length(raw))).otherwise(raw)
+    parsed = F.try_parse_json(repaired(after, ("segments",))["json"])
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def read(v: Column) -> Column:
+        said = F.try_variant_get(v, "$.segments", "array<variant>")
+        items = F.transform(said, lambda x: F.struct(F.try_variant_get(x, "$.segment_id", "int").alias("id"), F.coalesce(F.try_variant_get(x, "$.importance", "double"), F.lit(0.0)).alias("importance")))
+        own = F.transform(places, lambda i: F.try_element_at(F.filter(items, lambda x: x["id"] == i + 1), F.lit(-1))["importance"] / 100)
+        named = F.coalesce(F.try_variant_get(v, "$.minimum_sufficient_set", "array<int>"), F.array().cast("array<int>"))
+        inside = F.array_sort(F.array_distinct(F.filter(F.transform(named, lambda i: i - 1), lambda i: (i >= 0) & (i < n))))
+
+        def chosen(weights: Column) -> Column:
+            least = F.filter(places, lambda i: F.get(weights, i) >= 0.5)
+            return let(F.when(F.size(named) > 0, inside).otherwise(least), lambda kept: F.when(F.size(kept) > 0, F.struct(weights.alias("weights"), kept.alias("kept"))))
+
+        return F.when((F.size(said) > 0) & (n > 0), let(fill_gaps(own, 0.0), chosen))
+
+    return let(parsed, read)
+
+
+def now_iso() -> Column:
+    """The time of the query as ISO-8601 text, in microseconds of the session's time zone."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def forbidden(text: Column, markers: list[str]) -> Column:
     """The markers that a text still contains."""
     return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(text, m))

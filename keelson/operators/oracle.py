@@ -2,22 +2,21 @@
 
 A question is a row: video_id, kept (indices, ascending), n (segments) and whatever else the model reads. Its key is (video_id, hash of the mask, template); an
 answer that the cache has isn't asked for again, neither in this run nor in a later one. A batch that fails is asked once more; if it fails again its
-rows have an error instead of an answer, which isn't cached."""
+rows have an error instead of an answer, and are asked again the next time."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from keelson.session import materialize
-
 KEY = ["video_id", "mask_hash", "template"]
 # Field names of answers.
-ANSWER = "decision string, confidence double, evidence string, logit_confidence double, logit_p_skip double"
+ANSWER = "decision string, confidence double, evidence string, raw_output string, logit_confidence double, logit_p_skip double"
 _ANSWERED = f"video_id string, mask_hash string, template string, {ANSWER}, attempts int, error string"
 
 Model = Callable[[list[dict]], list[dict]]
@@ -72,7 +71,8 @@ def _asked(questions: DataFrame, oracle: Oracle) -> DataFrame:
 
 @dataclass
 class Cached:
-    """An oracle with its cache, a folder of Parquet files. Counts the rows asked about, those the cache had, calls of the model and failures."""
+    """An oracle with its cache, a folder of Parquet files with a part for each time that it was asked. Counts the rows asked about, those that needed no call (hits), calls of the model
+    and failures."""
 
     oracle: Oracle
     cache: str
@@ -83,30 +83,36 @@ class Cached:
         path = spark._jvm.org.apache.hadoop.fs.Path(self.cache)
         if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             return spark.createDataFrame([], _ANSWERED)
-        return spark.read.schema(_ANSWERED).parquet(self.cache)
+        return spark.read.schema(f"{_ANSWERED}, asked string").parquet(self.cache).drop("asked").where("error IS NULL")
 
-    def ask(self, questions: DataFrame) -> DataFrame:
-        """The questions with mask_hash, template, the fields of ANSWER and error."""
+    def ask(self, questions: DataFrame, attempt: int = 1) -> DataFrame:
+        """The questions with mask_hash, template, the fields of ANSWER and error. Another attempt asks anew what has an answer already. Questions are read twice, so they
+        should come from a written table by cheap steps."""
         spark = questions.sparkSession
-        keyed = questions.withColumn("mask_hash", mask_hash(F.col("kept"), F.col("n"))).withColumn("template", F.lit(self.oracle.template))
-        keyed = materialize(keyed.withColumn("video_id", F.col("video_id").cast("string")), "questions")
-        known = self.known(spark).where(F.col("template") == self.oracle.template).dropDuplicates(KEY)
-        new = materialize(_asked(keyed.join(known, KEY, "left_anti").dropDuplicates(KEY), self.oracle), "answers")
-        new.where("error IS NULL").write.mode("append").parquet(self.cache)
-        calls, failed = new.agg(F.count("*"), F.count_if(F.col("error").isNotNull())).first()
-        rows, hits = keyed.join(new.select(*KEY, F.lit(True).alias("new")), KEY, "left").agg(F.count("*"), F.count_if(F.col("new").isNull())).first()
-        for name, more in zip(("rows", "hits", "calls", "failed"), (rows, hits, calls, failed), strict=True):
+        template = self.oracle.template if attempt == 1 else f"{self.oracle.template}#{attempt}"
+        keyed = questions.withColumn("mask_hash", mask_hash(F.col("kept"), F.col("n"))).withColumn("template", F.lit(template)).withColumn("video_id", F.col("video_id").cast("string"))
+        known = self.known(spark).where(F.col("template") == template).dropDuplicates(KEY)
+        all_rows, asked = Observation(), Observation()
+        new = _asked(keyed.observe(all_rows, F.count("*").alias("rows")).join(known, KEY, "left_anti").dropDuplicates(KEY), self.oracle)
+        part = f"{self.cache.rstrip('/')}/asked={uuid.uuid4().hex}"
+        new.observe(asked, F.count("*").alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failed")).write.parquet(part)
+        rows, calls, failed = all_rows.get["rows"], asked.get["calls"], asked.get["failed"]
+        for name, more in zip(("rows", "hits", "calls", "failed"), (rows, rows - calls, calls, failed), strict=True):
             self.counts[name] += more
-        answers = known.unionByName(new)
+        answers = known.unionByName(spark.read.schema(_ANSWERED).parquet(part))
         return keyed.join(answers.drop("attempts"), KEY, "left")
 
 
 def score(most_skip: float = 0.5) -> Column:
     """How sure an answer is that the action is still there: zero if it would rather skip, else the probability of YES, else the stated
     confidence of a YES."""
-    skip = F.coalesce(F.col("logit_p_skip") > most_skip, F.col("decision") == "SKIP", F.lit(False))
     stated = F.when(F.col("decision") == "YES", F.coalesce("confidence", F.lit(0.0))).otherwise(0.0)
-    return F.when(skip, 0.0).otherwise(F.coalesce("logit_confidence", stated))
+    return F.when(skipped(most_skip), 0.0).otherwise(F.coalesce("logit_confidence", stated))
+
+
+def skipped(most_skip: float = 0.5) -> Column:
+    """Whether an answer would rather skip: by its tokens, or by its text where they don't say."""
+    return F.coalesce(F.col("logit_p_skip") > most_skip, F.col("decision") == "SKIP", F.lit(False))
 
 
 def yes() -> Column:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keelson.functions.text import direct_scores
 from keelson.session import materialize, shared_dir
 
 
@@ -35,10 +37,9 @@ def score_based_removal(segments: DataFrame, ask: Callable[[DataFrame], DataFram
     limits: video_id, baseline (1 where null), and tau_final, delta, tau_min, each null for no such limit: then a candidate must also
     score tau_final at least and drop by less than delta, and a video whose baseline is below tau_min ends before it is asked about.
 
-    Only open videos are written anew in a round; those that end are appended to the result."""
+    Only open videos are written anew in a round: a round's table has the videos that were open before it, and the result is what ended in any of them."""
     spark = segments.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
-    ended, traced = f"{where}/ended", f"{where}/trace"
     asked = segments.select(F.col("video_id").cast("string").alias("video_id"), "idx").groupBy("video_id").agg(F.array_sort(F.collect_set(F.col("idx").cast("int"))).alias("kept"))
     names = ["baseline", "tau_final", "delta", "tau_min"]
     if limits is None:
@@ -46,32 +47,33 @@ def score_based_removal(segments: DataFrame, ask: Callable[[DataFrame], DataFram
     else:
         limited = asked.join(limits.select(F.col("video_id").cast("string").alias("video_id"), *[F.col(n).cast("double").alias(n) for n in names]), "video_id", "left")
     now = limited.withColumns({"baseline": F.coalesce("baseline", F.lit(1.0)), "n": F.when(F.size("kept") > 0, F.array_max("kept") + 1).otherwise(0), "removed": F.expr("cast(array() as array<int>)"), "calls": F.lit(0).cast("long"), "found": F.lit(True)})
-    none = F.lit(None).cast("string")
+    schema = f"{_ENDED}, tau_final double, delta double, tau_min double, n int, found boolean"
     for number in count(1):
-        over = F.when(F.size("kept") == 1, SINGLE).when(F.size("kept") == 0, COMPLETE).when(~F.col("found"), NONE_LEFT).when(F.col("baseline") < F.col("tau_min"), BELOW).otherwise(none)
-        state = materialize(now.withColumn("reason", over), "open")
-        state.where("reason IS NOT NULL").select("video_id", "kept", "removed", "calls", "baseline", "reason").write.mode("append").parquet(ended)
-        still = state.where("reason IS NULL").drop("reason")
-        if still.isEmpty():
+        over = F.when(F.size("kept") == 1, SINGLE).when(F.size("kept") == 0, COMPLETE).when(~F.col("found"), NONE_LEFT).when(F.col("baseline") < F.col("tau_min"), BELOW)
+        left = Observation()
+        now.withColumn("reason", over).observe(left, F.count_if(F.col("reason").isNull()).alias("open")).write.parquet(f"{where}/videos/round={number}")
+        if not left.get["open"]:
             break
+        still = spark.read.schema(schema).parquet(f"{where}/videos/round={number}").where("reason IS NULL").drop("reason")
         candidates = still.select("video_id", F.col("kept").alias("all"), "n", F.explode("kept").alias("candidate"))
         questions = candidates.select("video_id", F.col("candidate").alias("removed"), F.array_remove("all", F.col("candidate")).alias("kept"), "n")
         scored = ask(questions).select("video_id", F.col("removed").alias("candidate"), F.coalesce("score", F.lit(0.0)).alias("score"))
-        own = still.select("video_id", "baseline", "tau_final", "delta")
         drop = F.col("baseline") - F.col("score")
         can = (F.col("score") > least) & F.coalesce(F.col("score") >= F.col("tau_final"), F.lit(True)) & F.coalesce(drop < F.col("delta"), F.lit(True))
-        judged = materialize(scored.join(own, "video_id").select("video_id", "baseline", "candidate", "score", drop.alias("drop"), can.alias("removable")), "judged")
-        best = F.min(F.when(F.col("removable"), F.struct("drop", "candidate", "score"))).alias("best")
-        picked = judged.groupBy("video_id").agg(best, F.count("*").alias("more"))
-        rows = judged.join(picked.select("video_id", F.col("best.candidate").alias("gone")), "video_id")
-        rows.select("video_id", F.lit(number).alias("iteration"), "baseline", "candidate", "score", "drop", "removable", F.coalesce(F.col("candidate") == F.col("gone"), F.lit(False)).alias("removed")).write.mode("append").parquet(traced)
+        judged = scored.join(still.select("video_id", "baseline", "tau_final", "delta"), "video_id").select("video_id", F.lit(number).alias("iteration"), "baseline", "candidate", "score", drop.alias("drop"), can.alias("removable"))
+        best = F.min(F.when(F.col("removable"), F.struct("drop", "candidate"))).over(W.partitionBy("video_id"))
+        judged.withColumn("removed", F.coalesce(F.col("candidate") == best["candidate"], F.lit(False))).write.parquet(f"{where}/trace/round={number}")
+        trace = spark.read.schema(_TRACE).parquet(f"{where}/trace/round={number}")
+        picked = trace.groupBy("video_id").agg(F.max(F.when(F.col("removed"), F.struct("candidate", "score"))).alias("best"), F.count("*").alias("more"))
         gone = F.col("best.candidate")
         now = still.join(picked, "video_id").select(
             "video_id", F.when(gone.isNull(), F.col("kept")).otherwise(F.array_remove("kept", gone)).alias("kept"), F.coalesce("best.score", "baseline").alias("baseline"), "tau_final", "delta", "tau_min", "n",
             F.when(gone.isNull(), F.col("removed")).otherwise(F.array_append("removed", gone)).alias("removed"), (F.col("calls") + F.col("more")).alias("calls"), gone.isNotNull().alias("found"),
         )
-    trace = spark.createDataFrame([], _TRACE) if number == 1 else spark.read.schema(_TRACE).parquet(traced)
-    return Search(spark.read.schema(_ENDED).parquet(ended), trace)
+    ended = spark.read.schema(f"{schema}, round int").parquet(f"{where}/videos").where("reason IS NOT NULL").select("video_id", "kept", "removed", "calls", "baseline", "reason")
+    if number == 1:
+        return Search(ended, spark.createDataFrame([], _TRACE))
+    return Search(ended, spark.read.schema(f"{_TRACE}, round int").parquet(f"{where}/trace").drop("round"))
 
 
 def minimal_subset(segments: DataFrame, score: Callable[[DataFrame], DataFrame], least: float = 0.5) -> DataFrame:
@@ -114,3 +116,47 @@ def random_removal(segments: DataFrame, score: Callable[[DataFrame], DataFrame],
             (F.col("calls") + F.col("more")).alias("calls"), F.col("gone").isNotNull().alias("found"),
         )
     raise AssertionError("unreachable")
+
+
+def score_directly(records: DataFrame, ask: Callable[[DataFrame, int], DataFrame], attempts: int = 3) -> DataFrame:
+    """records: video_id, kept (all indices), n, and what the model reads. ask takes them and the number of the attempt, and adds raw_output. Records whose answer can't be read are asked
+    about again, `attempts` times in all; the rest keep all segments at one half. Returns video_id, weights, kept, calls, source (parsed, fallback)."""
+    spark = records.sparkSession
+    where = f"{shared_dir(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    schema = "video_id string, weights array<double>, kept array<int>, calls int, source string"
+    left = records.withColumn("video_id", F.col("video_id").cast("string"))
+    for attempt in range(1, attempts + 1):
+        read = ask(left.withColumn("attempt", F.lit(attempt)), attempt).withColumn("found", direct_scores(F.col("raw_output"), F.col("n")))
+        read = materialize(read.select(*left.columns, "found"), "scored")
+        read.where("found IS NOT NULL").select("video_id", "found.weights", "found.kept", F.lit(attempt).alias("calls"), F.lit("parsed").alias("source")).write.mode("append").parquet(where)
+        left = read.where("found IS NULL").drop("found")
+        if left.isEmpty():
+            break
+    half = F.transform("kept", lambda _: F.lit(0.5))
+    left.select("video_id", half.alias("weights"), "kept", F.lit(attempts).alias("calls"), F.lit("fallback").alias("source")).write.mode("append").parquet(where)
+    return spark.read.schema(schema).parquet(where)
+
+
+#: How much less sure an answer may be without the unimportant segments, and what counts as a yes.
+MAY_DROP, A_YES = 0.2, 0.5
+
+
+def sufficiency(labelled: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """labelled: video_id, important (indices), n, label, wrong_label, and what the model reads. ask takes subsets (video_id, kept, n, asked_label, ...) and adds `score` and `skip`.
+    Whether the important segments suffice (keep_important), whether the others can go (remove_unimportant: score drops by MAY_DROP at most), whether the others alone don't do (keep_unimportant:
+    below A_YES, or there are none), and whether a wrong label is refused (wrong_label). Each with its score; a row a video."""
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    others = F.array_except(places, F.col("important"))
+    tests = {"full": (places, "label"), "keep_important": (F.array_sort("important"), "label"), "remove_unimportant": (F.array_except(places, others), "label"), "keep_unimportant": (others, "label"), "wrong_label": (places, "wrong_label")}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("test"), kept.alias("kept"), F.col(asked).alias("asked_label")) for name, (kept, asked) in tests.items()]))
+    rows = labelled.withColumn("video_id", F.col("video_id").cast("string")).withColumn("t", each).select(*labelled.columns, "t.*")
+    questions = rows.where((F.col("test") != "keep_unimportant") | (F.size("kept") > 0))
+    keyed = questions.withColumn("video_id", F.when(F.col("test") == "wrong_label", F.concat("video_id", F.lit("_wrong"))).otherwise(F.col("video_id")))
+    asked = ask(keyed).select(F.regexp_replace("video_id", "_wrong$", "").alias("asked_id"), F.col("video_id").endswith("_wrong").alias("w"), "test", "score", "skip")
+    asked = asked.select(F.when(F.col("test") == "wrong_label", F.col("asked_id")).otherwise(F.when(F.col("w"), F.concat("asked_id", F.lit("_wrong"))).otherwise(F.col("asked_id"))).alias("video_id"), "test", "score", "skip")
+    of = lambda name, c: F.max(F.when(F.col("test") == name, F.col(c)))
+    by = asked.groupBy("video_id").agg(*[of(name, "score").alias(name) for name in tests], of("keep_important", "skip").alias("skip"), F.count("*").alias("calls"))
+    return by.select(
+        "video_id", *tests, ((F.col("keep_important") > A_YES) & ~F.col("skip")).alias("important_suffices"), (F.col("full") - F.col("remove_unimportant") <= MAY_DROP).alias("others_can_go"),
+        F.coalesce(F.col("keep_unimportant") < A_YES, F.lit(True)).alias("others_do_not_do"), (F.col("wrong_label") < A_YES).alias("wrong_label_refused"), "calls",
+    )

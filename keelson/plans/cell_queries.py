@@ -153,13 +153,6 @@ def a73(spark, sf):
     return p.withColumn("a", area).groupBy("video_id").agg(F.round(F.coalesce(F.sum("a"), F.lit(0.0)), 6).alias("auc"))
 
 
-@query("a74_sufficiency", "WITH {SEG}, v AS (SELECT video_id, coalesce(max(weight) FILTER (label = 'important'), 0) AS keep, coalesce(max(weight) FILTER (label <> 'important'), 0) AS rest, max(weight) AS whole FROM seg GROUP BY video_id) SELECT video_id, whole - keep <= 0.2 AS sufficient, rest < 0.5 AS needed FROM v")
-def a74(spark, sf):
-    top = lambda test: F.coalesce(F.max(F.when(test, F.col("weight"))), F.lit(0.0))
-    v = segments(spark, sf).groupBy("video_id").agg(top(F.col("label") == "important").alias("keep"), top(F.col("label") != "important").alias("rest"), F.max("weight").alias("whole"))
-    return v.select("video_id", (F.col("whole") - F.col("keep") <= 0.2).alias("sufficient"), (F.col("rest") < 0.5).alias("needed"))
-
-
 @query("g4_precheck_gate", "SELECT event_id, event_type <> 'error' AND value / 50 > 0.5 AS passed FROM events")
 def g4(spark, sf):
     return table(spark, sf, "events").select("event_id", ((F.col("event_type") != "error") & (F.col("value") / 50 > 0.5)).alias("passed"))
@@ -171,11 +164,6 @@ def g6(spark, sf):
     return segments(spark, sf).select("video_id", "idx", kept.alias("kept")).select("video_id", "idx", F.when(F.array_contains("kept", F.col("idx")), "important").otherwise("unimportant").alias("label"))
 
 
-@query("g7_attempt_fallback", "SELECT event_id, coalesce(nullif(event_type, 'error'), nullif(props, ''), 'uniform') AS answer FROM events")
-def g7(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.nullif("event_type", F.lit("error")), F.nullif("props", F.lit("")), F.lit("uniform")).alias("answer"))
-
-
 @query("x3_subset_test", "WITH {REC} SELECT video_id, count(DISTINCT condition) FILTER (condition IN ('click', 'view')) = 2 AS covers FROM rec GROUP BY video_id")
 def x3(spark, sf):
     return recognition(spark, sf).groupBy("video_id").agg((F.count_distinct(F.when(F.col("condition").isin("click", "view"), F.col("condition"))) == 2).alias("covers"))
