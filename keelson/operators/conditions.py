@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.functions.text import let
 from keelson.operators.select import tolerance
 
 # The weight that counts as strict, and (above and below) the conditions' names.
@@ -57,24 +58,31 @@ def _crossing(ordered: Column, goal: Column) -> Column:
     return F.aggregate(ordered, state, lambda a, x: F.struct((a["s"] + x["d"]).alias("s"), F.when(a["s"] < goal, F.array_append(a["k"], x["i"])).otherwise(a["k"]).alias("k")), lambda a: F.array_sort(a["k"]))
 
 
-def _edges(items: Column, goal: Column, one: Column, rest: Column) -> Column:
+def _edges(items: Column, goal: Column, tol: Column, one: Column, rest: Column) -> Column:
     """All segments where the goal is about everything, one where it is about nothing."""
-    tol = tolerance(F.transform(items, lambda x: x["d"]))
     return F.when(goal >= _sum(items) - tol, _indices(items)).when(goal <= tol, F.array(one)).otherwise(rest)
 
 
+def _tolerance(items: Column) -> Column:
+    return tolerance(F.transform(items, lambda x: x["d"]))
+
+
 def greedy(items: Column, ordered: Column, goal: Column) -> Column:
     """In the order, a segment joins unless it overshoots the goal by more than the tolerance, until the sum is within it;
     if it never is, segments in the order up to the one that crosses the goal."""
-    tol = tolerance(F.transform(items, lambda x: x["d"]))
 
-    def step(a: Column, x: Column) -> Column:
-        fits = (F.abs(a["s"] - goal) > tol) & (a["s"] + x["d"] <= goal + tol)
-        return F.struct(F.when(fits, a["s"] + x["d"]).otherwise(a["s"]).alias("s"), F.when(fits, F.array_append(a["k"], x["i"])).otherwise(a["k"]).alias("k"))
+    def known(once: Column) -> Column:
+        own, aim, tol = once["ordered"], once["goal"], once["tol"]
 
-    state = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("k"))
-    near = F.aggregate(ordered, state, step, lambda a: F.when(F.abs(a["s"] - goal) <= tol, F.array_sort(a["k"])))
-    return _edges(items, goal, F.get(ordered, F.lit(0))["i"], F.coalesce(near, _crossing(ordered, goal)))
+        def step(a: Column, x: Column) -> Column:
+            fits = (F.abs(a["s"] - aim) > tol) & (a["s"] + x["d"] <= aim + tol)
+            return F.when(fits, F.struct((a["s"] + x["d"]).alias("s"), F.array_append(a["k"], x["i"]).alias("k"))).otherwise(a)
+
+        state = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("k"))
+        near = F.aggregate(own, state, step, lambda a: F.when(F.abs(a["s"] - aim) <= tol, F.array_sort(a["k"])))
+        return _edges(items, aim, tol, F.get(own, F.lit(0))["i"], F.coalesce(near, _crossing(own, aim)))
+
+    return let(F.struct(ordered.alias("ordered"), goal.alias("goal"), _tolerance(items).alias("tol")), known)
 
 
 def spread(n: Column, count: Column) -> Column:
@@ -86,21 +94,29 @@ def spread(n: Column, count: Column) -> Column:
 def uniform(items: Column, goal: Column) -> Column:
     """Evenly spread segments whose duration is near the goal: of the count that the mean duration suggests, one more, one less, two
     more, two less, the first within the tolerance; else the nearest of those up to three away, the fewest on ties."""
-    n, tol = F.size(items), tolerance(F.transform(items, lambda x: x["d"]))
+    n = F.size(items)
 
-    def trial(count: Column) -> Column:
-        places = spread(n, count)
-        return F.struct(F.abs(F.aggregate(places, F.lit(0.0), lambda a, p: a + F.get(items, p)["d"]) - goal).alias("off"), count.alias("count"), F.transform(places, lambda p: F.get(items, p)["i"]).alias("k"))
+    def known(once: Column) -> Column:
+        aim, tol, guess = once["goal"], once["tol"], once["guess"]
 
-    guess = F.least(F.greatest(F.rint(goal / (_sum(items) / n)).cast("int"), F.lit(1)), n)
-    first = F.filter(F.array(*[guess + k for k in (0, 1, -1, 2, -2)]), lambda c: (c >= 1) & (c <= n))
-    hits = F.filter(F.transform(first, trial), lambda t: t["off"] <= tol)
-    best = F.array_min(F.transform(F.sequence(F.greatest(guess - 3, F.lit(1)), F.least(guess + 3, n)), trial))
-    return _edges(items, goal, F.get(items, (n / 2).cast("int"))["i"], F.coalesce(F.get(hits, F.lit(0))["k"], best["k"]))
+        def trial(count: Column) -> Column:
+            off = lambda places: F.abs(F.aggregate(places, F.lit(0.0), lambda a, p: a + F.get(items, p)["d"]) - aim)
+            return let(spread(n, count), lambda places: F.struct(off(places).alias("off"), count.alias("count"), F.transform(places, lambda p: F.get(items, p)["i"]).alias("k")))
 
+        first = F.filter(F.array(*[guess + k for k in (0, 1, -1, 2, -2)]), lambda c: (c >= 1) & (c <= n))
+        hits = F.filter(F.transform(first, trial), lambda t: t["off"] <= tol)
+        best = F.array_min(F.transform(F.sequence(F.greatest(guess - 3, F.lit(1)), F.least(guess + 3, n)), trial))
+        return _edges(items, aim, tol, F.get(items, (n / 2).cast("int"))["i"], F.coalesce(F.get(hits, F.lit(0))["k"], best["k"]))
 
-def choose(condition: str, seed: int = 42) -> tuple[Column, Column]:
-    """(kept indices, reason of failure or null) of gathered items under a condition."""
+    def guessed(once: Column) -> Column:
+        guess = F.least(F.greatest(F.rint(F.try_divide(once["goal"], _sum(items) / n)).cast("int"), F.lit(1)), n)
+        return let(F.struct(once["goal"].alias("goal"), once["tol"].alias("tol"), guess.alias("guess")), known)
+
+    return F.when(n > 0, let(F.struct(goal.alias("goal"), _tolerance(items).alias("tol")), guessed))
+
+
+def choose(condition: str, seed: int = 42) -> Column:
+    """kept (indices) and reason (of failure, or null) of gathered items under a condition, each made once a row."""
     items = F.col("items")
     chosen = F.filter(items, lambda x: x["v"])
     strict = F.filter(items, lambda x: x["w"] >= STRICT)
@@ -121,7 +137,7 @@ def choose(condition: str, seed: int = 42) -> tuple[Column, Column]:
         kept = F.coalesce(F.nullif(_crossing(ordered, int(match[2]) / 100 * _sum(items)), none), _indices(F.slice(ordered, 1, 1)))
         fails += [(unscored, NO_SCORE)] if match[1] == "id-motion-f" else []
     elif condition in ("full", "full-single"):
-        return none, F.lit(None).cast("string")
+        return F.struct(none.alias("kept"), F.lit(None).cast("string").alias("reason"))
     elif condition in ("vlm-selected", "vlm-weighted"):
         kept = _indices(chosen)
     elif condition == "vlm-strict-0.9":
@@ -140,20 +156,22 @@ def choose(condition: str, seed: int = 42) -> tuple[Column, Column]:
         kept = F.array_sort(F.transform(spread(F.size(items), F.least(fewest, F.size(items))), lambda p: F.get(items, p)["i"]))
     else:
         raise ValueError(f"unknown condition {condition!r}")
-    reason = F.when(F.size(items) == 0, EMPTY_POOL)
+    early = F.when(F.size(items) == 0, EMPTY_POOL)
     for failed, why in fails:
-        reason = reason.when(failed, why)
-    reason = reason.when(F.size(kept) == 0, NOTHING)
-    return F.when(reason.isNull(), kept).otherwise(none), reason
+        early = early.when(failed, why)
+
+    def judged(found: Column) -> Column:
+        reason = F.coalesce(found["early"], F.when(F.size(found["kept"]) == 0, NOTHING))
+        return F.struct(F.when(reason.isNull(), found["kept"]).otherwise(none).alias("kept"), reason.alias("reason"))
+
+    return let(early, lambda e: let(F.struct(e.alias("early"), F.when(e.isNull(), kept).otherwise(none).alias("kept")), judged))
 
 
 def run(gathered: DataFrame, conditions: list[str], seed: int = 42) -> DataFrame:
     """One row a video and condition: video_id, condition, kept, failed, reason. Arrays are made in one pass for all conditions."""
-    for n, condition in enumerate(conditions):
-        kept, reason = choose(condition, seed)
-        gathered = gathered.withColumns({f"k{n}": kept, f"r{n}": reason})
-    each = [F.struct(F.lit(c).alias("condition"), F.col(f"k{n}").alias("kept"), F.col(f"r{n}").isNotNull().alias("failed"), F.col(f"r{n}").alias("reason")) for n, c in enumerate(conditions)]
-    return gathered.select("video_id", F.explode(F.array(*each)).alias("x")).select("video_id", "x.*")
+    found = [choose(c, seed).alias(f"c{n}") for n, c in enumerate(conditions)]
+    each = [F.struct(F.lit(c).alias("condition"), F.col(f"c{n}.kept"), F.col(f"c{n}.reason").isNotNull().alias("failed"), F.col(f"c{n}.reason")) for n, c in enumerate(conditions)]
+    return gathered.select("video_id", *found).select("video_id", F.explode(F.array(*each)).alias("x")).select("video_id", "x.*")
 
 
 def to_write(selected: DataFrame) -> DataFrame:

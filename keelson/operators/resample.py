@@ -32,8 +32,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def weights(high: np.ndarray, low: np.ndarray, replicates: int) -> np.ndarray:
     """Counts of rows (by two 32-bit words of a digest) in replicates, a row each."""
     stride = np.arange(1, replicates + 1, dtype=np.uint32) * np.uint32(STRIDE)
-    mixed = mixed(low[:, None] ^ mixed(high[:, None] + stride))
-    return np.searchsorted(np.array(REACHED, np.uint32), mixed, side="right").astype(np.float64)
+    words = mixed(low[:, None] ^ mixed(high[:, None] + stride))
+    return np.searchsorted(np.array(REACHED, np.uint32), words, side="right").astype(np.float64)
 
 
 def replicate_sums(rows: DataFrame, key: list[str], features: dict[str, Column], replicates: int, seed: int, by: list[str] | None = None) -> DataFrame:

@@ -64,10 +64,10 @@ def n9(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(ok.alias("valid"), F.when(ok, F.max("l_returnflag")).alias("text"))
 
 
-@query("f4_first_last", "SELECT l_orderkey, arg_min(l_discount, l_shipdate || '|' || l_partkey || '|' || l_suppkey) AS first, arg_max(l_quantity, l_shipdate || '|' || l_partkey || '|' || l_suppkey) AS last FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey")
+@query("f4_first_last", "SELECT l_orderkey, arg_min(l_discount, l_shipdate || '|' || l_partkey || '|' || l_suppkey) AS first, arg_max(l_quantity, l_shipdate || '|' || l_partkey || '|' || l_suppkey) AS last FROM lineitem GROUP BY l_orderkey")
 def f4(spark, sf):
     key = F.concat_ws("|", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    by = table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey")
+    by = table(spark, sf, "lineitem").groupBy("l_orderkey")
     return by.agg(F.min(F.struct(key, "l_discount"))["l_discount"].alias("first"), F.max(F.struct(key, "l_quantity"))["l_quantity"].alias("last"))
 
 
