@@ -77,3 +77,12 @@ def markdown(rows: DataFrame, most: int = 1000) -> str:
     """A table of a small result; an error where it has more than `most` rows."""
     lines = [list(rows.columns), ["---"] * len(rows.columns)] + [["" if v is None else str(v) for v in r] for r in collect_all(rows, most)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def write_markdown(rows: DataFrame, path: str, order: list[str]) -> None:
+    """The same table of any size, in order of its columns: text files that follow one another, the first with the head."""
+    cells = F.transform(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), lambda x: F.regexp_replace(x, r"\|", r"\\|"))
+    line = lambda names: "| " + " | ".join(names) + " |"
+    body = numbered(rows.withColumn("__line", F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))), [F.col(c) for c in order]).select("position", "__line")
+    head = rows.sparkSession.createDataFrame([(-2, line(rows.columns)), (-1, line(["---"] * len(rows.columns)))], "position long, __line string")
+    body.unionByName(head).repartitionByRange("position").sortWithinPartitions("position").select("__line").write.text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def record_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -31,17 +32,34 @@ def pending(batch: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return batch.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Parts of a target by key.
+BUCKETS = 256
+
+
 def append_new(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Appends only keys that the target lacks; a batch that is run again adds nothing."""
+    """Appends only keys that the target lacks. Every batch is a part of the target by its number and, within, by a hash of the keys: a batch looks only where its own keys
+    would be, and one that is run again replaces what it had written."""
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
-    def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(keys)
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(keys).withColumn("_bucket", bucket).persist()
         try:
-            fresh = pending(fresh, spark.read.schema(batch.schema).parquet(target), keys)
-        except Exception as error:  # no target before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh.write.mode("append").parquet(target)
+            own = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # BUCKETS at most
+            path = spark._jvm.org.apache.hadoop.fs.Path(target)
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                done = read_appended(spark, target, batch.schema).where(F.col("_bucket").isin(own) & (F.col("_batch") != number))
+                fresh_rows = pending(fresh, done, keys)
+            else:
+                fresh_rows = fresh
+            fresh_rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{target.rstrip('/')}/_batch={number}")
+        finally:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_appended(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """What append_new has written, with the parts _batch and _bucket."""
+    parts = StructType([*schema.fields, StructField("_batch", LongType()), StructField("_bucket", IntegerType())])
+    return spark.read.schema(parts).parquet(target)

@@ -7,8 +7,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.sources import scans, writers
+from keelson.sources import scans, sinks, writers
 from keelson.sources.schema import ANNOTATION, RECORD
+from keelson.streaming import ingest
 
 
 def files(path):
@@ -94,3 +95,32 @@ def test_nested_narrow_scan(spark, tmp_path):
     rows = scans.narrow(spark, str(tmp_path), ["segments.label", "mss_result.precheck_passed", "mss_result.precheck_responses.confidence"], ["full"], ANNOTATION)
     assert [tuple(r) for r in rows.collect()] == [("v", "full", ["important"], True, [0.9])]
     assert "raw_output" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_markdown_of_any_size(spark, tmp_path):
+    rows = spark.range(2500).select((2499 - F.col("id")).alias("n"), F.when(F.col("id") % 2 == 0, "a|b").alias("name")).repartition(5)
+    sinks.write_markdown(rows, str(tmp_path / "report"), ["n"])
+    text = "".join((tmp_path / "report" / f).read_text() for f in files(tmp_path / "report") if f.startswith("part-"))
+    lines = text.splitlines()
+    assert lines[:4] == ["| n | name |", "| --- | --- |", "| 0 |  |", "| 1 | a\\|b |"] and len(lines) == 2502
+    assert [int(x.split(" | ")[0][2:]) for x in lines[2:]] == list(range(2500))
+
+
+def test_appended_once_though_batches_are_run_again(spark, tmp_path):
+    """Three batches with keys of earlier ones; then the last one's checkpoint is lost, as when a driver dies before it commits."""
+    schema, source, target, state = "video_id string, n int", tmp_path / "in", str(tmp_path / "out"), tmp_path / "state"
+    source.mkdir()
+
+    def run():
+        ingest.append_new(ingest.record_stream(spark, str(source), schema), target, ["video_id"], str(state)).awaitTermination()
+
+    for number, rows in enumerate([[("a", 0), ("b", 0), ("a", 0)], [("b", 1), ("c", 1)], [("a", 2), ("d", 2), ("e", 2)]]):
+        (source / f"{number}.json").write_text("".join(json.dumps({"video_id": v, "n": n}) + "\n" for v, n in rows))
+        run()
+    want = [("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 2)]
+    read = lambda: ingest.read_appended(spark, target, spark.read.schema(schema).json(str(source)).schema)
+    assert sorted((r["video_id"], r["n"]) for r in read().collect()) == want
+    for name in ("2", ".2.crc"):
+        (state / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert sorted((r["video_id"], r["n"]) for r in read().collect()) == want and {r["_batch"] for r in read().collect()} == {0, 1, 2}
