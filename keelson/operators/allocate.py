@@ -55,6 +55,28 @@ def protocol_frames(kept: Column, total: Column, fps: Column, n: int, protocol:
     return let(F.array_sort(F.array_distinct(F.flatten(ranges))), shown)
 
 
+# How segments are masked.
+MASKS = ("blur", "freeze", "black", "mean", "cut")
+
+
+def masked(frames: DataFrame, key: str, frame: str, hidden: str, mode: str) -> DataFrame:
+    """frames: a row a frame, with whether it is hidden. Adds `shows`, the frame to be shown in its place (null for a uniform one), and `effect`, what is done to it (null for nothing). cut
+    leaves hidden frames out; freeze shows the last frame before that isn't hidden, or the first of all; black and mean show one
+    of that kind; blur blurs the frame itself."""
+    if mode not in MASKS:
+        raise ValueError(f"unknown mask {mode!r}")
+    covered, own = F.coalesce(F.col(hidden), F.lit(False)), F.col(frame)
+    none = F.lit(None).cast("string")
+    if mode == "cut":
+        return frames.where(~covered).withColumns({"shows": own, "effect": none})
+    if mode == "freeze":
+        order = W.partitionBy(key).orderBy(frame)
+        last = F.last(F.when(~covered, own), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+        return frames.withColumns({"shows": F.coalesce(last, F.min(frame).over(W.partitionBy(key))), "effect": none})
+    effect = F.when(covered, mode)
+    return frames.withColumns({"shows": F.when(~covered | F.lit(mode == "blur"), own), "effect": effect})
+
+
 def apportion(rows: DataFrame, key: str, idx: str, share: str, seats: int) -> DataFrame:
     """Seats by share: rounded half to even, then the difference goes by remainder, one each in turn, as often as needed."""
     by = W.partitionBy(key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from keelson.functions import prompts, registry, tokens
@@ -116,3 +118,13 @@ def recogniser(spark, sf):
     names = F.array(*map(F.lit, labels))
     found = v.select("vec_id", known.column("centroids", F.col("x"), 1).alias("r"))
     return found.select("vec_id", F.get(names, F.col("r.top_ids")[0]).alias("label"), F.round(F.col("r.top_scores")[0], 6).alias("score"))
+
+
+@query("r11_mask_modes", """WITH {SEG}, f AS (SELECT video_id, idx, label = 'important' AS hidden, unnest(['blur', 'freeze', 'black', 'mean', 'cut']) AS mode FROM seg),
+s AS (SELECT *, last_value(CASE WHEN NOT hidden THEN idx END IGNORE NULLS) OVER (PARTITION BY video_id, mode ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before FROM f)
+SELECT mode, video_id, idx, CASE WHEN NOT hidden OR mode = 'blur' THEN idx WHEN mode = 'freeze' THEN coalesce(before, 0) END AS shows, CASE WHEN hidden AND mode <> 'freeze' THEN mode END AS effect FROM s WHERE NOT (mode = 'cut' AND hidden)""")
+def r11_modes(spark, sf):
+    """Segments stand for frames, and important ones are hidden."""
+    frames = segments(spark, sf).select("video_id", "idx", (F.col("label") == "important").alias("hidden"))
+    rows = [allocate.masked(frames, "video_id", "idx", "hidden", mode).select(F.lit(mode).alias("mode"), "video_id", "idx", "shows", "effect") for mode in allocate.MASKS]
+    return reduce(lambda a, b: a.unionByName(b), rows)

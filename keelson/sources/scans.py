@@ -119,6 +119,13 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def curves(spark: SparkSession, path: str, metrics: tuple[str, ...] = ("top1", "top5")) -> DataFrame:
+    """Points of curves from CSV with ordering, fraction, metric and mean: ordering, percent, and each metric's mean in percent as a column."""
+    rows = csv(spark, path, "ordering string, fraction double, metric string, mean double")
+    points = rows.groupBy("ordering", F.round(F.col("fraction") * 100, 9).alias("percent")).pivot("metric", list(metrics)).agg(F.first("mean") * 100)
+    return points.orderBy("ordering", "percent")
+
+
 def kept_set(rows: DataFrame) -> DataFrame:
     """video_id and kept: of the first run, else of the segments labelled important."""
     first = F.try_element_at("mss_result.mss_runs", F.lit(1))["kept_indices"]

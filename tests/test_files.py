@@ -124,3 +124,16 @@ def test_appended_once_though_batches_are_run_again(spark, tmp_path):
         (state / "commits" / name).unlink(missing_ok=True)
     run()
     assert sorted((r["video_id"], r["n"]) for r in read().collect()) == want and {r["_batch"] for r in read().collect()} == {0, 1, 2}
+
+
+def test_curves_from_csv(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("ordering,fraction,metric,mean\nvlm,0.25,top1,0.5\nvlm,0.25,top5,0.75\nvlm,0.1,top1,0.125\nrandom,1.0,top5,0.5\n")
+    assert [tuple(r) for r in scans.curves(spark, str(tmp_path / "c.csv")).collect()] == [("random", 100.0, None, 50.0), ("vlm", 10.0, 12.5, None), ("vlm", 25.0, 50.0, 75.0)]
+
+
+def test_run_folders_together(spark, tmp_path):
+    for run in ("b", "a"):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / f"{run}__full.json").write_text(json.dumps({"top1_correct": run == "a"}))
+    rows = scans.narrow(spark, [str(tmp_path / "b"), str(tmp_path / "a")], ["top1_correct"])
+    assert sorted(map(tuple, rows.collect())) == [("a", "full", True), ("b", "full", False)]
