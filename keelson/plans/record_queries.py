@@ -137,15 +137,20 @@ _SIM = """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, gener
 s AS (SELECT v.vec_id, v.label AS truth, c.label AS label, round(sum(x * c), 6) AS score FROM v JOIN c USING (i) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k FROM s)"""
 
 
-def _scores(spark, sf, k, block=512):
-    """The k labels whose means are most similar to each vector. Means are dealt in blocks of labels, each block scores all vectors, and the best of all blocks are ranked."""
+def _scored(spark, sf, block=512):
+    """Each vector's similarity to the labels' means, s (negative) and label, in blocks of labels: a row for each vector and block."""
     v = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("truth"), F.col("embedding").cast("array<double>").alias("x"))
     means = v.select("truth", F.posexplode("x").alias("i", "x")).groupBy("truth", "i").agg(F.round(F.avg("x"), 9).alias("c"))
     means = means.groupBy("truth").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
     blocks = means.where("truth IS NOT NULL").groupBy(F.floor(F.col("truth") / block)).agg(F.collect_list(F.struct(F.col("truth").alias("label"), "c")).alias("labels"))
     dot = lambda c: F.round(F.aggregate(F.zip_with("x", c, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), 6)
     scored = F.transform("labels", lambda m: F.struct((-dot(m["c"])).alias("s"), m["label"].alias("label")))
-    met = v.crossJoin(blocks).select("vec_id", "truth", F.slice(F.array_sort(scored), 1, k).alias("best"))
+    return v.crossJoin(blocks).select("vec_id", "truth", scored.alias("scored"))
+
+
+def _scores(spark, sf, k):
+    """The k most similar labels of each vector: the best of the best of all blocks."""
+    met = _scored(spark, sf).select("vec_id", "truth", F.slice(F.array_sort("scored"), 1, k).alias("best"))
     return met.groupBy("vec_id", "truth").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("ranked"))
 
 
@@ -162,9 +167,11 @@ def a3(spark, sf):
 
 @query("a49_difficulty", _SIM + ", e AS (SELECT vec_id, truth, label, exp(score) / sum(exp(score)) OVER (PARTITION BY vec_id) AS p FROM k) SELECT vec_id, round(-ln(greatest(p, 1e-9)), 5) AS difficulty FROM e WHERE label = truth")
 def a49(spark, sf):
-    total = F.aggregate("ranked", F.lit(0.0), lambda a, x: a + F.exp(-x["s"]))
-    own = F.element_at(F.filter("ranked", lambda x: x["label"] == F.col("truth")), 1)["s"]
-    return _scores(spark, sf).select("vec_id", F.round(-F.ln(F.greatest(F.exp(-own) / total, F.lit(1e-9))), 5).alias("difficulty"))
+    """From sums over the blocks of labels."""
+    total = F.aggregate("scored", F.lit(0.0), lambda a, x: a + F.exp(-x["s"]))
+    own = F.try_element_at(F.filter("scored", lambda x: x["label"] == F.col("truth")), F.lit(1))["s"]
+    by = _scored(spark, sf).groupBy("vec_id", "truth").agg(F.sum(total).alias("total"), F.max(own).alias("own"))
+    return by.select("vec_id", F.round(-F.ln(F.greatest(F.exp(-F.col("own")) / F.col("total"), F.lit(1e-9))), 5).alias("difficulty"))
 
 
 @query("a47_format_failures", "SELECT c_nationkey AS cell, count(o_custkey) AS present, count(*) - count(o_custkey) AS missing, round((count(*) - count(o_custkey)) / greatest(1, count(*)), 9) AS rate FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey GROUP BY cell")
