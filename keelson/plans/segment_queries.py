@@ -278,10 +278,18 @@ def r7(spark, sf):
     return allocate.importance_quantiles(segments(spark, sf), [0.25, 0.5, 0.75])
 
 
-@query("r13_first_fit_decreasing")
+#: One item after the other, all blocks at once: the first bin with room for it, or a new one.
+_FIRST_FIT = """WITH RECURSIVE {SEG}, items AS (SELECT video_id // 128 AS shard, video_id, idx, dur, row_number() OVER (PARTITION BY video_id // 128 ORDER BY dur DESC, video_id, idx) AS k FROM seg),
+packed AS (SELECT DISTINCT shard, CAST(0 AS BIGINT) AS k, []::DOUBLE[] AS room, []::INTEGER[] AS held, CAST(0 AS BIGINT) AS bin, CAST(NULL AS BIGINT) AS video_id, CAST(NULL AS INTEGER) AS idx FROM items
+UNION ALL SELECT shard, k, CASE WHEN p > len(room) THEN list_append(room, 100 - dur) ELSE [CASE WHEN j = p THEN room[j] - dur ELSE room[j] END FOR j IN range(1, len(room) + 1)] END, CASE WHEN p > len(room) THEN list_append(held, 1) ELSE [CASE WHEN j = p THEN held[j] + 1 ELSE held[j] END FOR j IN range(1, len(room) + 1)] END, p - 1, video_id, idx
+  FROM (SELECT s.shard, i.k, room, held, i.dur, i.video_id, i.idx, coalesce(list_min([j FOR j IN range(1, len(room) + 1) IF room[j] >= i.dur AND held[j] < 8]), len(room) + 1) AS p FROM packed s JOIN items i ON s.shard = i.shard AND i.k = s.k + 1))
+SELECT shard, video_id, idx, CAST(bin AS INTEGER) AS bin FROM packed WHERE k > 0"""
+
+
+@query("r13_first_fit_decreasing", _FIRST_FIT)
 def r13(spark, sf):
-    """Videos in blocks of 512, whatever the table's size."""
-    items = segments(spark, sf).withColumn("shard", F.floor(F.col("video_id") / 512))
+    """Videos in blocks of 128, whatever the table's size."""
+    items = segments(spark, sf).withColumn("shard", F.floor(F.col("video_id") / 128))
     return allocate.first_fit_decreasing(items, "shard", ["video_id", "idx"], "dur", 100.0, 8)
 
 
