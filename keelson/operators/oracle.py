@@ -12,12 +12,15 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ["video_id", "mask_hash", "template"]
 # Field names of answers.
 ANSWER = "decision string, confidence double, evidence string, raw_output string, logit_confidence double, logit_p_skip double"
 _ANSWERED = f"video_id string, mask_hash string, template string, {ANSWER}, attempts int, error string"
+#: Columns of a part of the cache that a model isn't shown.
+_OWN = ("left_out", "__place")
 
 Model = Callable[[list[dict]], list[dict]]
 
@@ -38,69 +41,113 @@ def mask_hash(kept: Column, n: Column) -> Column:
     return F.substring(F.md5(F.array_join(F.transform(places, lambda i: F.when(F.array_contains(kept, i), "0").otherwise("1")), "")), 1, 16)
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values in Python; numbers, texts and lists of numbers without nulls by whole arrays, the rest one by one."""
+    kind = column.type
+    if pa.types.is_list(kind) and not column.null_count:
+        inner, ends = _values(column.flatten()), column.offsets.to_numpy()
+        ends = (ends - ends[0]).tolist()
+        return [inner[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    if pa.types.is_string(kind) or (pa.types.is_integer(kind) or pa.types.is_floating(kind)) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _asked(questions: DataFrame, oracle: Oracle) -> DataFrame:
-    """Every question to the model, in batches within its task."""
+    """Questions in order of their keys, with `__known` where the cache has the answer: all columns, with an answer, attempts, error and `called`. Rows of equal keys are asked about once, in
+    batches within the task; `called` marks the one that was."""
     names = [x.split()[0] for x in ANSWER.split(", ")]
+    carried = [c for c in questions.columns if c not in (*names, "__known")]
+
+    def answered(model: Model | None, part: list[dict]) -> tuple[Model | None, list[dict]]:
+        error, answers = None, [{}] * len(part)
+        for attempt in range(1, oracle.attempts + 1):
+            try:
+                model = model or oracle.start()
+                answers = model(part)
+                if len(answers) != len(part):
+                    raise ValueError(f"{len(answers)} answers to {len(part)} questions")
+                error = None
+                break
+            except Exception as raised:  # a model's failure of any kind is the answer's error, after another attempt
+                error, answers = f"{type(raised).__name__}: {raised}", [{}] * len(part)
+        return model, [{**{k: a.get(k) for k in names}, "attempts": attempt, "error": error} for a in answers]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
+        model, last, said = None, None, None
         for batch in batches:
-            rows = batch.to_pylist()
-            for at in range(0, len(rows), oracle.batch):
-                part = rows[at : at + oracle.batch]
-                error, answers = None, [{}] * len(part)
-                for attempt in range(1, oracle.attempts + 1):
-                    try:
-                        model = model or oracle.start()
-                        answers = model(part)
-                        if len(answers) != len(part):
-                            raise ValueError(f"{len(answers)} answers to {len(part)} questions")
-                        error = None
-                        break
-                    except Exception as raised:  # a model's failure of any kind is the answer's error, after another attempt
-                        error, answers = f"{type(raised).__name__}: {raised}", [{}] * len(part)
-                out = [{**{k: q[k] for k in KEY}, **{k: a.get(k) for k in names}, "attempts": attempt, "error": error} for q, a in zip(part, answers, strict=True)]
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            columns = {c: _values(batch.column(c)) for c in batch.schema.names}
+            keys = list(zip(*(columns[k] for k in KEY), strict=True))
+            known, out, new = columns.pop("__known"), [None] * len(keys), []
+            before = last
+            for i, key in enumerate(keys):
+                if not known[i] and key != before:
+                    new.append(i)
+                before = key
+            fields = {c: columns[c] for c in asks}
+            for at in range(0, len(new), oracle.batch):
+                places = new[at : at + oracle.batch]
+                model, answers = answered(model, [{c: v[i] for c, v in fields.items()} for i in places])
+                for i, a in zip(places, answers, strict=True):
+                    out[i] = a
+            called = [a is not None for a in out]
+            for i, key in enumerate(keys):
+                if known[i]:
+                    out[i] = {k: columns[k][i] for k in names}
+                elif out[i] is None:
+                    out[i] = said
+                last, said = key, out[i]
+            arrays = [batch.column(c) for c in carried] + [pa.array([a.get(f.name) for a in out], f.type) for f in arrow] + [pa.array(called, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *arrow.names, "called"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(_ANSWERED))
-    return questions.mapInArrow(run, _ANSWERED)
+    added = StructType.fromDDL(f"{ANSWER}, attempts int, error string")
+    arrow, asks = to_arrow_schema(added), [c for c in carried if c not in _OWN]
+    return questions.mapInArrow(run, StructType([questions.schema[c] for c in carried] + added.fields).add("called", "boolean"))
 
 
 @dataclass
 class Cached:
-    """An oracle with its cache, a folder of Parquet files with a part for each time that it was asked. Counts the rows asked about, those that needed no call (hits), calls of the model
-    and failures."""
+    """An oracle with its cache, a folder of Parquet files with a part for each time that it was asked. A part has all rows asked about, with `called` for those that the model answered, which
+    are what the cache knows. Counts the rows asked about, those that needed no call (hits), calls of the model and failures."""
 
     oracle: Oracle
     cache: str
     counts: dict[str, int] = field(default_factory=lambda: {"rows": 0, "hits": 0, "calls": 0, "failed": 0})
 
-    def known(self, spark) -> DataFrame:
-        """The cache's answers, or none before the first."""
+    def known(self, spark) -> DataFrame | None:
+        """The cache's answers with `left_out`, the number of segments left out; None before the first."""
         path = spark._jvm.org.apache.hadoop.fs.Path(self.cache)
         if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return spark.createDataFrame([], _ANSWERED)
-        return spark.read.schema(f"{_ANSWERED}, asked string").parquet(self.cache).drop("asked").where("error IS NULL")
+            return None
+        parts = spark.read.schema(f"{_ANSWERED}, called boolean, left_out int, asked string").parquet(self.cache)
+        return parts.where("coalesce(called, true) AND error IS NULL").drop("asked", "called", "error", "attempts")
 
     def ask(self, questions: DataFrame, attempt: int = 1) -> DataFrame:
-        """The questions with mask_hash, template, the fields of ANSWER and error. Another attempt asks anew what has an answer already. Questions are read twice, so they
-        should come from a written table by cheap steps."""
+        """The questions with mask_hash, template, the fields of ANSWER and error. Another attempt asks anew what has an answer already. They are read once, and the result is
+        what was written of them; only where the cache has parts already, they are read before for how many segments they leave out, since no other answers can be theirs."""
         spark = questions.sparkSession
         template = self.oracle.template if attempt == 1 else f"{self.oracle.template}#{attempt}"
-        keyed = questions.withColumn("mask_hash", mask_hash(F.col("kept"), F.col("n"))).withColumn("template", F.lit(template)).withColumn("video_id", F.col("video_id").cast("string"))
-        known = self.known(spark).where(F.col("template") == template).dropDuplicates(KEY)
-        all_rows, asked = Observation(), Observation()
-        new = _asked(keyed.observe(all_rows, F.count("*").alias("rows")).join(known, KEY, "left_anti").dropDuplicates(KEY), self.oracle)
+        left_out = F.coalesce(F.col("n") - F.size("kept"), F.lit(-1)).cast("int")
+        keyed = questions.withColumns({"mask_hash": mask_hash(F.col("kept"), F.col("n")), "template": F.lit(template), "video_id": F.col("video_id").cast("string"), "left_out": left_out})
+        known = self.known(spark)
+        if known is None:
+            met = keyed.withColumn("__known", F.lit(False))
+        else:
+            least, most = questions.agg(F.min(left_out), F.max(left_out)).first()
+            own = known.where((F.col("template") == template) & (F.col("left_out").isNull() | F.col("left_out").between(least, most))).drop("left_out").dropDuplicates(KEY).withColumn("__known", F.lit(True))
+            met = keyed.join(own, KEY, "left").withColumn("__known", F.coalesce("__known", F.lit(False)))
+        by_key = W.partitionBy(*KEY).orderBy("left_out")
+        seen = Observation()
         part = f"{self.cache.rstrip('/')}/asked={uuid.uuid4().hex}"
-        new.observe(asked, F.count("*").alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failed")).write.parquet(part)
-        rows, calls, failed = all_rows.get["rows"], asked.get["calls"], asked.get["failed"]
+        done = _asked(met.withColumn("__place", F.row_number().over(by_key)), self.oracle)
+        done.observe(seen, F.count("*").alias("rows"), F.count_if("called").alias("calls"), F.count_if(F.col("called") & F.col("error").isNotNull()).alias("failed")).write.parquet(part)
+        rows, calls, failed = (seen.get[k] for k in ("rows", "calls", "failed"))
         for name, more in zip(("rows", "hits", "calls", "failed"), (rows, rows - calls, calls, failed), strict=True):
             self.counts[name] += more
-        answers = known.unionByName(spark.read.schema(_ANSWERED).parquet(part))
-        return keyed.join(answers.drop("attempts"), KEY, "left")
+        return spark.read.schema(done.schema).parquet(part).drop("attempts", "called", "left_out", "__place")
 
 
 def score(most_skip: float = 0.5) -> Column:

@@ -10,6 +10,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from keelson.functions.text import direct_scores
 from keelson.session import materialize, shared_dir
@@ -35,7 +36,7 @@ def score_based_removal(segments: DataFrame, ask: Callable[[DataFrame], DataFram
     score is the new baseline. A video ends with one segment left, or when no segment can go.
 
     limits: video_id, baseline (1 where null), and tau_final, delta, tau_min, each null for no such limit: then a candidate must also
-    score tau_final at least and drop by less than delta, and a video whose baseline is below tau_min ends before it is asked about.
+    score tau_final at least and drop by less than delta, and a video whose baseline is below tau_min ends before it is asked about. Its other columns go with the video's questions.
 
     Only open videos are written anew in a round: a round's table has the videos that were open before it, and the result is what ended in any of them."""
     spark = segments.sparkSession
@@ -43,11 +44,14 @@ def score_based_removal(segments: DataFrame, ask: Callable[[DataFrame], DataFram
     asked = segments.select(F.col("video_id").cast("string").alias("video_id"), "idx").groupBy("video_id").agg(F.array_sort(F.collect_set(F.col("idx").cast("int"))).alias("kept"))
     names = ["baseline", "tau_final", "delta", "tau_min"]
     if limits is None:
+        extra = []
         limited = asked.withColumns({n: F.lit(None).cast("double") for n in names})
     else:
-        limited = asked.join(limits.select(F.col("video_id").cast("string").alias("video_id"), *[F.col(n).cast("double").alias(n) for n in names]), "video_id", "left")
+        extra = [c for c in limits.columns if c not in ("video_id", *names)]
+        limited = asked.join(limits.select(F.col("video_id").cast("string").alias("video_id"), *[F.col(n).cast("double").alias(n) for n in names], *extra), "video_id", "left")
     now = limited.withColumns({"baseline": F.coalesce("baseline", F.lit(1.0)), "n": F.when(F.size("kept") > 0, F.array_max("kept") + 1).otherwise(0), "removed": F.expr("cast(array() as array<int>)"), "calls": F.lit(0).cast("long"), "found": F.lit(True)})
-    schema = f"{_ENDED}, tau_final double, delta double, tau_min double, n int, found boolean"
+    schema = StructType.fromDDL(f"{_ENDED}, tau_final double, delta double, tau_min double, n int, found boolean")
+    schema = StructType([*schema.fields, *(limited.schema[c] for c in extra)])
     for number in count(1):
         over = F.when(F.size("kept") == 1, SINGLE).when(F.size("kept") == 0, COMPLETE).when(~F.col("found"), NONE_LEFT).when(F.col("baseline") < F.col("tau_min"), BELOW)
         left = Observation()
@@ -55,8 +59,8 @@ def score_based_removal(segments: DataFrame, ask: Callable[[DataFrame], DataFram
         if not left.get["open"]:
             break
         still = spark.read.schema(schema).parquet(f"{where}/videos/round={number}").where("reason IS NULL").drop("reason")
-        candidates = still.select("video_id", F.col("kept").alias("all"), "n", F.explode("kept").alias("candidate"))
-        questions = candidates.select("video_id", F.col("candidate").alias("removed"), F.array_remove("all", F.col("candidate")).alias("kept"), "n")
+        candidates = still.select("video_id", F.col("kept").alias("all"), "n", *extra, F.explode("kept").alias("candidate"))
+        questions = candidates.select("video_id", F.col("candidate").alias("removed"), F.array_remove("all", F.col("candidate")).alias("kept"), "n", *extra)
         scored = ask(questions).select("video_id", F.col("removed").alias("candidate"), F.coalesce("score", F.lit(0.0)).alias("score"))
         drop = F.col("baseline") - F.col("score")
         can = (F.col("score") > least) & F.coalesce(F.col("score") >= F.col("tau_final"), F.lit(True)) & F.coalesce(drop < F.col("delta"), F.lit(True))
@@ -68,9 +72,9 @@ def score_based_removal(segments: DataFrame, ask: Callable[[DataFrame], DataFram
         gone = F.col("best.candidate")
         now = still.join(picked, "video_id").select(
             "video_id", F.when(gone.isNull(), F.col("kept")).otherwise(F.array_remove("kept", gone)).alias("kept"), F.coalesce("best.score", "baseline").alias("baseline"), "tau_final", "delta", "tau_min", "n",
-            F.when(gone.isNull(), F.col("removed")).otherwise(F.array_append("removed", gone)).alias("removed"), (F.col("calls") + F.col("more")).alias("calls"), gone.isNotNull().alias("found"),
+            F.when(gone.isNull(), F.col("removed")).otherwise(F.array_append("removed", gone)).alias("removed"), (F.col("calls") + F.col("more")).alias("calls"), gone.isNotNull().alias("found"), *extra,
         )
-    ended = spark.read.schema(f"{schema}, round int").parquet(f"{where}/videos").where("reason IS NOT NULL").select("video_id", "kept", "removed", "calls", "baseline", "reason")
+    ended = spark.read.schema(StructType([*schema.fields, StructField("round", IntegerType())])).parquet(f"{where}/videos").where("reason IS NOT NULL").select("video_id", "kept", "removed", "calls", "baseline", "reason")
     if number == 1:
         return Search(ended, spark.createDataFrame([], _TRACE))
     return Search(ended, spark.read.schema(f"{_TRACE}, round int").parquet(f"{where}/trace").drop("round"))

@@ -50,9 +50,9 @@ def g1(spark, sf):
     """With limits by video: none, a low first baseline, a least score, a largest drop."""
     weights = _weights(spark, sf)
     kind = F.col("video_id").cast("long") % 4
-    limits = weights.select("video_id", F.when(kind == 1, 0.5).when(kind == 2, 0.95).alias("baseline"), F.when(kind == 2, 0.7).alias("tau_final"), F.when(kind == 3, 0.12).alias("delta"), F.when(kind == 1, 0.6).when(kind == 3, 0.8).alias("tau_min"))
+    limits = weights.select("video_id", F.when(kind == 1, 0.5).when(kind == 2, 0.95).alias("baseline"), F.when(kind == 2, 0.7).alias("tau_final"), F.when(kind == 3, 0.12).alias("delta"), F.when(kind == 1, 0.6).when(kind == 3, 0.8).alias("tau_min"), "weights")
     cached = _cached(spark, _share, "share")
-    ask = lambda questions: cached.ask(questions.join(weights.select("video_id", "weights"), "video_id")).withColumn("score", oracle.score())
+    ask = lambda questions: cached.ask(questions).withColumn("score", oracle.score())
     return search.score_based_removal(segments(spark, sf), ask, limits).found.select("video_id", "kept", "removed", "calls", "reason")
 
 

@@ -151,3 +151,29 @@ def test_mask_hash(spark):
     frame = spark.createDataFrame([([0, 2], 4), ([], 2), ([], 0)], "kept array<int>, n int")
     got = [r[0] for r in frame.select(oracle.mask_hash(F.col("kept"), F.col("n"))).collect()]
     assert got == [hashlib.md5(x.encode()).hexdigest()[:16] for x in ("0101", "11", "")]
+
+
+def test_questions_are_read_once_and_equal_ones_asked_once(spark, tmp_path):
+    """Also over several batches of one task, and columns of the limits go with the questions."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = spark.createDataFrame([(f"v{i % 3}", [0], 2) for i in range(30)], "video_id string, kept array<int>, n int").coalesce(1)
+    questions = rows.withColumn("n", F.udf(counted, "int")("n")).withColumn("other", F.lit("x"))
+    cached = oracle.Cached(oracle.Oracle(model), str(tmp_path / "cache"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = cached.ask(questions).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert read.value == 30 and len(got) == 30 and {r["other"] for r in got} == {"x"}
+    assert {round(r["confidence"], 9) for r in got} == {0.6} and cached.counts == {"rows": 30, "hits": 27, "calls": 3, "failed": 0}
+    cached.ask(rows.where("video_id = 'v1'").withColumn("kept", F.array(F.lit(1))).unionByName(rows.where("video_id = 'v0'")))
+    assert cached.counts == {"rows": 50, "hits": 27 + 10 + 9, "calls": 4, "failed": 0}
+    limits = spark.createDataFrame([("a", None, None, None, None, [7, 8])], "video_id string, baseline double, tau_final double, delta double, tau_min double, seen array<int>")
+    segments = spark.createDataFrame([("a", 0), ("a", 1)], "video_id string, idx int")
+    found = search.score_based_removal(segments, lambda q: q.withColumn("score", F.col("seen")[1] / 10), limits).found.collect()
+    assert [(r["kept"], r["calls"]) for r in found] == [([1], 2)]
