@@ -307,19 +307,19 @@ def decision(word: Column) -> Column:
     return F.when(w.isin("YES", "NO"), w).when(w.isin("SKIP", "INSUFFICIENT", "UNKNOWN", "UNCERTAIN"), "SKIP")
 
 
-def fill_gaps(scores: Column, nothing: float = 0.5) -> Column:
+def fill_gaps(given: Column, nothing: float = 0.5) -> Column:
     """Missing scores of an array are the mean of the neighbours; a filled score is the next one's left neighbour. Ends take the
     neighbour they have, and `nothing` where no score is known."""
 
-    def right(i: Column) -> Column:
+    def right(scores: Column, i: Column) -> Column:
         return F.try_element_at(F.filter(F.slice(scores, i + 1, F.size(scores)), lambda x: x.isNotNull()), F.lit(1))
 
-    def step(a: Column, i: Column) -> Column:
+    def step(scores: Column, a: Column, i: Column) -> Column:
         own, left = F.get(scores, i - 1), F.try_element_at(a, F.lit(-1))
-        filled = F.coalesce(own, (left + right(i)) / 2, left, right(i), F.lit(nothing))
+        filled = F.coalesce(own, (left + right(scores, i)) / 2, left, right(scores, i), F.lit(nothing))
         return F.concat(a, F.array(filled))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(scores)), F.array().cast("array<double>"), step)
+    return let(given, lambda scores: F.aggregate(F.sequence(F.lit(1), F.size(scores)), F.array().cast("array<double>"), lambda a, i: step(scores, a, i)))
 
 
 def general(x: Column) -> Column:
@@ -389,7 +389,7 @@ def direct_scores(raw: Column, n: Column) -> Column:
     def read(v: Column) -> Column:
         said = F.try_variant_get(v, "$.segments", "array<variant>")
         items = F.transform(said, lambda x: F.struct(F.try_variant_get(x, "$.segment_id", "int").alias("id"), F.coalesce(F.try_variant_get(x, "$.importance", "double"), F.lit(0.0)).alias("importance")))
-        own = F.transform(places, lambda i: F.try_element_at(F.filter(items, lambda x: x["id"] == i + 1), F.lit(-1))["importance"] / 100)
+        own = let(items, lambda items: F.transform(places, lambda i: F.try_element_at(F.filter(items, lambda x: x["id"] == i + 1), F.lit(-1))["importance"] / 100))
         named = F.coalesce(F.try_variant_get(v, "$.minimum_sufficient_set", "array<int>"), F.array().cast("array<int>"))
         inside = F.array_sort(F.array_distinct(F.filter(F.transform(named, lambda i: i - 1), lambda i: (i >= 0) & (i < n))))
 

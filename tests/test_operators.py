@@ -299,3 +299,14 @@ def test_random_removal(spark):
     assert got["d"]["kept"] == [0] and got["d"]["calls"] == 0
     again = {r["video_id"]: r["removed"] for r in search.random_removal(rows, calls).collect()}
     assert again == {v: r["removed"] for v, r in got.items()}
+
+
+def test_direct_scores_reads_an_answer_once(spark):
+    """An answer's list is parsed once a row, not once for each segment and gap."""
+    from keelson.functions.text import direct_scores
+
+    raw = '{"segments": [{"segment_id": 1, "importance": 20}, {"segment_id": 5, "importance": 80}, {"segment_id": 5, "importance": 60}]}'
+    frame = spark.createDataFrame([(raw, 6)], "raw string, n int").select(direct_scores(F.col("raw"), F.col("n")).alias("x"))
+    found = frame.first()["x"]
+    assert [round(w, 9) for w in found["weights"]] == [0.2, 0.4, 0.5, 0.55, 0.6, 0.6] and found["kept"] == [2, 3, 4, 5]
+    assert frame._jdf.queryExecution().analyzed().toString().count("segment_id") == 1
