@@ -322,15 +322,50 @@ def fill_gaps(given: Column, nothing: float = 0.5) -> Column:
     return let(given, lambda scores: F.aggregate(F.sequence(F.lit(1), F.size(scores)), F.array().cast("array<double>"), lambda a, i: step(scores, a, i)))
 
 
+#: Veltkamp's factor, which cuts a double in two halves whose products are exact.
+_CUT = 134217729.0
+
+
+def _off(a: Column, b: Column, product: Column) -> Column:
+    """What the product of two doubles lacks of the exact one (Dekker)."""
+    high = lambda x: x * _CUT - (x * _CUT - x)
+    ah, bh = high(a), high(b)
+    return ((ah * bh - product) + ah * (b - bh) + (a - ah) * bh) + (a - ah) * (b - bh)
+
+
+def _six(size: Column, power: Column, up: bool) -> Column:
+    """size * power, or size / power, as a whole number; the exact value is rounded, half to even."""
+
+    def rounded(whole: Column, side: Column) -> Column:
+        return whole.cast("long") + F.when((side > 0) | (side == 0) & (whole % 2 == 1), 1).otherwise(0)
+
+    if up:
+        return let(size * power, lambda p: let(F.floor(p).cast("double"), lambda n: let(p - n - 0.5, lambda d: rounded(n, F.when(d != 0, d).otherwise(_off(size, power, p))))))
+    return let(F.floor(size / power).cast("double"), lambda n: let((n + 0.5) * power, lambda t: rounded(n, F.when(size != t, size - t).otherwise(-_off(n + 0.5, power, t)))))
+
+
 def general(x: Column) -> Column:
-    """A number with six significant digits and no trailing zeros, with an exponent below 1e-4 and from 1e6 on."""
-    size = F.abs(x)
-    fixed = F.lit("0")
-    for e in range(5, -5, -1):
-        fixed = F.when((size < 10.0 ** (e + 1)) & (size >= 10.0**e), F.round(x, 5 - e).cast("decimal(20,9)").cast("string")).otherwise(fixed)
-    fixed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
-    power = F.regexp_replace(F.format_string("%.5e", x), r"\.?0+(e)", "$1")
-    return F.when((size >= 1e-4) & (size < 999999.5) | (size == 0), fixed).otherwise(F.when(x.isNotNull(), power))
+    """A number as C's %g: six significant digits of its exact value, half to even, no trailing zeros, with an exponent below 1e-4 and from 1e6 on. Zero has no sign. From 1e28
+    on and below 1e-17 the digits are rounded from the shortest text of the number."""
+    size, sign = F.abs(x), F.when(x < 0, "-").otherwise("")
+    plain = lambda number: F.rtrim(F.rtrim(number.cast("decimal(20,9)").cast("string"), F.lit("0")), F.lit("."))
+    scale = F.lit(1e9)
+    for e in range(-3, 6):
+        scale = F.when(size >= 10.0**e, 10.0 ** (5 - e)).otherwise(scale)
+    fixed = F.concat(sign, plain(let(scale, lambda c: _six(size, c, True) / c)))
+
+    def exponent(e: Column) -> Column:
+        return e + F.when(size >= F.pow(F.lit(10.0), e + 1), 1).when(size < F.pow(F.lit(10.0), e), -1).otherwise(0)
+
+    def powered(e: Column) -> Column:
+        digits = F.when(e > 5, _six(size, F.pow(F.lit(10.0), e - 5), False)).otherwise(_six(size, F.pow(F.lit(10.0), 5 - e), True))
+        return let(digits, lambda d: let(F.when(d > 999_999, e + 1).otherwise(e), lambda at: F.when(at == -4, "0.0001").otherwise(
+            F.concat(plain(d / F.when(d > 999_999, 1_000_000).otherwise(100_000)), F.when(at < 0, "e-").otherwise("e+"), F.lpad(F.abs(at).cast("string"), 2, "0")))))
+
+    shortest = F.regexp_replace(F.format_string("%.5e", size), r"\.?0+(e)", "$1")
+    power = F.when(F.isnan(x), "nan").when(size == float("inf"), "inf").when((size >= 1e28) | (size < 1e-17), shortest).otherwise(let(let(F.floor(F.log10(size)).cast("int"), exponent), powered))
+    whole = (size < 1e6) & (F.floor(x) == x)
+    return F.when(x.isNull(), None).when(whole, x.cast("long").cast("string")).when((size >= 1e-4) & (size < 999999.5), fixed).otherwise(F.concat(sign, power))
 
 
 def time_range(start: Column, end: Column) -> Column:

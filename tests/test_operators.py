@@ -301,6 +301,17 @@ def test_random_removal(spark):
     assert again == {v: r["removed"] for v, r in got.items()}
 
 
+def test_general_rounds_the_exact_value(spark):
+    """As C's %g: ties of the exact value go to even digits, and what only looks like a tie in decimals doesn't."""
+    from keelson.functions.text import general
+
+    xs = [112499.5, 112500.5, -100000.5, 1234565000.0, 1234575000.0, 1.2345675, 999999.5, 9.9999996e-5, 9.5e-5, 1e-17, 1e22, 0.1, 0.0, float("inf"), float("nan")]
+    xs += [k / 8 for k in range(8_000_001, 8_000_041)] + [k / 2**20 for k in range(1, 10**9, 33_333_331)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", general(F.col("x")).alias("g")).collect()
+    assert [r["g"] for r in got] == [f"{x:g}" for x in xs]
+    assert spark.range(1).select(general(F.lit(None).cast("double"))).first()[0] is None
+
+
 def test_direct_scores_reads_an_answer_once(spark):
     """An answer's list is parsed once a row, not once for each segment and gap."""
     from keelson.functions.text import direct_scores
