@@ -97,16 +97,15 @@ def five_answers(raw: Column, labels: list[str]) -> Column:
 def field_after(raw: Column, name: str) -> Column:
     """The JSON literal (text or number) that follows the first quoted name, whatever its case, and a colon; null if none does. Texts come without their quotes,
     with their escapes."""
-    place = F.locate(f'"{name}"', F.lower(raw))
-    value = F.regexp_extract(F.substring(raw, place + len(name) + 2, F.length(raw)), r"""^\s*:\s*("(?:\\.|[^\\"])*"|[-+]?[0-9.][0-9.eE+-]*)""", 1)
-    return F.when((place > 0) & (value != ""), F.when(value.startswith('"'), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+    literal = r"""^\s*:\s*("(?:\\.|[^\\"])*"|[-+]?[0-9.][0-9.eE+-]*)"""
+    after = let(F.locate(f'"{name}"', F.lower(raw)), lambda place: F.when(place > 0, F.regexp_extract(F.substring(raw, place + len(name) + 2, F.length(raw)), literal, 1)))
+    return let(after, lambda value: F.when(value != "", F.when(value.startswith('"'), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)))
 
 
 def last_resort(raw: Column) -> Column:
     """decision, confidence and evidence sought in a text that can't be parsed; null without a decision. A summary of the action is evidence too."""
-    choice = F.nullif(field_after(raw, "decision"), F.lit(""))
-    said = F.nullif(F.coalesce(field_after(raw, "action_summary"), field_after(raw, "evidence")), F.lit(""))
-    return F.when(choice.isNotNull(), F.struct(choice.alias("decision"), field_after(raw, "confidence").try_cast("double").alias("confidence"), said.alias("evidence")))
+    said = let(F.coalesce(field_after(raw, "action_summary"), field_after(raw, "evidence")), lambda s: F.when(s != "", s))
+    return let(field_after(raw, "decision"), lambda choice: F.when(choice != "", F.struct(choice.alias("decision"), field_after(raw, "confidence").try_cast("double").alias("confidence"), said.alias("evidence"))))
 
 
 def bracketless(label: Column) -> Column:

@@ -321,3 +321,14 @@ def test_direct_scores_reads_an_answer_once(spark):
     found = frame.first()["x"]
     assert [round(w, 9) for w in found["weights"]] == [0.2, 0.4, 0.5, 0.55, 0.6, 0.6] and found["kept"] == [2, 3, 4, 5]
     assert frame._jdf.queryExecution().analyzed().toString().count("segment_id") == 1
+
+
+def test_last_resort_reads_a_field_once(spark):
+    """Each of the four fields is sought once, and null, missing and empty ones are as before."""
+    from keelson.functions.text import last_resort
+
+    texts = ['x "Decision": "YES", "confidence": .5, "evidence": "a \\" b", "cut', '{"decision": "", "evidence": "e"', '{"decision" "YES"', None, '{"decision": 1, "action_summary": "", "evidence": "e"', '{"decision": "NO", "evidence": "e"']
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, raw string").select("i", last_resort(F.col("raw")).alias("x"))
+    got = [None if r["x"] is None else tuple(r["x"]) for r in frame.orderBy("i").collect()]
+    assert got == [("YES", 0.5, 'a \\" b'), None, None, None, ("1", None, None), ("NO", None, "e")]
+    assert frame._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 4
