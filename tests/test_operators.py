@@ -332,3 +332,13 @@ def test_last_resort_reads_a_field_once(spark):
     got = [None if r["x"] is None else tuple(r["x"]) for r in frame.orderBy("i").collect()]
     assert got == [("YES", 0.5, 'a \\" b'), None, None, None, ("1", None, None), ("NO", None, "e")]
     assert frame._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 4
+
+
+def test_large_tables_have_partitions_by_their_rows(spark):
+    """Twice the rows, twice the partitions: a task's sorts hold no more."""
+    from keelson.plans.bindings import A_PARTITION, COUNTED_FROM, by_video
+
+    small = spark.range(COUNTED_FROM - 1, numPartitions=3)
+    assert by_video(small, "id").rdd.getNumPartitions() == 3
+    for n in (2 * COUNTED_FROM, 4 * COUNTED_FROM):
+        assert by_video(spark.range(n), "id").rdd.getNumPartitions() == n // A_PARTITION
