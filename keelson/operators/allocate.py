@@ -168,8 +168,8 @@ def hybrid_starts(items: Column, frames: Column, fps: float, clips: int, per_cli
     last = F.greatest(frames - per_clip * step, F.lit(0)).cast("int")
     even = lambda n: F.array((last / 2).cast("int")) if n == 1 else uniform_starts(last, n)
 
-    def weight(f: Column) -> Column:
-        over = F.filter(items, lambda x: (F.rint(x["start_s"] * fps) <= f) & (f <= F.rint(x["end_s"] * fps)) & (f < frames))
+    def weight(placed_items: Column, f: Column) -> Column:
+        over = F.filter(placed_items, lambda x: (x["a"] <= f) & (f <= x["b"]) & (f < frames))
         return F.coalesce(F.try_element_at(over, F.lit(-1))["weight"].cast("double"), F.lit(0.0))
 
     def reached(weights: Column, goal: Column) -> Column:
@@ -183,7 +183,8 @@ def hybrid_starts(items: Column, frames: Column, fps: float, clips: int, per_cli
         none = even(clips) if clips > anchors else F.array().cast("array<int>")
         return F.when(total > 0, F.array_sort(F.concat(found, rest))).otherwise(none)
 
-    weights = F.transform(F.sequence(F.lit(0), F.greatest(frames, F.lit(1)) - 1), weight)
+    bounds = F.transform(items, lambda x: F.struct(F.rint(x["start_s"] * fps).alias("a"), F.rint(x["end_s"] * fps).alias("b"), x["weight"].alias("weight")))
+    weights = let(bounds, lambda those: F.transform(F.sequence(F.lit(0), F.greatest(frames, F.lit(1)) - 1), lambda f: weight(those, f)))
     return let(weights, lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda total: placed(w, total)))
 
 
