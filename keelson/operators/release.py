@@ -21,7 +21,7 @@ def object_of(raw: Column) -> Column:
     """The JSON object of an answer as a variant: without thoughts, in the first fence if there is one, from the first brace to the last. Null if that
     is no object."""
     bare = F.regexp_replace(raw, THOUGHT, "")
-    body = F.when(bare.rlike(FENCE), F.regexp_extract(bare, FENCE, 1)).otherwise(bare)
+    body = let(bare, lambda text: F.when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text))
 
     def inner(text: Column) -> Column:
         start, after = F.locate("{", text), F.locate("}", F.reverse(text))
@@ -48,8 +48,8 @@ def answered(raw: Column) -> Column:
         text(x, "$.phase").alias("phase"),
         F.when(_kind(x, "$.reason").isNull(), F.lit("")).otherwise(text(x, "$.reason")).alias("reason"),
     )
-    with_id = F.filter(items, lambda x: F.coalesce(_kind(x, "$.segment_id") == "BIGINT", F.lit(False)))
-    return F.when(F.size(items) > 0, F.transform(with_id, one))
+    with_id = lambda those: F.filter(those, lambda x: F.coalesce(_kind(x, "$.segment_id") == "BIGINT", F.lit(False)))
+    return let(items, lambda those: F.when(F.size(those) > 0, F.transform(with_id(those), one)))
 
 
 def _joined(segments: Column, said: Column) -> Column:
