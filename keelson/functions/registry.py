@@ -66,8 +66,8 @@ class Recognisers:
             raise ValueError(f"{target} isn't of the form module:attribute")
         self.known[name] = (target, settings)
 
-    def column(self, name: str, value: Column, k: int = 5) -> Column:
-        """The k labels with the highest scores, first ones on ties, as top_ids, with top_scores."""
+    def column(self, name: str, value: Column, k: int = 5, digits: int | None = None) -> Column:
+        """The k labels with the highest scores, first ones on ties, as top_ids, with top_scores. With digits, scores are rounded (halves away from zero) before they are compared."""
         if name not in self.known:
             raise KeyError(f"no recogniser {name}; there are {', '.join(sorted(self.known)) or 'none'}")
         target, settings = self.known[name]
@@ -80,7 +80,7 @@ class Recognisers:
             for batch in batches:
                 out = []
                 for row in run(batch.to_list()):
-                    scores = np.asarray(row, float)
+                    scores = np.asarray(row, float) if digits is None else rounded(np.asarray(row, float), digits)
                     best = np.argsort(-scores, kind="stable")[:k]
                     out.append((best.tolist(), scores[best].tolist()))
                 yield pd.DataFrame(out, columns=["top_ids", "top_scores"])
@@ -88,6 +88,13 @@ class Recognisers:
         return recognised(value)
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, as SQL rounds."""
+    scaled = np.abs(x) * 10.0**digits
+    whole = np.floor(scaled)
+    return np.copysign((whole + (scaled - whole >= 0.5)) / 10.0**digits, x)
+
+
 def centroids(means: list[list[float]]) -> Recogniser:
     """A recogniser of vectors by their inner product with a mean for each label."""
     matrix = np.asarray(means, float)

@@ -109,15 +109,17 @@ def w14(spark, sf):
 @query("recogniser_registry", """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, round(avg(x), 9) AS c FROM v GROUP BY label, i),
 s AS (SELECT v.vec_id, c.label AS label, round(sum(x * c), 6) AS score FROM v JOIN c USING (i) GROUP BY ALL) SELECT vec_id, arg_max(label, score) AS label, max(score) AS score FROM s GROUP BY vec_id""")
 def recogniser(spark, sf):
-    """Vectors recognised by the means of their labels (a row a label), through a registered name."""
+    """Vectors recognised by the means of their labels (a row a label), through a registered name. Scores count to six digits; of labels that are equal there it is the least.
+    A null label's mean gives scores, but no label."""
     v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
     means = v.select("label", F.posexplode("x").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 9).alias("c")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda p: p["c"]).alias("c"))
     labels = {r["label"]: r["c"] for r in means.orderBy("label").collect()}
     known = registry.Recognisers()
     known.add("centroids", "keelson.functions.registry:centroids", means=list(labels.values()))
     names = F.array(*map(F.lit, labels))
-    found = v.select("vec_id", known.column("centroids", F.col("x"), 1).alias("r"))
-    return found.select("vec_id", F.get(names, F.col("r.top_ids")[0]).alias("label"), F.round(F.col("r.top_scores")[0], 6).alias("score"))
+    found = v.select("vec_id", known.column("centroids", F.col("x"), 2, digits=6).alias("r"))
+    label = lambda k: F.get(names, F.get(F.col("r.top_ids"), F.lit(k)))
+    return found.select("vec_id", F.coalesce(label(0), label(1)).alias("label"), F.col("r.top_scores")[0].alias("score"))
 
 
 @query("r11_mask_modes", """WITH {SEG}, f AS (SELECT video_id, idx, label = 'important' AS hidden, unnest(['blur', 'freeze', 'black', 'mean', 'cut']) AS mode FROM seg),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import prompts, registry, text, tokens
 from keelson.operators import allocate, permute, resample
+from keelson.plans.registry import QUERIES
 
 T = lambda token, logprob, *top: (token, logprob, [*top])
 
@@ -129,12 +130,23 @@ def test_recognisers(spark):
     rows = spark.createDataFrame([([2.0, 1.0],), ([0.0, 3.0],)], "v array<double>")
     got = [(r[0]["top_ids"], r[0]["top_scores"]) for r in rows.select(known.column("two", F.col("v"), 2)).collect()]
     assert got == [([0, 2], [2.0, 2.0]), ([1, 0], [3.0, 0.0])]
+    near = spark.createDataFrame([([1.0000001, 1.0000004],), ([1.0, 1.0000006],)], "v array<double>")
+    got = [(r[0]["top_ids"], r[0]["top_scores"]) for r in near.select(known.column("two", F.col("v"), 1, digits=6)).collect()]
+    assert got == [([0], [1.0]), ([1], [1.000001])]
     with pytest.raises(KeyError, match="there are two"):
         known.column("three", F.col("v"))
     with pytest.raises(ValueError):
         known.add("bad", "module")
 
 
+def test_labels_equal_to_six_digits(spark, tmp_path):
+    """Both labels' scores of vector 3 are 0 to six digits, and label 2's is greater beyond them."""
+    rows = [(1, 1, [1.0, 0.0]), (2, 2, [1.0, 4e-7]), (3, 1, [0.0, 1.0]), (4, 1, [0.0, -1.0]), (5, 2, [0.0, 0.0]), (6, 2, [0.5, 0.0]), (7, None, [-1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: (r["label"], r["score"]) for r in QUERIES["recogniser_registry"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 0.5), 2: (2, 0.5), 3: (1, 0.0), 4: (1, 0.0), 5: (1, 0.0), 6: (2, 0.25), 7: (1, 1.0)}
+
+
 def test_now(spark):
     before = dt.datetime.now(dt.UTC).replace(tzinfo=None)
     got = dt.datetime.fromisoformat(spark.range(1).select(text.now_iso()).first()[0])
