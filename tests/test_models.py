@@ -200,6 +200,37 @@ def test_permutation_null_by_brute_force(spark):
     assert permute.null_by_trial(frame.limit(0), "v", trials, 5).count() == 0
 
 
+def test_sums_without_sorting():
+    """Both ways give the same sums; videos whose kept weights equal some that aren't kept, or with many places, are left to sorting."""
+    rng, trials = np.random.default_rng(11), 25
+    for n in (1, 2, 3, 6, 9, 16):
+        a, b = rng.integers(0, 5, (40, n)) / 10, rng.integers(0, 3, (40, n)) / 10
+        kept_a, kept_b = a >= rng.choice([0.0, 0.2, 0.3, 0.9], (40, 1)), rng.random((40, n)) < 0.5
+        high, low = rng.integers(0, 1 << 32, (2, 40), dtype=np.uint32)
+        high[:20] = low[:20] = 0
+        assert permute._plain(a, b, kept_a).all()
+        one, other = np.zeros((trials + 1, 4)), np.zeros((trials + 1, 4))
+        permute._add_sorted(one, high, low, a, b, kept_a, kept_b, trials)
+        permute._add_compared(other, high, low, a, b, kept_a, kept_b, trials)
+        np.testing.assert_allclose(one, other, rtol=1e-12, atol=1e-12)
+    a = np.array([[0.5, 0.5, 0.1], [0.5, 0.5, 0.1], [0.5, np.nan, 0.1], [0.1, 0.1, 0.1]])
+    kept = np.array([[True, False, False], [True, True, False], [True, False, False], [False, False, False]])
+    assert permute._plain(a, np.zeros((4, 3)), kept).tolist() == [False, True, False, True]
+    assert not permute._plain(np.zeros((2, 17)), np.zeros((2, 17)), np.ones((2, 17), bool)).any()
+
+
+def test_equal_weights_parted_and_many_places(spark):
+    """The rows of both ways together: one video is parted, one has 20 places, two are plain."""
+    rows = [("p", [0.5, 0.5, 0.1], [1.0, 2.0, 3.0], [True, False, False], [True, False, True]), ("m", [i % 7 / 7 for i in range(20)], [float(i) for i in range(20)], [i % 7 > 4 for i in range(20)], [i < 9 for i in range(20)])]
+    rows += [("x", [0.9, 0.1], [1.0, 2.0], [True, False], [True, False]), ("y", [0.9, 0.1], [1.0, 2.0], [False, False], [False, False])]
+    schema = "v string, a array<double>, b array<double>, kept_a array<boolean>, kept_b array<boolean>"
+    by = lambda r: {x["trial"]: x for x in permute.null_by_trial(spark.createDataFrame(r, schema), "v", 20, 3).collect()}
+    got, one = by(rows), [by([r]) for r in rows]
+    for trial in range(-1, 20):
+        assert got[trial]["n"] == 4
+        assert got[trial]["rho"] == pytest.approx(sum(o[trial]["rho"] for o in one) / 4) and got[trial]["jaccard"] == pytest.approx(sum(o[trial]["jaccard"] for o in one) / 4)
+
+
 def test_permutations_are_uniform():
     rng = np.random.default_rng(10)
     order = permute.permutations(*rng.integers(0, 1 << 32, (2, 300), dtype=np.uint32), 4, 40)
