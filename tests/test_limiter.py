@@ -59,3 +59,42 @@ def test_whole_table_equals_the_window(spark):
         pytest.skip("no test tables")
     stream, batch = (registry.QUERIES[q](spark, where).collect() for q in ("stream_rolling_counts", "stream_rate_limit"))
     assert sorted(map(tuple, stream)) == sorted(map(tuple, batch))
+
+
+def test_calls_to_the_state_dont_grow_with_the_rows():
+    """Each call is a message to the JVM: a key's batch takes as many for a thousand rows as for one."""
+    from types import SimpleNamespace
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.now = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"get": self._get, "clear": lambda: self._set(None), "update": self._set, "put": self._set, "appendValue": lambda x: self._set([*(self.now or []), x]), "appendList": lambda x: self._set([*(self.now or []), *x])}[name]
+
+        def _get(self):
+            return self.now if not isinstance(self.now, list) else iter(self.now)
+
+        def _set(self, x):
+            self.now = x
+
+    class Listed(State):
+        def _get(self):
+            return iter(self.now or [])
+
+    timer = lambda name: lambda at: calls.append(name)
+    counts = {}
+    for n in (1, 1000):
+        calls.clear()
+        p = limiter._Rolling(5_000_000)
+        p.init(SimpleNamespace(getListState=lambda *a: Listed(), getValueState=lambda *a: State(), registerTimer=timer("register"), deleteTimer=timer("delete")))
+        rows = [limiter.Row(key="a", id=i, time=None, at=i * 1_000_000) for i in range(n)]
+        assert list(p.handleInputRows(("a",), iter(rows), None)) == []
+        mark = SimpleNamespace(getCurrentWatermarkInMs=lambda n=n: n * 1000 + 86_400_000)
+        got = [tuple(r) for r in p.handleExpiredTimer(("a",), mark, None)]
+        assert got == [("a", i, min(i + 1, 6)) for i in range(n)]
+        counts[n] = len(calls)
+    assert counts[1] == counts[1000] < 10
