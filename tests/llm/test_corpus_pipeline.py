@@ -12,7 +12,7 @@ import regex
 import tiktoken
 
 import corpus_pipeline
-from keelson.llm import bpe, personal, quality
+from keelson.llm import bpe, near_copies, personal, quality, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, d int, g string, more string, seen string, size int, key int, tie string, root int, node int, digest string, copies int, ids string"
 EXTRA = (-5.0, 1, "g", "m", "s", 2, 3, "t", 4, 5, "x", 6, "i")
@@ -175,6 +175,21 @@ def test_every_stage_by_brute_force(spark, folder):
     assert sorted((r["doc_id"], list(r["ids"])) for r in corpus_pipeline.run(spark, where).collect()) == want
 
 
+def test_copies_by_fingerprint_alone(spark):
+    """SimHash counts repeats, so texts that differ in rare words have one fingerprint, though half of their shingle sets differ. Links of both kinds make one class."""
+    chorus = "one two three four five " * 80
+    texts = {1: chorus + "ab cd ef gh", 2: chorus + "ij kl mn op", 3: chorus + "ij kl mn op qr", 4: "some other text of its own", 5: None, 6: ""}
+    assert simhash.simhash(texts[1]) == simhash.simhash(texts[2]) and 5 * len(shingles(texts[1]) & shingles(texts[2])) < 4 * len(shingles(texts[1]) | shingles(texts[2]))
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 4, 5]
+    found = {r["doc_id"]: r["root"] for r in near_copies.near_duplicates(docs, prints=True).collect()}
+    assert found[1] == found[2] == found[3] and found[5] == found[6] and len(set(found.values())) == 3
+    by_prints = {r["doc_id"]: r["root"] for r in simhash.near_duplicates(docs).collect()}
+    for i in texts:
+        for j in texts:
+            assert by_prints[i] != by_prints[j] or found[i] == found[j]
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
