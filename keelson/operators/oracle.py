@@ -59,7 +59,7 @@ def _asked(questions: DataFrame, oracle: Oracle) -> DataFrame:
     names = [x.split()[0] for x in ANSWER.split(", ")]
     carried = [c for c in questions.columns if c not in (*names, "__known")]
 
-    def answered(model: Model | None, part: list[dict]) -> tuple[Model | None, list[dict]]:
+    def answered(model: Model | None, part: list[dict]) -> tuple[Model | None, list[tuple]]:
         error, answers = None, [{}] * len(part)
         for attempt in range(1, oracle.attempts + 1):
             try:
@@ -71,33 +71,34 @@ def _asked(questions: DataFrame, oracle: Oracle) -> DataFrame:
                 break
             except Exception as raised:  # a model's failure of any kind is the answer's error, after another attempt
                 error, answers = f"{type(raised).__name__}: {raised}", [{}] * len(part)
-        return model, [{**{k: a.get(k) for k in names}, "attempts": attempt, "error": error} for a in answers]
+        return model, [(a, attempt, error) for a in answers]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, last, said = None, None, None
         for batch in batches:
-            columns = {c: _values(batch.column(c)) for c in batch.schema.names}
+            known = _values(batch.column("__known"))
+            columns = {c: _values(batch.column(c)) for c in [*asks, *(names if True in known else [])]}
             keys = list(zip(*(columns[k] for k in KEY), strict=True))
-            known, out, new = columns.pop("__known"), [None] * len(keys), []
-            before = last
+            out, new, before = [None] * len(keys), [], last
             for i, key in enumerate(keys):
                 if not known[i] and key != before:
                     new.append(i)
                 before = key
-            fields = {c: columns[c] for c in asks}
+            fields = [columns[c] for c in asks]
             for at in range(0, len(new), oracle.batch):
                 places = new[at : at + oracle.batch]
-                model, answers = answered(model, [{c: v[i] for c, v in fields.items()} for i in places])
+                model, answers = answered(model, [dict(zip(asks, row, strict=True)) for row in zip(*([v[i] for i in places] for v in fields), strict=True)])
                 for i, a in zip(places, answers, strict=True):
                     out[i] = a
             called = [a is not None for a in out]
             for i, key in enumerate(keys):
                 if known[i]:
-                    out[i] = {k: columns[k][i] for k in names}
+                    out[i] = ({k: columns[k][i] for k in names}, None, None)
                 elif out[i] is None:
                     out[i] = said
                 last, said = key, out[i]
-            arrays = [batch.column(c) for c in carried] + [pa.array([a.get(f.name) for a in out], f.type) for f in arrow] + [pa.array(called, pa.bool_())]
+            found = [[a.get(k) for a, _, _ in out] for k in names] + [[x[1] for x in out], [x[2] for x in out]]
+            arrays = [batch.column(c) for c in carried] + [pa.array(v, f.type) for v, f in zip(found, arrow, strict=True)] + [pa.array(called, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *arrow.names, "called"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -134,15 +135,15 @@ class Cached:
         keyed = questions.withColumns({"mask_hash": mask_hash(F.col("kept"), F.col("n")), "template": F.lit(template), "video_id": F.col("video_id").cast("string"), "left_out": left_out})
         known = self.known(spark)
         if known is None:
-            met = keyed.withColumn("__known", F.lit(False))
+            met = keyed.withColumn("__known", F.lit(False)).repartition(*KEY).sortWithinPartitions(*KEY)
         else:
             least, most = questions.agg(F.min(left_out), F.max(left_out)).first()
             own = known.where((F.col("template") == template) & (F.col("left_out").isNull() | F.col("left_out").between(least, most))).drop("left_out").dropDuplicates(KEY).withColumn("__known", F.lit(True))
             met = keyed.join(own, KEY, "left").withColumn("__known", F.coalesce("__known", F.lit(False)))
-        by_key = W.partitionBy(*KEY).orderBy("left_out")
+            met = met.withColumn("__place", F.row_number().over(W.partitionBy(*KEY).orderBy("left_out")))
         seen = Observation()
         part = f"{self.cache.rstrip('/')}/asked={uuid.uuid4().hex}"
-        done = _asked(met.withColumn("__place", F.row_number().over(by_key)), self.oracle)
+        done = _asked(met, self.oracle)
         done.observe(seen, F.count("*").alias("rows"), F.count_if("called").alias("calls"), F.count_if(F.col("called") & F.col("error").isNotNull()).alias("failed")).write.parquet(part)
         rows, calls, failed = (seen.get[k] for k in ("rows", "calls", "failed"))
         for name, more in zip(("rows", "hits", "calls", "failed"), (rows, rows - calls, calls, failed), strict=True):

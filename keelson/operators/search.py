@@ -148,18 +148,33 @@ MAY_DROP, A_YES = 0.2, 0.5
 def sufficiency(labelled: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """labelled: video_id, important (indices), n, label, wrong_label, and what the model reads. ask takes subsets (video_id, kept, n, asked_label, ...) and adds `score` and `skip`.
     Whether the important segments suffice (keep_important), whether the others can go (remove_unimportant: score drops by MAY_DROP at most), whether the others alone don't do (keep_unimportant:
-    below A_YES, or there are none), and whether a wrong label is refused (wrong_label). Each with its score; a row a video."""
+    below A_YES, or there are none), and whether a wrong label is refused (wrong_label). Each with its score; a row a video. Tests of one subset and label are one question, with a bit
+    in `tests` for each; `calls` counts tests."""
     places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    others = F.array_except(places, F.col("important"))
-    tests = {"full": (places, "label"), "keep_important": (F.array_sort("important"), "label"), "remove_unimportant": (F.array_except(places, others), "label"), "keep_unimportant": (others, "label"), "wrong_label": (places, "wrong_label")}
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("test"), kept.alias("kept"), F.col(asked).alias("asked_label")) for name, (kept, asked) in tests.items()]))
-    rows = labelled.withColumn("video_id", F.col("video_id").cast("string")).withColumn("t", each).select(*labelled.columns, "t.*")
-    questions = rows.where((F.col("test") != "keep_unimportant") | (F.size("kept") > 0))
-    keyed = questions.withColumn("video_id", F.when(F.col("test") == "wrong_label", F.concat("video_id", F.lit("_wrong"))).otherwise(F.col("video_id")))
-    asked = ask(keyed).select(F.regexp_replace("video_id", "_wrong$", "").alias("asked_id"), F.col("video_id").endswith("_wrong").alias("w"), "test", "score", "skip")
-    asked = asked.select(F.when(F.col("test") == "wrong_label", F.col("asked_id")).otherwise(F.when(F.col("w"), F.concat("asked_id", F.lit("_wrong"))).otherwise(F.col("asked_id"))).alias("video_id"), "test", "score", "skip")
-    of = lambda name, c: F.max(F.when(F.col("test") == name, F.col(c)))
-    by = asked.groupBy("video_id").agg(*[of(name, "score").alias(name) for name in tests], of("keep_important", "skip").alias("skip"), F.count("*").alias("calls"))
+    rows = labelled.withColumns({"video_id": F.col("video_id").cast("string"), "__places": places}).withColumn("__others", F.array_except("__places", "important"))
+    rows = rows.withColumns({"__keep": F.array_sort("important"), "__remove": F.array_except("__places", "__others")})
+    tests = {"full": "__places", "keep_important": "__keep", "remove_unimportant": "__remove", "keep_unimportant": "__others", "wrong_label": "__places"}
+    names, sets, wrong = list(tests), list(tests.values()), 1 << len(tests) - 1
+    there = [F.size("__others") > 0 if name == "keep_unimportant" else F.lit(True) for name in names]
+    # a test is asked where no one before has its subset; the wrong label is a question of its own
+    alike = lambda j, k: F.coalesce(F.col(sets[j]) == F.col(sets[k]), F.lit(False)) & there[j] & there[k]
+    asks = []
+    for k, kept in enumerate(sets[:-1]):
+        bits = F.lit(1 << k)
+        for later in range(k + 1, len(sets) - 1):
+            bits = bits + F.when(alike(k, later), 1 << later).otherwise(0)
+        asked = there[k]
+        for j in range(k):
+            asked = asked & ~alike(j, k)
+        asks.append(F.when(asked, F.struct(bits.alias("tests"), F.col(kept).alias("kept"), F.col("label").alias("asked_label"))))
+    asks.append(F.struct(F.lit(wrong).alias("tests"), F.col("__places").alias("kept"), F.col("wrong_label").alias("asked_label")))
+    own = [c for c in labelled.columns if c not in ("important", "label", "wrong_label")]
+    questions = rows.withColumn("t", F.explode(F.array(*asks))).where("t IS NOT NULL").select(*own, "t.*")
+    keyed = questions.withColumn("video_id", F.when(F.col("tests") == wrong, F.concat("video_id", F.lit("_wrong"))).otherwise(F.col("video_id")))
+    given = F.when(F.col("tests") == wrong, F.expr("left(video_id, length(video_id) - 6)")).otherwise(F.col("video_id"))
+    asked = ask(keyed).select(given.alias("video_id"), "tests", "score", "skip")
+    of = lambda name, c: F.max(F.when(F.col("tests").bitwiseAND(1 << names.index(name)) != 0, F.col(c)))
+    by = asked.groupBy("video_id").agg(*[of(name, "score").alias(name) for name in tests], of("keep_important", "skip").alias("skip"), F.sum(F.bit_count("tests")).alias("calls"))
     return by.select(
         "video_id", *tests, ((F.col("keep_important") > A_YES) & ~F.col("skip")).alias("important_suffices"), (F.col("full") - F.col("remove_unimportant") <= MAY_DROP).alias("others_can_go"),
         F.coalesce(F.col("keep_unimportant") < A_YES, F.lit(True)).alias("others_do_not_do"), (F.col("wrong_label") < A_YES).alias("wrong_label_refused"), "calls",

@@ -19,9 +19,9 @@ def _cached(spark, model, template):
 def _weights(spark, sf):
     """video_id, n, and the segments' weights in percent and labels, in order."""
     item = F.struct("idx", F.round(F.col("weight") * 100).cast("long").alias("w"), (F.col("label") == "important").alias("v"))
-    by = segments(spark, sf).groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.array_sort(F.collect_list(item)).alias("s"))
+    by = segments(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
     part = lambda name: F.transform("s", lambda x: x[name])
-    return materialize(by.select("video_id", F.size("s").alias("n"), part("w").alias("weights"), F.transform(F.filter("s", lambda x: x["v"]), lambda x: x["idx"]).alias("important")), "weights")
+    return materialize(by.select(F.col("video_id").cast("string").alias("video_id"), F.size("s").alias("n"), part("w").alias("weights"), F.transform(F.filter("s", lambda x: x["v"]), lambda x: x["idx"]).alias("important")), "weights")
 
 
 def _share():

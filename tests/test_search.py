@@ -177,3 +177,26 @@ def test_questions_are_read_once_and_equal_ones_asked_once(spark, tmp_path):
     segments = spark.createDataFrame([("a", 0), ("a", 1)], "video_id string, idx int")
     found = search.score_based_removal(segments, lambda q: q.withColumn("score", F.col("seen")[1] / 10), limits).found.collect()
     assert [(r["kept"], r["calls"]) for r in found] == [([1], 2)]
+
+
+def test_tests_of_one_subset_are_one_question(spark, tmp_path):
+    """All segments important, some, none, or no segment; a repeated index and ids that end like those of wrong labels are told apart."""
+    rows = [("all", [1, 0], 2), ("some", [1], 3), ("none", [], 2), ("empty", [], 0), ("x", [0, 0], 2), ("x_wrong", [0], 2)]
+    labelled = spark.createDataFrame([(*r, "a", "b") for r in rows], "video_id string, important array<int>, n int, label string, wrong_label string")
+    seen = []
+
+    def ask(questions):
+        assert not {"important", "label", "wrong_label"} & set(questions.columns)
+        seen.extend(questions.collect())
+        share = F.when(F.col("n") > 0, F.size("kept") / F.col("n")).otherwise(0.0)
+        return questions.withColumns({"score": F.when(F.col("asked_label") == "b", share / 4).otherwise(share), "skip": F.lit(False)})
+
+    got = {r["video_id"]: r for r in search.sufficiency(labelled, ask).collect()}
+    scores = {k: tuple(r[c] for c in ("full", "keep_important", "remove_unimportant", "keep_unimportant", "wrong_label", "calls")) for k, r in got.items()}
+    assert scores.pop("some") == (1.0, 1 / 3, 1 / 3, 2 / 3, 0.25, 5)
+    assert scores == {
+        "all": (1.0, 1.0, 1.0, None, 0.25, 4), "none": (1.0, 0.0, 0.0, 1.0, 0.25, 5), "empty": (0.0, 0.0, 0.0, None, 0.0, 4),
+        "x": (1.0, 1.0, 0.5, 0.5, 0.25, 5), "x_wrong": (1.0, 0.5, 0.5, 0.5, 0.25, 5),
+    }
+    count = lambda name: len([q for q in seen if q["video_id"] == name])
+    assert [count(x) for x in ("all", "some", "none", "empty", "x", "x_wrong_wrong")] == [1, 3, 2, 1, 4, 1]
