@@ -1,6 +1,7 @@
 """Wrappers on the test table's pages, without the elements and names that tell an article from what is around it."""
 
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -83,3 +84,43 @@ def test_wrappers_are_aligned_like_pages():
 def test_texts_by_code():
     codes = wrappers.Codes(map(wrappers.code, ["Home", "one two three four five six seven eight"]))
     assert "Home" in codes and "home" not in codes and {c & 1 for c in codes} == {0, 1}
+
+
+def test_long_pages_have_wrappers(spark):
+    """Pages of more than 5,000 items that don't fold decide where the text is, as shorter ones do."""
+    rng = random.Random(5)
+    kinds = rng.choices([f"x{k}" for k in range(60)], k=3000)
+
+    def long(i):
+        blocks = [f"block {k} of page {i}, which is its own" for k in range(len(kinds))]
+        body = "".join(f"<{kind}>{b}</{kind}>" for kind, b in zip(kinds, blocks, strict=True))
+        extra = f"<h6>note {i}</h6>" if i % 2 else ""
+        want = "\n".join([f"Title {i}", *([f"note {i}"] if extra else []), *blocks])
+        return f"<html><body><div><p>Seen by reader {i}</p></div><div><h1>Title {i}</h1>{extra}{body}</div></body></html>", want
+
+    made = [long(i) for i in range(4)]
+    assert all(len(wrappers.fold(wrappers.shape(wrappers.tokens(p))[0])) > 5000 for p, _ in made)
+    pages = spark.createDataFrame([(i, "http://long.example/", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["found_by"]) for r in wrappers.extract_pages(pages).collect()}
+    assert got == {i: (text, "wrapper") for i, (_, text) in enumerate(made)}
+    short = wrappers.fitted([f"<html><body><div><p>Seen by reader {i}</p></div><div><h1>Title {i}</h1>" + f"<p>text of page {i}</p>" * (i + 1) + "</div></body></html>" for i in range(3)])
+    assert wrappers.extract(made[0][0], short) == (made[0][1], "generalised")
+
+
+def test_long_lists_are_cut_at_a_longest_common_subsequence():
+    rng = random.Random(6)
+    for turn in range(150):
+        a, b = (rng.choices("abcdef"[: rng.randint(1, 6)], k=rng.randint(0, 40)) for _ in range(2))
+        if turn % 3 == 0:
+            b = a[: rng.randint(0, 9)] + b + a[-rng.randint(1, 9) :]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(new[-1], row[k + 1]))
+            row = new
+        codes = wrappers.opcodes(a, b, whole=0, most=1)
+        assert sum(j - i for kind, i, j, _, _ in codes if kind == "equal") == row[-1]
+        assert all(a[i:j] == b[k:m] for kind, i, j, k, m in codes if kind == "equal")
+        assert all((x == "equal") != (y == "equal") for (x, *_), (y, *_) in zip(codes, codes[1:], strict=False))
+        assert [x for kind, i, j, k, m in codes for x in b[k:m]] == b and [x for kind, i, j, k, m in codes for x in a[i:j]] == a
