@@ -247,6 +247,41 @@ def test_anchor_blocks(monkeypatch):
     assert (owner(cut) == owner(whole)).all()
 
 
+def test_anchors_of_joined_texts(monkeypatch):
+    """Texts that are joined have the stretches that each has on its own, however blocks cut them, and none has a window in two."""
+    rng = random.Random(10)
+    raws = [t.encode() for t in (*(words(rng, rng.randint(0, 60)) for _ in range(40)), "", words(rng, 900), "x" * 49, "y" * 50, "")]
+    starts = np.r_[0, np.cumsum([len(x) for x in raws])]
+    each = [substrings.anchors(x) for x in raws]
+    for block in (1 << 15, 64):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        got = substrings.anchors(b"".join(raws), ends=starts[1:])
+        assert (got[0] == np.concatenate([x[0] for x in each])).all()
+        for i in (1, 2, 3):
+            assert (got[i] == np.concatenate([x[i] + a for x, a in zip(each, starts)])).all()
+
+
+def test_a_group_within_another_is_compared_once():
+    """Near copies have both sides of their anchor in common, which makes no second comparison of them; strings of one side have a group each."""
+    length, kmer = 50, 24
+    near = [b"a" * 26 + b"k" * kmer + b"b" * 25 + bytes([99 + i]) for i in range(4)]
+    left, right = b"a" * 26 + b"k" * kmer + b"z" * 9, b"y" * 8 + b"k" * kmer + b"b" * 26
+    strings = [*near, left, right]
+    matrix, sizes = matrix_of(strings)
+    place = np.array([x.index(b"k") for x in strings])
+    for n, want in ((4, [[0, 1, 2, 3]]), (6, [[0, 1, 2, 3, 4], [0, 1, 2, 3, 5]])):
+        context, group = substrings._sides(matrix[:n], sizes[:n], np.zeros(n, np.int64), place[:n], length, kmer)
+        assert sorted(sorted(context[group == g].tolist()) for g in set(group.tolist())) == want
+
+
+def test_anchors_of_one_hash_and_other_bytes():
+    """What is around an anchor is no match where the anchor's own bytes differ."""
+    strings = [b"a" * 9 + k + b"b" * 9 for k in (b"kkkk", b"kkxk", b"kkkk")] + [b"a" * 9 + b"kkxk" + b"b" * 8 + b"c"]
+    got = substrings.occurs_earlier(strings, np.zeros(4, np.int64), np.full(4, 9), np.arange(4), 12, 4)
+    every = sum(1 << k for k in range(11))
+    assert [int(g) & (1 << 10) - 1 for g in got] == [0, 0, every & (1 << 10) - 1, sum(1 << k for k in range(10))]
+
+
 # SimHash
 
 
