@@ -124,3 +124,26 @@ def test_long_lists_are_cut_at_a_longest_common_subsequence():
         assert all(a[i:j] == b[k:m] for kind, i, j, k, m in codes if kind == "equal")
         assert all((x == "equal") != (y == "equal") for (x, *_), (y, *_) in zip(codes, codes[1:], strict=False))
         assert [x for kind, i, j, k, m in codes for x in b[k:m]] == b and [x for kind, i, j, k, m in codes for x in a[i:j]] == a
+
+
+def test_pages_of_few_kinds_in_any_order():
+    """Groups give back what they took where a page needs it, so all of a host's pages are matched and weighed, and the box with the most text is the zone though each of its slots has little."""
+    for n, kinds, pages in ((60, 7, 40), (300, 3, 8)):
+        made = []
+        for i in range(pages):
+            rng = random.Random(i)
+            blocks = [(f"x{rng.randrange(kinds)}", f"block {k} of page {i}") for k in range(rng.randint(n // 2, n))]
+            body = "".join(f"<{kind}>{text}</{kind}>" for kind, text in blocks)
+            made.append((f"<html><body><div><p>Seen by reader {i}</p></div><div><h1>Title {i}</h1>{body}</div></body></html>", "\n".join([f"Title {i}", *(t for _, t in blocks)])))
+        wrapper = wrappers.fitted([p for p, _ in made])
+        assert [wrappers.extract(p, wrapper) for p, _ in made] == [(want, "wrapper") for _, want in made]
+
+
+def test_places_in_a_wrapper():
+    matcher = wrappers.Matcher([("+", ("a", "b")), ("+", ("a",)), ("?", ("c", "d")), "c", "b"], (0, 1))
+    assert matcher.regex.fullmatch(matcher.line(["a", "b", "a", "c", "b"])) and not matcher.regex.fullmatch(matcher.line(["a", "b", "a", "a", "c", "d", "b"]))
+    assert matcher.places(["a", "b", "a", "c", "b"]) == [0, 0, 1, 4, 5]
+    assert matcher.places(["a", "b", "a", "b", "a", "a", "c", "d", "c", "b"]) == [0, 0, 0, 0, 1, 1, 2, 3, 4, 5]
+    assert matcher.places(["a", "b", "a", "c", "d", "b"]) is None and matcher.places(["a", "b"]) is None and matcher.places([]) is None
+    back = wrappers.Matcher([("+", ("a", "b")), "a", "b", "c"], (0, 2))
+    assert back.places(["a", "b", "a", "b", "a", "b", "c"]) == [0, 0, 0, 0, 1, 2, 3] and back.zone(["a", "b", "a", "b", "c"]) == (0, 3)
